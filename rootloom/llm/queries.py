@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rootloom.llm.fertility_rules import apply_rules
 from rootloom.llm.packing import pack_documents
 from rootloom.llm.shared import table
+from rootloom.llm.simhash_index import fingerprint_hex, simhash_classes
 from rootloom.llm.token_counts import token_counts
 from rootloom.llm.token_frames import new_shard_folder, read_documents, write_shards
 
@@ -23,6 +24,11 @@ def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(manifest, folder, with_ids=False)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_classes(table(spark, sf_dir, "documents"), words=3, distance=2)
+    return found.select("doc_id", fingerprint_hex("fp").alias("fingerprint"), "component_id")
+
+
 def op8_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"))
 
@@ -34,6 +40,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_token_frames": op6_token_frames,
+    "op7_simhash": op7_simhash,
     "op8_fertility_rules": op8_fertility_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
