@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rootloom.llm.fertility_rules import apply_rules
 from rootloom.llm.packing import pack_documents
+from rootloom.llm.quality_qda import classify_quality
 from rootloom.llm.shared import table
 from rootloom.llm.simhash_index import fingerprint_hex, simhash_classes
 from rootloom.llm.token_counts import token_counts
 from rootloom.llm.token_frames import new_shard_folder, read_documents, write_shards
 
 
+def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
@@ -38,6 +43,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_qda": op3_quality_qda,
     "op5_token_counts": op5_token_counts,
     "op6_token_frames": op6_token_frames,
     "op7_simhash": op7_simhash,
