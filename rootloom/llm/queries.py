@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rootloom.llm import chat_windows, url_cascade
 from rootloom.llm.fertility_rules import apply_rules
 from rootloom.llm.packing import pack_documents
 from rootloom.llm.quality_qda import classify_quality
@@ -15,6 +16,10 @@ from rootloom.llm.token_counts import token_counts
 from rootloom.llm.token_frames import new_shard_folder, read_documents, write_shards
 
 
+def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_cascade.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,12 +47,22 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048)
 
 
+def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = chat_windows.with_injection(table(spark, sf_dir, "conversations"))
+    return chat_windows.conversation_digests(chat_windows.format_conversations(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_cascade": op2_url_cascade,
     "op3_quality_qda": op3_quality_qda,
     "op5_token_counts": op5_token_counts,
     "op6_token_frames": op6_token_frames,
     "op7_simhash": op7_simhash,
     "op8_fertility_rules": op8_fertility_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_chat_windows": op10_chat_windows,
+}
+ORACLES: dict[str, str] = {
+    "op2_url_cascade": url_cascade.ORACLE,
+    "op10_chat_windows": chat_windows.ORACLE,
 }
-ORACLES: dict[str, str] = {}
