@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rootloom.llm import chat_windows, url_cascade
 from rootloom.llm.fertility_rules import apply_rules
@@ -14,6 +15,7 @@ from rootloom.llm.shared import table
 from rootloom.llm.simhash_index import fingerprint_hex, simhash_classes
 from rootloom.llm.token_counts import token_counts
 from rootloom.llm.token_frames import new_shard_folder, read_documents, write_shards
+from rootloom.llm.topk_histogram import exact_top_k, integer_vectors
 
 
 def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,10 @@ def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_topk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(integer_vectors(table(spark, sf_dir, "embeddings"), 64), F.col("vec_id") % 20 == 0, 20)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
@@ -55,6 +61,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_cascade": op2_url_cascade,
     "op3_quality_qda": op3_quality_qda,
+    "op4_topk_histogram": op4_topk_histogram,
     "op5_token_counts": op5_token_counts,
     "op6_token_frames": op6_token_frames,
     "op7_simhash": op7_simhash,
@@ -62,7 +69,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_chat_windows": op10_chat_windows,
 }
+#: DuckDB's list_inner_product over doubles is exact here: scores are far below 2^53.
+TOP_K_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+"""
 ORACLES: dict[str, str] = {
+    "op4_topk_histogram": TOP_K_SQL,
     "op2_url_cascade": url_cascade.ORACLE,
     "op10_chat_windows": chat_windows.ORACLE,
 }
