@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rootloom.llm import chat_windows, url_cascade
 from rootloom.llm.fertility_rules import apply_rules
 from rootloom.llm.packing import pack_documents
+from rootloom.llm.piece_dropout import encode_pieces
 from rootloom.llm.quality_qda import classify_quality
 from rootloom.llm.shared import table
 from rootloom.llm.simhash_index import fingerprint_hex, simhash_classes
@@ -18,6 +19,11 @@ from rootloom.llm.token_frames import new_shard_folder, read_documents, write_sh
 from rootloom.llm.topk_histogram import exact_top_k, integer_vectors
 
 
+def op1_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_pieces(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", dropout=0.1, seed=42)
+    return encoded.select("doc_id", "n_bytes", F.size("ids").cast("long").alias("n_pieces"), "ids_crc32", "lossless")
+
+
 def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -59,6 +65,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_piece_dropout": op1_piece_dropout,
     "op2_url_cascade": op2_url_cascade,
     "op3_quality_qda": op3_quality_qda,
     "op4_topk_histogram": op4_topk_histogram,
