@@ -196,7 +196,8 @@ REQUESTED = {"task_1": ("time",), "task_2": ("reason",), "task_3": ("component",
 def parse_task_window(tasks: DataFrame, zone: str = "Asia/Shanghai") -> DataFrame:
     """(row_id, task_index, start_ms, end_ms, date_key, requested): a date and two clock times out of prose, local to ``zone``; an end not after the start is on the next day."""
     text = F.col("instruction")
-    day = F.coalesce(F.expr(f"try_to_timestamp(regexp_extract(instruction, '{_MONTH_DATE}', 1), 'MMMM d, yyyy')"), F.expr(r"try_to_timestamp(regexp_extract(instruction, '(\\d{4}-\\d{2}-\\d{2})', 1), 'yyyy-MM-dd')"))
+    read = lambda pattern, form: F.try_to_timestamp(F.regexp_extract(text, pattern, 1), F.lit(form))
+    day = F.coalesce(read(_MONTH_DATE, "MMMM d, yyyy"), read(r"(\d{4}-\d{2}-\d{2})", "yyyy-MM-dd"))
     clock = F.regexp_extract_all(text, F.lit(r"\b(\d{1,2}:\d{2})(?::\d{2})?\b"), 1)
     minutes = lambda k: F.get(F.split(F.get(clock, k), ":"), 0).cast("int") * 60 + F.get(F.split(F.get(clock, k), ":"), 1).cast("int")
     local = F.unix_seconds(day.cast("timestamp"))

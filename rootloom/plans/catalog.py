@@ -2,9 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from rootloom.plans import source_queries, time_queries  # noqa: F401
+from rootloom.plans.registry import ORACLES, QUERIES  # noqa: F401
