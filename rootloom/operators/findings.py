@@ -158,7 +158,7 @@ def trace_latency_findings(summary: DataFrame) -> DataFrame:
     rows = summary.join(middle, "case_id")
     lag = F.greatest(F.col("mean_elapsed") - F.col("_gm"), F.lit(0.0)) / (F.abs("_gm") + 1)
     burst = F.greatest(F.col("max_elapsed") - F.col("mean_elapsed"), F.lit(0.0)) / (F.abs("mean_elapsed") + 1)
-    return rows.withColumns({"score": F.round(lag + 0.1 * burst, 6), "hint": F.when(F.col("failures") > 0, "loss").otherwise("delay")}).drop("_gm")
+    return rows.withColumns({"score": F.round(lag + 0.1 * burst, 9), "hint": F.when(F.col("failures") > 0, "loss").otherwise("delay")}).drop("_gm")
 
 
 def window_mean_anomaly(rows: DataFrame, start_ts: float, end_ts: float, most: int = 100) -> DataFrame:

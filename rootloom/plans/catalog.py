@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from rootloom.plans import source_queries, time_queries  # noqa: F401
+from rootloom.plans import finding_queries, graph_queries, source_queries, time_queries  # noqa: F401
 from rootloom.plans.registry import ORACLES, QUERIES  # noqa: F401

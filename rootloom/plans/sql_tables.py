@@ -43,7 +43,7 @@ TABLES: dict[str, str] = {
               from moments where pre_n > 0 and post_n > 0)""",
     "finding": """select case_id, case when metric in ('click', 'view') then 'metrics' when metric = 'error' then 'logs' when metric = 'purchase' then 'traces' else 'auxiliary' end as modality,
         component, metric as signal, direction, magnitude, round(abs(t_stat), 6) as score, post_first as window_start, metric || ':' || component as evidence_ptr from welch where t_stat is not null""",
-    "component_score": """select case_id, component, round(sum(greatest(score, 0)), 6) as component_score from (
+    "component_total": """select case_id, component, round(sum(greatest(score, 0)), 6) as component_score from (
         select *, row_number() over (partition by case_id, component, modality order by score desc, signal, direction) as r from finding) where r <= 3 group by all""",
     "call": """select c.case_id, p.component as parent, c.component as child, count(*) as n from span c
         join (select * from (select *, row_number() over (partition by case_id, span_id order by start_ms, component) as r from span) where r = 1) p
@@ -69,9 +69,8 @@ def with_tables(sql: str) -> str:
                 if name not in order:
                     order.append(name)
 
-    body = re.sub(r"^\s*with\s", "", sql, flags=re.I)
     need(sql)
     parts = [f"{n} as materialized ({TABLES[n]})" for n in order]
-    if body != sql:
-        return "with " + ", ".join([*parts, body.strip()])
+    if m := re.match(r"\s*with\s+(recursive\s+)?", sql, flags=re.I):
+        return f"with {m[1] or ''}" + ", ".join([*parts, sql[m.end() :].strip()])
     return ("with " + ", ".join(parts) + " " if parts else "") + sql.strip()
