@@ -138,7 +138,7 @@ def log_opinion_pool(explicit: DataFrame, workers: DataFrame, pairs: DataFrame,
     space = pairs.withColumn("_n", F.count("*").over(case)).join(workers.where(F.size("scope") > 0), "case_id")  # workers x pairs of one case
     rows = space.join(explicit.select("case_id", "worker_id", "component", "reason", "probability"), ["case_id", "worker_id", "component", "reason"], "left")
     inside = F.array_contains("scope", F.col("component"))
-    rows = rows.withColumns({"_in": inside, "_p": F.when(inside, F.greatest("probability", F.lit(0.0)))})
+    rows = rows.withColumns({"_in": inside, "_p": F.when(inside & F.col("probability").isNotNull(), F.greatest("probability", F.lit(0.0)))})
     rows = rows.withColumns({"_mass": F.coalesce(F.sum("_p").over(worker), F.lit(0.0)), "_said": F.count("_p").over(worker), "_size": F.count_if(F.col("_in")).over(worker)})
     scale = F.when(F.col("_mass") > 1 + 1e-6, 1 / F.col("_mass")).otherwise(1.0)
     other = F.least(F.col("other_mass"), F.greatest(F.lit(0.0), 1 - F.least(F.col("_mass"), F.lit(1.0))))
