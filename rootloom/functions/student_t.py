@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 LEAST_P = 1e-300
 
@@ -54,7 +55,7 @@ def two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.clip(out, LEAST_P, 1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(two_sided(t.to_numpy(float), df.to_numpy(float)))
 
