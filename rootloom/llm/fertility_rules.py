@@ -39,10 +39,10 @@ class Band:
 
 DEFAULT_BAND = Band((1.2, 8.0), 0.25, 0.35)
 BANDS = {
-    "en": Band((2.4, 8.0), 0.05, 0.53),
-    "de": Band((2.4, 8.0), 0.05, 0.53),
-    "fr": Band((2.1, 8.0), 0.05, 0.53),
-    "es": Band((2.12, 8.0), 0.05, 0.53),
+    "en": Band((2.3, 8.0), 0.05, 0.53),
+    "de": Band((2.3, 8.0), 0.05, 0.53),
+    "fr": Band((2.03, 8.0), 0.05, 0.53),
+    "es": Band((2.0, 8.0), 0.05, 0.53),
 }
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
