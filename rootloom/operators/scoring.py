@@ -16,3 +16,20 @@ def score_join(predictions: DataFrame, cases: DataFrame) -> DataFrame:
     place = F.array_position(F.transform("ranked_roots", same_name), same_name(F.col("true_root")))
     rows = rows.withColumn("place", place)
     return rows.withColumns({"hit_at_1": F.when(F.col("place") == 1, 1).otherwise(0), "hit_at_3": F.when(F.col("place").between(1, 3), 1).otherwise(0), "mrr": F.when(F.col("place") > 0, 1.0 / F.col("place")).otherwise(0.0)})
+
+
+def field_score(rows: DataFrame, keys: list[str], within_s: float = 60.0) -> DataFrame:
+    """(keys, score): the best assignment of predicted to expected roots, as the share of expected fields that match, 2 places.
+
+    Roots are structs (component, reason, time_s); null fields of the expected ones aren't asked for. Up to four roots are
+    tried in every order; lists of different lengths score 0.
+    """
+    from itertools import permutations
+
+    match = lambda e, p: F.when(e["component"] == p["component"], 1).otherwise(0) + F.when(e["reason"] == p["reason"], 1).otherwise(0) + F.when(F.abs(e["time_s"] - p["time_s"]) <= within_s, 1).otherwise(0)
+    best = F.lit(0)
+    for n in range(1, 5):
+        orders = F.greatest(F.lit(0), F.lit(0), *[sum((match(F.get("expected", i), F.get("predicted", j)) for i, j in enumerate(order)), F.lit(0)) for order in permutations(range(n))])
+        best = F.when((F.size("expected") == n) & (F.size("predicted") == n), orders).otherwise(best)
+    asked = F.aggregate("expected", F.lit(0), lambda a, e: a + sum((F.when(e[f].isNotNull(), 1).otherwise(0) for f in ("component", "reason", "time_s")), F.lit(0)))
+    return rows.withColumns({"_best": best, "_asked": asked}).select(*keys, F.round(F.when(F.col("_asked") > 0, F.col("_best") / F.col("_asked")).otherwise(0.0), 2).alias("score"))

@@ -137,3 +137,31 @@ def suite_counts(cases: DataFrame, expected: DataFrame) -> DataFrame:
     """(suite, expected, observed, ok) for each expected suite."""
     seen = cases.groupBy("suite").agg(F.count("*").alias("observed"))
     return expected.join(seen, "suite", "left").select("suite", "expected", F.coalesce("observed", F.lit(0)).cast("long").alias("observed"), (F.coalesce("observed", F.lit(0)) == F.col("expected")).alias("ok"))
+
+
+def scan_cases(paths: DataFrame) -> DataFrame:
+    """(suite, root, fault, run) of directories ``RE[123]-*/<root>_<fault>/<n>/`` that have an injection file and a metric file."""
+    parts = r"/(RE[123])-[^/]*/([^/]*)_([^/_]*)/(\d+)/([^/]+)$"
+    cols = [F.regexp_extract("path", parts, k).alias(n) for k, n in enumerate(("suite", "root", "fault", "run", "file"), 1)]
+    rows = paths.select(*cols).where("suite <> ''")
+    has = lambda names: F.max(F.col("file").isin(*names))
+    found = rows.groupBy("suite", "root", "fault", "run").agg(has(("inject_time.txt",)).alias("_i"), has(METRIC_FILES).alias("_m"))
+    return found.where("_i and _m").select("suite", "root", "fault", F.col("run").cast("int").alias("run"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share; a folder of this machine only where none is set, as in tests."""
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="rootloom-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def write_partitioned(rows: DataFrame, folder: str, keys: list[str]) -> None:
+    """zstd Parquet in a directory for each value of the keys; large values are dealt over several files."""
+    rows.hint("rebalance", *keys).write.partitionBy(*keys).option("compression", "zstd").parquet(folder)
+
+
+def write_results(rows: DataFrame, folder: str, kind: str = "parquet") -> None:
+    rows.write.mode("overwrite").format(kind).save(folder)
