@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rootloom.llm.shared import kept
+
 #: 1 MB as longs; a level's words are collected to the driver under this bound.
 MAX_BITS = 1 << 23
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,9 +79,14 @@ def _level(keys: DataFrame, n: int, rate: float, number: int) -> Level:
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, most_levels: int = 40) -> Cascade | None:
-    """Over different, non-null keys (column ``key``); listed keys outside the universe count as part of it. None: over MAX_BITS."""
-    outside = universe.join(listed, "key", "left_anti")
-    n_in, n_out = listed.count(), outside.count()
+    """Over non-null keys (column ``key``); listed keys outside the universe count as part of it. None: over MAX_BITS.
+
+    The different keys are gathered once, with whether they are listed, by one grouping; every level reads that table.
+    """
+    marked = universe.select("key", F.lit(False).alias("listed")).union(listed.select("key", F.lit(True)))
+    marked = kept(marked.where("key is not null").groupBy("key").agg(F.max("listed").alias("listed")), "keys")
+    listed, outside = marked.where("listed").select("key"), marked.where("not listed").select("key")
+    n_in, n_out = (marked.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()) or (0, 0)
     rate = min(0.5, max(1e-6, 0.7 * n_in / max(n_out, 1)))
     levels: list[Level] = []
     inside, spent = listed, 0
@@ -149,7 +156,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, lis
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     rows = rows.withColumn("candidates", rule_candidates(F.col("host"), F.col("path"), rules))
-    hosts = rows.select(F.col("host").alias("key")).distinct()
+    hosts = kept(rows.select(F.col("host").alias("key")).distinct(), "hosts")
     listed = listed_hosts(hosts) if listed is None else listed.select("key").where("key is not null").distinct()
     rule_keys = _literal_keys(spark, [r for r, _ in rules])
     by_rule = build_cascade(rule_keys, rows.select(F.explode("candidates").alias("key")).distinct())
