@@ -38,9 +38,9 @@ def _(spark, sf_dir):
 
 
 @query("merged_moments", f"""with e as (select 'case-' || ((day(ts) - 1) // 5)::int::varchar as case_id, 'svc-' || (user_id % 12)::varchar as component, event_type as metric, case when extract(hour from ts) < 12 then 'pre' else 'post' end as phase, value from events where {_CLOSED})
-    select case_id, component, metric, count(*) filter (phase = 'pre') as pre_n, round(avg(value) filter (phase = 'pre'), 6) as pre_mean, round(var_samp(value) filter (phase = 'pre'), 6) as pre_var, count(*) filter (phase = 'post') as post_n, round(avg(value) filter (phase = 'post'), 6) as post_mean, round(var_samp(value) filter (phase = 'post'), 6) as post_var from e group by all""")
+    select case_id, component, metric, count(*) filter (phase = 'pre') as pre_n, round(avg(value) filter (phase = 'pre'), 6) as pre_mean, round(stddev_samp(value) filter (phase = 'pre'), 6) as pre_std, count(*) filter (phase = 'post') as post_n, round(avg(value) filter (phase = 'post'), 6) as post_mean, round(stddev_samp(value) filter (phase = 'post'), 6) as post_std from e group by all""")
 def _(spark, sf_dir):
     windows = _run(spark, ops.windowed_moments(_stream(spark, sf_dir)))
     phase = F.when(F.hour("window_start") < 12, "pre").otherwise("post")
     merged = ops.merge_moments(windows, phase)
-    return merged.select("case_id", "component", "metric", "pre_n", F.round("pre_mean", 6).alias("pre_mean"), F.round("pre_var", 6).alias("pre_var"), "post_n", F.round("post_mean", 6).alias("post_mean"), F.round("post_var", 6).alias("post_var"))
+    return merged.select("case_id", "component", "metric", "pre_n", F.round("pre_mean", 6).alias("pre_mean"), F.round(F.sqrt("pre_var"), 6).alias("pre_std"), "post_n", F.round("post_mean", 6).alias("post_mean"), F.round(F.sqrt("post_var"), 6).alias("post_std"))
