@@ -35,6 +35,8 @@ FOOTER = struct.Struct("<QIIII8s")
 FRAME_IDS = 131_072
 #: Ids after which a task begins another shard.
 SHARD_IDS = 8_000_000
+#: Tasks at most that read shards back.
+READ_PARTS = 20_000
 
 
 class ShardWriter:
@@ -224,8 +226,9 @@ def read_documents(manifest: DataFrame, folder: str, wanted: list[int] | None =
         cols = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 4 else pa.binary()) for k, c in enumerate(cols)], names)
 
-    # A shard is some MB of work: deal them out one by one.
-    return manifest.select("shard", "ids_before").repartition("shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    # A shard is some MB of work behind a tiny row, so the number of parts is given: adaptive execution would join them all.
+    parts = min(max(manifest.count(), 1), READ_PARTS)
+    return manifest.select("shard", "ids_before").repartition(parts, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def new_shard_folder(spark: SparkSession) -> str:
