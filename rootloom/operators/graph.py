@@ -36,6 +36,15 @@ def service_graph(spans: DataFrame, node: str = "service") -> DataFrame:
     return ends.select("parent_id", F.lower(node).alias("dst")).distinct().join(parents, "parent_id").where("src <> dst").select("src", "dst").distinct()
 
 
+def strong_edges(spans: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """(src, dst): calls between different services that are more frequent than the average pair's."""
+    parents = spans.select(*keys, F.col("span_id").alias("parent_id"), F.lower("service").alias("src"))
+    calls = spans.select(*keys, "parent_id", F.lower("service").alias("dst")).join(parents, [*keys, "parent_id"])
+    counts = calls.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    mean = counts.agg(F.avg("n").alias("_mean"))
+    return counts.join(F.broadcast(mean)).where("n > _mean").select("src", "dst")
+
+
 def container_service_edges(spans: DataFrame) -> DataFrame:
     return spans.where("component is not null and ds_name is not null and component <> ds_name").select(F.col("component").alias("src"), F.col("ds_name").alias("dst")).distinct()
 

@@ -67,11 +67,11 @@ def _(spark, sf_dir):
 @query("review_validate", """select case_id, worker_id as agent, p::int as pos, case when p = 0 then 'all' else 'x' end as "to", case when k % 3 = 0 then 'abstain' else 'support' end as verdict, 'svc-' || (k % 6)::varchar as component,
     case when p = 1 then 0.0 else least(k / 10.0::double, 1.5) end as support, case when p = 1 then 0.0 else 0.0::double end as refute, 1 - p::int as n_pointers from opinion, range(2) q(p)""")
 def _(spark, sf_dir):
-    k = F.col("n_nationkey")
-    n = c.table(spark, sf_dir, "nation")
+    k = F.col("c_custkey")
+    n = c.table(spark, sf_dir, "customer")
     item = lambda to, ptr: F.concat(F.lit(f'{{{to}"verdict":"'), F.when(k % 3 == 0, "shout").otherwise("support"), F.lit('","component":"svc-'), (k % 6).cast("string"), F.lit('","support":'), (k / 10.0).cast("string"), F.lit(f',"refute":-1.0,"evidence_ptrs":["{ptr}"]}}'))
     raw = F.concat(F.lit("["), item("", "ptr-1"), F.lit(","), item('"to":"x",', "zzz"), F.lit("]"))
-    messages = n.select(F.concat(F.lit("case-"), F.floor(k / 5).cast("int").cast("string")).alias("case_id"), F.concat(F.lit("worker-"), (k % 5).cast("string")).alias("agent"), raw.alias("raw"))
+    messages = n.select(F.concat(F.lit("case-"), F.floor(k / 5).cast("long").cast("string")).alias("case_id"), F.concat(F.lit("worker-"), (k % 5).cast("string")).alias("agent"), raw.alias("raw"))
     return ops.review_validate(messages, F.array(F.lit("ptr-1")), F.lit(1.5))
 
 
@@ -107,11 +107,11 @@ def _(spark, sf_dir):
     return ops.occurrence_choice(answers, c.finding(spark, sf_dir))
 
 
-@query("decollapse_component", "select case_id, component from (select *, row_number() over (partition by case_id order by score desc, magnitude desc, component) as r from finding where substr(component, 5)::int % 2 = 1) where r = 1")
+@query("decollapse_component", "select case_id, component from (select *, row_number() over (partition by case_id order by score desc, magnitude desc, component) as r from finding where component in (select service from span)) where r = 1")
 def _(spark, sf_dir):
     f = c.finding(spark, sf_dir)
     winners = f.select("case_id").distinct().withColumn("component", F.lit("svc-0"))
-    return ops.decollapse_component(winners, f, f.where(F.substring("component", 5, 3).cast("int") % 2 == 1))
+    return ops.decollapse_component(winners, f, c.span(spark, sf_dir).select(F.col("service").alias("component")))
 
 
 @query("additive_candidate", f"with {_PARSED}, s as (select case_id, component, reason, round(sum(probability), 9) as mass from parsed group by all) select case_id, component, reason, mass from (select *, row_number() over (partition by case_id order by mass desc, component, reason) as r from s) where r = 1")
@@ -119,11 +119,11 @@ def _(spark, sf_dir):
     return ops.additive_candidate(_parsed(spark, sf_dir))
 
 
-@query("heuristic_floor", f"""with k as (select *, {_HINT} as hint from finding where substr(component, 5)::int < 8), t as (select * from (select case_id, component, component_score, row_number() over (partition by case_id order by component_score desc, component)::int as rank from component_total where substr(component, 5)::int < 8) where rank <= 8),
+@query("heuristic_floor", f"""with k as (select *, {_HINT} as hint from finding where component in (select service from span)), t as (select * from (select case_id, component, component_score, row_number() over (partition by case_id order by component_score desc, component)::int as rank from component_total where component in (select service from span)) where rank <= 8),
     h as (select case_id, component, arg_min(hint, (-s, hint)) as reason from (select case_id, component, hint, sum(greatest(score, 0)) as s from k group by all) group by all) select case_id, component, reason, component_score, rank from t join h using (case_id, component)""")
 def _(spark, sf_dir):
     f = _hinted(spark, sf_dir)
-    return ops.heuristic_floor(f, f.where(F.substring("component", 5, 3).cast("int") < 8))
+    return ops.heuristic_floor(f, c.span(spark, sf_dir).select(F.col("service").alias("component")))
 
 
 @query("mine_by_modality")
@@ -183,12 +183,12 @@ def _(spark, sf_dir):
     return kg.sanitize_props(_kg_nodes(spark, sf_dir).withColumn("props", F.map_concat("props", F.create_map(F.lit("mark"), F.lit("Ground Truth"))))).select("case_id", "rid", F.array_join(F.sort_array(F.map_keys("props")), ",").alias("keys"))
 
 
-@query("leakage_audit", """select n_nationkey as case_id, u.path, u.kind, u.value from nation, lateral (select unnest(
-    case n_nationkey % 3 when 0 then [{'path': 'edges[0].is_root-cause', 'kind': 'answer_key', 'value': 'true'}] when 1 then [{'path': 'nodes[1].props.note', 'kind': 'answer_marker', 'value': 'Ground Truth'}] else [] end) as u)""")
+@query("leakage_audit", """select c_custkey as case_id, u.path, u.kind, u.value from customer, lateral (select unnest(
+    case c_custkey % 3 when 0 then [{'path': 'edges[0].is_root-cause', 'kind': 'answer_key', 'value': 'true'}] when 1 then [{'path': 'nodes[1].props.note', 'kind': 'answer_marker', 'value': 'Ground Truth'}] else [] end) as u)""")
 def _(spark, sf_dir):
-    k = F.col("n_nationkey")
+    k = F.col("c_custkey")
     raw = F.when(k % 3 == 0, '{"nodes":[{"a":1}],"edges":[{"in":"x","is_root-cause":true}]}').when(k % 3 == 1, '{"nodes":[{"a":1},{"props":{"note":"Ground Truth","b":[1,2]}}]}').otherwise('{"nodes":[{"title":"answers"}]}')
-    return kg.leakage_audit(c.table(spark, sf_dir, "nation").select(k.alias("case_id"), raw.alias("raw")), depth=5)
+    return kg.leakage_audit(c.table(spark, sf_dir, "customer").select(k.alias("case_id"), raw.alias("raw")), depth=5)
 
 
 @query("field_score", """with p as (select case_id, system, true_root, ranked_roots[1] as r, fault_type, case when hash_ % 3 = 0 then 'cpu' else fault_type end as pr, hash_ % 130 as off from (select *, total_tokens as hash_ from scored))

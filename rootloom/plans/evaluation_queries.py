@@ -100,13 +100,12 @@ def _(spark, sf_dir):
 _BINOMIAL = "(select sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2.0))) from range(0, least(b, c) + 1) q(k))"
 
 
-@query("mcnemar", """with m as (select case_id, max(hit_at_1) filter (system = 'single') as b, max(hit_at_1) filter (system = 'repaired') as t, fault_type from scored where telemetry_bytes < 30000 group by case_id, fault_type),
+@query("mcnemar", """with m as (select case_id, max(hit_at_1) filter (system = 'single') as b, max(hit_at_1) filter (system = 'repaired') as t, fault_type from scored group by case_id, fault_type),
     s as (select fault_type, count(*) as n, count(*) filter (b > 0 and t <= 0) as bo, count(*) filter (b <= 0 and t > 0) as tr from m group by fault_type),
     tl as (select fault_type, sum(exp(lgamma(bo + tr + 1) - lgamma(k + 1) - lgamma(bo + tr - k + 1) - (bo + tr) * ln(2.0))) as tail from s, lateral (select unnest(range(0, least(bo, tr) + 1)) as k) group by fault_type)
     select fault_type, n, bo as baseline_only, tr as treatment_only, round(case when bo + tr > 0 then greatest(abs(bo - tr) - 1, 0) ** 2 / (bo + tr) else 0 end, 6) as chi_square, round(case when bo + tr = 0 then 1.0 else least(1.0, 2 * tail) end, 9) as p_value from s join tl using (fault_type)""")
 def _(spark, sf_dir):
-    rows = _scored(spark, sf_dir).where("telemetry_bytes < 30000")
-    pairs = paired_systems(rows, "single", "repaired", "hit_at_1").join(c.case(spark, sf_dir).select("case_id", "fault_type"), "case_id")
+    pairs = paired_systems(_scored(spark, sf_dir), "single", "repaired", "hit_at_1").join(c.case(spark, sf_dir).select("case_id", "fault_type"), "case_id")
     return ops.mcnemar(pairs, ["fault_type"])
 
 

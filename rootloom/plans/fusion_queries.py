@@ -52,10 +52,10 @@ def _(spark, sf_dir):
     return ops.shared_scan_partition(f, ops.component_group_shards(f, f), 4).select("case_id", "shard_id", "component", "signal", "score", "rank")
 
 
-@query("component_universe", "with s as (select case_id, component from metric_long where case_id <> 'case-0' union select case_id, component from span where case_id <> 'case-0'), p as (select distinct case_id, component from finding) select * from s union all select * from p where case_id not in (select case_id from s)")
+@query("component_universe", "with s as (select case_id, component from metric_long union select case_id, component from span), p as (select distinct case_id, true_root as component from cases) select * from s union all select * from p where case_id not in (select case_id from s)")
 def _(spark, sf_dir):
-    sources = [t.where("case_id <> 'case-0'") for t in (c.metric_long(spark, sf_dir), c.span(spark, sf_dir))]
-    return ops.component_universe(sources, c.finding(spark, sf_dir))
+    prior = c.case(spark, sf_dir).select("case_id", F.col("true_root").alias("component"))
+    return ops.component_universe([c.metric_long(spark, sf_dir), c.span(spark, sf_dir)], prior)
 
 
 @query("budgeted_probe", f"with {_SHARDS} select case_id, shard_id, modality, call from (select *, row_number() over (partition by case_id order by list_position(['metrics', 'traces', 'logs', 'auxiliary'], modality), shard_id)::int as call from (select distinct case_id, shard_id, modality from shards)) where call <= 4")
@@ -274,10 +274,10 @@ def _(spark, sf_dir):
     s as (select case_id, component, round(sum(case when place = 1 then 1 + confidence else 0 end), 6) as votes, sum(n - place)::bigint as points from i group by all)
     select *, row_number() over (partition by case_id order by votes desc, points desc, component)::int as rank from s""")
 def _(spark, sf_dir):
-    n = c.table(spark, sf_dir, "nation")
-    k = F.col("n_nationkey")
+    n = c.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
     svc = lambda e: F.concat(F.lit("svc-"), (e % 6).cast("string"))
-    opinions = n.select(F.concat(F.lit("case-"), F.floor(k / 5).cast("int").cast("string")).alias("case_id"), F.concat(F.lit("worker-"), (k % 5).cast("string")).alias("worker_id"), ((k % 10) / 10.0).alias("confidence"), F.array(svc(k), svc(k * 2 + 1), svc(k + 3), F.lit("nobody")).alias("ranked"))
+    opinions = n.select(F.concat(F.lit("case-"), F.floor(k / 5).cast("long").cast("string")).alias("case_id"), F.concat(F.lit("worker-"), (k % 5).cast("string")).alias("worker_id"), ((k % 10) / 10.0).alias("confidence"), F.array(svc(k), svc(k * 2 + 1), svc(k + 3), F.lit("nobody")).alias("ranked"))
     eligible = _pairs(spark, sf_dir).select("case_id", "component").distinct()
     return ops.panel_vote(opinions, eligible)
 
@@ -289,15 +289,13 @@ def _(spark, sf_dir):
     return c.prediction(spark, sf_dir).select("case_id", "system", F.get("ranked_roots", 0).alias("component")).join(seen, ["case_id", "component"], "left_anti").select("case_id", "system")
 
 
-@query("requested_output", """select row_id, '{"1":{' || array_to_string(list_filter([case when list_contains(rq, 'time') then '"root cause occurrence datetime":"t' || row_id || '"' end, case when list_contains(rq, 'component') then '"root cause component":"svc-' || (row_id % 6) || '"' end, case when list_contains(rq, 'reason') then '"root cause reason":"CPU fault"' end], lambda x: x is not null), ',') || '}}' as prediction
-    from (select row_id, case task_index when 'task_1' then ['time'] when 'task_2' then ['reason'] when 'task_3' then ['component'] when 'task_4' then ['time', 'reason'] when 'task_5' then ['time', 'component'] when 'task_6' then ['component', 'reason'] else ['time', 'component', 'reason'] end as rq from incident_window)""")
+@query("requested_output", """select row_id, '{"1":{' || array_to_string(list_filter([case when list_contains(requested, 'time') then '"root cause occurrence datetime":"t' || row_id || '"' end, case when list_contains(requested, 'component') then '"root cause component":"svc-' || (row_id % 6) || '"' end, case when list_contains(requested, 'reason') then '"root cause reason":"CPU fault"' end], lambda x: x is not null), ',') || '}}' as prediction from task""")
 def _(spark, sf_dir):
     from rootloom.operators.time_ops import REQUESTED
 
     wanted = F.create_map(*[x for k, v in REQUESTED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    w = c.incident_window(spark, sf_dir)
     text = F.col("row_id").cast("string")
-    return ops.requested_output(w.select("row_id", F.try_element_at(wanted, F.col("task_index")).alias("requested"), F.concat(F.lit("t"), text).alias("occurrence"), F.concat(F.lit("svc-"), (F.col("row_id") % 6).cast("string")).alias("component"), F.lit("CPU fault").alias("reason")))
+    return ops.requested_output(c.task(spark, sf_dir).select("row_id", F.try_element_at(wanted, F.col("task_index")).alias("requested"), F.concat(F.lit("t"), text).alias("occurrence"), F.concat(F.lit("svc-"), (F.col("row_id") % 6).cast("string")).alias("component"), F.lit("CPU fault").alias("reason")))
 
 
 @query("graph_context", "select node, array_to_string(list_sort(list(distinct src) filter (src is not null))[1:8], ',') as callers from (select src as node from graph_edge union select dst from graph_edge) n left join graph_edge on dst = node group by node")

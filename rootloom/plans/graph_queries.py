@@ -12,9 +12,8 @@ from rootloom.sources import canonical as c
 
 
 def _thin(spark, sf_dir):
-    """A sparser form of the service graph, so that reachability differs from node to node."""
-    number = lambda n: F.regexp_extract(n, "([0-9]+)", 1).cast("int")
-    return ops.service_graph(c.span(spark, sf_dir)).where((number("src") * 7 + number("dst") * 3) % 11 < 2)
+    """Calls between services that are more frequent than the average."""
+    return ops.strong_edges(c.span(spark, sf_dir))
 
 
 def _nodes(edges):
@@ -105,10 +104,9 @@ def _(spark, sf_dir):
     return ops.paired_systems(score_join(c.prediction(spark, sf_dir), c.case(spark, sf_dir)), "single", "repaired", "hit_at_1", majority=True)
 
 
-@query("split_alignment", "select sample_index, case when sample_index % 3 = 0 then 'left' else 'right' end as side from kpi_label where sample_index % 3 = 0 or sample_index % 5 = 0 and not sample_index % 15 = 0")
+@query("split_alignment", "select coalesce(d.doc_id, l.doc_id) as doc_id, case when d.doc_id is null then 'right' else 'left' end as side from documents d full join labels l on d.doc_id = l.doc_id where d.doc_id is null or l.doc_id is null")
 def _(spark, sf_dir):
-    labels = c.kpi_label(spark, sf_dir).where("sample_index % 3 <> 0")
-    return ops.mismatched_ids(c.kpi(spark, sf_dir).where("sample_index % 5 <> 0 or sample_index % 3 = 0"), labels, "sample_index")
+    return ops.mismatched_ids(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("exclude_cases", "select case_id from cases where fault_type <> 'cpu'")

@@ -62,9 +62,9 @@ def _(spark, sf_dir):
     return ops.window_extract(c.metric_long(spark, sf_dir), 1704153600.0, 1704412800.0)
 
 
-@query("scan_tasks", "select row_id, task_index, 'find ' || task_index as instruction from incident_window")
+@query("scan_tasks", "select row_id, task_index, 'find ' || task_index as instruction from task")
 def _(spark, sf_dir):
-    return ops.scan_tasks(c.incident_window(spark, sf_dir).select("row_id", "task_index", F.concat(F.lit("find "), "task_index").alias("instruction"), F.lit("secret").alias("scoring_points")))
+    return ops.scan_tasks(c.task(spark, sf_dir).select("row_id", "task_index", F.concat(F.lit("find "), "task_index").alias("instruction"), F.lit("secret").alias("scoring_points")))
 
 
 @query("scan_kpi", "select sample_index, feature, t, case when t % 2 = 0 then value end as value from kpi")
@@ -79,12 +79,10 @@ def _(spark, sf_dir):
     return ops.scan_kpi_labels(c.kpi_label(spark, sf_dir))
 
 
-@query("stale_manifest", "select 'p' || o_orderkey::varchar as path, case o_orderkey % 5 when 0 then 'gone' when 1 then 'new' else 'changed' end as state from orders where o_orderkey % 5 < 3")
+@query("stale_manifest", "select coalesce(d.doc_id, p.page_id) as path, case when d.doc_id is null then 'new' when p.page_id is null then 'gone' else 'changed' end as state from documents d full join pages p on d.doc_id = p.page_id where md5(d.text) is distinct from md5(p.html)")
 def _(spark, sf_dir):
-    o, k = c.table(spark, sf_dir, "orders"), F.col("o_orderkey") % 5
-    path = F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("path")
-    stored = o.where(k != 1).select(path, F.sha2("o_orderpriority", 256).alias("sha256"))
-    current = o.where(k != 0).select(path, F.sha2(F.when(k == 2, F.lit("x")).otherwise(F.col("o_orderpriority")), 256).alias("sha256"))
+    stored = c.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
+    current = c.table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), F.sha2("html", 256).alias("sha256"))
     return ops.stale_manifest(stored, current)
 
 

@@ -27,7 +27,9 @@ TABLES: dict[str, str] = {
              else ['svc-' || (o_custkey % 6)::varchar, 'svc-' || ((o_custkey + 1) % 6)::varchar, 'svc-' || ((o_custkey + 2) % 6)::varchar] end as ranked_roots,
         (100 * m + o_orderkey % 50)::bigint as total_tokens, (o_orderkey % 7)::bigint as llm_calls, (o_orderkey % 11) / 2.0::double as latency_s, (o_orderkey % 10) / 10.0::double as confidence
         from orders, (values ('single', 2), ('sharded', 3), ('repaired', 4)) s(system, m)""",
-    "opinion": """select 'case-' || (n_nationkey // 5)::varchar as case_id, 'worker-' || (n_nationkey % 5)::varchar as worker_id, n_nationkey as k from nation""",
+    "opinion": """select 'case-' || (c_custkey // 5)::varchar as case_id, 'worker-' || (c_custkey % 5)::varchar as worker_id, c_custkey as k from customer""",
+    "task": """select o_orderkey as row_id, 'task_' || (o_orderkey % 7 + 1)::varchar as task_index, date_trunc('day', o_orderdate) as day,
+        case o_orderkey % 7 when 0 then ['time'] when 1 then ['reason'] when 2 then ['component'] when 3 then ['time', 'reason'] when 4 then ['time', 'component'] when 5 then ['component', 'reason'] else ['time', 'component', 'reason'] end as requested from orders""",
     "phased": """select m.*, case when m.ts < b.mid then 'pre' else 'post' end as phase from metric_long m
         join (select case_id, source, median(ts) as mid from metric_long group by all) b using (case_id, source)""",
     "moments": """select case_id, component, metric, source,
@@ -50,7 +52,8 @@ TABLES: dict[str, str] = {
           on c.case_id = p.case_id and c.parent_id = p.span_id where p.component <> c.component group by all""",
     "graph_edge": """select distinct src, dst from (
         select lower(p.service) as src, lower(c.service) as dst from span c join span p on c.parent_id = p.span_id) where src <> dst""",
-    "thin_edge": """select distinct src, dst from graph_edge where (regexp_extract(src, '[0-9]+')::int * 7 + regexp_extract(dst, '[0-9]+')::int * 3) % 11 < 2""",
+    "thin_edge": """select src, dst from (select lower(p.service) as src, lower(c.service) as dst, count(*) as n from span c join span p on c.case_id = p.case_id and c.parent_id = p.span_id group by all)
+        where src <> dst qualify n > avg(n) over ()""",
     "scored": """select p.*, c.source, c.fault_type, c.true_root, c.telemetry_bytes, list_position(ranked_roots, true_root) as place,
         (ranked_roots[1] = true_root)::int as hit_at_1, (list_position(ranked_roots[1:3], true_root) is not null)::int as hit_at_3,
         case when list_position(ranked_roots, true_root) is null then 0.0 else 1.0 / list_position(ranked_roots, true_root) end as mrr

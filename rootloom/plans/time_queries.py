@@ -127,11 +127,11 @@ def _(spark, sf_dir):
     return c.table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("name")).select("s_suppkey", "name", ops.valid_component(F.col("name")).alias("valid"), F.coalesce(ops.modelled_component(F.col("name")), F.lit(False)).alias("modelled"))
 
 
-@query("forbidden_columns", "select sample_index, feature, t, value from kpi where t = 0")
+@query("forbidden_columns", "select sample_index, feature, t, value from kpi")
 def _(spark, sf_dir):
     from rootloom.sources.files import drop_forbidden
 
-    rows = c.kpi(spark, sf_dir).where("t = 0").withColumn("root1", F.lit(1)).withColumn("Label", F.lit("x"))
+    rows = c.kpi(spark, sf_dir).withColumn("root1", F.lit(1)).withColumn("Label", F.lit("x"))
     return drop_forbidden(rows, ("root1", "root2", "root3", "label"))
 
 
@@ -195,11 +195,9 @@ def _(spark, sf_dir):
     return window_interval_join(days, windows, "day_ms").groupBy("row_id").agg(F.count("*").alias("n"))
 
 
-@query("parse_task_window", """select row_id, task_index, start_ms - 8 * 3600000 as start_ms, start_ms - 8 * 3600000 + 1800000 + case when row_id % 2 = 1 then 84600000 else 0 end as end_ms,
-    strftime(make_timestamp(start_ms * 1000), '%Y_%m_%d') as date_key,
-    case task_index when 'task_1' then ['time'] when 'task_2' then ['reason'] when 'task_3' then ['component'] when 'task_4' then ['time', 'reason'] when 'task_5' then ['time', 'component'] when 'task_6' then ['component', 'reason'] else ['time', 'component', 'reason'] end as requested from incident_window""")
+@query("parse_task_window", """select row_id, task_index, epoch_ms(day) - 8 * 3600000 as start_ms, epoch_ms(day) - 8 * 3600000 + 1800000 + case when row_id % 2 = 1 then 84600000 else 0 end as end_ms,
+    strftime(day, '%Y_%m_%d') as date_key, requested from task""")
 def _(spark, sf_dir):
-    w = c.incident_window(spark, sf_dir)
-    day = F.timestamp_millis("start_ms")
+    t, day = c.task(spark, sf_dir), F.col("day")
     text = F.when(F.col("row_id") % 2 == 0, F.concat(F.lit("On "), F.date_format(day, "MMMM d, yyyy"), F.lit(", between 0:00 and 00:30, a failure was seen."))).otherwise(F.concat(F.lit("On "), F.date_format(day, "yyyy-MM-dd"), F.lit(" from 00:00 to 0:00 there was one failure.")))
-    return ops.parse_task_window(w.select("row_id", "task_index", text.alias("instruction")))
+    return ops.parse_task_window(t.select("row_id", "task_index", text.alias("instruction")))

@@ -75,6 +75,13 @@ def case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.concat(F.lit("C"), F.col("o_orderkey").cast("string")).alias("case_id"), F.col("o_orderpriority").alias("source"), F.concat(F.lit("svc-"), (F.col("o_custkey") % 6).cast("string")).alias("true_root"), fault.alias("fault_type"), F.col("o_totalprice").alias("telemetry_bytes"))
 
 
+def task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task for each order: its day, and what is asked for by its index."""
+    o = table(spark, sf_dir, "orders")
+    day = F.date_trunc("day", F.col("o_orderdate").cast("timestamp"))
+    return o.select(F.col("o_orderkey").alias("row_id"), F.concat(F.lit("task_"), (F.col("o_orderkey") % 7 + 1).cast("string")).alias("task_index"), day.alias("day"))
+
+
 SYSTEMS = (("single", 2), ("sharded", 3), ("repaired", 4))
 
 
@@ -94,12 +101,12 @@ def prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def opinion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON opinion for each nation: a case of five workers, two candidates, and mass for anything else."""
-    n = table(spark, sf_dir, "nation")
-    key = F.col("n_nationkey")
+    """One JSON opinion for each customer: cases of five workers, two candidates, and mass for anything else."""
+    n = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
     candidate = lambda add, reason, p: F.concat(F.lit('{"component":"svc-'), ((key + add) % 6).cast("string"), F.lit(f'","reason":"{reason}","probability":'), p.cast("string"), F.lit(',"evidence_ptrs":["ptr-'), key.cast("string"), F.lit('","bad"]}'))
     raw = F.concat(F.lit('{"candidates":['), candidate(0, "cpu", (key % 4 + 3) / 10.0), F.lit(","), candidate(1, "delay", (key % 3 + 1) / 10.0), F.lit('],"other_mass":0.2}'))
-    return n.select(F.concat(F.lit("case-"), F.floor(key / 5).cast("int").cast("string")).alias("case_id"), F.concat(F.lit("worker-"), (key % 5).cast("string")).alias("worker_id"), raw.alias("raw"))
+    return n.select(F.concat(F.lit("case-"), F.floor(key / 5).cast("long").cast("string")).alias("case_id"), F.concat(F.lit("worker-"), (key % 5).cast("string")).alias("worker_id"), raw.alias("raw"))
 
 
 def finding(spark: SparkSession, sf_dir: str) -> DataFrame:
