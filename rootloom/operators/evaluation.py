@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootloom.operators.findings import best
+from rootloom.operators.order_stats import hash_rank, order_statistic, value_rank
 
 
 def by_system(scored: DataFrame) -> DataFrame:
@@ -71,7 +72,8 @@ def bootstrap_ci(rows: DataFrame, keys: list[str], value: str, reps: int = 200,
     the work is reps times the rows, spread over all tasks, and the groups meet only as sums.
     """
     group = Window.partitionBy(*keys)
-    numbered = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).withColumns({"_i": F.row_number().over(group.orderBy("_v")) - 1, "_n": F.count("*").over(group)})
+    values = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    numbered = value_rank(values, keys, "_v", "_i").join(values.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
     draws = numbered.select(*keys, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep")).withColumn("_at", hashed_draw(seed, F.col("_rep"), F.col("_i"), F.col("_n")))
     picked = draws.groupBy(*keys, "_rep", "_at").agg(F.count("*").alias("_times"))
     means = picked.join(numbered.select(*keys, F.col("_i").alias("_at"), "_v", "_n"), [*keys, "_at"]).groupBy(*keys, "_rep").agg((F.sum(F.col("_v") * F.col("_times")) / F.first("_n")).alias("_m"))
@@ -131,25 +133,21 @@ def hard_split(cases: DataFrame, criteria: dict[str, str], size: str, least: int
 
 
 def high_volume_split(cases: DataFrame, size: str, share: float) -> DataFrame:
-    """Cases with at least the order statistic at floor(n * share) of the size. The threshold is one number, from exact ranks by size."""
-    n = cases.agg(F.count("*").alias("_n"))
-    counts = cases.groupBy(size).agg(F.count("*").alias("_c"))
-    upto = counts.withColumn("_upto", F.sum("_c").over(Window.orderBy(size)))
-    at = upto.join(F.broadcast(n)).where(F.col("_upto") > F.floor(F.col("_n") * share)).agg(F.min(size).alias("_threshold"))
-    return cases.join(F.broadcast(at)).where(F.col(size) >= F.col("_threshold")).drop("_threshold")
+    """Cases with at least the order statistic at floor(n * share) of the size. The threshold is one exact number."""
+    return cases.where(F.col(size) >= F.lit(order_statistic(cases, size, share)))
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, quota: int, n: int, seed: int = 7) -> DataFrame:
     """``quota`` of each stratum, then others up to ``n`` in all, in the order of a keyed hash."""
     mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    rows = rows.withColumn("_h", mark).withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key)))
+    # Of a stratum no more than its quota's rows and n further ones can be taken, so ranks beyond are cut off before the shuffle.
+    rows = best(rows.withColumn("_h", mark), [stratum], ["_h", key], quota + n, rank="_r")
     return rows.orderBy(F.when(F.col("_r") <= quota, 0).otherwise(1), "_h", key).limit(n).drop("_h", "_r")
 
 
 def round_robin_select(rows: DataFrame, stratum: str, key: str, n: int) -> DataFrame:
     """Alternately from each stratum until ``n``."""
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(key)))
-    return rows.orderBy("_r", stratum, key).limit(n).drop("_r")
+    return best(rows, [stratum], [key], n, rank="_r").orderBy("_r", stratum, key).limit(n).drop("_r")
 
 
 def budget_allocation(findings: DataFrame, truth: DataFrame, budgets: list[int]) -> DataFrame:
@@ -179,8 +177,8 @@ def label_strata(labels: DataFrame, train: float, folds: int, key: str = "sample
     """stratum: the labels' bits; split by keyed-hash order within it, and folds."""
     stratum = sum((F.shiftleft(F.col(r), k) for k, r in enumerate(ROOTS)), F.lit(0))
     rows = labels.withColumn("stratum", stratum).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
-    own = Window.partitionBy("stratum")
-    rows = rows.withColumns({"_r": F.row_number().over(own.orderBy("_h", key)), "_n": F.count("*").over(own)})
+    sizes = rows.groupBy("stratum").agg(F.count("*").alias("_n"))  # eight rows
+    rows = hash_rank(rows, ["stratum"], "_h", [key], "_r").join(F.broadcast(sizes), "stratum")
     return rows.withColumns({"split": F.when(F.col("_r") <= F.floor(F.col("_n") * train), "train").otherwise("held_out"), "fold": ((F.col("_r") - 1) % folds).cast("int")}).drop("_h", "_r", "_n")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rootloom.operators.order_stats import group_median
+
 
 def first_column(columns: Iterable[str], candidates: Iterable[str]) -> str | None:
     """The first candidate that is a column, whatever the case of its letters."""
@@ -47,7 +49,7 @@ def time_unit(median: Column) -> Column:
 
 
 def infer_time_unit(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(time_unit(F.median(F.abs("ts"))).alias("unit"))
+    return group_median(rows, keys, F.abs("ts"), "_m").select(*keys, time_unit(F.col("_m")).alias("unit"))
 
 
 def align_bound(bound: Column, median: Column) -> Column:
@@ -57,7 +59,10 @@ def align_bound(bound: Column, median: Column) -> Column:
 
 
 def phase_bounds(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.where("ts is not null").groupBy(*keys).agg(F.median("ts").alias("median_ts"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.median(F.abs("ts")).alias("abs_median"))
+    """Median, first and last time of each group, and the median of the absolute times."""
+    ends = rows.where("ts is not null").groupBy(*keys).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    middle = group_median(rows, keys, F.col("ts"), "median_ts")
+    return ends.join(middle, keys).join(group_median(rows, keys, F.abs("ts"), "abs_median"), keys)
 
 
 def phase_split(rows: DataFrame, keys: list[str], bounds: DataFrame | None = None, lookback_s: float = 1800.0, lookahead_s: float = 1800.0) -> DataFrame:
@@ -67,10 +72,13 @@ def phase_split(rows: DataFrame, keys: list[str], bounds: DataFrame | None = Non
     and either pivot_ts (the range is lookback and lookahead around it, in the series' unit), or start_ts and end_ts (the pivot
     is the middle).
     """
-    stats = phase_bounds(rows, keys)
     if bounds is None:
-        limits = stats.select(*keys, F.col("first_ts").alias("_from"), F.col("median_ts").alias("_pivot"), F.col("last_ts").alias("_to"))
-    elif "pivot_ts" in bounds.columns:
+        # The range is all there is, so only the pivot has to be found.
+        middle = group_median(rows, keys, F.col("ts"), "_pivot")
+        phase = F.when(F.col("ts") < F.col("_pivot"), "pre").when(F.col("ts") >= F.col("_pivot"), "post")
+        return rows.join(middle, keys).withColumn("phase", phase).drop("_pivot")
+    stats = group_median(rows, keys, F.abs("ts"), "abs_median")
+    if "pivot_ts" in bounds.columns:
         pivot, unit = align_bound(F.col("pivot_ts").cast("double"), F.col("abs_median")), time_unit(F.col("abs_median"))
         limits = stats.join(bounds, keys).select(*keys, (pivot - unit * lookback_s).alias("_from"), pivot.alias("_pivot"), (pivot + unit * lookahead_s).alias("_to"))
     else:

@@ -96,3 +96,26 @@ def test_files(spark, tmp_path):
     assert files.stale_manifest(catalog, catalog.withColumn("sha256", F.lit("z"))).count() == 2
     with pytest.raises(ValueError, match="scoring_points"):
         files.scan_tasks(spark.createDataFrame([(1, "x")], "task_index int, instruction string"))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 11, 5000, 30001])
+def test_group_median_and_order_statistic(spark, n):
+    from rootloom.operators.order_stats import group_median, order_statistic
+
+    rng = np.random.default_rng(n)
+    values = np.round(rng.normal(size=n) * 100, 1 if n < 100 else 3)
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 1.0), ("b", None)], "k string, x double")
+    got = {r["k"]: r["median"] for r in group_median(df, ["k"], F.col("x")).collect()}
+    assert got == {"a": pytest.approx(float(np.median(values)), abs=1e-12), "b": 1.0}
+    for share in (0.0, 0.05, 0.5, 0.8, 1.0):
+        assert order_statistic(df.where("k = 'a'"), "x", share) == np.sort(values)[min(int(n * share), n - 1)]
+
+
+def test_ranks(spark):
+    from rootloom.operators.order_stats import hash_rank, value_rank
+
+    df = spark.range(3000).select((F.col("id") % 2).alias("k"), F.md5(F.col("id").cast("string")).alias("h"), (F.col("id") * 7 % 1000).cast("double").alias("x"))
+    rows = hash_rank(value_rank(df, ["k"], "x", "i"), ["k"], "h", [], "r").toPandas()
+    for _, g in rows.groupby("k"):
+        assert (g.sort_values("h").r.to_numpy() == np.arange(1, len(g) + 1)).all()
+        assert sorted(g.i) == list(range(len(g))) and g.sort_values("i").x.is_monotonic_increasing
