@@ -31,7 +31,7 @@ _IRREGULAR = {
 }
 _CAREFUL = {"byte": re.compile(r"(?<=\S)(?= \S)"), "piece": re.compile(r"(?<=[^ ▁])(?= [^ ▁])")}
 #: Entries of a memo's generation; two generations are kept.
-GENERATION = 400_000
+GENERATION = 250_000
 #: UTF-8 bytes of text that are cut and looked up at once.
 ROUND_BYTES = 3_000_000
 _memos: dict[str, ChunkMemo] = {}
