@@ -9,6 +9,10 @@ from rootloom.operators.findings import best
 from rootloom.operators.order_stats import hash_rank, order_statistic, value_rank
 
 
+#: Values that a bootstrap looks up by a broadcast: some 30 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
 def by_system(scored: DataFrame) -> DataFrame:
     """hit@1, hit@3, hit@5, average of hit@1 to hit@5, and reciprocal rank, for each system and for each system and fault type."""
     at = lambda k: F.when(F.col("place").between(1, k), 1.0).otherwise(0.0)
@@ -75,8 +79,13 @@ def bootstrap_ci(rows: DataFrame, keys: list[str], value: str, reps: int = 200,
     values = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     numbered = value_rank(values, keys, "_v", "_i").join(values.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
     draws = numbered.select(*keys, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep")).withColumn("_at", hashed_draw(seed, F.col("_rep"), F.col("_i"), F.col("_n")))
-    picked = draws.groupBy(*keys, "_rep", "_at").agg(F.count("*").alias("_times"))
-    means = picked.join(numbered.select(*keys, F.col("_i").alias("_at"), "_v", "_n"), [*keys, "_at"]).groupBy(*keys, "_rep").agg((F.sum(F.col("_v") * F.col("_times")) / F.first("_n")).alias("_m"))
+    lookup = numbered.select(*keys, F.col("_i").alias("_at"), "_v")
+    if values.count() <= BROADCAST_ROWS:
+        # The draws stay where they are, and meet as one sum for each task and repetition.
+        means = draws.join(F.broadcast(lookup), [*keys, "_at"]).groupBy(*keys, "_rep").agg((F.sum("_v") / F.first("_n")).alias("_m"))
+    else:
+        picked = draws.groupBy(*keys, "_rep", "_at", "_n").agg(F.count("*").alias("_times"))
+        means = picked.join(lookup, [*keys, "_at"]).groupBy(*keys, "_rep").agg((F.sum(F.col("_v") * F.col("_times")) / F.first("_n")).alias("_m"))
     low, high = int(alpha / 2 * reps), min(reps - 1, int((1 - alpha / 2) * reps))
     ends = means.withColumn("_r", F.row_number().over(group.orderBy("_m")) - 1).groupBy(*keys).agg(F.round(F.max(F.when(F.col("_r") == low, F.col("_m"))), 6).alias("low"), F.round(F.max(F.when(F.col("_r") == high, F.col("_m"))), 6).alias("high"))
     return numbered.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("_v"), 6).alias("mean")).join(ends, keys)

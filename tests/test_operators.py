@@ -119,3 +119,11 @@ def test_ranks(spark):
     for _, g in rows.groupby("k"):
         assert (g.sort_values("h").r.to_numpy() == np.arange(1, len(g) + 1)).all()
         assert sorted(g.i) == list(range(len(g))) and g.sort_values("i").x.is_monotonic_increasing
+
+
+def test_bootstrap_by_broadcast_and_by_shuffle_agree(spark, monkeypatch):
+    df = spark.range(60).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("x"))
+    one = evaluation.bootstrap_ci(df, ["k"], "x", reps=50).orderBy("k").collect()
+    monkeypatch.setattr(evaluation, "BROADCAST_ROWS", 0)
+    assert one == evaluation.bootstrap_ci(df, ["k"], "x", reps=50).orderBy("k").collect()
+    assert all(r["low"] < r["mean"] < r["high"] for r in one)
