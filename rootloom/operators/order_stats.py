@@ -50,13 +50,13 @@ def hash_rank(rows: DataFrame, keys: list[str], hash_col: str, ties: list[str],
     return rows.withColumn("_own", own).join(before, [*keys, "_p"]).withColumn(into, (F.col("_own") + F.col("_before")).cast("long")).drop("_own", "_before", "_p")
 
 
-def value_rank(rows: DataFrame, keys: list[str], column: str, into: str, cells: int = 256) -> DataFrame:
-    """Row numbers (from 0) in ascending order of a column within each group: by cells between quantiles of the column, of fixed number, plus the sizes of the cells before. Equal values are numbered in any order."""
+def value_rank(rows: DataFrame, keys: list[str], column: str, into: str, cells: int = 256, order: list[str] | None = None) -> DataFrame:
+    """Row numbers (from 0) in ascending order of a column within each group: by cells between quantiles of the column, of fixed number, plus the sizes of the cells before. Equal values are numbered by ``order``, else in any order; nulls come first."""
     cuts = rows.agg(F.percentile_approx(column, [k / cells for k in range(1, cells)], ACCURACY)).first()[0] or []
     cuts = sorted(set(cuts))
-    cell = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col(column)))
+    cell = F.when(F.col(column).isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col(column))))
     rows = rows.withColumn("_p", cell)
     sizes = rows.groupBy(*keys, "_p").agg(F.count("*").alias("_s"))
     before = sizes.withColumn("_before", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_s")).drop("_s")
-    own = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(column)) - 1
+    own = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(F.col(column).asc_nulls_first(), *(order or []))) - 1
     return rows.withColumn("_own", own).join(before, [*keys, "_p"]).withColumn(into, (F.col("_own") + F.col("_before")).cast("long")).drop("_own", "_before", "_p")

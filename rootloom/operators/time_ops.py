@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rootloom.operators.order_stats import group_median
+from rootloom.operators.order_stats import group_median, value_rank
 
 
 def first_column(columns: Iterable[str], candidates: Iterable[str]) -> str | None:
@@ -39,8 +39,8 @@ def coerce_time(df: DataFrame, column: str, keys: list[str], into: str = "ts") -
     """Seconds or other epoch numbers as double. In a group of ``keys`` with any number, texts that are none are null; else they are read as UTC times."""
     number = F.expr(f"try_cast(`{column}` as double)")
     parsed = F.unix_micros(F.expr(f"try_cast(`{column}` as timestamp)")) / 1e6
-    any_number = F.max(number.isNotNull()).over(Window.partitionBy(*keys))
-    return df.withColumn(into, F.when(any_number, number).otherwise(parsed))
+    any_number = df.groupBy(*keys).agg(F.max(number.isNotNull()).alias("_any"))
+    return df.join(any_number, keys).withColumn(into, F.when(F.col("_any"), number).otherwise(parsed)).drop("_any")
 
 
 def time_unit(median: Column) -> Column:
@@ -70,7 +70,7 @@ def phase_split(rows: DataFrame, keys: list[str], bounds: DataFrame | None = Non
 
     Without ``bounds`` the pivot is the median time of each group of ``keys`` and the range is all of it. ``bounds`` has the keys
     and either pivot_ts (the range is lookback and lookahead around it, in the series' unit), or start_ts and end_ts (the pivot
-    is the middle).
+    is the middle). Rows with a null key, or of a group without a time or bounds, are left out.
     """
     if bounds is None:
         # The range is all there is, so only the pivot has to be found.
@@ -89,16 +89,14 @@ def phase_split(rows: DataFrame, keys: list[str], bounds: DataFrame | None = Non
 
 
 def inject_split(rows: DataFrame, injections: DataFrame, order: list[str]) -> DataFrame:
-    """pre before the case's inject_ts, post from it on; by halves of the rows if there is none, or if one side would be empty."""
-    case = Window.partitionBy("case_id")
+    """pre before the case's inject_ts, post from it on; by halves of the rows if there is none, or if one side would be empty. ``order``: of rows with the same ts."""
     rows = rows.join(injections, "case_id", "left")
-    n, before = F.count("*").over(case), F.count(F.when(F.col("ts") < F.col("inject_ts"), 1)).over(case)
-    place = F.row_number().over(case.orderBy(*order))
+    sizes = rows.groupBy("case_id").agg(F.count("*").alias("_n"), F.count(F.when(F.col("ts") < F.col("inject_ts"), 1)).alias("_before"))
+    rows = value_rank(rows, ["case_id"], "ts", "_place", order=order).join(sizes, "case_id")
     by_time = F.when(F.col("ts") < F.col("inject_ts"), "pre").otherwise("post")
-    by_half = F.when(place <= F.floor(F.col("_n") / 2), "pre").otherwise("post")
-    rows = rows.withColumns({"_n": n, "_before": before})
+    by_half = F.when(F.col("_place") < F.floor(F.col("_n") / 2), "pre").otherwise("post")
     usable = F.col("inject_ts").isNotNull() & (F.col("_before") > 0) & (F.col("_before") < F.col("_n"))
-    return rows.withColumn("phase", F.when(usable, by_time).otherwise(by_half)).drop("_n", "_before", "inject_ts")
+    return rows.withColumn("phase", F.when(usable, by_time).otherwise(by_half)).drop("_n", "_before", "_place", "inject_ts")
 
 
 TIME_LIKE = ("time", "timestamp", "ts", "date", "datetime")

@@ -78,7 +78,7 @@ def _(spark, sf_dir):
     last = F.substring("case_id", -1, 1)
     inject = F.when(last == "0", F.lit(None).cast("double")).when(last == "1", 0.0).otherwise(F.lit(1704500000.0) + 432000 * last.cast("int") - 864000)
     injections = rows.select("case_id").distinct().withColumn("inject_ts", inject)
-    split = ops.inject_split(rows, injections, ["ts", "component", "metric", "value"])
+    split = ops.inject_split(rows, injections, ["component", "metric", "value"])
     return split.groupBy("case_id", "phase").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
