@@ -95,7 +95,9 @@ def exact_top_k(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     (nq, q_norm), (nv, v_norm) = (tuple(b.agg(F.count("*"), F.max("norm")).first()) for b in (queries, vectors))
     if not nq:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    queries = kept(queries.withColumn("q", (F.row_number().over(Window.orderBy("block")) - 1).cast("int")), "query-blocks")  # a row for QUERY_BLOCK queries
+    # Blocks are numbered by their keys alone, one for QUERY_BLOCK queries; their data isn't moved for that.
+    numbers = queries.select("block", (F.row_number().over(Window.orderBy("block")) - 1).cast("int").alias("q"))
+    queries = queries.join(kept(numbers, "query-numbers"), "block")
     n_slices = -(-nv // SLICE)
     vectors = vectors.withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(n_slices)).cast("int"))
     bound = min(math.ceil(q_norm * v_norm) + 1, 1 << 61)
