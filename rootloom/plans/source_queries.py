@@ -9,9 +9,9 @@ from rootloom.sources import canonical as c
 from rootloom.sources import files as ops
 
 
-@query("scan_metrics", "select event_type, count(*) as n, sum(value) as total from events group by event_type")
+@query("scan_metrics", "select event_type, count(*) as n, round(sum(value), 4) as total from events group by event_type")
 def _(spark, sf_dir):
-    return ops.scan_metrics(spark, [f"{sf_dir}/events.parquet"]).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return ops.scan_metrics(spark, [f"{sf_dir}/events.parquet"]).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("metric_file_choice", """with f as (select 'case-' || (l_orderkey % 50)::varchar as case_id, ['readme.md', 'data.csv', 'metrics.csv', 'simple_metrics.csv', 'metrics.json', 'notes.txt'][(l_orderkey // 50 % 3 + l_linenumber) % 6 + 1] as file from lineitem),
