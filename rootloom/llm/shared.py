@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """Just the named columns; whatever else the table has can't clash later."""
     return df.select(*[F.col(n) for n in names])
+
+
+def rest_of_row(docs: DataFrame, text_col: str) -> Column:
+    """All columns but the text as a struct ``row``, which an Arrow function hands through beside ``text``."""
+    return F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row")
+
+
+def whole_row(docs: DataFrame, text_col: str = "text") -> list[Column]:
+    """The columns of ``docs`` from ``row`` and ``text``: a decision made on a row needs no look-up by an id."""
+    return [(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]

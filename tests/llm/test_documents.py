@@ -137,3 +137,35 @@ def test_pipeline(spark, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     labels.write.parquet(f"{tmp_path}/none/labels.parquet")
     assert p.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def near_copy(words, share, rng):
+    """A copy with single words changed until the five-word shingles are as similar as ``share`` at most."""
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    out, a = list(words), shingles(words)
+    similarity = lambda: len(a & (b := shingles(out))) / len(a | b)
+    k = 0
+    while True:
+        before = list(out)
+        out[rng.randrange(len(out))] = f"changed{k}"
+        k += 1
+        if similarity() < share:
+            return before
+
+
+def test_pipeline_finds_near_copies(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeiourstlnm") for _ in range(rng.randint(3, 9)))
+    texts = [[word() for _ in range(rng.choice((150, 400)))] for _ in range(240)]
+    shares = (0.8, 0.85, 0.9, 0.97)
+    copies = [near_copy(t, shares[i % 4], rng) for i, t in enumerate(texts[:200])]
+    far = [near_copy(t, 0.6, rng) for t in texts[200:]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts + copies + far)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"] for r in p.near_duplicates(spark, docs, "").collect()}
+    assert left >= set(range(240)), "the smallest id of each group stays"
+    assert left >= set(range(440, 480)), "copies below 0.8 stay"
+    found = {s: np.mean([240 + i not in left for i in range(200) if shares[i % 4] == s]) for s in shares}
+    assert found[0.8] >= 0.9 and min(found[s] for s in shares[1:]) >= 0.98, found
