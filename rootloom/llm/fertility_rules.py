@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rootloom.llm.chunk_memo import memo_for, tokenizer_path
+from rootloom.llm.shared import rest_of_row
 
 LEAST_TOKENS = 20
 EVENNESS_CAP = 4096
@@ -80,8 +81,8 @@ def token_measures(counts: np.ndarray, ids: np.ndarray, is_byte: np.ndarray) ->
     return fallback, np.log2(total) - np.bincount(text, n * np.log2(n), len(counts)) / total
 
 
-def measure_documents(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, lang, counts, n_tokens, chars_per_token, fallback_share, token_evenness) for each row."""
+def measure_documents(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False) -> DataFrame:
+    """(id, lang, counts, n_tokens, chars_per_token, fallback_share, token_evenness) for each row; ``carry``: and row, text."""
     path = tokenizer_path(tokenizer)
 
     def measure(batches):
@@ -100,23 +101,25 @@ def measure_documents(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", i
             most = np.log2(np.clip(n, 2, EVENNESS_CAP))
             cols = [batch.column(0), batch.column(1), *(pa.array(plain[:, k]) for k in range(5)), pa.array(n.astype(np.int64))]
             cols += [pa.array(x) for x in (points / np.maximum(n, 1), fallback / np.maximum(n, 1), entropy / most)]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "lang", *_COUNTS, "n_tokens", "chars_per_token", "fallback_share", "token_evenness"])
+            cols += [batch.column(3), batch.column(2)] if carry else []
+            yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.col(text_col).alias("text"), *([rest_of_row(docs, text_col)] if carry else []))
     fields = [T.StructField("id", rows.schema["id"].dataType), T.StructField("lang", T.StringType())]
     fields += [T.StructField(n, T.LongType()) for n in (*_COUNTS, "n_tokens")]
     fields += [T.StructField(n, T.DoubleType()) for n in ("chars_per_token", "fallback_share", "token_evenness")]
+    fields += [rows.schema["row"], rows.schema["text"]] if carry else []
     return rows.mapInArrow(measure, T.StructType(fields))
 
 
-def apply_rules(docs: DataFrame, bands: dict[str, Band] = BANDS, default: Band = DEFAULT_BAND, tokenizer: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Counts, measures, ``base_failed`` and ``kept`` for each row.
+def apply_rules(docs: DataFrame, bands: dict[str, Band] = BANDS, default: Band = DEFAULT_BAND, tokenizer: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False) -> DataFrame:
+    """Counts, measures, ``base_failed`` and ``kept`` for each row; with ``carry`` beside ``row`` and ``text``, for ``whole_row``.
 
     A null text has no words, so it fails the base rule; a null id stays null; repeated rows each give a row; an empty table
     gives no rows; without a language column the default band holds; other columns aren't read.
     """
-    rows = measure_documents(docs, tokenizer, id_col, text_col, lang_col)
+    rows = measure_documents(docs, tokenizer, id_col, text_col, lang_col, carry)
 
     def of(value):
         out = F.lit(value(default))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rootloom.llm.fertility_rules import BLANKS, plain_counts
-from rootloom.llm.shared import kept
+from rootloom.llm.shared import kept, rest_of_row
 
 SHRINK, RIDGE = 0.10, 0.02
 #: Standard deviations at which a statistic is clipped.
@@ -67,18 +67,21 @@ def statistics(data: bytes) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, x array<double>) for each row; a null text is empty."""
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(id, x array<double>) for each row; a null text is empty. ``carry``: and row, text."""
 
     def make(batches):
         for batch in batches:
             rows = [statistics(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
             flat = np.array(rows, float).reshape(-1, len(STATISTICS))
             offsets = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], ["id", "x"])
+            cols = [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat.ravel())), *([batch.column(2), batch.column(1)] if carry else [])]
+            yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(make, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))]))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([rest_of_row(docs, text_col)] if carry else []))
+    fields = [T.StructField("id", rows.schema["id"].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))]
+    fields += [rows.schema["row"], rows.schema["text"]] if carry else []
+    return rows.mapInArrow(make, T.StructType(fields))
 
 
 def class_moments(rows: DataFrame) -> dict[int, np.ndarray]:
@@ -197,26 +200,29 @@ def fit_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
 
 
 def score_statistics(stats: DataFrame, model: QuadraticDiscriminant) -> DataFrame:
+    """(id, score), and the columns that ``stats`` has beside id and x."""
+    others = [c for c in stats.columns if c not in ("id", "x")]
+
     def score(batches):
         for batch in batches:
             x = batch.column(1).flatten().to_numpy().reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x)), *batch.columns[2:]], ["id", "score", *others])
 
-    return stats.select("id", "x").mapInArrow(score, T.StructType([stats.schema["id"], T.StructField("score", T.DoubleType())]))
+    return stats.select("id", "x", *others).mapInArrow(score, T.StructType([stats.schema["id"], T.StructField("score", T.DoubleType()), *(stats.schema[c] for c in others)]))
 
 
 def held_out(doc_id) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """(id, held_out, score, predicted) for each row, learned from the labelled rows that aren't held out.
+def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", carry: bool = False) -> DataFrame:
+    """(id, held_out, score, predicted) for each row, learned from the labelled rows that aren't held out; ``carry``: and row, text.
 
     held_out: crc32 of the id as text is divisible by 5. A null text is empty and gets a score, too; a null id is never held
     out nor labelled; repeated rows each give a row (and count each in training); an empty table gives no rows; with no labels
     of a class the score says so little as the prior does; other columns aren't read.
     """
-    stats = kept(document_statistics(docs, id_col, text_col), "statistics")
+    stats = kept(document_statistics(docs, id_col, text_col, carry), "statistics")
     model = fit_quality(stats.where(~held_out(F.col("id"))), labels, id_col, label_col)
     scored = score_statistics(stats, model)
-    return scored.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["row", "text"] if carry else []))

@@ -169,3 +169,20 @@ def test_pipeline_finds_near_copies(spark):
     assert left >= set(range(440, 480)), "copies below 0.8 stay"
     found = {s: np.mean([240 + i not in left for i in range(200) if shares[i % 4] == s]) for s in shares}
     assert found[0.8] >= 0.9 and min(found[s] for s in shares[1:]) >= 0.98, found
+
+
+def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("aeiourstlnm") for _ in range(rng.randint(2, 9)))
+    t = [" ".join(word() for _ in range(90)) for _ in range(40)]
+    rows = list(enumerate(t[:30])) + [(None, x) for x in t[30:34]] + [(None, t[3]), (7, t[34]), (8, t[8]), (40, t[35]), (40, t[0]), (50, t[35]), (None, "too short"), (9, "too short")]
+    docs = spark.createDataFrame([(d, x, None, "s", None) for d, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(d, 1, 0) for d in range(30)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    ruled = p.quality_rules(spark, docs, str(tmp_path))
+    assert sorted(r["text"] for r in ruled.collect()) == sorted(x for _, x in rows if x != "too short")
+    assert p.quality_classifier(spark, ruled, str(tmp_path)).count() == len(rows) - 2
+    left = p.near_duplicates(spark, ruled, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left) == sorted((str(d), x) for d, x in [*enumerate(t[:30]), *((None, x) for x in t[30:34]), (7, t[34]), (40, t[35])])
