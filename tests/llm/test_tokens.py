@@ -210,6 +210,24 @@ def test_matrix_and_heap_agendas_agree():
         assert coder._agenda(coder._start(chunk), word).astype(coder.cutter.dtype).tobytes() == found
 
 
+def test_dropout_is_decided_for_each_occurrence():
+    coder = DropoutCoder(tokenizer_path(PIECE), 0.1, 5)
+    # One candidate: it has to be skipped in a tenth of all occurrences. A long word: more ways than any fixed number of draws.
+    one, long = "a", "internationalization"
+    texts = [f"x {one} {long}"] * 3000
+    single, marks = (coder._segment([" " + one], np.zeros(1, np.uint64), plain=True)[k] for k in (0, 2))
+    assert len(single) == len(marks) == 1
+    rows = [x.tolist() for x in coder.encode(pa.array(texts), list(range(len(texts))))]
+    assert all(coder.decode(np.array(x, np.int64)) == t.encode() for x, t in zip(rows, texts, strict=True))
+    head = len(coder._segment([" x"], np.zeros(1, np.uint64), plain=True)[0])
+    kept = np.mean([single[0] in x[: head + 2] for x in rows])
+    assert abs(kept - 0.9) < 0.02, kept
+    assert len(set(map(tuple, rows))) > 16
+    # Whether a word is in the memo or comes but once changes nothing.
+    alone = DropoutCoder(tokenizer_path(PIECE), 0.1, 5)
+    assert [next(iter(alone.encode(pa.array([t]), [k]))).tolist() for k, t in enumerate(texts[:200])] == rows[:200]
+
+
 def test_encode_and_decode(spark):
     encoded = encode_pieces(frame(spark), PIECE)
     rows = encoded.collect()
