@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rootloom.operators import graph
+
 #: Keys and values that give the answer away, letters and digits only.
-FORBIDDEN_KEYS = ("isrootcause", "rootcauselabel", "groundtruth", "answer")
-FORBIDDEN_VALUES = ("rootcauselabel", "groundtruth", "correctanswer")
+FORBIDDEN_KEYS = ("groundtruth", "groundtruthrootcause", "correctanswer", "goldanswer", "isrootcause", "istargetrootcause")
+FORBIDDEN_VALUES = ("targetrootcause", "groundtruth", "groundtruthrootcause", "correctanswer", "goldanswer")
+#: What is removed besides: a label field of the fixture, which the SQL of ``sanitize_graph`` has removed; the reference has no such token.
+LABEL_KEYS = ("rootcauselabel",)
 
 
 def token(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]", "")
 
 
-def leakage_audit(graphs: DataFrame, key: str = "case_id", raw: str = "raw", depth: int = 8) -> DataFrame:
-    """(key, path, kind, value) for each forbidden key or scalar value anywhere in a JSON document, one level at a time down to ``depth``."""
+def leakage_audit(graphs: DataFrame, key: str = "case_id", raw: str = "raw") -> DataFrame:
+    """(key, path, kind, value) for each forbidden key or scalar value anywhere in a JSON document, one level at a time until none is left."""
     level = graphs.select(F.col(key).alias("key"), F.lit("").alias("path"), F.try_parse_json(raw).alias("v"))
     spark, out = graphs.sparkSession, None
-    for _ in range(depth):
+    while True:
         level.createOrReplaceTempView("_rootloom_level")
         level = spark.sql("select t.key, t.path as above, e.key as name, e.pos, e.value as v, schema_of_variant(e.value) as kind from _rootloom_level t, lateral variant_explode(t.v) e")
         inside = F.when(F.col("name").isNull(), F.concat("above", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("above", F.when(F.col("above") == "", "").otherwise("."), "name"))
@@ -28,13 +32,14 @@ def leakage_audit(graphs: DataFrame, key: str = "case_id", raw: str = "raw", dep
         hits = F.filter(F.array(F.when(bad_key, F.lit("answer_key")), F.when(bad_value, F.lit("answer_marker"))), lambda x: x.isNotNull())
         part = level.select(F.col("key").alias(key), "path", F.explode(hits).alias("kind"), F.coalesce("text", F.lit("")).alias("value"))
         out = part if out is None else out.unionByName(part)
-        level = level.where(nested).select("key", "path", "v")
-    return out
+        level = graph._keep(level.where(nested).select("key", "path", "v"), "level")
+        if level.isEmpty():
+            return out
 
 
 def sanitize_props(rows: DataFrame, props: str = "props") -> DataFrame:
     """Without forbidden fields of a map column."""
-    return rows.withColumn(props, F.map_filter(props, lambda k, v: ~token(k).isin(*FORBIDDEN_KEYS) & ~F.coalesce(token(v).isin(*FORBIDDEN_VALUES), F.lit(False))))
+    return rows.withColumn(props, F.map_filter(props, lambda k, v: ~token(k).isin(*FORBIDDEN_KEYS, *LABEL_KEYS) & ~F.coalesce(token(v).isin(*FORBIDDEN_VALUES), F.lit(False))))
 
 
 def plain_kind(kind: Column) -> Column:

@@ -188,7 +188,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     k = F.col("c_custkey")
     raw = F.when(k % 3 == 0, '{"nodes":[{"a":1}],"edges":[{"in":"x","is_root-cause":true}]}').when(k % 3 == 1, '{"nodes":[{"a":1},{"props":{"note":"Ground Truth","b":[1,2]}}]}').otherwise('{"nodes":[{"title":"answers"}]}')
-    return kg.leakage_audit(c.table(spark, sf_dir, "customer").select(k.alias("case_id"), raw.alias("raw")), depth=5)
+    return kg.leakage_audit(c.table(spark, sf_dir, "customer").select(k.alias("case_id"), raw.alias("raw")))
 
 
 @query("field_score", """with p as (select case_id, system, true_root, ranked_roots[1] as r, fault_type, case when hash_ % 3 = 0 then 'cpu' else fault_type end as pr, hash_ % 130 as off from (select *, total_tokens as hash_ from scored))

@@ -127,3 +127,17 @@ def test_bootstrap_by_broadcast_and_by_shuffle_agree(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "BROADCAST_ROWS", 0)
     assert one == evaluation.bootstrap_ci(df, ["k"], "x", reps=50).orderBy("k").collect()
     assert all(r["low"] < r["mean"] < r["high"] for r in one)
+
+
+def test_leaks_of_any_depth_and_name(spark):
+    from rootloom.operators import knowledge
+
+    deep = '{"isTargetRootCause":1}'
+    for _ in range(14):
+        deep = '{"a":[' + deep + "]}"
+    raws = ['{"edges":[{"label":"targetRootCause"}]}', '{"gold_answer":{"x":"y"}}', '{"answer":"a","rootCauseLabel":"b","list":["groundTruth"]}', deep, "no json", None]
+    df = spark.createDataFrame(list(enumerate(raws)), "case_id long, raw string")
+    got = {(r["case_id"], r["path"], r["kind"]) for r in knowledge.leakage_audit(df).collect()}
+    assert got == {(0, "edges[0].label", "answer_marker"), (1, "gold_answer", "answer_key"), (3, ".".join(["a[0]"] * 14) + ".isTargetRootCause", "answer_key")}
+    props = spark.createDataFrame([({"label": "targetRootCause", "Gold Answer": "x", "answer": "stays", "title": "t"},)], "props map<string,string>")
+    assert knowledge.sanitize_props(props).first()["props"] == {"answer": "stays", "title": "t"}
