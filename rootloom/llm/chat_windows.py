@@ -5,8 +5,9 @@ it can be undone) gets a backslash after its ``<``; a line feed inside a role is
 the template puts them, and the original is read back exactly.
 
 A conversation goes into windows: prefix sums of its turns' tokens over half of the budget number the spans, so a span holds
-whole turns, and less than half the budget before its last turn begins. A window is a span behind what it repeats: the
-leading system turn, and those turns of the span before whose tokens up to the span's start are ``history`` at most.
+whole turns, and less than half the budget before its last turn begins. Where a span and the system turn would pass the budget,
+the next window begins before the turn that would. A window is such a part behind what it repeats: the leading system turn,
+and those turns of the window before whose tokens up to the window's start are ``history`` at most and still have room.
 The loss mask covers assistant texts, not the repeated ones, so over all windows each is learned once.
 
 Tokens are counted as letters-or-digits runs and single other marks, plus ``TURN_TOKENS`` for a turn's frame.
@@ -35,7 +36,8 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
     """(conv_id, window, n_tokens, n_repeated, formatted, loss_spans) from rows (conv_id, turn, role, text).
 
     n_repeated: turns at the window's start that an earlier window has. loss_spans: start and length in code points of
-    ``formatted`` (escaped), in order. A turn is never cut: a window is over the budget only if a turn has over half of it.
+    ``formatted`` (escaped), in order. A turn is never cut: a window is over the budget only if it is one turn that the system turn leaves
+    no room for.
 
     Null texts and roles are empty; rows of a null conversation are one conversation; turns are ordered by turn (null first),
     role and text, so repeated rows are turns of their own; an empty table gives no windows; other columns aren't read.
@@ -49,11 +51,22 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
     rows = rows.withColumn("counted", F.when(system, 0).otherwise(F.col("tokens")))
     rows = rows.withColumn("until", F.sum("counted").over(so_far)).withColumn("since", F.col("until") - F.col("counted"))
     rows = rows.withColumn("span", F.floor(F.col("since") / max(budget // 2, 1)))
-    opens = F.when(F.lag("span").over(order) < F.col("span"), 1).otherwise(0)
+    # A span has few turns, for each has TURN_TOKENS at least: those so far, folded in order, number the parts that fit.
+    room = F.lit(budget) - F.coalesce(F.max(F.when(system, F.col("tokens"))).over(whole), F.lit(0))
+    in_span = Window.partitionBy("conv_id", "span")
+    rows = rows.withColumn("room", room).withColumn("sizes", F.collect_list("counted").over(in_span.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    full = lambda done, n: (done["held"] > 0) & (done["held"] + n > F.col("room"))
+    fold = lambda done, n: F.struct(F.when(full(done, n), n).otherwise(done["held"] + n).cast("long").alias("held"), (done["part"] + full(done, n).cast("int")).alias("part"))
+    parts = F.aggregate("sizes", F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("part")), fold, lambda done: done["part"])
+    rows = rows.withColumn("part", F.when(F.sum("counted").over(in_span) <= F.col("room"), 0).otherwise(parts)).drop("sizes")
+    before = F.lag("span").over(order)
+    opens = F.when((before < F.col("span")) | ((before == F.col("span")) & (F.lag("part").over(order) < F.col("part"))), 1).otherwise(0)
     rows = rows.withColumn("opens", opens).withColumn("window", F.sum("opens").over(so_far).cast("int"))
     rows = rows.withColumn("last_window", F.max("window").over(whole))
     rows = rows.withColumn("next_since", F.max("until").over(Window.partitionBy("conv_id", "window")))
-    again = (F.col("window") < F.col("last_window")) & (F.col("next_since") - F.col("since") <= history)
+    rows = rows.withColumn("own", F.sum("counted").over(Window.partitionBy("conv_id", "window")))
+    rows = rows.withColumn("next_own", F.max("own").over(Window.partitionBy("conv_id").orderBy("window").rangeBetween(1, 1)))
+    again = (F.col("window") < F.col("last_window")) & (F.col("next_since") - F.col("since") <= F.least(F.lit(history), F.col("room") - F.col("next_own")))
     into = F.when(system, F.sequence(F.lit(0), F.col("last_window"))).when(again, F.array("window", F.col("window") + 1)).otherwise(F.array("window"))
     head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("<~|")), F.lit("\n"))
     turn = F.struct(

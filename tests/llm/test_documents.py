@@ -111,6 +111,18 @@ def test_windows_keep_their_budget_and_the_system_turn(conversations):
     assert format_conversations(df.limit(0)).count() == 0
 
 
+def test_windows_keep_their_budget_beside_a_system_turn_and_history(spark):
+    rng = random.Random(4)
+    talks = [[(76, "system"), (116, "user"), (296, "user"), (201, "assistant"), (476, "assistant")]]
+    talks += [[(rng.choice((76, 300)), "system")] + [(rng.choice((30, 110, rng.randint(396, 508))), rng.choice(("user", "assistant"))) for _ in range(30)] for _ in range(20)]
+    rows = [(c, i, r, "w " * n) for c, t in enumerate(talks) for i, (n, r) in enumerate(t)]
+    windows = format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = windows.collect()
+    assert max(w["n_tokens"] for w in got) <= BUDGET and any(w["n_repeated"] > 1 for w in got)
+    digests = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in conversation_digests(windows).collect()}
+    assert digests == brute(rows)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
