@@ -9,8 +9,11 @@ is encoding the same chunk again. Whatever isn't surely safe to cut stays in one
 * ``word_bpe`` (white space is dropped): any space or line feed.
 * ``piece_bpe`` (sentencepiece, spaces are U+2581, no piece has U+2581 after another character): a space between two
   non-spaces; a line feed is no piece of the vocabulary, so nothing merges across it.
+* all: before one of ``MARKS`` after a letter. The pre-tokenizers always part there; of the piece kind's vocabulary, only
+  those marks are taken that no piece has behind a letter.
 
-Special strings (``<|endoftext|>``) hold no space and are never cut; a chunk with ``<|`` in it is encoded by itself.
+Special strings (``<|endoftext|>``) hold no space and no such mark and are never cut; a chunk with ``<|`` in it is encoded by
+itself. A text longer than ``ROUND_BYTES`` is worked off in parts, cut at single spaces between ASCII letters and marks.
 """
 
 from __future__ import annotations
@@ -30,11 +33,18 @@ _IRREGULAR = {
     "piece": "  |^ | $|▁|\t|^\n|\n\n| \n|\n |\n$",
 }
 _CAREFUL = {"byte": re.compile(r"(?<=\S)(?= \S)"), "piece": re.compile(r"(?<=[^ ▁])(?= [^ ▁])")}
+#: Where a very long text is cut, whatever the kind.
+_LONG_CUT = re.compile(r"(?<=[A-Za-z0-9.,;]) (?=[A-Za-z])")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_WORD = re.compile(f"[{LETTERS}]+")
+MARKS = ",.;:!?()*#$%&=+/\\-\""
 #: Entries of a memo's generation; two generations are kept.
 GENERATION = 250_000
 #: UTF-8 bytes of text that are cut and looked up at once.
 ROUND_BYTES = 3_000_000
 _memos: dict[str, ChunkMemo] = {}
+#: How byte-level vocabularies write the bytes of letters beyond ASCII: those that are no printable Latin-1 letters move to U+0100 on.
+_BYTE_LETTERS = {b: 0x100 + n for n, b in enumerate([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)])}
 
 
 def tokenizer_path(name: str) -> str:
@@ -63,32 +73,38 @@ class ChunkMemo:
 
             self.kind, self.sp = "piece", sentencepiece.SentencePieceProcessor(model_file=path)
             size = self.sp.vocab_size()
+            behind = set(re.findall(f"[{LETTERS}]([^{LETTERS}])", " ".join(map(self.sp.id_to_piece, range(size)))))
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             self.tok = Tokenizer.from_file(path)
+            self.model = self.tok.model
             self.kind = "byte" if self.tok.normalizer is None else "word"
             self.sep, self.sep_id = next((t.content, i) for i, t in sorted(self.tok.get_added_tokens_decoder().items()))
-            size = self.tok.get_vocab_size()
+            size, behind = self.tok.get_vocab_size(), set()
         self.width = 2 if size <= 65536 else 4
         self.dtype = np.dtype(f"<u{self.width}")
+        marks = "".join("\\" + c for c in MARKS if c not in behind)
+        #: A letter and the mark behind it, and what parts the two.
+        self.edge = f"([{LETTERS}])([{marks}])", {"byte": "\\1 \t\\2", "piece": "\\1 \n\t\\2", "word": r"\1 \2"}[self.kind]
 
-    def cut(self, texts: pa.Array) -> pa.ListArray:
+    def cut(self, texts: pa.Array, follows: bool = False) -> pa.ListArray:
         """Each text's chunks in order, as keys of the memo; a key's first character tells the forms of a chunk apart.
 
-        A leading tab: the chunk as it is (piece kind: after its one space). A leading line feed: as it is, too.
-        Otherwise the chunk follows a space. The word kind drops white space, so there the key is the chunk.
+        A leading tab: the chunk as it is (piece kind: after its one space). A leading line feed: as it is, too, but for the
+        piece kind's line feed and tab, which aren't part of the chunk. Otherwise the chunk follows a space. The word kind drops white space
+        and the case of letters, so there the key is the chunk. ``follows``: the texts follow a space that isn't in them.
         """
         if self.kind == "word":
-            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            return pc.split_pattern(pc.replace_substring_regex(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), *self.edge), " ")
         odd = pc.match_substring_regex(texts, _IRREGULAR[self.kind])
-        plain = pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n")
-        if self.kind == "byte":
+        plain = pc.replace_substring_regex(pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n"), *self.edge)
+        if self.kind == "byte" and not follows:
             plain = pc.binary_join_element_wise(pa.scalar("\t", plain.type), plain, pa.scalar("", plain.type))
         parts = [pc.split_pattern(plain, " ")]
         if odd.true_count:
-            pieces = [_CAREFUL[self.kind].split(t) for t in texts.filter(odd).to_pylist()]
+            pieces = [_CAREFUL[self.kind].split(" " * (follows and self.kind == "byte") + t) for t in texts.filter(odd).to_pylist()]
             skip = 1 if self.kind == "piece" else 0
             parts.append(pa.array([["\t" + x[skip if k else 0 :] for k, x in enumerate(p)] for p in pieces], parts[0].type))
             order = np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")
@@ -99,12 +115,24 @@ class ChunkMemo:
 
     def _encode(self, keys: list[str]) -> list[bytes]:
         if self.kind == "piece":
-            ids = self.sp.encode([k[1:] if k[0] == "\t" else k for k in keys], num_threads=1)
-            return [np.array(x[1:] if k[0] == "\n" else x, self.dtype).tobytes() for k, x in zip(keys, ids, strict=True)]
+            inner = [k[:2] == "\n\t" for k in keys]
+            ids = self.sp.encode(["\n" + k[2:] if m else k[1:] if k[0] == "\t" else k for k, m in zip(keys, inner, strict=True)], num_threads=1)
+            return [np.array(x[2:] if m else x[1:] if k[0] == "\n" else x, self.dtype).tobytes() for k, m, x in zip(keys, inner, ids, strict=True)]
+        out: list[bytes] = [b""] * len(keys)
+        is_word, flat, counts = [_WORD.fullmatch(k) is not None for k in keys], [], []
+        # A word of letters is one unit of the pre-tokenizer, so the library's model gives its ids without the steps before.
+        for k in (k for k, w in zip(keys, is_word, strict=True) if w):
+            k = k.lower() if self.kind == "word" else k
+            k = k if k.isascii() else k.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            found = self.model.tokenize(k if self.kind == "word" else "Ġ" + k)
+            counts.append(len(found))
+            flat += [x.id for x in found]
+        ids, ends = np.array(flat, self.dtype).tobytes(), (np.cumsum(counts) * self.width).tolist()
+        for i, start, end in zip((i for i, w in enumerate(is_word) if w), [0, *ends], ends):
+            out[i] = ids[start:end]
         chunks = keys if self.kind == "word" else [k[1:] if k[0] == "\t" else k if k[0] == "\n" else " " + k for k in keys]
-        out: list[bytes] = [b""] * len(chunks)
         alone = [i for i, c in enumerate(chunks) if "<|" in c]
-        joined = [i for i, c in enumerate(chunks) if "<|" not in c]
+        joined = [i for i, c in enumerate(chunks) if not is_word[i] and "<|" not in c]
         for i, e in zip(alone, self.tok.encode_batch_fast([chunks[i] for i in alone], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, self.dtype).tobytes()
         # The special token between two chunks parts them as two inputs would be.
@@ -134,8 +162,8 @@ class ChunkMemo:
             self.old, self.new = (new if len(new) <= 2 * GENERATION else {}), {"": b""}
         return out
 
-    def _round(self, texts: pa.Array, want_ids: bool):
-        parts = self.cut(texts)
+    def _round(self, texts: pa.Array, want_ids: bool, follows: bool = False):
+        parts = self.cut(texts, follows)
         first = parts.offsets.to_numpy()
         words = parts.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
         at = words.indices.to_numpy()
@@ -163,9 +191,19 @@ class ChunkMemo:
         while at < len(texts):
             done = size[at - 1] if at else 0
             end = max(at + 1, int(np.searchsorted(size, done + ROUND_BYTES, "right")))
-            yield at, *self._round(texts.slice(at, end - at), want_ids)
+            yield at, *(self._round(texts.slice(at, end - at), want_ids) if size[end - 1] - done <= ROUND_BYTES else self._long(texts[at].as_py(), want_ids))
             at = end
 
+    def _long(self, text: str, want_ids: bool):
+        """One text in parts, so that only its ids are held whole."""
+        found, start = [], 0
+        while start is not None:
+            space = _LONG_CUT.search(text, start + ROUND_BYTES // 4)
+            part = text[start : space.start() if space else None]
+            found.append(self._round(pa.array([part], pa.large_string()), want_ids, start > 0))
+            start = space.end() if space else None
+        return np.array([sum(int(n.sum()) for n, _ in found)]), np.concatenate([x for _, x in found]) if want_ids else None
+
     def encode(self, texts: pa.Array):
         """The ids of each text as an array, in order."""
         for _, counts, ids in self.rounds(texts):

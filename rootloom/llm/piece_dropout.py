@@ -86,7 +86,7 @@ class DropoutCoder:
         return np.where(hit, self.rank[made], self.none), made
 
     def _symbols(self, key: str) -> str:
-        return key if key[0] == "\n" else " " + (key[1:] if key[0] == "\t" else key)
+        return key[2:] if key[:2] == "\n\t" else key if key[0] == "\n" else " " + (key[1:] if key[0] == "\t" else key)
 
     def _start(self, chunk: str) -> np.ndarray:
         ids: list[int] = []
