@@ -54,8 +54,12 @@ class ShardWriter:
         self.n_pending = self.n_ids = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(doc_id)
-        self.doc_lens.append(len(ids))
+        self.add_run([doc_id], [len(ids)], ids)
+
+    def add_run(self, doc_ids: list[int | None], lens: list[int], ids: np.ndarray) -> None:
+        """Documents whose ids lie one after another in ``ids``."""
+        self.doc_ids += doc_ids
+        self.doc_lens += lens
         self.pending.append(np.asarray(ids, self.dtype))
         self.n_pending += len(ids)
         self.n_ids += len(ids)
@@ -137,21 +141,55 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def with_end_ids(counts: np.ndarray, ids: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Texts' ids one after another, and how many each has, with ``end_id`` behind those of each text."""
+    if end_id is None:
+        return counts, ids
+    ends = np.cumsum(counts + 1) - 1
+    out = np.full(len(ids) + len(counts), end_id, ids.dtype)
+    inside = np.ones(len(out), bool)
+    inside[ends] = False
+    out[inside] = ids
+    return counts + 1, out
+
+
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id long, ids binary) for each row: its ids, little-endian, with as many bytes each as the vocabulary needs; null texts are empty."""
+    path = tokenizer_path(tokenizer)
+
+    def encode(batches):
+        memo = memo_for(path)
+        for batch in batches:
+            doc_ids = batch.column(0)
+            for at, counts, ids in memo.rounds(batch.column(1)):
+                counts, ids = with_end_ids(counts, ids, end_id)
+                offsets = np.concatenate([[0], np.cumsum(counts)]) * memo.width
+                # A run of documents holds ROUND_BYTES of text at most, or a single text.
+                column = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(at, len(counts)), column], ["id", "ids"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, "id long, ids binary")
+
+
+_WRITTEN = "shard string, first_doc long, last_doc long, n_docs long, n_ids long"
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes each row's text, and writes all ids in ascending id order; returns the manifest, one row for each shard.
 
-    Manifest (also a Parquet table in ``folder``): shard, first_doc, n_docs, n_ids, ids_before. ``end_id`` closes each document
-    (None: nothing does). A null text is empty; null ids come first; rows with one id are ordered by text; an empty table
-    gives no shard; other columns aren't read. A shard is written under a name of its own attempt and then renamed, and the
-    manifest names what the committed tasks wrote, so tasks that run again leave nothing wrong.
+    Manifest (also a Parquet table in ``folder``): shard, first_doc, last_doc, n_docs, n_ids, ids_before. ``end_id`` closes each
+    document (None: nothing does). A null text is empty; null ids come first; rows with one id are ordered by a hash of their
+    token ids, so that an id with very many rows goes over several shards; an empty table gives no shard; other columns
+    aren't read. Texts are encoded where they are read, and only their compact ids are kept and sorted. A shard is written under a name of
+    its own attempt and then renamed, and the manifest names what the committed tasks wrote, so tasks that run again leave nothing wrong.
     """
     path = tokenizer_path(tokenizer)
 
     def write(batches):
-        memo = memo_for(path)
+        width = memo_for(path).width
         store, base = _store(folder)
         out = writer = None
-        name, first, made = "", None, []
+        name, made = "", []
 
         def close():
             nonlocal out
@@ -159,44 +197,54 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
                 writer.close()
                 out.close()
                 store.move(f"{base}/_{name}", f"{base}/{name}")
-                made.append((name, first, len(writer.doc_lens), writer.n_ids))
+                made.append((name, writer.doc_ids[0], writer.doc_ids[-1], len(writer.doc_lens), writer.n_ids))
                 out = None
 
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            for doc_id, ids in zip(doc_ids, memo.encode(batch.column(1)), strict=True):
+            doc_ids, column = batch.column(0).to_pylist(), batch.column(1)
+            ends = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64) // width
+            ids = np.frombuffer(column.buffers()[2] or b"", f"<u{width}")
+            at = 0
+            while at < len(doc_ids):
                 if out is None:
-                    name, first = f"{uuid.uuid4().hex}.tokens", doc_id
+                    name = f"{uuid.uuid4().hex}.tokens"
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{base}/_{name}")
-                    writer = ShardWriter(out, memo.width)
-                writer.add(doc_id, ids if end_id is None else np.append(ids, memo.dtype.type(end_id)))
+                    writer = ShardWriter(out, width)
+                # As many documents as make the shard full, or at most a frame's worth more.
+                room = min(SHARD_IDS - writer.n_ids, FRAME_IDS)
+                end = max(at + 1, int(np.searchsorted(ends, ends[at] + room, "right")) - 1)
+                writer.add_run(doc_ids[at:end], np.diff(ends[at : end + 1]).tolist(), ids[ends[at] : ends[end]])
+                at = end
                 if writer.n_ids >= SHARD_IDS:
                     close()
         close()
         if made:
             cols = list(zip(*made, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["shard", "first_doc", "n_docs", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(cols)], ["shard", "first_doc", "last_doc", "n_docs", "n_ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     spark = docs.sparkSession
-    ordered.mapInArrow(write, "shard string, first_doc long, n_docs long, n_ids long").write.parquet(f"{folder}/written")
+    at = f"{folder}/encoded"
+    encode_documents(docs, tokenizer, end_id, id_col, text_col).write.parquet(at)
+    rows = spark.read.schema("id long, ids binary").parquet(at).withColumn("among", F.xxhash64("ids"))
+    order = [F.col("id").asc_nulls_first(), F.col("among").asc()]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "ids").mapInArrow(write, _WRITTEN).write.parquet(f"{folder}/written")
     # One row for each shard of millions of ids: the running total over them is small.
-    before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "n_ids", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    written = spark.read.schema("shard string, first_doc long, n_docs long, n_ids long").parquet(f"{folder}/written")
+    before = Window.orderBy(F.col("first_doc").asc_nulls_first(), F.col("last_doc").asc_nulls_first(), "shard").rowsBetween(Window.unboundedPreceding, -1)
+    written = spark.read.schema(_WRITTEN).parquet(f"{folder}/written")
     written.withColumn("ids_before", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).write.parquet(f"{folder}/manifest")
     return read_manifest(spark, folder)
 
 
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("shard string, first_doc long, n_docs long, n_ids long, ids_before long").parquet(f"{folder}/manifest")
+    return spark.read.schema(f"{_WRITTEN}, ids_before long").parquet(f"{folder}/manifest")
 
 
 def read_documents(manifest: DataFrame, folder: str, wanted: list[int] | None = None, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) from the shards; with ``wanted`` ids, only their frames are decompressed.
 
-    ``ids``: little-endian unsigned 32-bit integers; left out unless ``with_ids``.
+    ``ids``: little-endian unsigned 32-bit integers; left out unless ``with_ids``. Each row that was written gives a row, so an
+    id that was repeated has several; a None among the wanted ids stands for null ids; ids that no shard holds give no row.
     """
     from rootloom.llm.chunk_memo import crc32_of_ids
 
