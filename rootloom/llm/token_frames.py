@@ -35,8 +35,10 @@ FOOTER = struct.Struct("<QIIII8s")
 FRAME_IDS = 131_072
 #: Ids after which a task begins another shard.
 SHARD_IDS = 8_000_000
-#: Tasks at most that read shards back.
-READ_PARTS = 20_000
+#: Ranges of ids for each shuffle partition, as their hashes don't spread evenly.
+RANGES = 4
+#: Ids that a task reads back, and such tasks at most.
+READ_IDS, READ_PARTS = 4_000_000, 20_000
 
 
 class ShardWriter:
@@ -153,22 +155,36 @@ def with_end_ids(counts: np.ndarray, ids: np.ndarray, end_id: int | None) -> tup
     return counts + 1, out
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id long, ids binary) for each row: its ids, little-endian, with as many bytes each as the vocabulary needs; null texts are empty."""
+def encode_documents(docs: DataFrame, tokenizer: str, bounds: np.ndarray, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(part, id, ids binary) for each row: its ids, little-endian, with as many bytes each as the vocabulary needs; null texts are empty.
+
+    part: the range of ``bounds`` that the id is in (null: the first); an id that several bounds are equal to has its rows dealt over their ranges.
+    """
     path = tokenizer_path(tokenizer)
 
     def encode(batches):
-        memo = memo_for(path)
+        memo, seen = memo_for(path), 0
         for batch in batches:
             doc_ids = batch.column(0)
+            known = np.asarray(doc_ids.fill_null(np.iinfo(np.int64).min))
+            first, last = (np.searchsorted(bounds, known, side) for side in ("left", "right"))
+            part = (first + (seen + np.arange(len(known))) % (last - first + 1)).astype(np.int32)
+            seen += len(known)
             for at, counts, ids in memo.rounds(batch.column(1)):
                 counts, ids = with_end_ids(counts, ids, end_id)
                 offsets = np.concatenate([[0], np.cumsum(counts)]) * memo.width
                 # A run of documents holds ROUND_BYTES of text at most, or a single text.
                 column = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(at, len(counts)), column], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[at : at + len(counts)]), doc_ids.slice(at, len(counts)), column], ["part", "id", "ids"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, "part int, id long, ids binary")
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, "id long, ids binary")
+
+def id_bounds(docs: DataFrame, parts: int, id_col: str = "doc_id") -> np.ndarray:
+    """Ids that part the rows into ``parts`` ranges of about equal numbers; only the ids are read."""
+    cuts = [k / parts for k in range(1, parts)]
+    found = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), F.array(*map(F.lit, cuts)), 10 * parts)).first()[0] if cuts else None
+    return np.array(found or [], np.int64)
 
 
 _WRITTEN = "shard string, first_doc long, last_doc long, n_docs long, n_ids long"
@@ -180,15 +196,16 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     Manifest (also a Parquet table in ``folder``): shard, first_doc, last_doc, n_docs, n_ids, ids_before. ``end_id`` closes each
     document (None: nothing does). A null text is empty; null ids come first; rows with one id are ordered by a hash of their
     token ids, so that an id with very many rows goes over several shards; an empty table gives no shard; other columns
-    aren't read. Texts are encoded where they are read, and only their compact ids are kept and sorted. A shard is written under a name of
-    its own attempt and then renamed, and the manifest names what the committed tasks wrote, so tasks that run again leave nothing wrong.
+    aren't read. Ranges of ids come from the ids alone, so texts are encoded once, where they are read, and only compact token
+    ids are shuffled. A shard is written under a name of its own attempt and then renamed, and the manifest names what the
+    committed tasks wrote, so tasks that run again leave nothing wrong.
     """
     path = tokenizer_path(tokenizer)
 
     def write(batches):
         width = memo_for(path).width
         store, base = _store(folder)
-        out = writer = None
+        out = writer = in_part = None
         name, made = "", []
 
         def close():
@@ -201,11 +218,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
                 out = None
 
         for batch in batches:
-            doc_ids, column = batch.column(0).to_pylist(), batch.column(1)
+            part, doc_ids, column = np.asarray(batch.column(0)), batch.column(1).to_pylist(), batch.column(2)
             ends = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64) // width
             ids = np.frombuffer(column.buffers()[2] or b"", f"<u{width}")
             at = 0
             while at < len(doc_ids):
+                if part[at] != in_part:
+                    close()
+                    in_part = part[at]
                 if out is None:
                     name = f"{uuid.uuid4().hex}.tokens"
                     store.create_dir(base, recursive=True)
@@ -213,7 +233,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
                     writer = ShardWriter(out, width)
                 # As many documents as make the shard full, or at most a frame's worth more.
                 room = min(SHARD_IDS - writer.n_ids, FRAME_IDS)
-                end = max(at + 1, int(np.searchsorted(ends, ends[at] + room, "right")) - 1)
+                end = min(max(at + 1, int(np.searchsorted(ends, ends[at] + room, "right")) - 1), int(np.searchsorted(part, in_part, "right")))
                 writer.add_run(doc_ids[at:end], np.diff(ends[at : end + 1]).tolist(), ids[ends[at] : ends[end]])
                 at = end
                 if writer.n_ids >= SHARD_IDS:
@@ -224,11 +244,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(cols)], ["shard", "first_doc", "last_doc", "n_docs", "n_ids"])
 
     spark = docs.sparkSession
-    at = f"{folder}/encoded"
-    encode_documents(docs, tokenizer, end_id, id_col, text_col).write.parquet(at)
-    rows = spark.read.schema("id long, ids binary").parquet(at).withColumn("among", F.xxhash64("ids"))
-    order = [F.col("id").asc_nulls_first(), F.col("among").asc()]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "ids").mapInArrow(write, _WRITTEN).write.parquet(f"{folder}/written")
+    bounds = id_bounds(docs, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")), id_col)
+    rows = encode_documents(docs, tokenizer, bounds, end_id, id_col, text_col).withColumn("among", F.xxhash64("ids"))
+    # A task may get several ranges; it closes a shard with each.
+    ordered = rows.repartition("part").sortWithinPartitions("part", F.col("id").asc_nulls_first(), "among").select("part", "id", "ids")
+    ordered.mapInArrow(write, _WRITTEN).write.parquet(f"{folder}/written")
     # One row for each shard of millions of ids: the running total over them is small.
     before = Window.orderBy(F.col("first_doc").asc_nulls_first(), F.col("last_doc").asc_nulls_first(), "shard").rowsBetween(Window.unboundedPreceding, -1)
     written = spark.read.schema(_WRITTEN).parquet(f"{folder}/written")
@@ -275,7 +295,8 @@ def read_documents(manifest: DataFrame, folder: str, wanted: list[int] | None =
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 4 else pa.binary()) for k, c in enumerate(cols)], names)
 
     # A shard is some MB of work behind a tiny row, so the number of parts is given: adaptive execution would join them all.
-    parts = min(max(manifest.count(), 1), READ_PARTS)
+    n_shards, n_ids = manifest.agg(F.count("*"), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
+    parts = max(1, min(n_shards, READ_PARTS, max(n_ids // READ_IDS, manifest.sparkSession.sparkContext.defaultParallelism)))
     return manifest.select("shard", "ids_before").repartition(parts, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
