@@ -2,25 +2,27 @@
 
 Fingerprints are made per document; everything after that works on different fingerprints, so exact copies cost nothing.
 
-The index is a tree of shared bit patterns. A node is (mask, value): all its fingerprints agree with ``value`` on ``mask``.
-
-* Upper nodes, across the cluster: the free bits are cut into ``distance + 2`` blocks, and each choice of two blocks is a mask.
-  Two fingerprints at most ``distance`` bits apart leave two blocks alone, so they meet in some node, with no difference
-  gathered on its mask. A node of over ``node_size`` fingerprints isn't solved but refined: its free bits are cut again. After
-  three levels 8 bits are free, hence 256 fingerprints at most: no node grows with the corpus.
-* Lower nodes, inside a task: a node's fingerprints are sorted by Gray rank, so neighbours share most bits, and grouped by
-  eights into ever larger runs, each with the bits that all its members share. Two runs that already differ in over
-  ``distance`` of the bits both of them share are pruned as a whole; differences add up on the way down to the leaves.
-
-A node gives back a spanning forest of its links, not all its pairs, and the components of those are the classes.
+The index is one tree over all different fingerprints in Gray order, where neighbours share most bits:
+
+* Fingerprints are range-partitioned and sorted by Gray rank; runs of ``LEAF`` are leaves. A node's pattern is (mask, value):
+  the bits that all fingerprints below it share, factored out of them. Sixteen nodes side by side make a node of the level
+  above, up to a single root, by grouped bit operations.
+* The tree is joined with itself from the root down. Differences of two nodes on the bits that both of their patterns hold add
+  up on the way down, since a pattern holds all bits of the one above; a pair of nodes with over ``distance`` of them is
+  pruned with everything below it. Each level is a table of pairs, and a pair meets the children of its two nodes by equalities.
+* Pairs of leaves that are left go to tasks with their fingerprints, where runs of ``GROUP`` are pruned in the same way before
+  fingerprints are compared.
+
+A task gives back a spanning forest of the links it finds, not all pairs, and the components of those are the classes.
 """
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,11 +31,10 @@ from rootloom.llm.components import connected_components
 from rootloom.llm.shared import kept
 
 SEED = 42
-FAN = 8
-#: Nodes up to this size compare all their fingerprints, many nodes at once.
-SMALL = 12
-#: Refined nodes that a join may broadcast: 16 bytes each.
-BROADCAST_NODES = 100_000
+#: Fingerprints of a leaf, and of a run inside it; nodes of a node, as a number of bits.
+LEAF, GROUP, FAN_BITS = 64, 8, 4
+#: Nodes of a level whose pairs a task expands.
+NODES_AT_ONCE = 2_048
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -70,52 +71,46 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def near_pairs(codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions a < b of Gray-ordered codes at most ``distance`` bits apart."""
-    value, mask = codes, np.full(len(codes), np.uint64(2**64 - 1))
-    levels = [(value, mask)]
-    while len(value) > FAN:
-        at = np.arange(0, len(value), FAN)
-        shared = np.bitwise_and.reduceat(mask, at)
-        ones, any_one = np.bitwise_and.reduceat(value, at), np.bitwise_or.reduceat(value, at)
-        mask = shared & ~(ones ^ any_one)
-        value = ones & mask
-        levels.append((value, mask))
-    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(value)), np.arange(len(value)), indexing="ij"))
-    for k, (value, mask) in reversed(list(enumerate(levels))):
-        fits = a <= b
-        a, b = a[fits], b[fits]
-        fits = np.bitwise_count((value[a] ^ value[b]) & mask[a] & mask[b]) <= distance
-        a, b = a[fits], b[fits]
-        if k:
-            below = len(levels[k - 1][0])
-            a, b = np.repeat(a * FAN, FAN * FAN) + np.tile(np.repeat(np.arange(FAN), FAN), len(a)), np.repeat(b * FAN, FAN * FAN) + np.tile(np.tile(np.arange(FAN), FAN), len(b))
-            fits = (a < below) & (b < below)
-            a, b = a[fits], b[fits]
-    fits = a < b
-    return a[fits], b[fits]
-
-
-def spanning_links(codes: np.ndarray, node: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (positions) that join whatever is linked inside each node; ``node`` numbers the rows' nodes, which lie together."""
-    begin = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-    sizes = np.diff(np.append(begin, len(node)))
-    small = np.repeat(sizes <= SMALL, sizes)
-    left, right = [], []
-    for step in range(1, SMALL):
-        a = np.flatnonzero((node[:-step] == node[step:]) & small[:-step]) if len(node) > step else np.empty(0, np.int64)
-        if not len(a):
-            break
-        a = a[np.bitwise_count(codes[a] ^ codes[a + step]) <= distance]
-        left.append(a)
-        right.append(a + step)
-    for start, size in zip(begin[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-        order = start + np.argsort(gray_rank(codes[start : start + size]), kind="stable")
-        a, b = near_pairs(codes[order], distance)
-        left.append(order[a])
-        right.append(order[b])
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-    label = np.arange(len(codes))
+def gray_order(code: Column) -> Column:
+    """A long that sorts as the unsigned Gray rank does."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        code = code.bitwiseXOR(F.shiftrightunsigned(code, shift))
+    return code.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def shared_pattern(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mask, value) of the codes along the last axis."""
+    ones = np.bitwise_and.reduce(codes, axis=-1)
+    mask = ~(ones ^ np.bitwise_or.reduce(codes, axis=-1))
+    return mask, ones & mask
+
+
+def near_codes(x: np.ndarray, y: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Different codes (a, b) at most ``distance`` bits apart, a in a row of ``x`` and b in the same row of ``y``, and how many were compared.
+
+    Rows are Gray-ordered, and their lengths a multiple of GROUP.
+    """
+    found, compared = [], 0
+    n, width = x.shape
+    runs = width // GROUP
+    step = max(1, (1 << 19) // (runs * runs))
+    for at in range(0, n, step):
+        xs, ys = (z[at : at + step].reshape(-1, runs, GROUP) for z in (x, y))
+        (mx, vx), (my, vy) = shared_pattern(xs), shared_pattern(ys)
+        row, i, j = np.nonzero(np.bitwise_count((vx[:, :, None] ^ vy[:, None, :]) & mx[:, :, None] & my[:, None, :]) <= distance)
+        for k in range(0, len(row), 1 << 14):
+            p, q = xs[row[k : k + (1 << 14)], i[k : k + (1 << 14)]], ys[row[k : k + (1 << 14)], j[k : k + (1 << 14)]]
+            s, u, v = np.nonzero((np.bitwise_count(p[:, :, None] ^ q[:, None, :]) <= distance) & (p[:, :, None] != q[:, None, :]))
+            found.append((p[s, u], q[s, v]))
+            compared += len(p) * GROUP * GROUP
+    a, b = (np.concatenate([f[k] for f in found] or [np.empty(0, np.uint64)]) for k in (0, 1))
+    return a, b, compared
+
+
+def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the same codes as the given ones, one for each code but one of a tree."""
+    codes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, label = at[: len(a)], at[len(a) :], np.arange(len(codes))
     while True:
         least = np.minimum(label[a], label[b])
         before = label.copy()
@@ -125,52 +120,71 @@ def spanning_links(codes: np.ndarray, node: np.ndarray, distance: int) -> tuple[
         if (label == before).all():
             break
     moved = np.flatnonzero(label != np.arange(len(codes)))
-    return moved, label[moved]
-
+    return codes[moved], codes[label[moved]]
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
 
+def gray_leaves(fps: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """(part, k, mask, value, codes) of the leaves in Gray order; the last leaf of a part is filled up with its last code."""
 
-def refinements(mask: int, distance: int) -> list[int]:
-    """The masks below a node: its own, and two of the ``distance + 2`` blocks of its free bits."""
-    free = [b for b in range(63, -1, -1) if not mask >> b & 1]
-    n = distance + 2
-    blocks = [sum(1 << b for b in free[len(free) * k // n : len(free) * (k + 1) // n]) for k in range(n)]
-    return [mask | x | y for x, y in combinations(blocks, 2)]
+    def cut(batches):
+        part, k, held = TaskContext.get().partitionId(), 0, np.empty(0, np.uint64)
 
+        def rows(codes):
+            codes = np.concatenate([codes, np.repeat(codes[-1:], -len(codes) % leaf)]).reshape(-1, leaf)
+            mask, value = shared_pattern(codes)
+            n = len(codes)
+            data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * leaf * 8).astype("<i4")), pa.py_buffer(np.ascontiguousarray(codes))])
+            cols = [np.full(n, part, np.int64), np.arange(k, k + n), mask.view(np.int64), value.view(np.int64)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols), data], ["part", "k", "mask", "value", "codes"])
 
-def fingerprint_links(fps: DataFrame, distance: int = 2, node_size: int = 512) -> DataFrame:
+        for batch in batches:
+            held = np.concatenate([held, np.asarray(batch.column(0)).view(np.uint64)])
+            whole = len(held) // leaf * leaf
+            if whole:
+                yield rows(held[:whole])
+                k, held = k + whole // leaf, held[whole:]
+        if len(held):
+            yield rows(held)
+
+    ordered = fps.select("fp", gray_order(F.col("fp")).alias("o")).repartitionByRange("o").sortWithinPartitions("o")
+    return ordered.select("fp").mapInArrow(cut, "part long, k long, mask long, value long, codes binary")
+
+
+def tree_levels(leaves: DataFrame) -> list[DataFrame]:
+    """(node, mask, value) of each level, from the leaves up to the single root; a node's parent is node >> FAN_BITS."""
+    last_part, last_k = leaves.agg(F.coalesce(F.max("part"), F.lit(0)), F.coalesce(F.max("k"), F.lit(0))).first()
+    bits = -(-int(last_k).bit_length() // FAN_BITS) * FAN_BITS
+    levels = [leaves.select(F.shiftleft("part", bits).bitwiseOR(F.col("k")).alias("node"), "mask", "value")]
+    for _ in range(-(-((last_part << bits) | last_k).bit_length() // FAN_BITS)):
+        shared = F.expr("bit_and(mask) & ~(bit_and(value) ^ bit_or(value))")
+        up = levels[-1].groupBy(F.shiftright("node", FAN_BITS).alias("node")).agg(shared.alias("mask"), (F.expr("bit_and(value)").bitwiseAND(shared)).alias("value"))
+        levels.append(kept(up, "level"))
+    return levels
+
+
+def fingerprint_links(fps: DataFrame, distance: int = 2, leaf: int = LEAF) -> DataFrame:
     """Edges (a, b) between different fingerprints ``fp`` that connect all those at most ``distance`` bits apart, and no others."""
-    spark = fps.sparkSession
+    leaves = kept(gray_leaves(fps, leaf), "leaves")
+    levels = tree_levels(leaves)
+    pairs = levels[-1].select(F.col("node").alias("a"), F.col("node").alias("b"))
+    for level in reversed(levels[:-1]):
+        a, b = (level.select(F.shiftright("node", FAN_BITS).alias(x), F.col("node").alias(f"{x}_node"), F.col("mask").alias(f"{x}_mask"), F.col("value").alias(f"{x}_value")) for x in "ab")
+        differences = F.bit_count((F.col("a_value").bitwiseXOR(F.col("b_value"))).bitwiseAND(F.col("a_mask")).bitwiseAND(F.col("b_mask")))
+        parts = -(-level.count() // NODES_AT_ONCE)
+        spread = pairs.repartition(parts, "a", "b") if parts > 1 else pairs
+        near = spread.join(a, "a").join(b, "b").where((F.col("a_node") <= F.col("b_node")) & (differences <= distance))
+        pairs = kept(near.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "pairs")
 
     def solve(batches):
         for batch in batches:
-            lists = batch.column(0)
-            lens = np.diff(lists.offsets.to_numpy())
-            codes = lists.flatten().to_numpy().view(np.uint64)
-            a, b = spanning_links(codes, np.repeat(np.arange(len(lens)), lens), distance)
-            yield pa.RecordBatch.from_arrays([pa.array(codes[a].view(np.int64)), pa.array(codes[b].view(np.int64))], ["a", "b"])
-
-    found, level, masks = None, fps.select("fp", F.lit(0).cast("long").alias("mask")), [0]
-    while True:
-        below = {m: refinements(m, distance) for m in masks}
-        last = 64 - max(m.bit_count() for x in below.values() for m in x) <= 8
-        choice = F.create_map(*[x for m, ms in below.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in ms]))])
-        rows = level.select("fp", F.explode(choice[F.col("mask")]).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-        heavy = None
-        if not last:
-            heavy = kept(rows.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > node_size).drop("n"), "nodes")
-            n_heavy = heavy.count()
-            heavy = None if not n_heavy else F.broadcast(heavy) if n_heavy <= BROADCAST_NODES else heavy
-        solved = rows if heavy is None else rows.join(heavy, ["mask", "value"], "left_anti")
-        nodes = solved.groupBy("mask", "value").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
-        links = nodes.mapInArrow(solve, "a long, b long")
-        found = links if found is None else found.union(links)
-        if heavy is None:
-            return found
-        level = kept(rows.join(heavy, ["mask", "value"], "left_semi").select("fp", "mask"), "refined")
-        masks = sorted({m for ms in below.values() for m in ms})
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, leaf) for c in (0, 1))
+            a, b = spanning_forest(*near_codes(x, y, distance)[:2])
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    bits = -(-int(leaves.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]).bit_length() // FAN_BITS) * FAN_BITS
+    codes = leaves.select(F.shiftleft("part", bits).bitwiseOR(F.col("k")).alias("node"), "codes").hint("merge")
+    both = pairs.join(codes.toDF("a", "x"), "a").join(codes.toDF("b", "y"), "b")
+    return both.select("x", "y").mapInArrow(solve, "a long, b long")
 
 
 def simhash_classes(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
