@@ -4,8 +4,9 @@ Level 1 holds the listed keys; level 2 holds those keys of the corpus that level
 keys that level 2 takes for those; and so on, until no key is mistaken. Over the complete universe of the corpus's keys the
 answer is exact, and a lookup touches a few bits: no join, no key list in the tasks.
 
-A filter's size is known before it is built (from the counts of keys). Up to ``MAX_BITS`` in all it travels as a constant in the
-plan; beyond, ``listed_condition`` gives nothing, and ``mark_listed`` looks the keys up by a join instead.
+A filter's size is known before it is built (from the counts of keys). Up to ``MAX_BITS`` in all a cascade travels as a constant in
+the plan. Beyond, keys and rows are parted by a hash of the key, and each part has a cascade of its own under that bound: parts
+are written as folders once, so each reads only its own rows, and the driver holds the bits of one part at a time.
 """
 
 from __future__ import annotations
@@ -15,15 +16,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rootloom.llm.shared import kept
+from rootloom.llm.shared import kept, new_folder
 
 #: 1 MB as longs; a level's words are collected to the driver under this bound.
 MAX_BITS = 1 << 23
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The rules judged first, and the words that put a host on the list.
-RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 LISTED_WORDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam")
 
 
@@ -38,11 +40,8 @@ class Level:
         return _positions(key, self.number, self.bits, self.hashes)
 
     def accepts(self, key: Column) -> Column:
-        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to a constant
-        out = F.lit(True)
-        for p in self.positions(key):
-            out = out & (F.getbit(F.get(words, (p / 64).cast("int")), (p % 64).cast("int")) == 1)
-        return out
+        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to a constant, once a level
+        return F.forall(F.array(*self.positions(key)), lambda p: F.getbit(F.get(words, (p / 64).cast("int")), (p % 64).cast("int")) == 1)
 
 
 @dataclass(frozen=True)
@@ -78,38 +77,69 @@ def _level(keys: DataFrame, n: int, rate: float, number: int) -> Level:
     return Level(bits, hashes, tuple(words), number)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, most_levels: int = 40) -> Cascade | None:
-    """Over non-null keys (column ``key``); listed keys outside the universe count as part of it. None: over MAX_BITS.
+def marked_keys(listed: DataFrame, universe: DataFrame) -> DataFrame:
+    """(key, listed): the different non-null keys of both, written down; listed keys outside the universe count as part of it."""
+    both = universe.select("key", F.lit(False).alias("listed")).union(listed.select("key", F.lit(True)))
+    return kept(both.where("key is not null").groupBy("key").agg(F.max("listed").alias("listed")), "keys")
 
-    The different keys are gathered once, with whether they are listed, by one grouping; every level reads that table.
-    """
-    marked = universe.select("key", F.lit(False).alias("listed")).union(listed.select("key", F.lit(True)))
-    marked = kept(marked.where("key is not null").groupBy("key").agg(F.max("listed").alias("listed")), "keys")
-    listed, outside = marked.where("listed").select("key"), marked.where("not listed").select("key")
+
+def _first_rate(n_in: int, n_out: int) -> float:
+    return min(0.5, max(1e-6, 0.7 * n_in / max(n_out, 1)))
+
+
+def expected_bits(n_in: int, n_out: int) -> int:
+    """Bits of all levels, as they come out on average."""
+    rate, bits = _first_rate(n_in, n_out), 0
+    while n_in >= 1:
+        bits += _shape(int(n_in), rate)[0]
+        n_in, n_out, rate = n_out * rate, n_in, 0.5
+    return bits
+
+
+def cascade_of(marked: DataFrame) -> Cascade:
+    """The cascade over keys (key, listed), each once; every level reads that table."""
+    inside, outside = marked.where("listed").select("key"), marked.where("not listed").select("key")
     n_in, n_out = (marked.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()) or (0, 0)
-    rate = min(0.5, max(1e-6, 0.7 * n_in / max(n_out, 1)))
+    rate = _first_rate(n_in, n_out)
     levels: list[Level] = []
-    inside, spent = listed, 0
-    while n_in and len(levels) < most_levels:
-        rate = rate if not levels else 0.5
-        spent += _shape(n_in, rate)[0]
-        if spent > MAX_BITS:
-            return None
+    while n_in:
         level = _level(inside, n_in, rate, len(levels) + 1)
         levels.append(level)
         # What the new level mistakes are the keys of the next one.
-        inside, outside = outside.where(level.accepts(F.col("key"))), inside
+        inside, outside, rate = outside.where(level.accepts(F.col("key"))), inside, 0.5
         n_in = inside.count()
-    return None if n_in else Cascade(tuple(levels))
+    return Cascade(tuple(levels))
 
 
-def mark_listed(rows: DataFrame, key: str, listed: DataFrame, universe: DataFrame, flag: str = "listed") -> DataFrame:
-    """``rows`` with a boolean: whether ``key`` is listed. By the cascade, or where that is over its bound, by a join."""
-    cascade = build_cascade(listed, universe)
-    if cascade is not None:
-        return rows.withColumn(flag, cascade.contains(F.col(key)))
-    found = listed.select(F.col("key").alias(key), F.lit(True).alias(flag))
-    return rows.join(found, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
+    """Over non-null keys (column ``key``); a repeated key counts once. For sides of a known size: all bits travel in the plan."""
+    return cascade_of(marked_keys(listed, universe))
+
+
+def mark_listed(rows: DataFrame, key: str, listed: DataFrame, universe: DataFrame, flag: str = "listed", max_bits: int = MAX_BITS) -> DataFrame:
+    """``rows`` with a boolean: whether ``key`` (text) is listed, by one cascade, or by one for each part of the keys beyond ``max_bits``.
+
+    A null key isn't listed; repeated rows each keep their own; keys that are repeated in ``listed`` or ``universe`` count once; every
+    key of ``rows`` has to be in ``universe`` (or listed) for the answer to be exact. No keys at all: nothing is listed.
+    """
+    marked = marked_keys(listed, universe)
+    n_in, n_out = (marked.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()) or (0, 0)
+    parts = -(-2 * expected_bits(n_in, n_out) // max_bits)  # half full on average, as parts aren't quite equal
+    if parts <= 2:
+        return rows.withColumn(flag, cascade_of(marked).contains(F.col(key)))
+    spark, part = rows.sparkSession, f"{flag}_part"
+    folders = []
+    for df, column in ((marked, "key"), (rows, key)):
+        folders.append(new_folder(spark, "parts"))
+        # A hot key's rows may fill several files of their part.
+        df.withColumn(part, F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")).hint("rebalance", part).write.partitionBy(part).parquet(folders[-1])
+    keys, parted = (spark.read.schema(T.StructType([*df.schema.fields, T.StructField(part, T.IntegerType())])).parquet(at) for df, at in zip((marked, rows), folders, strict=True))
+    found = None
+    for k in range(parts):
+        cascade = cascade_of(keys.where(F.col(part) == k).select("key", "listed"))
+        mine = kept(parted.where(F.col(part) == k).drop(part).withColumn(flag, cascade.contains(F.col(key))), "listed")
+        found = mine if found is None else found.union(mine)
+    return found
 
 
 def url_host(url: Column) -> Column:
@@ -138,7 +168,7 @@ def rule_candidates(host: Column, path: Column, rules: tuple[tuple[str, str], ..
 
 
 def listed_hosts(hosts: DataFrame, words: tuple[str, ...] = LISTED_WORDS) -> DataFrame:
-    """The block list where none is given: hosts with one of the words as a label or a part of a label between hyphens."""
+    """An example of a block list, taken where none is given: hosts with one of the words as a label or a part of a label between hyphens."""
     return hosts.where(F.col("key").rlike(rf"(^|[.-])({'|'.join(words)})([.-]|$)"))
 
 
@@ -150,8 +180,9 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, lis
     allowed. ``listed``: a table with the column ``key`` of hosts (default: ``listed_hosts``). Both lookups go through a
     cascade over all the keys that the table has.
 
-    A null url, or one without ``://``, has an empty host and path; null ids stay; repeated rows each give a row; an empty table
-    gives no rows; other columns aren't read.
+    A null url, or one without ``://``, has an empty host and path; a rule's path begins with its slash, so ``com/`` doesn't fit
+    a url that ends with its host. A url of any length is judged whole; null ids stay; repeated rows each give a row; an empty
+    table gives no rows; other columns aren't read.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
@@ -161,7 +192,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, lis
     rule_keys = _literal_keys(spark, [r for r, _ in rules])
     by_rule = build_cascade(rule_keys, rows.select(F.explode("candidates").alias("key")).distinct())
     verdicts = F.create_map(*[F.lit(x) for r in rules for x in r]) if rules else F.create_map().cast("map<string,string>")
-    fits = F.filter("candidates", by_rule.contains) if by_rule is not None else F.array_intersect("candidates", F.map_keys(verdicts))
+    fits = F.filter("candidates", by_rule.contains)
     best = F.array_min(F.transform(fits, lambda k: F.struct((-F.length(k)).alias("n"), k.alias("key"))))["key"]
     rows = mark_listed(rows.withColumn("rule", best).drop("candidates"), "host", listed, hosts)
     verdict = F.coalesce(F.try_element_at(verdicts, F.col("rule")), F.when(F.col("listed"), "block").otherwise("allow"))
