@@ -56,18 +56,33 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def memo_for(path: str) -> ChunkMemo:
-    """One memo for each Python worker and tokenizer file; workers are used again by later tasks."""
+def memo_for(path: str, beside: str | None = None, generation: int = GENERATION) -> ChunkMemo:
+    """One memo for each Python worker and tokenizer file; workers are used again by later tasks.
+
+    A worker keeps the memo asked for last, and that of ``beside``, a file whose memo is in use, too. ``generation``: entries of half of the memo.
+    """
     if path not in _memos:
-        _memos.clear()
+        for other in [p for p in _memos if p != beside]:
+            del _memos[other]
         _memos[path] = ChunkMemo(path)
+    _memos[path].generation = generation
     return _memos[path]
 
 
+def long_parts(text: str):
+    """Parts of a very long text, cut at single spaces that are in no part."""
+    start = 0
+    while start is not None:
+        space = _LONG_CUT.search(text, start + ROUND_BYTES // 4)
+        yield text[start : space.start() if space else None]
+        start = space.end() if space else None
+
+
 class ChunkMemo:
     def __init__(self, path: str):
         self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.generation = GENERATION
         if path.endswith(".model"):
             import sentencepiece
 
@@ -158,8 +173,8 @@ class ChunkMemo:
         if todo:
             new.update(zip(todo, self._encode(todo), strict=True))
         out = [new[k] for k in keys]
-        if len(new) > GENERATION:
-            self.old, self.new = (new if len(new) <= 2 * GENERATION else {}), {"": b""}
+        if len(new) > self.generation:
+            self.old, self.new = (new if len(new) <= 2 * self.generation else {}), {"": b""}
         return out
 
     def _round(self, texts: pa.Array, want_ids: bool, follows: bool = False):
@@ -196,12 +211,7 @@ class ChunkMemo:
 
     def _long(self, text: str, want_ids: bool):
         """One text in parts, so that only its ids are held whole."""
-        found, start = [], 0
-        while start is not None:
-            space = _LONG_CUT.search(text, start + ROUND_BYTES // 4)
-            part = text[start : space.start() if space else None]
-            found.append(self._round(pa.array([part], pa.large_string()), want_ids, start > 0))
-            start = space.end() if space else None
+        found = [self._round(pa.array([part], pa.large_string()), want_ids, k > 0) for k, part in enumerate(long_parts(text))]
         return np.array([sum(int(n.sum()) for n, _ in found)]), np.concatenate([x for _, x in found]) if want_ids else None
 
     def encode(self, texts: pa.Array):
