@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rootloom.llm.chunk_memo import ROUND_BYTES, ChunkMemo, tokenizer_path
+from rootloom.llm.chunk_memo import ROUND_BYTES, ChunkMemo, long_parts, tokenizer_path
 
 #: Symbols up to which chunks share a matrix.
 WIDTHS = (8, 12, 16, 24, 40)
@@ -235,15 +235,15 @@ class DropoutCoder:
             self.memo[chunk] = (ids[a:e], marks[b:u])
             a, b = e, u
 
-    def encode_round(self, texts: pa.Array, doc_keys: np.ndarray) -> list[np.ndarray]:
-        """The ids of each text. ``doc_keys``: a 64-bit key of each document, from its id and text."""
-        parts = self.cutter.cut(texts)
+    def encode_round(self, texts: pa.Array, doc_keys: np.ndarray, first_place: int = 0, follows: bool = False) -> tuple[list[np.ndarray], int]:
+        """The ids of each text, and how many chunks there were. ``doc_keys``: a 64-bit key of each document, from its id and text."""
+        parts = self.cutter.cut(texts, follows)
         offsets = parts.offsets.to_numpy()
         words = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         at, names = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
         offsets = offsets - offsets[0]
         counts = np.diff(offsets)
-        place = np.arange(len(at)) - np.repeat(offsets[:-1], counts)
+        place = np.arange(len(at)) - np.repeat(offsets[:-1], counts) + first_place
         word = mix(np.repeat(doc_keys, counts) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         if len(self.memo) > MEMO:
             self.memo.clear()
@@ -270,7 +270,7 @@ class DropoutCoder:
             pool = np.concatenate([pool, found])
         total = np.concatenate([[0], np.cumsum(each)])
         ids = pool[np.repeat(begin - total[:-1], each) + np.arange(total[-1])]
-        return np.split(ids, total[offsets[1:-1]])
+        return np.split(ids, total[offsets[1:-1]]), len(at)
 
     def encode(self, texts: pa.Array, doc_ids: list):
         import xxhash
@@ -280,8 +280,16 @@ class DropoutCoder:
         keys = np.array([xxhash.xxh64_intdigest(t, k) for t, k in zip(texts.cast(pa.large_binary()).to_pylist(), seeds, strict=True)], np.uint64)
         size, at = np.cumsum(pc.binary_length(texts).to_numpy()), 0
         while at < len(texts):
-            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + ROUND_BYTES, "right")))
-            yield from self.encode_round(texts.slice(at, end - at), keys[at:end])
+            done = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, done + ROUND_BYTES, "right")))
+            if size[end - 1] - done <= ROUND_BYTES:
+                yield from self.encode_round(texts.slice(at, end - at), keys[at:end])[0]
+            else:
+                found, place = [], 0
+                for part in long_parts(texts[at].as_py()):
+                    ids, n = self.encode_round(pa.array([part], pa.large_string()), keys[at:end], place, place > 0)
+                    found, place = found + ids, place + n
+                yield np.concatenate(found)
             at = end
 
     def decode(self, ids) -> bytes:
