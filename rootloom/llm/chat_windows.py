@@ -10,7 +10,8 @@ the next window begins before the turn that would. A window is such a part behin
 and those turns of the window before whose tokens up to the window's start are ``history`` at most and still have room.
 The loss mask covers assistant texts, not the repeated ones, so over all windows each is learned once.
 
-Tokens are counted as letters-or-digits runs and single other marks, plus ``TURN_TOKENS`` for a turn's frame.
+Tokens of a turn are a column of the table (``token_counts`` over its texts makes one for any public vocabulary), or, where there is none,
+letters-or-digits runs and single other marks; ``TURN_TOKENS`` for a turn's frame are added.
 """
 
 from __future__ import annotations
@@ -32,22 +33,22 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\([\\~]*)\|", r"<$1|")
 
 
-def format_conversations(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def format_conversations(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens_col: str | None = None) -> DataFrame:
     """(conv_id, window, n_tokens, n_repeated, formatted, loss_spans) from rows (conv_id, turn, role, text).
 
     n_repeated: turns at the window's start that an earlier window has. loss_spans: start and length in code points of
     ``formatted`` (escaped), in order. A turn is never cut: a window is over the budget only if it is one turn that the system turn leaves
     no room for.
 
-    Null texts and roles are empty; rows of a null conversation are one conversation; turns are ordered by turn (null first),
+    ``tokens_col``: whole number of tokens of each turn's text (null counts as 0). Null texts and roles are empty; rows of a null conversation are one conversation; turns are ordered by turn (null first),
     role and text, so repeated rows are turns of their own; an empty table gives no windows; other columns aren't read.
     """
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), (F.lit(None) if tokens_col is None else F.coalesce(F.col(tokens_col), F.lit(0))).cast("int").alias("tokens"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     so_far, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("conv_id")
     rows = rows.withColumn("seq", F.row_number().over(order))
     system = (F.col("seq") == 1) & (F.col("role") == "system")
-    rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(TOKEN)) + TURN_TOKENS)
+    rows = rows.withColumn("tokens", F.coalesce("tokens", F.regexp_count("text", F.lit(TOKEN))) + TURN_TOKENS)
     rows = rows.withColumn("counted", F.when(system, 0).otherwise(F.col("tokens")))
     rows = rows.withColumn("until", F.sum("counted").over(so_far)).withColumn("since", F.col("until") - F.col("counted"))
     rows = rows.withColumn("span", F.floor(F.col("since") / max(budget // 2, 1)))

@@ -118,13 +118,23 @@ class QuadraticDiscriminant:
     slope: float = 1.0
     shift: float = 0.0
 
+    def __post_init__(self):
+        # A factor is inverted once, by forward substitution; a batch is then one product for each class.
+        self.inverses, self.log_dets = [], []
+        for factor in self.factors:
+            inverse = np.zeros_like(factor)
+            for k in range(len(factor)):
+                inverse[k] = (np.eye(len(factor))[k] - factor[k, :k] @ inverse[:k]) / factor[k, k]
+            self.inverses.append(inverse)
+            self.log_dets.append(float(np.log(np.diag(factor)).sum()))
+
     def difference(self, x: np.ndarray) -> np.ndarray:
         """Log density of class 1 less that of class 0, with priors."""
         z = np.clip((x - self.center) / self.scale, -CLIP, CLIP)
         out = []
-        for mean, factor, prior in zip(self.means, self.factors, self.log_priors, strict=True):
-            w = np.linalg.solve(factor, (z - mean).T)
-            out.append(prior - 0.5 * (w * w).sum(axis=0) - np.log(np.diag(factor)).sum())
+        for mean, inverse, log_det, prior in zip(self.means, self.inverses, self.log_dets, self.log_priors, strict=True):
+            w = (z - mean) @ inverse.T
+            out.append(prior - 0.5 * (w * w).sum(axis=1) - log_det)
         return out[1] - out[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
