@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from rootloom.llm.chat_windows import BUDGET, END, INJECTION, START, conversation_digests, format_conversations, read_windows, with_injection
-from rootloom.llm.quality_qda import STATISTICS, classify_quality, fit_moments, statistics
+from rootloom.llm.quality_qda import RIDGE, SHRINK, STATISTICS, classify_quality, fit_calibration, fit_moments, statistics
 
 
 def test_statistics_are_finite():
@@ -58,6 +58,41 @@ def test_the_discriminant_is_the_textbook_one():
     assert np.allclose(model.difference(point), density[1] - density[0])
 
 
+def test_the_fit_is_the_textbook_one():
+    rng = np.random.default_rng(4)
+    d = len(STATISTICS)
+    x = {c: rng.normal(c, 1 + c, (200 + 300 * c, d)) @ rng.normal(size=(d, d)) for c in (0, 1)}
+    model = fit_moments({c: (z := np.hstack([np.ones((len(v), 1)), v])).T @ z for c, v in x.items()})
+    everything = np.concatenate([x[0], x[1]])
+    center, scale = everything.mean(axis=0), everything.std(axis=0)
+    s = {c: (v - center) / scale for c, v in x.items()}
+    own = {c: np.cov(v.T, bias=True) for c, v in s.items()}
+    within = sum(len(s[c]) * own[c] for c in (0, 1)) / len(everything)
+    assert np.allclose(model.center, center) and np.allclose(model.scale, scale)
+    for c in (0, 1):
+        cov = (1 - SHRINK) * own[c] + SHRINK * within
+        cov = (1 - RIDGE) * cov + RIDGE * np.trace(cov) / d * np.eye(d)
+        assert np.allclose(model.means[c], s[c].mean(axis=0)) and np.allclose(model.factors[c] @ model.factors[c].T, cov)
+        assert np.allclose(model.inverses[c] @ model.factors[c], np.eye(d)) and np.allclose(np.triu(model.inverses[c], 1), 0)
+
+
+def test_the_calibration_is_the_likeliest_curve(spark):
+    rng = np.random.default_rng(8)
+    d = len(STATISTICS)
+    x = np.concatenate([rng.normal(0, 1, (1500, d)), rng.normal(0.25, 1.1, (1500, d))])
+    y = np.repeat([0, 1], 1500)
+    model = fit_moments({c: (z := np.hstack([np.ones((1500, 1)), x[y == c]])).T @ z for c in (0, 1)})
+    fit_calibration(model, spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y)], "x array<double>, label int"))
+    s = model.difference(x)
+
+    def loss(slope, shift):
+        z = slope * s + shift
+        return np.mean(np.logaddexp(0, np.where(y == 1, -z, z)))
+
+    here = loss(model.slope, model.shift)
+    assert all(here <= loss(model.slope * a, model.shift + b) + 1e-4 for a in (0.9, 1.0, 1.1) for b in (-0.1, 0.0, 0.1))
+
+
 def talk(rows):
     return [(c, t, r, x) for c, t, r, x in rows]
 
@@ -123,6 +158,13 @@ def test_windows_keep_their_budget_beside_a_system_turn_and_history(spark):
     assert digests == brute(rows)
 
 
+def test_windows_count_a_column_of_tokens(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", "word " * 3, 500) for i in range(5)] + [(2, 0, "user", "w " * 3000, None), (2, 1, "assistant", "x", 7)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, size long")
+    got = {(r["conv_id"], r["window"]): r["n_tokens"] for r in format_conversations(df, tokens_col="size").collect()}
+    assert got == {(1, 0): 1008, (1, 1): 504, (1, 2): 504, (1, 3): 504, (2, 0): 15}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from rootloom.llm.chunk_memo import ChunkMemo, memo_for, tokenizer_path
-from rootloom.llm.fertility_rules import apply_rules, plain_counts, token_measures
+from rootloom.llm.fertility_rules import BANDS, DEFAULT_BAND, EVENNESS_CAP, LEAST_TOKENS, MEASURES, SCRIPT_BANDS, apply_rules, plain_counts, token_measures
 from rootloom.llm.packing import fullest_combination, pack_documents, plan_sequences
 from rootloom.llm.piece_dropout import DropoutCoder, decode_pieces, encode_pieces
 from rootloom.llm.token_counts import token_counts
@@ -42,6 +42,19 @@ def test_chunks_give_the_librarys_ids(name):
     assert got == library_ids(name, texts)
 
 
+@pytest.mark.parametrize("name", [BYTE, WORD, PIECE])
+def test_long_texts_in_parts_give_the_librarys_ids(name, monkeypatch):
+    from rootloom.llm import chunk_memo
+
+    monkeypatch.setattr(chunk_memo, "ROUND_BYTES", 400)
+    rng = random.Random(9)
+    pieces = ["Word", "wörter,", "don't", "(x)", "a.b;c!", "ß*", "É?É", "x_y", "3.14", "A", "\n", "<|endoftext|>", "naïve:", "e\u0301.", "Þú#", "ab<|", "  ", "\t", "▁", '"q"', "a-b", "f(x)=y/z&w"]
+    texts = [" ".join(rng.choice(pieces[: rng.choice((5, 11, 22))]) for _ in range(rng.randint(0, 900))) for _ in range(40)] + ["x" * 3000, "a " * 2000, " " * 900 + "a b"]
+    memo = ChunkMemo(tokenizer_path(name))
+    assert [x.tolist() for x in memo.encode(pa.array(texts))] == library_ids(name, texts)
+    assert [n for _, c, _ in memo.rounds(pa.array(texts), want_ids=False) for n in c.tolist()] == [len(x) for x in library_ids(name, texts)]
+
+
 ROWS = [(5, "a b  c"), (1, None), (None, "x"), (2, ""), (2, ""), (9, "long " * 4000), (7, "né <|endoftext|> x"), (5, "a b  c")]
 
 
@@ -129,6 +142,57 @@ def test_token_measures():
     assert np.allclose(entropy, [1.5, 0, 0])
 
 
+def script_by_name(text):
+    import unicodedata
+
+    names = {"LATIN": "latin", "GREEK": "greek", "CYRILLIC": "cyrillic", "HEBREW": "hebrew", "ARABIC": "arabic", "DEVANAGARI": "indic", "THAI": "indic", "HIRAGANA": "kana", "KATAKANA": "kana", "CJK": "han", "HANGUL": "hangul"}
+    found = Counter(names[n] for c in text if c.isalpha() and (n := unicodedata.name(c).split()[0]) in names)
+    return found.most_common(1)[0][0] if found else None
+
+
+def test_rules_against_brute_force(spark):
+    rng = random.Random(21)
+    alphabets = ["etaoinshrdlu", "αβγδειλνοπρσ", "абвгдеийклмно", "אבגדהוזחטי", "ابتثجحدرسعف", "कखगघचजटडतथ", "กขคงจชซญดต", "あいうえおかきく", "アイウエオカキク", "的一是不了人我在有他这中大来上", "가나다라마바사아자", "0123456789", "#$%&*"]
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(n)) for letters in alphabets for n in (60, 90)]
+    texts += ["".join(rng.choice("QZXJVKWqzxjvk0123456789+/") for _ in range(4000)), "the same words here " * 30, "short", "", None, " ".join(map(str, range(70))), "Die Straße und das Haus, wo er wohnt. " * 3 + " ".join(f"wort{i}" for i in range(60))]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate((t, lang) for t in texts for lang in (None, "en", "fr", "zz"))]
+    got = {r["doc_id"]: r for r in apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as script", "2 as n_second")).collect()}
+    sp, scripts, verdicts = memo_for(tokenizer_path(PIECE)).sp, set(), set()
+    blank = {f"<0x{c:02X}>" for c in b" \t\n\x0b\x0c\r"}
+    for i, text, lang in rows:
+        text, r = text or "", got[i]
+        ids, n_second, plain = sp.encode(text), len(library_ids(WORD, [text])[0]), brute_counts(text)
+        n, each = max(len(ids), 1), Counter(ids)
+        fallback = sum(sp.is_byte(x) and sp.id_to_piece(x) not in blank for x in ids) / n
+        entropy = -sum(k / n * np.log2(k / n) for k in each.values())
+        want = (len(text) / n, plain[1] / max(n_second, 1), fallback, entropy / np.log2(min(max(n, 2), EVENNESS_CAP)))
+        assert np.allclose([r[m] for m in MEASURES], want), text[:40]
+        script = script_by_name(text)
+        assert r["script"] == script and (r["n_tokens"], r["n_second"]) == (len(ids), n_second)
+        band = BANDS.get(lang) or SCRIPT_BANDS.get(script) or DEFAULT_BAND
+        fits = band.chars_per_token[0] <= want[0] <= band.chars_per_token[1] and band.words_chars_per_token[0] <= want[1] <= band.words_chars_per_token[1] and want[2] <= band.fallback_share and want[3] >= band.token_evenness
+        failed = plain[0] < 50 or 100 * plain[4] > 50 * plain[0]
+        assert (r["base_failed"], r["kept"]) == (failed, not failed and (fits or len(ids) < LEAST_TOKENS)), text[:40]
+        scripts.add(script)
+        verdicts.add((failed, r["kept"]))
+    assert len(scripts) == len(SCRIPT_BANDS) + 1 and len(verdicts) == 3
+
+
+def test_prose_of_many_scripts_is_kept(spark):
+    prose = {
+        "zh": "春天来了，小河边的柳树长出了新的叶子。孩子们放学以后常常到那里去玩，有的钓鱼，有的画画，还有的坐在石头上看书。老人们在树下喝茶，谈论过去的事情。",
+        "ru": "Весной река становится шире, и дети приходят после школы играть на берегу. Старики сидят под деревьями, пьют чай и говорят о прошлом, а молодые строят новые дома.",
+        "ja": "春になると川の水が増えて、子どもたちは学校のあとで岸辺に遊びに来ます。お年寄りは木の下でお茶を飲みながら、昔の話をしています。",
+        "ar": "في الربيع يرتفع ماء النهر ويأتي الأطفال بعد المدرسة للعب على الضفة. يجلس الشيوخ تحت الأشجار ويشربون الشاي ويتحدثون عن الماضي.",
+        "el": "Την άνοιξη το ποτάμι φουσκώνει και τα παιδιά έρχονται μετά το σχολείο να παίξουν στην όχθη. Οι γέροι κάθονται κάτω από τα δέντρα.",
+        "hi": "वसंत में नदी का पानी बढ़ जाता है और बच्चे स्कूल के बाद किनारे पर खेलने आते हैं। बूढ़े लोग पेड़ों के नीचे बैठकर चाय पीते हैं।",
+        "ko": "봄이 오면 강물이 불어나고 아이들은 학교가 끝난 뒤 강가에 놀러 온다. 노인들은 나무 아래에서 차를 마시며 지난 이야기를 나눈다.",
+    }
+    rows = [(k, " ".join([*t, *(f"{t[i : i + 3]}" for i in range(0, len(t) - 3, 2))]) if k in ("zh", "ja") else t + " " + " ".join(w[::-1] + w[:2] for w in t.split()) + " " + " ".join(w + w[-1:] for w in t.split()), k) for k, t in prose.items()]
+    got = {r["doc_id"]: r for r in apply_rules(spark.createDataFrame(rows, "doc_id string, text string, lang string")).collect()}
+    assert {k: r["band_failed"] for k, r in got.items()} == dict.fromkeys(prose, False)
+
+
 def test_rules(spark):
     rng = random.Random(12)
     prose = " ".join(rng.choice("river stone quiet village number water garden people morning through between children history market winter letter window station mountain evening".split()) for _ in range(120))
@@ -210,6 +274,70 @@ def test_matrix_and_heap_agendas_agree():
         assert coder._agenda(coder._start(chunk), word).astype(coder.cutter.dtype).tobytes() == found
 
 
+def naive_agenda(sp, chunk, word, rate):
+    """The pieces of a chunk: over and over the best pair that isn't skipped, all in plain integers."""
+    full = 2**64
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % full
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % full
+        return x ^ (x >> 31)
+
+    known = {sp.id_to_piece(i): i for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    symbols = []  # (place, piece as text, or the number of a byte)
+    for c in chunk.replace(" ", "\u2581"):
+        symbols += [c] if c in known else list(c.encode())
+    symbols = [[k, s] for k, s in enumerate(symbols)]
+    skipped = set()
+    while True:
+        best = None
+        for (a, left), (_, right) in zip(symbols, symbols[1:]):
+            if isinstance(left, str) and isinstance(right, str) and left + right in known and (a, left, right) not in skipped:
+                order = (-sp.get_score(known[left + right]), a)
+                best = min(best, (order, a, left, right)) if best else (order, a, left, right)
+        if best is None:
+            return [known[s] if isinstance(s, str) else sp.piece_to_id(f"<0x{s:02X}>") for _, s in symbols]
+        _, a, left, right = best
+        if mixed(mixed(word ^ (a * 0x9E3779B97F4A7C15 % full) ^ (known[left + right] << 40))) < int(rate * full):
+            skipped.add((a, left, right))
+            continue
+        at = next(k for k, s in enumerate(symbols) if s[0] == a)
+        symbols[at : at + 2] = [[a, left + right]]
+
+
+def test_dropout_is_the_naive_agendas(monkeypatch):
+    import xxhash
+
+    from rootloom.llm import chunk_memo, piece_dropout
+
+    rng = random.Random(31)
+    words = ["".join(rng.choice("etaoinshrd") for _ in range(rng.randint(1, 12))) for _ in range(60)] + ["unbelievable", "naïveté,", "x\u0301", "日本語", "end.\n", "a,b;c", "12345", "internationalization" * 3, "▁"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["  two  spaces ", "\n", "a\nb", "word, word; word"]
+
+    def check(coder, texts):
+        for k, (text, got) in enumerate(zip(texts, coder.encode(pa.array(texts), list(range(len(texts)))), strict=True)):
+            doc = xxhash.xxh64_intdigest(text.encode(), xxhash.xxh64_intdigest(str(k), 77))
+            chunks = coder.cutter.cut(pa.array([text], pa.large_string()))[0].as_py() if text else []
+            want = []
+            for place, chunk in enumerate(chunks):
+                x = (doc + place * 0x9E3779B97F4A7C15) % 2**64
+                x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+                x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+                want += naive_agenda(coder.cutter.sp, coder._symbols(chunk).replace("▁", "\ue000"), x ^ (x >> 31), 0.2) if chunk and "▁" not in chunk else [None]
+            if None not in want or "▁" not in text:
+                assert got.tolist() == [w for w in want if w is not None], text
+
+    coder = DropoutCoder(tokenizer_path(PIECE), 0.2, 77)
+    check(coder, texts)
+    # A very long text in parts is segmented as it is whole, and decodes to itself.
+    long = " ".join(rng.choice(words[:60]) for _ in range(3000))
+    whole = next(iter(coder.encode(pa.array([long]), [0]))).tolist()
+    monkeypatch.setattr(piece_dropout, "ROUND_BYTES", 500)
+    monkeypatch.setattr(chunk_memo, "ROUND_BYTES", 500)
+    assert next(iter(coder.encode(pa.array([long]), [0]))).tolist() == whole
+    assert coder.decode(np.array(whole)) == long.encode()
+
+
 def test_dropout_is_decided_for_each_occurrence():
     coder = DropoutCoder(tokenizer_path(PIECE), 0.1, 5)
     # One candidate: it has to be skipped in a tenth of all occurrences. A long word: more ways than any fixed number of draws.
@@ -232,6 +360,8 @@ def test_encode_and_decode(spark):
     encoded = encode_pieces(frame(spark), PIECE)
     rows = encoded.collect()
     assert len(rows) == len(ROWS) and all(r["lossless"] for r in rows)
+    nothing = spark.createDataFrame([(1, None), (None, []), (None, None)], "doc_id long, ids array<int>").selectExpr("*", "1 as text")
+    assert sorted(map(str, map(tuple, decode_pieces(nothing).collect()))) == ["(1, None)", "(None, '')", "(None, None)"]
     texts = sorted((r["text"] for r in decode_pieces(encoded).collect()))
     assert texts == sorted(t or "" for _, t in ROWS)
     assert encode_pieces(frame(spark, [])).count() == 0
