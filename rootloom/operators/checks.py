@@ -41,16 +41,31 @@ def select_by_checks(candidates: DataFrame, checks: DataFrame) -> DataFrame:
     return rows.select("case_id", F.when(taken, F.col("b")).otherwise(F.col("a")).alias("winner"), taken.alias("runner_taken"))
 
 
+def worker_tops(distributions: DataFrame) -> DataFrame:
+    """The likeliest candidate of each worker."""
+    return best(distributions, ["case_id", "worker_id"], [F.col("probability").desc(), "component", "reason"], 1)
+
+
 def conflict_refine(fused: DataFrame, distributions: DataFrame, checks: DataFrame, margin: float = 0.05, mass: float = 0.9) -> DataFrame:
-    """(case_id, component, reason, probability): for cases whose margin is small or whose workers' tops differ, ``mass`` shared by the two best by support."""
+    """(case_id, component, reason, probability, support_score, refute_score): for cases whose margin is small or whose workers' tops differ, ``mass``
+    shared by the two best by what supports them beyond what refutes them (0 at least); without any such support both get 0."""
     two = top_and_runner(fused)
     gap = two.groupBy("case_id").agg(F.count("*").alias("_k"), (F.max(F.when(F.col("place") == 1, F.col("score"))) - F.max(F.when(F.col("place") == 2, F.col("score")))).alias("_gap"))
-    tops = best(distributions, ["case_id", "worker_id"], [F.col("probability").desc(), "component", "reason"], 1).groupBy("case_id").agg(F.count_distinct("component").alias("_tops"))
+    tops = worker_tops(distributions).groupBy("case_id").agg(F.count_distinct("component").alias("_tops"))
     unstable = gap.join(tops, "case_id", "left").where((F.col("_k") == 2) & ((F.col("_gap") <= margin) | (F.col("_tops") > 1))).select("case_id")
-    rows = two.join(unstable, "case_id", "left_semi").join(checks.select(*CANDIDATE, "support_score"), CANDIDATE, "left")
-    net = F.coalesce("support_score", F.lit(0.0)) + 1e-6
-    total = F.sum(net).over(Window.partitionBy("case_id"))
-    return rows.select(*CANDIDATE, F.round(mass * net / total, 9).alias("probability"))
+    rows = two.join(unstable, "case_id", "left_semi").join(checks.select(*CANDIDATE, "support_score", "refute_score"), CANDIDATE, "left")
+    rows = rows.fillna(0.0, ["support_score", "refute_score"]).withColumn("_net", F.greatest(F.lit(0.0), F.col("support_score") - F.col("refute_score")))
+    total = F.sum("_net").over(Window.partitionBy("case_id"))
+    return rows.withColumn("_t", total).select(*CANDIDATE, F.round(F.when(F.col("_t") > 0, mass * F.col("_net") / F.col("_t")).otherwise(0.0), 9).alias("probability"), "support_score", "refute_score")
+
+
+def refinement_workers(distributions: DataFrame, refined: DataFrame, least: int = 2) -> DataFrame:
+    """(case_id, worker_id): the workers to ask about a case under refinement: those that name one of its components, or, if none does, the first ``least``."""
+    workers = distributions.select("case_id", "worker_id").distinct().join(refined.select("case_id").distinct(), "case_id", "left_semi")
+    wanted = refined.select("case_id", F.lower(F.trim("component")).alias("_c")).distinct()
+    naming = distributions.select("case_id", "worker_id", F.lower(F.trim("component")).alias("_c")).join(wanted, ["case_id", "_c"], "left_semi").select("case_id", "worker_id").distinct()
+    first = best(workers.join(naming.select("case_id").distinct(), "case_id", "left_anti"), ["case_id"], ["worker_id"], least)
+    return naming.unionByName(first)
 
 
 def distribution_revision(distributions: DataFrame, evidence: DataFrame, gain: float = 0.01, mass: float = 0.9, most: int = 8) -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootloom.operators.findings import best
-from rootloom.operators.order_stats import hash_rank, order_statistic, value_rank
-
+from rootloom.operators.order_stats import hash_rank, order_statistic
 
-#: Values that a bootstrap looks up by a broadcast: some 30 bytes each; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def by_system(scored: DataFrame) -> DataFrame:
@@ -64,31 +63,42 @@ def wilson_ci(hits: Column, n: Column, z: float = 1.959963984540054) -> Column:
     return F.struct(F.round(F.greatest(F.lit(0.0), centre - half), 6).alias("low"), F.round(F.least(F.lit(1.0), centre + half), 6).alias("high"))
 
 
-def hashed_draw(seed: int, rep: Column, i: Column, n: Column) -> Column:
-    """A draw from 0 to n - 1 by a keyed hash; any engine gives the same one."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), rep.cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("bigint") % n
+#: A prime whose square fits into 64 bits, and where a uniform number below it begins to stand for 1, 2, 3, ... draws of a row: the Poisson distribution of mean 1.
+PRIME = 2**31 - 1
+POISSON = [math.floor(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(10)]
+
+
+def with_weight(rows: DataFrame, number: str, rep: str, into: str, seed: int = 7) -> DataFrame:
+    """Adds how often a repetition draws a row: a keyed integer mix of the row's number and the repetition; any engine gives the same one.
+
+    Two rounds of an affine step and a fifth power, which permutes the numbers below the prime; each step is a column, so
+    that no expression is written out twice.
+    """
+    x = F.col("_x")
+    rows = rows.withColumn("_x", (F.col(number) + F.lit(seed).cast("long") * 7919 + F.col(rep).cast("long") * 1299709) % PRIME)
+    for a, c in ((48271, 11), (69621, 7)):
+        rows = rows.withColumn("_x", (x * a + c) % PRIME)
+        rows = rows.withColumn("_y", x * x % PRIME).withColumn("_y", F.col("_y") * F.col("_y") % PRIME).withColumn("_x", F.col("_y") * x % PRIME)
+    return rows.withColumn(into, sum((F.when(x >= t, 1).otherwise(0) for t in POISSON), F.lit(0))).drop("_x", "_y")
 
 
-def bootstrap_ci(rows: DataFrame, keys: list[str], value: str, reps: int = 200, seed: int = 7, alpha: float = 0.05) -> DataFrame:
+def bootstrap_ci(rows: DataFrame, keys: list[str], value: str, row_id: list[str], reps: int = 1000, seed: int = 7, alpha: float = 0.05) -> DataFrame:
     """(keys, n, mean, low, high): percentile bootstrap of a mean, by order statistics at floor(alpha / 2 * reps) and its mirror.
 
-    Values are numbered in ascending order within their group; each repetition draws as many of them, by ``hashed_draw``. So
-    the work is reps times the rows, spread over all tasks, and the groups meet only as sums.
+    In a repetition each row counts as often as a Poisson draw of mean 1 says (``with_weight``), which is what drawing n of n
+    rows comes to; ``row_id`` tells rows apart (rows that share one are drawn together). So there is no rank, no look-up and no
+    join: repetitions times rows, spread over all tasks, meet as two sums for each task and repetition.
     """
-    group = Window.partitionBy(*keys)
-    values = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    numbered = value_rank(values, keys, "_v", "_i").join(values.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
-    draws = numbered.select(*keys, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep")).withColumn("_at", hashed_draw(seed, F.col("_rep"), F.col("_i"), F.col("_n")))
-    lookup = numbered.select(*keys, F.col("_i").alias("_at"), "_v")
-    if values.count() <= BROADCAST_ROWS:
-        # The draws stay where they are, and meet as one sum for each task and repetition.
-        means = draws.join(F.broadcast(lookup), [*keys, "_at"]).groupBy(*keys, "_rep").agg((F.sum("_v") / F.first("_n")).alias("_m"))
-    else:
-        picked = draws.groupBy(*keys, "_rep", "_at", "_n").agg(F.count("*").alias("_times"))
-        means = picked.join(lookup, [*keys, "_at"]).groupBy(*keys, "_rep").agg((F.sum(F.col("_v") * F.col("_times")) / F.first("_n")).alias("_m"))
+    mark = F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in row_id])), 1, 12)
+    values = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), (F.conv(mark, 16, 10).cast("long") % PRIME).alias("_k"))
+    drawn = with_weight(values.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))), "_k", "_rep", "_w", seed)
+    means = drawn.groupBy(*keys, "_rep").agg((F.sum(F.col("_v") * F.col("_w")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m")).where("_m is not null")
     low, high = int(alpha / 2 * reps), min(reps - 1, int((1 - alpha / 2) * reps))
-    ends = means.withColumn("_r", F.row_number().over(group.orderBy("_m")) - 1).groupBy(*keys).agg(F.round(F.max(F.when(F.col("_r") == low, F.col("_m"))), 6).alias("low"), F.round(F.max(F.when(F.col("_r") == high, F.col("_m"))), 6).alias("high"))
-    return numbered.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("_v"), 6).alias("mean")).join(ends, keys)
+    order = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_m")  # reps rows for each key
+    at = lambda r: F.round(F.max(F.when(F.col("_r") == r, F.col("_m"))), 6)
+    ends = means.withColumn("_r", F.row_number().over(order) - 1).groupBy(*keys).agg(at(low).alias("low"), at(high).alias("high"))
+    sums = values.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("_v"), 6).alias("mean"))
+    return sums.join(ends, keys) if keys else sums.join(F.broadcast(ends), how="left")  # a row each
 
 
 def mcnemar(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -134,16 +144,31 @@ def win_gate(tests: DataFrame, gain: float = 0.10, error_cut: float = 0.20, leve
     return tests.withColumns({"delta": F.round(delta, 6), "error_reduction": F.round(cut, 6), "passes": ((delta >= gain) | (cut >= error_cut)) & (F.col("p_value") <= level)})
 
 
-def hard_split(cases: DataFrame, criteria: dict[str, str], size: str, least: int) -> DataFrame:
-    """Cases that meet ``least`` of the (label-free) criteria and have the median size or more."""
-    score = sum((F.expr(e).cast("int") for e in criteria.values()), F.lit(0))
-    middle = cases.agg(F.median(size).alias("_median"))
-    return cases.withColumn("hardness", score).join(F.broadcast(middle)).where((F.col("hardness") >= least) & (F.col(size) >= F.col("_median"))).drop("_median")
+#: What makes a case hard without a look at its label.
+HARD_CRITERIA = {
+    "suite_re2_or_re3": "suite in ('RE2', 'RE3')",
+    "train_ticket_system": "system = 'TT'",
+    "telemetry_bytes_ge_median": "telemetry_bytes >= _median",
+    "has_logs": "has_logs",
+    "has_traces": "has_traces",
+    "wide_metric_table": "metric_columns >= 120",
+}
 
 
-def high_volume_split(cases: DataFrame, size: str, share: float) -> DataFrame:
-    """Cases with at least the order statistic at floor(n * share) of the size. The threshold is one exact number."""
-    return cases.where(F.col(size) >= F.lit(order_statistic(cases, size, share)))
+def hard_split(cases: DataFrame, least: int = 3, size: str = "telemetry_bytes", criteria: dict[str, str] = HARD_CRITERIA) -> DataFrame:
+    """Cases that meet ``least`` of the label-free criteria, with criteria_score; ``_median`` in a criterion is the median size of all cases."""
+    middle = (order_statistic(cases, size, 0.5), order_statistic(cases, size, 0.5, before=True))
+    rows = cases.withColumn("_median", F.lit((middle[0] + middle[1]) / 2 if middle[0] is not None else None).cast("double"))
+    score = sum((F.coalesce(F.expr(e), F.lit(False)).cast("int") for e in criteria.values()), F.lit(0))
+    return rows.withColumn("criteria_score", score).where(F.col("criteria_score") >= least).drop("_median")
+
+
+def high_volume_split(cases: DataFrame, size: str, share: float, excluded: DataFrame | None = None, key: str = "case_id") -> DataFrame:
+    """Cases with logs and traces and at least the order statistic at floor(n * share) of the size of those, less the ``excluded`` ones; volume_bin is high."""
+    whole = cases.where("has_logs and has_traces")
+    rows = whole.where(F.col(size) >= F.lit(order_statistic(whole, size, share)))
+    rows = rows if excluded is None else rows.join(excluded.select(key).distinct(), key, "left_anti")
+    return rows.withColumn("volume_bin", F.lit("high"))
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, quota: int, n: int, seed: int = 7) -> DataFrame:
@@ -160,13 +185,14 @@ def round_robin_select(rows: DataFrame, stratum: str, key: str, n: int) -> DataF
 
 
 def budget_allocation(findings: DataFrame, truth: DataFrame, budgets: list[int]) -> DataFrame:
-    """(budget, global_kept, shard_kept): shares of cases whose true component is among B findings taken by score over all, or in turn from each shard."""
+    """(budget, global_kept, shard_kept, gamma): shares of cases whose true component is among B findings taken by score over all, or in turn from each shard; gamma: findings of a case over B, on average."""
     order = [F.col("score").desc(), "component", "signal"]
     ranked = findings.withColumns({"_g": F.row_number().over(Window.partitionBy("case_id").orderBy(*order)), "_s": F.row_number().over(Window.partitionBy("case_id", "shard_id").orderBy(*order))})
     ranked = ranked.withColumn("_t", F.row_number().over(Window.partitionBy("case_id").orderBy("_s", "shard_id"))).join(truth, "case_id")
     rows = ranked.withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
     hit = lambda r: F.max(F.when((F.col(r) <= F.col("budget")) & (F.col("component") == F.col("true_root")), 1).otherwise(0))
-    return rows.groupBy("case_id", "budget").agg(hit("_g").alias("g"), hit("_t").alias("t")).groupBy("budget").agg(F.round(F.avg("g"), 6).alias("global_kept"), F.round(F.avg("t"), 6).alias("shard_kept"))
+    cases = rows.groupBy("case_id", "budget").agg(hit("_g").alias("g"), hit("_t").alias("t"), F.count("*").alias("n"))
+    return cases.groupBy("budget").agg(F.round(F.avg("g"), 6).alias("global_kept"), F.round(F.avg("t"), 6).alias("shard_kept"), F.round(F.avg(F.col("n") / F.col("budget")), 6).alias("gamma"))
 
 
 def threshold_calibration(rows: DataFrame, keys: list[str], steps: list[float]) -> DataFrame:
@@ -202,3 +228,22 @@ def rank_diagnostics(findings: DataFrame, truth: DataFrame) -> DataFrame:
 def exact_comparison(pairs: DataFrame) -> DataFrame:
     d = F.col("treatment") - F.col("baseline")
     return pairs.agg(F.count_if(d > 0).alias("better"), F.count_if(d < 0).alias("worse"), F.count_if(d == 0).alias("tied"), F.round(F.avg(d), 6).alias("mean_difference"))
+
+
+def slice_comparison(rows: DataFrame, roles: dict[str, str], treatment: str, value: str = "hit_at_1", reps: int = 1000) -> DataFrame:
+    """(slice, role, baseline, n, counts, delta, low, high, p_value, holm_p, passes): the treatment against each role's system in each slice.
+
+    rows: (slice, case_id, system, value). delta is the mean paired difference, low and high its bootstrap interval, p_value exact
+    McNemar, holm_p adjusted over the roles of a slice; passes: the gate of ``win_gate`` at holm_p.
+    """
+    of = lambda s: F.avg(F.when(F.col("system") == s, F.col(value).cast("double")))
+    wide = rows.groupBy("slice", "case_id").agg(of(treatment).alias("treatment"), *[of(s).alias(f"_{r}") for r, s in roles.items()])
+    pairs = wide.select("slice", "case_id", "treatment", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(s).alias("baseline_system"), F.col(f"_{r}").alias("baseline")) for r, s in roles.items()])).alias("x"))
+    pairs = pairs.select("slice", "case_id", "treatment", "x.*").where("baseline is not null and treatment is not null").withColumn("d", F.col("treatment") - F.col("baseline"))
+    keys = ["slice", "role"]
+    tests = holm_adjust(mcnemar(pairs, keys).select(*keys, "n", "baseline_only", "treatment_only", "p_value"), ["slice"], ["role"])
+    effect = bootstrap_ci(pairs, keys, "d", ["role", "case_id"], reps).select(*keys, F.col("mean").alias("delta"), "low", "high")
+    rates = pairs.groupBy(*keys, "baseline_system").agg(F.avg("baseline").alias("_rate"))
+    found = tests.join(effect, keys).join(rates, keys)
+    cut = F.when(F.col("_rate") < 1, F.col("delta") / (1 - F.col("_rate"))).otherwise(0.0)
+    return found.withColumn("passes", ((F.col("delta") >= 0.10) | (cut >= 0.20)) & (F.col("holm_p") <= 0.05)).select(*keys, F.col("baseline_system").alias("baseline"), "n", "baseline_only", "treatment_only", "delta", "low", "high", "p_value", "holm_p", "passes")

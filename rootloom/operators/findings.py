@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rootloom.operators.order_stats import group_median, group_quantiles, value_rank
+
 LEAST_P = 1e-300
 
 
@@ -75,7 +77,7 @@ def best(rows: DataFrame, keys: list[str], order: list, limit: int, rank: str |
 
 
 def log_template(message: Column) -> Column:
-    """The message without what varies: hexadecimal runs, times, numbers and spacing; 300 characters of it."""
+    """The message without what varies: hexadecimal runs, times, numbers and spacing; 300 characters of it. Patterns and names are fixed values."""
     text = F.lower(F.trim(message))
     for pattern, name in ((r"\b[0-9a-f]{8,}\b", "<hex>"), (r"\b\d{4}-\d{2}-\d{2}[ t]\d{2}:\d{2}:\d{2}(?:\.\d+)?\b", "<datetime>"), (r"\b\d+(?:\.\d+)?\b", "<num>"), (r"\s+", " ")):
         text = F.regexp_replace(text, pattern, name)
@@ -100,34 +102,66 @@ def metric_shift_top(rows: DataFrame, most: int = 25) -> DataFrame:
     return best(one, ["case_id"], [F.col("score").desc(), "component"], most, rank="rank")
 
 
-#: Fault families in the order they are tried, and the words that mean them.
-FAMILIES = (("cpu", ("cpu",)), ("mem", ("mem",)), ("disk", ("disk", "io")), ("delay", ("delay", "latency")), ("loss", ("loss", "error")), ("socket", ("socket",)))
+def _first_hit(text: Column, table, otherwise: str) -> Column:
+    """The name of the first entry of ``table`` that has a word which the text contains."""
+    out = F.lit(otherwise)
+    for name, words in reversed(table):
+        out = F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)), name).otherwise(out)
+    return out
 
 
-def fault_family(name: Column) -> Column:
-    text, out = F.lower(name), F.lit("unknown")
-    for family, words in reversed(FAMILIES):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | text.contains(w)
-        out = F.when(hit, family).otherwise(out)
-    return out
+#: Other names of fault families, tried first, and the families, each in order.
+FAULT_ALIASES = (("mem", ("memory",)), ("delay", ("latency",)), ("delay", ("response_time",)), ("loss", ("packet_loss",)), ("socket", ("tcp",)))
+FAULT_FAMILIES = ("cpu", "mem", "disk", "delay", "loss", "socket")
+
+
+def fault_family(name: Column, otherwise: str = "unknown") -> Column:
+    """The fault family that a metric's name tells."""
+    return _first_hit(F.lower(F.trim(F.coalesce(name, F.lit("")))), (*FAULT_ALIASES, *((f, (f,)) for f in FAULT_FAMILIES)), otherwise)
+
 
+#: Reasons in the order they are tried, and the words in the evidence that mean them.
+EVIDENCE_REASONS = (
+    ("cpu", ("cpu", "processor")),
+    ("mem", ("mem", "memory", "rss", "heap")),
+    ("disk", ("disk", "fs-", "blkio", "io")),
+    ("loss", ("loss", "drop", "dropped", "error-total", "errors")),
+    ("delay", ("delay", "latency", "duration", "timeout", "slow")),
+    ("socket", ("socket", "sockets", "connection reset")),
+    ("db", ("db", "database", "sql", "connection limit", "close")),
+    ("network", ("network", "rx", "tx", "packet")),
+)
 
-def case_profile(top: DataFrame, most: int = 10) -> DataFrame:
-    """For each case its ``most`` first shifts, the likely family, and how clear the first is: top / (top + second)."""
+
+def infer_reason(text: Column) -> Column:
+    """The reason that evidence speaks for; ``text``: its signals, summaries and directions, joined by spaces."""
+    return _first_hit(F.lower(F.coalesce(text, F.lit(""))), EVIDENCE_REASONS, "unknown")
+
+
+def case_profile(top: DataFrame, files: DataFrame | None = None, most: int = 10) -> DataFrame:
+    """For each case its ``most`` first shifts, the likely family, how clear the first is, top / (top + second), and which telemetry it has.
+
+    files: (case_id, modality) of its files; without them has_logs and has_traces are false.
+    """
     rows = top.where(F.col("rank") <= most).groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("rank", "component", "metric", "score"))).alias("shifts"))
     one, two = F.get("shifts", 0), F.get("shifts", 1)
     total = one["score"] + F.coalesce(two["score"], F.lit(0.0))
     clear = F.when(total > 0, one["score"] / total).otherwise(0.0)
-    return rows.select("case_id", F.size("shifts").alias("n_shifts"), one["component"].alias("top_component"), fault_family(one["metric"]).alias("family"), F.round(clear, 6).alias("confidence"))
+    has = lambda m: F.coalesce(F.col(m), F.lit(False)).alias(m)
+    if files is None:
+        rows = rows.withColumns({"has_logs": F.lit(False), "has_traces": F.lit(False)})
+    else:
+        rows = rows.join(files.groupBy("case_id").agg(F.max(F.col("modality") == "logs").alias("has_logs"), F.max(F.col("modality") == "traces").alias("has_traces")), "case_id", "left")
+    return rows.select("case_id", F.size("shifts").alias("n_shifts"), one["component"].alias("top_component"), fault_family(one["metric"]).alias("family"), F.round(clear, 6).alias("confidence"), has("has_logs"), has("has_traces"))
 
 
 def daily_baseline(rows: DataFrame, keys: list[str], exact: bool = True) -> DataFrame:
-    """Count, mean, deviation, extremes and four percentiles; ``exact=False`` takes sketches, whose memory doesn't grow with a group."""
-    quantile = (lambda q: F.percentile("value", q)) if exact else (lambda q: F.percentile_approx("value", q, 10000))
-    cuts = [quantile(q).alias(n) for q, n in ((0.05, "p05"), (0.15, "p15"), (0.90, "p90"), (0.95, "p95"))]
-    return rows.where("value is not null").groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("least"), F.max("value").alias("most"), *cuts)
+    """Count, mean, deviation, extremes and four percentiles; ``exact=False`` takes the percentiles of sketches, which saves a pass. Memory grows with no group either way."""
+    shares = {"p05": 0.05, "p15": 0.15, "p90": 0.90, "p95": 0.95}
+    known = rows.where("value is not null")
+    rough = [] if exact else [F.percentile_approx("value", q, 10000).alias(n) for n, q in shares.items()]
+    sums = known.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("least"), F.max("value").alias("most"), *rough)
+    return sums.join(group_quantiles(known, keys, F.col("value"), shares), keys) if exact else sums
 
 
 def threshold_anomaly(window_rows: DataFrame, baseline: DataFrame, window: list[str], keys: list[str]) -> DataFrame:
@@ -145,16 +179,19 @@ def threshold_anomaly(window_rows: DataFrame, baseline: DataFrame, window: list[
 
 def trace_summary(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Latency and failures of each (component, service, data source, call type); nulls are groups of their own."""
-    failed = F.lower("success").isin("false", "0", "fail", "failed", "error")
-    return spans.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("elapsed").alias("mean_elapsed"), F.median("elapsed").alias("median_elapsed"), F.max("elapsed").alias("max_elapsed"),
+    failed = F.lower("success").isin("false", "0", "fail", "failed")  # fixed values
+    # Nulls in a key would not meet in the join with the medians, so keys are compared as one struct's text.
+    marked = spans.withColumn("_g", F.to_json(F.struct(*keys)))
+    sums = marked.groupBy("_g", *keys).agg(
+        F.count("*").alias("n"), F.avg("elapsed").alias("mean_elapsed"), F.max("elapsed").alias("max_elapsed"),
         F.min("start_ms").alias("first_start"), F.max_by("start_ms", F.struct("elapsed", -F.col("start_ms"))).alias("max_start"), F.count(F.when(failed, 1)).alias("failures"),
     )
+    return sums.join(group_median(marked, ["_g"], F.col("elapsed"), "median_elapsed"), "_g", "left").drop("_g")
 
 
 def trace_latency_findings(summary: DataFrame) -> DataFrame:
     """score: the mean's excess over the case's median of means, relative, and a tenth of the relative excess of the maximum over the mean."""
-    middle = summary.groupBy("case_id").agg(F.median("mean_elapsed").alias("_gm"))
+    middle = group_median(summary, ["case_id"], F.col("mean_elapsed"), "_gm")
     rows = summary.join(middle, "case_id")
     lag = F.greatest(F.col("mean_elapsed") - F.col("_gm"), F.lit(0.0)) / (F.abs("_gm") + 1)
     burst = F.greatest(F.col("max_elapsed") - F.col("mean_elapsed"), F.lit(0.0)) / (F.abs("mean_elapsed") + 1)
@@ -169,15 +206,19 @@ def window_mean_anomaly(rows: DataFrame, start_ts: float, end_ts: float, most: i
     return scored.orderBy(F.col("severity").desc(), "component", "metric").limit(min(most, 100))
 
 
-#: Patterns of a metric's name, in the order they are tried, and the reason each hints at.
-HINTS = (("loss|drop|retrans|error|fail", "network loss"), ("close|reset", "db close"), ("connection|session|socket", "db connection limit"), ("cpu", "CPU fault"), ("delay|latency|time|duration", "network delay"))
+#: Reasons in the order they are tried, and the words in a metric's name that hint at them.
+HINTS = (
+    ("network loss", ("success", "succee", "loss", "drop", "error", "fail")),
+    ("db close", ("close", "closed", "on_off_state", "onoff")),
+    ("db connection limit", ("connect", "client", "session", "login", "blocked", "rejected", "row_lock", "hang")),
+    ("CPU fault", ("cpu", "processor", "load")),
+    ("network delay", ("delay", "latency", "elapsed", "time")),
+)
 
 
 def reason_hint(metric: Column) -> Column:
-    text, out = F.lower(metric), F.lit("CPU fault")
-    for pattern, reason in reversed(HINTS):
-        out = F.when(text.rlike(pattern), reason).otherwise(out)
-    return out
+    """The reason that a metric's name hints at; empty without a hint."""
+    return _first_hit(F.lower(F.coalesce(metric, F.lit(""))), HINTS, "")
 
 
 def dedup_findings(findings: DataFrame) -> DataFrame:
@@ -218,16 +259,17 @@ def component_onsets(findings: DataFrame) -> DataFrame:
 def onset_mad(series: DataFrame, keys: list[str]) -> DataFrame:
     """The first time after the baseline that lies over five deviations from it; null under six points or without one.
 
-    Baseline: the first max(3, n / 5) points; its centre and deviation are medians.
+    Baseline: the first max(3, n / 5) points; its centre and deviation are medians. A deviation of 0 counts as a twentieth of
+    the centre. Places come from ``value_rank`` and medians from sketches and counts, so no series is sorted in one task.
     """
-    order = Window.partitionBy(*keys).orderBy("ts", "value")
-    rows = series.where("value is not null").withColumns({"_i": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy(*keys))})
-    rows = rows.withColumn("_base", F.col("_i") <= F.greatest(F.lit(3), F.floor(F.col("_n") / 5)))
-    centre = rows.groupBy(*keys).agg(F.median(F.when(F.col("_base"), F.col("value"))).alias("_centre"))
-    rows = rows.join(centre, keys).withColumn("_off", F.abs(F.col("value") - F.col("_centre")))
-    spread = rows.groupBy(*keys).agg(F.median(F.when(F.col("_base"), F.col("_off"))).alias("_mad"))
-    rows = rows.join(spread, keys)
-    beyond = ~F.col("_base") & (F.col("_n") >= 6) & (F.col("_off") > 5 * F.when(F.col("_mad") > 0, F.col("_mad")).otherwise(F.lit(1e-9)))
+    rows = series.where("value is not null and ts is not null")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    rows = value_rank(rows, keys, "ts", "_i", order=["value"]).join(sizes, keys)
+    rows = rows.withColumn("_base", F.col("_i") < F.greatest(F.lit(3), F.floor(F.col("_n") / 5)))
+    rows = rows.join(group_median(rows.where("_base"), keys, F.col("value"), "_centre"), keys).withColumn("_off", F.abs(F.col("value") - F.col("_centre")))
+    rows = rows.join(group_median(rows.where("_base"), keys, F.col("_off"), "_mad"), keys)
+    spread = F.when(F.col("_mad") > 0, F.col("_mad")).otherwise(0.05 * (F.abs("_centre") + 1e-6))
+    beyond = ~F.col("_base") & (F.col("_n") >= 6) & (F.col("_off") > 5 * spread)
     return rows.groupBy(*keys).agg(F.min(F.when(beyond, F.col("ts"))).alias("onset_ts"))
 
 
@@ -237,10 +279,10 @@ def row_volume(rows: DataFrame, keys: list[str], modality: str) -> DataFrame:
 
 def volume_tertiles(volumes: DataFrame, size: str = "n_rows", key: str = "row_id") -> DataFrame:
     """low, middle, high by size and id: the first and second third end at floor(n / 3) rows each."""
-    everything = Window.partitionBy(F.lit(0))
-    rows = volumes.withColumns({"_r": F.row_number().over(everything.orderBy(size, key)), "_n": F.count("*").over(everything)})
-    edge = F.floor(F.col("_n") / 3)
-    return rows.withColumn("volume_bin", F.when(F.col("_r") <= edge, "low").when(F.col("_r") <= 2 * edge, "middle").otherwise("high")).drop("_r", "_n")
+    n = volumes.count()
+    ranked = value_rank(volumes.withColumn("_all", F.lit(0)), ["_all"], size, "_r", order=[key]).drop("_all")
+    edge = n // 3
+    return ranked.withColumn("volume_bin", F.when(F.col("_r") < edge, "low").when(F.col("_r") < 2 * edge, "middle").otherwise("high")).drop("_r")
 
 
 STATS = ("mean", "min", "max", "median", "q25", "q75", "first", "last", "std", "iqr", "range", "mean_abs_diff", "std_diff", "slope")

@@ -5,21 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootloom.operators.findings import best, component_scores, fault_family
+from rootloom.operators.findings import FAULT_FAMILIES, best, component_scores, infer_reason, onset_mad
+from rootloom.session import written
 
 #: Weights of modalities in additive fusion.
-MODALITY_WEIGHTS = {"metrics": 1.0, "logs": 0.8, "traces": 1.0, "auxiliary": 0.5, "events": 0.5}
+MODALITY_WEIGHTS = {"metrics": 1.0, "logs": 1.15, "traces": 1.15, "events": 1.05, "auxiliary": 0.8}
 
 
 def modality_weight(modality: Column, weights: dict[str, float] = MODALITY_WEIGHTS) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), modality), F.lit(1.0))
 
 
-def default_shards(catalog: DataFrame, most: int = 8) -> DataFrame:
-    """One shard for each modality of a case (its smallest file name), metrics first, ``most`` at most."""
-    one = catalog.groupBy("case_id", "modality").agg(F.min("name").alias("name"))
-    order = F.array_position(F.array(*map(F.lit, ("metrics", "traces", "logs", "auxiliary", "events"))), F.col("modality"))
-    return best(one, ["case_id"], [order, "modality"], most, rank="shard_no")
+#: The modalities that are sharded, in order, and the names of simple metric files.
+SHARD_MODALITIES, SIMPLE_METRICS = ("metrics", "logs", "traces"), ("simple_metrics.csv", "simple_data.csv", "data.csv", "metrics.json")
+
+
+def default_shards(catalog: DataFrame, most: int = 3, simple: bool = True) -> DataFrame:
+    """(case_id, shard_id, modality, n_files, bytes, shard_no): one shard for each modality of a case, ``most`` at most.
+
+    catalog: (case_id, modality, name, bytes). ``simple``: of a case's metric files only the simple ones, if it has any.
+    """
+    is_simple = (F.col("modality") == "metrics") & F.substring_index("name", "/", -1).isin(*SIMPLE_METRICS)
+    one = catalog.where(F.col("modality").isin(*SHARD_MODALITIES)).groupBy("case_id", "modality").agg(
+        F.count("*").alias("_n"), F.sum("bytes").alias("_b"), F.count_if(is_simple).alias("_sn"), F.sum(F.when(is_simple, F.col("bytes"))).alias("_sb")
+    )
+    chosen = (F.col("_sn") > 0) & F.lit(simple)
+    one = one.select("case_id", F.concat("modality", F.lit("_0")).alias("shard_id"), "modality", F.when(chosen, F.col("_sn")).otherwise(F.col("_n")).alias("n_files"), F.when(chosen, F.col("_sb")).otherwise(F.col("_b")).cast("long").alias("bytes"))
+    return best(one, ["case_id"], [F.array_position(F.array(*map(F.lit, SHARD_MODALITIES)), F.col("modality"))], most, rank="shard_no")
 
 
 def component_group_shards(components: DataFrame, modalities: DataFrame, size: int = 6) -> DataFrame:
@@ -52,28 +64,45 @@ def budgeted_probe(shards: DataFrame, budget: int) -> DataFrame:
     return best(shards.select("case_id", "shard_id", "modality").distinct(), ["case_id"], [order, "shard_id"], max(budget - 1, 0), rank="call")
 
 
-def candidate_evidence(findings: DataFrame, most: int = 6, pointers: int = 6) -> DataFrame:
-    """For each shard its ``most`` best components, with rank, reason, dominant modality and pointers of their evidence.
+def candidate_evidence(findings: DataFrame, most: int = 6, pointers: int = 6, top: int = 3) -> DataFrame:
+    """For each shard its ``most`` best components, with rank, reason, dominant modality, pointers and times of their evidence.
 
-    ``findings`` has case_id and shard_id. Reason: the family of the evidence's names, in rank order.
+    ``findings`` has case_id and shard_id. A component's score sums its ``top`` positive scores of each modality; its evidence
+    is its ``pointers`` best findings. The dominant modality is the most frequent of the evidence, of equals the earlier. ``evidence``: the
+    findings' order and window_start. All of it is windows over shards of the case, so findings are read and shuffled once.
     """
     keys = ["case_id", "shard_id"]
-    top = best(component_scores(findings, keys=tuple(keys)), keys, [F.col("component_score").desc(), "component"], most, rank="local_rank")
-    evidence = best(findings.join(top.select(*keys, "component"), [*keys, "component"], "left_semi"), [*keys, "component"], [F.col("score").desc(), F.col("magnitude").desc(), "signal", "direction"], pointers, rank="_e")
-    modality = evidence.groupBy(*keys, "component", "modality").agg(F.count("*").alias("n"), F.min("_e").alias("first"))
-    dominant = modality.groupBy(*keys, "component").agg(F.max_by("modality", F.struct("n", -F.col("first"))).alias("modality"))
-    told = evidence.groupBy(*keys, "component").agg(F.sort_array(F.collect_list(F.struct("_e", "signal", "evidence_ptr"))).alias("items"))
-    rows = top.join(dominant, [*keys, "component"]).join(told, [*keys, "component"])
-    return rows.select(*keys, "component", F.col("component_score").alias("support_score"), F.lit(0.0).alias("refute_score"), "local_rank", "modality", fault_family(F.array_join("items.signal", " ")).alias("reason"), F.array_distinct("items.evidence_ptr").alias("evidence_ptrs"))
+    by_modality = Window.partitionBy(*keys, "component", "modality").orderBy(F.col("score").desc(), "signal", "direction")
+    by_component = Window.partitionBy(*keys, "component").orderBy(F.col("score").desc(), F.col("magnitude").desc(), "signal", "direction")
+    rows = findings.where("component <> ''").withColumns({"_m": F.row_number().over(by_modality), "_e": F.row_number().over(by_component)})
+    item = F.struct("_e", "score", "magnitude", "signal", "direction", "modality", "evidence_ptr", F.col("window_start").cast("double").alias("window_start"))
+    grouped = rows.groupBy(*keys, "component").agg(
+        F.round(F.sum(F.when(F.col("_m") <= top, F.greatest("score", F.lit(0.0))).otherwise(0.0)), 6).alias("support_score"),
+        F.sort_array(F.collect_list(F.when(F.col("_e") <= pointers, item))).alias("items"),  # nulls aren't collected
+    )
+    ranked = best(grouped, keys, [F.col("support_score").desc(), "component"], most, rank="local_rank")
+    modalities = F.col("items.modality")
+    counted = F.transform(modalities, lambda m, i: F.struct(F.size(F.filter(modalities, lambda x: x == m)).alias("n"), (-i).alias("at"), m.alias("m")))
+    text = F.array_join(F.transform("items", lambda x: F.concat_ws(" ", x["signal"], x["direction"])), " ")
+    told = F.transform("items", lambda x: F.struct((-x["score"]).alias("score"), (-x["magnitude"]).alias("magnitude"), x["signal"].alias("signal"), x["direction"].alias("direction"), x["window_start"].alias("window_start")))
+    pointed = F.filter(F.array_distinct("items.evidence_ptr"), lambda p: p.isNotNull() & (p != ""))
+    return ranked.select(*keys, "component", "support_score", F.lit(0.0).alias("refute_score"), "local_rank", F.array_max(counted)["m"].alias("modality"), infer_reason(text).alias("reason"), pointed.alias("evidence_ptrs"), told.alias("evidence"))
 
 
 def heuristic_candidates(findings: DataFrame, most: int = 5) -> DataFrame:
-    """The best components with their share of all components' scores, clipped to 0.05 and 0.95."""
-    scores = component_scores(findings)
-    total = F.sum("component_score").over(Window.partitionBy("case_id"))
-    rows = scores.withColumn("_total", total)
-    share = F.when(F.col("_total") > 0, F.col("component_score") / F.col("_total")).otherwise(0.0)
-    return best(rows.withColumn("confidence", F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.05), share)), 6)).drop("_total"), ["case_id"], [F.col("component_score").desc(), "component"], most, rank="rank")
+    """The ``most`` best components with their share of the scores of these, clipped to 0.05 and 0.95, reason and first time."""
+    whole = findings.withColumn("shard_id", F.lit("all"))
+    for name in ("evidence_ptr", "window_start"):
+        whole = whole if name in whole.columns else whole.withColumn(name, F.lit(None).cast("string" if name == "evidence_ptr" else "double"))
+    rows = candidate_evidence(whole, most, pointers=8)
+    total = F.sum("support_score").over(Window.partitionBy("case_id"))
+    share = F.when(total > 0, F.col("support_score") / total).otherwise(F.col("support_score"))
+    return rows.select("case_id", "component", F.col("support_score").alias("component_score"), F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.05), share)), 6).alias("confidence"), F.col("local_rank").alias("rank"), "reason", first_time(F.col("evidence")).alias("occurrence"))
+
+
+def first_time(evidence: Column, most: int = 8) -> Column:
+    """The window_start of the best evidence that has one, among the ``most`` best."""
+    return F.get(F.filter(F.slice(F.array_sort(evidence), 1, most), lambda x: x["window_start"].isNotNull()), 0)["window_start"]
 
 
 def weighted_support(weights: dict[str, float] = MODALITY_WEIGHTS) -> Column:
@@ -81,31 +110,60 @@ def weighted_support(weights: dict[str, float] = MODALITY_WEIGHTS) -> Column:
 
 
 def additive_fusion(evidence: DataFrame, most: int = 5, keys: tuple[str, ...] = ("case_id",), weights: dict[str, float] = MODALITY_WEIGHTS) -> DataFrame:
-    """Sum of weighted support for each component (names without case), its best reason, and share of the positive sums up to 0.95."""
+    """Sum of weighted support for each component (names without case), its best reason, and share of the positive sums up to 0.95.
+
+    evidence_ptrs: up to eight different pointers, those of the best supported evidence first. occurrence: the first time among
+    the component's six best findings. Two groupings, by reason and by component, and no join.
+    """
     rows = evidence.withColumns({"_w": weighted_support(weights), "_key": F.lower(F.trim("component"))}).where("_key <> ''")
-    scores = rows.groupBy(*keys, "_key").agg(F.sum("_w").alias("score"), F.min("component").alias("component"))
-    reasons = rows.groupBy(*keys, "_key", "reason").agg(F.sum("_w").alias("s")).groupBy(*keys, "_key").agg(F.min_by("reason", F.struct((-F.col("s")).alias("s"), "reason")).alias("reason"))
+    # A component has a row for each shard of its case.
+    part = F.struct((-F.col("_w")).alias("w"), "shard_id", "evidence_ptrs", "evidence")
+    by_reason = rows.groupBy(*keys, "_key", "reason").agg(F.sum("_w").alias("_s"), F.min("component").alias("component"), F.collect_list(part).alias("_parts"))
+    scores = by_reason.groupBy(*keys, "_key").agg(F.sum("_s").alias("score"), F.min("component").alias("component"), F.min_by("reason", F.struct((-F.col("_s")).alias("s"), "reason")).alias("reason"), F.flatten(F.collect_list("_parts")).alias("_parts"))
     positive = F.sum(F.greatest("score", F.lit(0.0))).over(Window.partitionBy(*keys))
-    rows = scores.join(reasons, [*keys, "_key"]).withColumn("_total", positive)
     confidence = F.when(F.col("_total") > 0, F.least(F.lit(0.95), F.greatest("score", F.lit(0.0)) / F.col("_total"))).otherwise(0.0)
-    rows = rows.withColumns({"confidence": F.round(confidence, 6), "score": F.round("score", 6)})
-    return best(rows, list(keys), [F.col("score").desc(), "_key"], most, rank="rank").select(*keys, "component", "reason", "score", "confidence", "rank")
+    rows = scores.withColumn("_total", positive).withColumns({"confidence": F.round(confidence, 6), "score": F.round("score", 6)})
+    pointers = F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort("_parts"), lambda p: p["evidence_ptrs"]))), 1, 8)
+    rows = rows.withColumns({"evidence_ptrs": pointers, "occurrence": first_time(F.flatten("_parts.evidence"), 6)})
+    return best(rows, list(keys), [F.col("score").desc(), "_key"], most, rank="rank").select(*keys, "component", "reason", "score", "confidence", "rank", "evidence_ptrs", "occurrence")
 
 
 def vote_fusion(candidates: DataFrame) -> DataFrame:
-    """(case_id, component, votes, backer): confidences plus 0.05 for each with evidence; the winner, and who backs it most."""
-    vote = F.col("confidence") + F.when(F.col("has_evidence"), 0.05).otherwise(0.0)
-    votes = candidates.groupBy("case_id", "component").agg(F.round(F.sum(vote), 6).alias("votes"), F.min_by("worker_id", F.struct((-F.col("confidence")).alias("c"), "worker_id")).alias("backer"))
+    """(case_id, component, votes, backer): confidences, at least 0, plus 0.05 for each with evidence; the winner, and who backs it most.
+
+    Votes are summed as decimals of nine places, so their order doesn't matter.
+    """
+    vote = F.round(F.greatest(F.lit(0.0), F.col("confidence")), 9).cast("decimal(20,9)") + F.when(F.col("has_evidence"), F.lit("0.05")).otherwise("0").cast("decimal(20,9)")
+    votes = candidates.groupBy("case_id", "component").agg(F.round(F.sum(vote), 6).cast("double").alias("votes"), F.min_by("worker_id", F.struct((-F.col("confidence")).alias("c"), "worker_id")).alias("backer"))
     return best(votes, ["case_id"], [F.col("votes").desc(), "component"], 1)
 
 
 OPINION = "candidates array<struct<component:string,reason:string,probability:double,evidence_ptrs:array<string>>>, other_mass double"
 
 
+def opinion_errors(opinions: DataFrame, components: DataFrame, reasons: list[str]) -> DataFrame:
+    """(case_id, worker_id, errors): what is wrong with each JSON opinion, in order, each kind once; an empty list for a sound one."""
+    parsed = opinions.select("case_id", "worker_id", F.from_json("raw", OPINION).alias("o"))
+    items = parsed.select("case_id", "worker_id", F.col("o.other_mass").alias("other"), F.col("o.candidates").isNull().alias("unread"), F.explode_outer("o.candidates").alias("item"))
+    known = components.select(F.col("component").alias("_known")).distinct()
+    rows = items.join(known, F.col("item.component") == F.col("_known"), "left")
+    named, p = F.col("item").isNotNull(), F.col("item.probability")
+    wrong = (
+        ("unreadable", F.col("unread")),
+        ("unknown component", named & F.col("_known").isNull()),
+        ("unknown reason", named & ~F.coalesce(F.col("item.reason").isin(reasons), F.lit(False))),
+        ("probability out of range", named & ~F.coalesce(p.between(0, 1), F.lit(False))),
+        ("other mass out of range", ~F.col("unread") & ~F.coalesce(F.col("other").between(0, 1), F.lit(False))),
+        ("unsupported pointer", named & F.coalesce(F.exists("item.evidence_ptrs", lambda x: ~x.startswith("ptr-")), F.lit(False))),
+    )
+    flags = rows.groupBy("case_id", "worker_id").agg(*[F.max(test).alias(f"_{k}") for k, (_, test) in enumerate(wrong)])
+    return flags.select("case_id", "worker_id", F.array_compact(F.array(*[F.when(F.col(f"_{k}"), name) for k, (name, _) in enumerate(wrong)])).alias("errors"))
+
+
 def opinion_parse(opinions: DataFrame, components: DataFrame, reasons: list[str], most: int = 8) -> DataFrame:
     """Candidates out of JSON opinions: known components and reasons only, once each, probabilities clipped and renormalised with other_mass.
 
-    Pointers are kept if they begin with ``ptr-``. A damaged opinion gives no rows.
+    Pointers are kept if they begin with ``ptr-``. A damaged opinion gives no rows (``opinion_errors`` tells why).
     """
     parsed = opinions.select("case_id", "worker_id", F.from_json("raw", OPINION).alias("o"))
     items = parsed.select("case_id", "worker_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("o.other_mass", F.lit(0.0)))).alias("other"), F.posexplode("o.candidates").alias("pos", "item"))
@@ -126,12 +184,13 @@ def fallback_distribution(findings: DataFrame, hint: Column, most: int = 8, temp
     return top.withColumn("probability", F.round(mass * F.col("_e") / F.sum("_e").over(case), 9)).select("case_id", "component", "reason", "probability")
 
 
-def log_opinion_pool(explicit: DataFrame, workers: DataFrame, pairs: DataFrame, weight: Column | None = None, most: int = 8, epsilon: float = 1e-6, temperature: float = 1.0) -> DataFrame:
+def log_opinion_pool(explicit: DataFrame, workers: DataFrame, pairs: DataFrame, weight: Column | None = None, most: int = 8, epsilon: float = 1e-6, temperature: float | Column = 1.0) -> DataFrame:
     """The product of the workers' distributions over all (component, reason) pairs of a case.
 
     explicit: (case_id, worker_id, component, reason, probability); workers: (case_id, worker_id, other_mass, scope array);
     pairs: (case_id, component, reason). A worker's pairs without an opinion share its other mass, pairs out of its scope
-    count as uniform. Probabilities that sum to over 1 are scaled. ``weight``: of a worker, over its columns (default 1).
+    count as uniform. Probabilities that sum to over 1 are scaled. ``weight``: of a worker, ``temperature``: of a case, over the columns of workers
+    and pairs (default 1).
     """
     worker = Window.partitionBy("case_id", "worker_id")
     case = Window.partitionBy("case_id")
@@ -144,24 +203,80 @@ def log_opinion_pool(explicit: DataFrame, workers: DataFrame, pairs: DataFrame,
     other = F.least(F.col("other_mass"), F.greatest(F.lit(0.0), 1 - F.least(F.col("_mass"), F.lit(1.0))))
     rest = F.greatest(F.lit(epsilon), other / F.greatest(F.lit(1), F.col("_size") - F.col("_said")))
     p = F.when(~F.col("_in"), 1.0 / F.col("_n")).otherwise(F.greatest(F.lit(epsilon), F.coalesce(F.col("_p") * scale, rest)))
-    logs = rows.withColumn("_l", F.log(p) * (F.lit(1.0) if weight is None else weight)).groupBy("case_id", "component", "reason").agg((F.sum("_l") - F.log(F.first("_n"))).alias("logp"), F.count("_p").alias("supporters"))
-    logs = logs.withColumn("_top", F.max("logp").over(case)).withColumn("_e", F.exp((F.col("logp") - F.col("_top")) / max(temperature, 1e-6)))
+    logs = rows.withColumn("_l", F.log(p) * (F.lit(1.0) if weight is None else weight)).groupBy("case_id", "component", "reason").agg((F.sum("_l") - F.log(F.first("_n"))).alias("logp"), F.count("_p").alias("supporters"), F.first(temperature if isinstance(temperature, Column) else F.lit(temperature)).alias("_temperature"))
+    logs = logs.withColumn("_top", F.max("logp").over(case)).withColumn("_e", F.exp((F.col("logp") - F.col("_top")) / F.greatest("_temperature", F.lit(1e-6))))
     posterior = logs.withColumn("posterior", F.col("_e") / F.sum("_e").over(case))
     ranked = posterior.withColumn("posterior", F.round("posterior", 9))
     return best(ranked, ["case_id"], [F.col("posterior").desc(), F.col("supporters").desc(), "component", "reason"], most, rank="rank").select("case_id", "component", "reason", "posterior", "supporters", "rank")
 
 
-def effective_weight(vectors: DataFrame, rho: float = 1.0) -> DataFrame:
-    """(case_id, workers, weight): N_eff / N, N_eff = 1 + (N - 1)(1 - rho * mean positive correlation) of the workers' vectors.
+def worker_correlation(vectors: DataFrame) -> DataFrame:
+    """(case_id, workers, correlation): the mean positive correlation of the workers' vectors; 0 for a single worker.
 
     vectors: (case_id, worker_id, component, p), with a row for each worker and component of a case.
     """
     a, b = (vectors.select("case_id", "component", F.col("worker_id").alias(w), F.col("p").alias(p)) for w, p in (("wa", "pa"), ("wb", "pb")))
     pairs = a.join(b, ["case_id", "component"]).where("wa < wb").groupBy("case_id", "wa", "wb").agg(F.greatest(F.lit(0.0), F.coalesce(F.when((F.stddev_pop("pa") > 0) & (F.stddev_pop("pb") > 0), F.corr("pa", "pb")), F.lit(0.0))).alias("r"))
-    mean = pairs.groupBy("case_id").agg(F.avg("r").alias("_r"))
     n = vectors.groupBy("case_id").agg(F.count_distinct("worker_id").alias("workers"))
-    rows = n.join(mean, "case_id", "left")
-    return rows.select("case_id", "workers", F.round(F.when(F.col("workers") < 2, 1.0).otherwise((1 + (F.col("workers") - 1) * (1 - rho * F.coalesce("_r", F.lit(0.0)))) / F.col("workers")), 9).alias("weight"))
+    return n.join(pairs.groupBy("case_id").agg(F.avg("r").alias("correlation")), "case_id", "left").fillna(0.0, ["correlation"])
+
+
+def effective_share(workers: Column, correlation: Column, rho: Column) -> Column:
+    """N_eff / N, N_eff = 1 + (N - 1)(1 - rho * correlation)."""
+    return F.when(workers < 2, 1.0).otherwise((1 + (workers - 1) * (1 - rho * correlation)) / workers)
+
+
+def effective_weight(vectors: DataFrame, rho: float = 1.0) -> DataFrame:
+    """(case_id, workers, weight): how many independent workers a case's workers come to, as a share of them."""
+    return worker_correlation(vectors).select("case_id", "workers", F.round(effective_share(F.col("workers"), F.col("correlation"), F.lit(rho)), 9).alias("weight"))
+
+
+#: The grid of the fit.
+BOOSTS, RHOS, TEMPERATURES = (1.0, 1.15, 1.3, 1.5, 2.0), (0.0, 0.25, 0.5, 0.75, 1.0), (1.0, 1.5, 2.0, 3.0)
+
+
+def boosted_weight(modality: Column, boost: Column) -> Column:
+    """A worker's reliability in the fit; a boost of 1 leaves all alike."""
+    of = F.when(modality.isin("logs", "traces"), boost).when(modality == "events", 1 + (boost - 1) / 2).when(modality == "auxiliary", 0.8).otherwise(1.0)
+    return F.when(boost == 1.0, 1.0).otherwise(of)
+
+
+def pool_scores(params: list[tuple[float, float, float]], explicit: DataFrame, workers: DataFrame, pairs: DataFrame, truth: DataFrame, correlation: DataFrame) -> DataFrame:
+    """(param_id, boost, rho, temperature, mrr, hit_at_1, brier) of each of params (boost, rho, temperature): opinions pooled anew for each, over all cases of ``truth``.
+
+    Parameters are few; a case is pooled under the key (parameter, case), so all of it is one plan.
+    """
+    key = F.concat_ws("|", F.col("param_id").cast("string"), "case_id")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("param_id"), *[F.lit(float(x)).alias(n) for n, x in zip(("boost", "rho", "temperature"), p)]) for k, p in enumerate(params)]))
+    under = lambda df: df.withColumn("_p", each).select("*", "_p.*").drop("_p").withColumn("case_id", key)
+    weighted = under(workers.join(correlation, "case_id")).withColumn("_weight", boosted_weight(F.col("modality"), F.col("boost")) * effective_share(F.col("workers"), F.col("correlation"), F.col("rho")))
+    pooled = log_opinion_pool(under(explicit), weighted.select("case_id", "worker_id", "other_mass", "scope", "_weight", "temperature"), under(pairs).select("case_id", "component", "reason"), F.col("_weight"), temperature=F.col("temperature"))
+    names = ["param_id", "boost", "rho", "temperature"]
+    asked = under(truth).select(*names, "case_id", F.lower(F.trim("true_root")).alias("_true"))
+    hit = F.lower(F.trim("component")) == F.col("_true")
+    found = asked.join(pooled, "case_id", "left").groupBy(*names, "case_id").agg(F.coalesce(1.0 / F.min(F.when(hit, F.col("rank"))), F.lit(0.0)).alias("rr"), F.max(F.when(F.col("rank") == 1, F.col("posterior"))).alias("sure"))
+    right = F.when(F.col("rr") == 1.0, 1.0).otherwise(0.0)
+    error = F.coalesce("sure", F.lit(0.0)) - right
+    return found.groupBy(*names).agg(F.round(F.avg("rr"), 9).alias("mrr"), F.round(F.avg(right), 9).alias("hit_at_1"), F.round(F.avg(error * error), 9).alias("brier"))
+
+
+def grid_search(explicit: DataFrame, workers: DataFrame, pairs: DataFrame, truth: DataFrame, vectors: DataFrame, boosts=BOOSTS, rhos=RHOS, temperatures=TEMPERATURES) -> DataFrame:
+    """(stage, boost, rho, temperature, mrr, hit_at_1, brier, chosen): weights of the opinion pool fitted on labelled cases, in two stages.
+
+    Reliability first: the boost of best mean reciprocal rank, then hit@1, the smallest of equals (1: none). Then rho and
+    temperature at that boost: the least Brier score, the first of equals. workers: (case_id, worker_id, modality, other_mass, scope).
+    """
+    correlation = written(worker_correlation(vectors), "correlation")
+
+    def tried(stage, grid):
+        rows = written(pool_scores(grid, explicit, workers, pairs, truth, correlation).withColumn("stage", F.lit(stage)), "grid")
+        order = [F.col("mrr").desc(), F.col("hit_at_1").desc(), "param_id"] if stage == "reliability" else ["brier", "param_id"]
+        return rows.withColumn("chosen", F.row_number().over(Window.orderBy(*order)) == 1)  # a row for each parameter
+
+    one = tried("reliability", [(b, 0.0, 1.0) for b in boosts])
+    boost = one.where("chosen").first()["boost"]
+    two = tried("calibration", [(boost, r, t) for r in rhos for t in temperatures])
+    return one.unionByName(two).select("stage", "boost", "rho", "temperature", "mrr", "hit_at_1", "brier", "chosen")
 
 
 def peer_review(proposals: DataFrame, evidence: DataFrame, agents: DataFrame) -> DataFrame:
@@ -185,17 +300,42 @@ def rerank(candidates: DataFrame, factors: DataFrame, factor: str, gain: float,
     rows = candidates.join(factors.select(*keys, factor), keys, "left")
     rows = rows.withColumn("score", F.col("score") * (1 + gain * F.coalesce(factor, F.lit(0.0)))).withColumn("_total", F.sum(F.greatest("score", F.lit(0.0))).over(case))
     share = F.when(F.col("_total") > 0, F.greatest("score", F.lit(0.0)) / F.col("_total")).otherwise(0.0)
-    rows = rows.withColumns({"confidence": F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.05), share)), 6), "score": F.round("score", 6)})
+    rows = rows.withColumns({"confidence": F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.05), share)), 6), "score": F.round("score", 9)})
     return rows.withColumn("rank", F.row_number().over(case.orderBy(F.col("score").desc(), "component"))).drop("_total")
 
 
 def causal_pick(loudest: DataFrame, connectivity: DataFrame, most: int = 15) -> DataFrame:
-    """Of the ``most`` loudest components, the one with most symptomatic neighbours (the louder of equals); without any, the loudest."""
+    """Of the ``most`` loudest components, the one with most symptomatic neighbours in its case's graph (the louder of equals); without any, the loudest.
+
+    connectivity: (case_id, node, n).
+    """
     top = best(loudest, ["case_id"], [F.col("max_score").desc(), "component"], most, rank="loudness")
-    rows = top.join(connectivity.select(F.col("node").alias("component"), F.col("n").alias("neighbours")), "component", "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)).cast("long"))
+    rows = top.join(connectivity.select("case_id", F.col("node").alias("component"), F.col("n").alias("neighbours")), ["case_id", "component"], "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)).cast("long"))
     return best(rows, ["case_id"], [F.col("neighbours").desc(), "loudness"], 1).select("case_id", "component", "neighbours", "loudness")
 
 
+def onset_pick(candidates: DataFrame, findings: DataFrame, series: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """(case_id, component, onset_ts, neighbours): the candidate whose dominant series breaks out first.
+
+    candidates: (case_id, component, rank); series: (case_id, component, metric, ts, value); adjacency: undirected (case_id, src, dst).
+    A candidate's dominant series is that of its best finding's signal, or, where there is none of that name, the most varying
+    one. Of equal onsets the candidate with more neighbours among those with an onset wins, then the better rank; a case
+    without any onset takes its first candidate.
+    """
+    own = ["case_id", "component"]
+    signal = best(findings, own, [F.col("score").desc(), F.col("magnitude").desc(), "signal", "direction"], 1).select(*own, F.col("signal").alias("_signal"))
+    wanted = series.join(candidates.select(*own).distinct(), own, "left_semi")
+    spread = wanted.groupBy(*own, "metric").agg(F.stddev_samp("value").alias("_std")).join(signal, own, "left")
+    chosen = best(spread, own, [F.when(F.col("metric") == F.col("_signal"), 0).otherwise(1), F.col("_std").desc_nulls_last(), "metric"], 1).select(*own, "metric")
+    onsets = onset_mad(wanted.join(chosen, [*own, "metric"], "left_semi"), own).where("onset_ts is not null")
+    ends = onsets.select("case_id", F.lower("component").alias("_other"))
+    links = adjacency.select("case_id", F.lower("src").alias("_node"), F.lower("dst").alias("_other")).where("_node <> _other").distinct()
+    near = links.join(ends, ["case_id", "_other"], "left_semi").groupBy("case_id", "_node").agg(F.count("*").alias("neighbours"))
+    rows = candidates.join(onsets, own, "left").withColumn("_node", F.lower("component")).join(near, ["case_id", "_node"], "left")
+    rows = rows.withColumn("neighbours", F.when(F.col("onset_ts").isNotNull(), F.coalesce("neighbours", F.lit(0))).otherwise(0).cast("long"))
+    return best(rows, ["case_id"], [F.col("onset_ts").asc_nulls_last(), F.col("neighbours").desc(), "rank", "component"], 1).select("case_id", "component", "onset_ts", "neighbours")
+
+
 RULES = {"loudest": ("peak",), "topology": ("coverage", "peak"), "temporal": ("onset", "coverage", "peak"), "alarm_correlation": ("coverage", "onset", "peak")}
 
 
@@ -218,11 +358,14 @@ def falsify(candidates: DataFrame, scores: DataFrame) -> DataFrame:
     return two.select("case_id", F.when(over, F.col("b")).otherwise(F.col("a")).alias("winner"), over.alias("promoted"))
 
 
-def majority_roots(opinions: DataFrame) -> DataFrame:
-    """(case_id, component, n) named in more than half of a case's opinions; without any, all those named most."""
+def majority_roots(opinions: DataFrame, workers: DataFrame | None = None) -> DataFrame:
+    """(case_id, component, n) named in more than half of a case's opinions; without any, all those named most.
+
+    ``workers``: (case_id, worker_id) of all opinions, the empty ones among them; without it only those that name something count.
+    """
     case = Window.partitionBy("case_id")
     counts = opinions.groupBy("case_id", "component").agg(F.count_distinct("worker_id").alias("n"))
-    total = opinions.groupBy("case_id").agg(F.count_distinct("worker_id").alias("_all"))
+    total = (opinions if workers is None else workers).groupBy("case_id").agg(F.count_distinct("worker_id").alias("_all"))
     rows = counts.join(total, "case_id").withColumn("_most", F.max("n").over(case)).withColumn("_needs", F.floor(F.col("_all") / 2) + 1)
     return rows.where((F.col("n") >= F.col("_needs")) | ((F.col("_most") < F.col("_needs")) & (F.col("n") == F.col("_most")))).select("case_id", "component", "n")
 
@@ -236,12 +379,25 @@ def metric_prior(top: DataFrame) -> DataFrame:
 
 
 def apply_prior(predictions: DataFrame, prior: DataFrame, insert: int = 4) -> DataFrame:
-    """A strong prior's roots go first, a weak one's ``insert`` roots behind the first; each root once. prior: (case_id, strong, prior_roots)."""
-    rows = predictions.join(prior, "case_id", "left").withColumn("prior_roots", F.coalesce("prior_roots", F.array().cast("array<string>")))
-    roots = F.col("ranked_roots")
-    strong = F.concat(F.slice("prior_roots", 1, 1), roots)
-    weak = F.concat(F.slice(roots, 1, 1), F.slice("prior_roots", 1, insert), roots)
-    return rows.withColumn("ranked_roots", F.array_distinct(F.when(F.coalesce("strong", F.lit(False)), strong).otherwise(weak))).drop("prior_roots", "strong")
+    """Predictions led by a strong prior, or with a weak one's ``insert`` roots behind the first; the prior's other roots follow. Each root once.
+
+    prior: (case_id, strong, margin, prior_roots, prior_faults), a fault family for each of its roots (null: none told); a case
+    without prior roots stays as it is. A strong prior's root takes over, and the confidence is the greater of both; a weak one
+    leaves root and confidence. The fault is the one that the prior tells for the root, else the prediction's own if it is a
+    known family, else the prior's first (``unknown`` without).
+    """
+    none = F.array().cast("array<string>")
+    rows = predictions.join(prior, "case_id", "left").withColumns({"prior_roots": F.coalesce("prior_roots", none), "prior_faults": F.coalesce("prior_faults", none)})
+    roots, first = F.col("ranked_roots"), F.get("ranked_roots", 0)
+    led = F.size("prior_roots") > 0
+    strong = led & F.coalesce("strong", F.lit(False))
+    ranked = F.when(strong, F.concat(F.slice("prior_roots", 1, 1), roots, "prior_roots")).when(led, F.concat(F.slice(roots, 1, 1), F.slice("prior_roots", 1, insert), roots, "prior_roots")).otherwise(roots)
+    root = F.when(strong, F.get("prior_roots", 0)).otherwise(first)
+    told = F.get("prior_faults", F.array_position("prior_roots", root).cast("int") - 1)
+    known = lambda c: F.when(F.lower(F.trim(c)).isin(*FAULT_FAMILIES), F.lower(F.trim(c)))
+    fault = F.when(led, F.coalesce(known(told), known(F.col("fault_type")), F.get("prior_faults", 0), F.lit("unknown"))).otherwise(F.col("fault_type"))
+    sure = F.when(strong, F.greatest("confidence", "margin")).otherwise(F.col("confidence"))
+    return rows.withColumns({"ranked_roots": F.array_distinct(ranked), "fault_type": fault, "confidence": sure}).drop("prior_roots", "prior_faults", "strong", "margin")
 
 
 def eligible_candidates(sources: list[DataFrame], most: int = 10) -> DataFrame:

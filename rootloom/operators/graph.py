@@ -1,12 +1,16 @@
-"""Joins of telemetry with incidents, and dependency graphs: edges from spans, reachability, coverage."""
+"""Joins of telemetry with incidents, and dependency graphs: edges from spans, reachability, coverage.
+
+Graphs are keyed: ``keys`` (the case, by default) stand in edges, nodes and symptoms, and nothing crosses from one to another.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Windows up to this number are broadcast to a range join; more are joined by day.
-BROADCAST_WINDOWS = 100_000
+from rootloom.session import written
+
+KEYS = ("case_id",)
 
 
 def window_interval_join(rows: DataFrame, windows: DataFrame, time_ms: str = "time_ms", bucket_ms: int = 86_400_000) -> DataFrame:
@@ -29,75 +33,80 @@ def span_edges(spans: DataFrame, keys: list[str]) -> DataFrame:
     return calls.join(parents, [*keys, "parent_id"]).where("parent <> child").groupBy(*keys, "parent", "child").agg(F.count("*").alias("n"))
 
 
-def service_graph(spans: DataFrame, node: str = "service") -> DataFrame:
-    """Different directed edges (src, dst) from caller to callee, names in lower case, without loops."""
-    ends = spans.where(F.col(node).isNotNull())
-    parents = ends.select(F.col("span_id").alias("parent_id"), F.lower(node).alias("src")).distinct()
-    return ends.select("parent_id", F.lower(node).alias("dst")).distinct().join(parents, "parent_id").where("src <> dst").select("src", "dst").distinct()
-
+def service_graph(spans: DataFrame, node: str = "service", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Different directed edges (keys, src, dst) from caller to callee, names in lower case, without empty ones and loops."""
+    name = F.lower(F.trim(node))
+    ends = spans.where(name != "")
+    parents = ends.select(*keys, F.col("span_id").alias("parent_id"), name.alias("src")).distinct()
+    calls = ends.where("parent_id is not null").select(*keys, "parent_id", name.alias("dst")).distinct()
+    return calls.join(parents, [*keys, "parent_id"]).where("src <> dst").select(*keys, "src", "dst").distinct()
 
-def strong_edges(spans: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
-    """(src, dst): calls between different services that are more frequent than the average pair's."""
-    parents = spans.select(*keys, F.col("span_id").alias("parent_id"), F.lower("service").alias("src"))
-    calls = spans.select(*keys, "parent_id", F.lower("service").alias("dst")).join(parents, [*keys, "parent_id"])
-    counts = calls.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
-    mean = counts.agg(F.avg("n").alias("_mean"))
-    return counts.join(F.broadcast(mean)).where("n > _mean").select("src", "dst")
 
+def container_service_edges(spans: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    return spans.where("component is not null and ds_name is not null and component <> ds_name").select(*keys, F.col("component").alias("src"), F.col("ds_name").alias("dst")).distinct()
 
-def container_service_edges(spans: DataFrame) -> DataFrame:
-    return spans.where("component is not null and ds_name is not null and component <> ds_name").select(F.col("component").alias("src"), F.col("ds_name").alias("dst")).distinct()
 
+def undirected(edges: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    return edges.select(*keys, "src", "dst").union(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
-def undirected(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
+def graph_nodes(edges: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    return edges.select(*keys, F.col("src").alias("node")).union(edges.select(*keys, "dst")).distinct()
 
-def _keep(df: DataFrame, name: str) -> DataFrame:
-    """Written to the session's checkpoint folder, which executors share, and read again; in a session without one, cached."""
-    context = df.sparkSession.sparkContext
-    return df.checkpoint() if context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
 
+def hops(edges: DataFrame, starts: DataFrame, most: int = 1000, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, start, node, hop): everything that each ``node`` of ``starts`` reaches, with the least number of steps; the start itself at 0.
 
-def hops(edges: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
-    """(start, node, hop): everything that each ``node`` of ``starts`` reaches, with the least number of steps; the start itself at 0.
-
-    A frontier join for each step; nodes that were seen are not entered again, so cycles end.
+    A frontier join for each step; nodes that were seen are not entered again, so cycles end. Each step is written to the
+    shared folder and read again, so a step reads tables, not the steps before.
     """
-    seen = starts.select(F.col("node").alias("start"), F.col("node")).distinct().withColumn("hop", F.lit(0))
-    frontier = seen
+    ways = written(edges.select(*keys, F.col("src").alias("node"), "dst").distinct(), "edges")
+    frontier = written(starts.select(*keys, F.col("node").alias("start"), F.col("node")).distinct().withColumn("hop", F.lit(0)), "frontier")
+    seen = frontier
     for hop in range(1, most + 1):
-        step = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("start", F.col("dst").alias("node")).distinct()
-        frontier = _keep(step.join(seen, ["start", "node"], "left_anti").withColumn("hop", F.lit(hop)), "frontier")
+        step = frontier.join(ways, [*keys, "node"]).select(*keys, "start", F.col("dst").alias("node")).distinct()
+        frontier = written(step.join(seen, [*keys, "start", "node"], "left_anti").withColumn("hop", F.lit(hop)), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
     return seen
 
 
-def ancestors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(start, node): the transitive callers of each node, without itself."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return hops(back, nodes).where("start <> node").select("start", "node")
+def ancestors(edges: DataFrame, nodes: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, start, node): the transitive callers of each node, without itself."""
+    back = edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return hops(back, nodes, keys=keys).where("start <> node").select(*keys, "start", "node")
+
 
+def k_hop_connectivity(adjacency: DataFrame, symptomatic: DataFrame, radius: int = 2, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, node, n): other symptomatic nodes within ``radius`` steps of each node of an undirected graph; found from the symptoms outwards."""
+    near = hops(adjacency, symptomatic, radius, keys).where("start <> node").groupBy(*keys, "node").agg(F.count("*").alias("n"))
+    nodes = adjacency.select(*keys, F.col("src").alias("node")).distinct()
+    return nodes.join(near, [*keys, "node"], "left").select(*keys, "node", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
-def k_hop_connectivity(adjacency: DataFrame, symptomatic: DataFrame, radius: int = 2) -> DataFrame:
-    """(node, n): other symptomatic nodes within ``radius`` steps of each node of an undirected graph."""
-    near = adjacency.select(F.col("src").alias("node"), F.col("dst").alias("other")).distinct()
-    reach = near
-    for _ in range(radius - 1):
-        reach = reach.join(near.select(F.col("node").alias("other"), F.col("other").alias("next")), "other").select("node", F.col("next").alias("other")).union(near).distinct()
-    hit = reach.where("node <> other").join(symptomatic.select(F.col("node").alias("other")).distinct(), "other", "left_semi")
-    return near.select("node").distinct().join(hit.groupBy("node").agg(F.count("*").alias("n")), "node", "left").select("node", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
+def explanatory_coverage(edges: DataFrame, symptomatic: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, node, coverage): the share of symptomatic nodes that a node or its transitive callers are.
 
-def explanatory_coverage(edges: DataFrame, symptomatic: DataFrame) -> DataFrame:
-    """(node, coverage): the share of symptomatic nodes that a node or its callers are."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    closure = ancestors(edges, nodes).union(nodes.select("node", F.col("node").alias("n2"))).toDF("node", "other")
-    total = symptomatic.select("node").distinct().agg(F.count("*").alias("total"))
-    hit = closure.join(symptomatic.select(F.col("node").alias("other")).distinct(), "other", "left_semi").groupBy("node").agg(F.count("*").alias("hits"))
-    return nodes.join(hit, "node", "left").join(F.broadcast(total)).select("node", F.round(F.coalesce("hits", F.lit(0)) / F.greatest("total", F.lit(1)), 6).alias("coverage"))
+    A symptom counts for whatever it calls, so the search goes from the symptoms down the calls, not from every node up.
+    """
+    symptoms = symptomatic.select(*keys, "node").distinct()
+    total = symptoms.groupBy(*keys).agg(F.count("*").alias("total"))
+    hits = hops(edges, symptoms, keys=keys).groupBy(*keys, "node").agg(F.count("*").alias("hits"))
+    rows = graph_nodes(edges, keys).join(hits, [*keys, "node"], "left").join(total, list(keys), "left")
+    return rows.select(*keys, "node", F.round(F.coalesce(F.col("hits") / F.col("total"), F.lit(0.0)), 6).alias("coverage"))
+
+
+def graph_context(candidates: DataFrame, edges: DataFrame, symptomatic: DataFrame, most: int = 8, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, component, calls, called_by, is_symptomatic, in_graph): what surrounds each candidate, ``most`` names either way, in their order."""
+    node = F.lower(F.trim("component"))
+    side = lambda mine, other, into: edges.groupBy(*keys, F.col(mine).alias("_node")).agg(F.array_sort(F.collect_set(other)).alias(into))  # noqa: E731  the neighbours of one node of one case
+    rows = candidates.select(*keys, "component", node.alias("_node")).distinct()
+    rows = rows.join(side("src", "dst", "calls"), [*keys, "_node"], "left").join(side("dst", "src", "called_by"), [*keys, "_node"], "left")
+    rows = rows.join(symptomatic.select(*keys, F.lower(F.trim("node")).alias("_node"), F.lit(True).alias("_symptom")).distinct(), [*keys, "_node"], "left")
+    names = lambda c: F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, most).alias(c)
+    in_graph = F.col("calls").isNotNull() | F.col("called_by").isNotNull()
+    return rows.select(*keys, "component", names("calls"), names("called_by"), F.coalesce("_symptom", F.lit(False)).alias("is_symptomatic"), in_graph.alias("in_graph"))
 
 
 def paired_systems(rows: DataFrame, baseline: str, treatment: str, value: str, majority: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootloom.operators import graph
+from rootloom.session import written
 
 #: Keys and values that give the answer away, letters and digits only.
 FORBIDDEN_KEYS = ("groundtruth", "groundtruthrootcause", "correctanswer", "goldanswer", "isrootcause", "istargetrootcause")
@@ -32,7 +32,7 @@ def leakage_audit(graphs: DataFrame, key: str = "case_id", raw: str = "raw") ->
         hits = F.filter(F.array(F.when(bad_key, F.lit("answer_key")), F.when(bad_value, F.lit("answer_marker"))), lambda x: x.isNotNull())
         part = level.select(F.col("key").alias(key), "path", F.explode(hits).alias("kind"), F.coalesce("text", F.lit("")).alias("value"))
         out = part if out is None else out.unionByName(part)
-        level = graph._keep(level.where(nested).select("key", "path", "v"), "level")
+        level = written(level.where(nested).select("key", "path", "v"), "level")
         if level.isEmpty():
             return out
 
@@ -86,9 +86,37 @@ def root_labels(nodes: DataFrame) -> DataFrame:
 
 
 def scan_graph_json(spark: SparkSession, folder: str) -> DataFrame:
-    """(case_id, graph, label, sha256): ``input.json`` paired with ``label.json`` of the same directory."""
+    """(case_id, graph, label, sha256): each ``input.json`` with the ``label.json`` beside it, or ``<case>_input.json`` with ``<case>_label.json``; the hash is of the input's bytes.
+
+    Cases are named by their directory, flat files by what stands before the underscore. A file without its other is left out.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(folder)
-    named = files.select(F.substring_index(F.col("path"), "/", -1).alias("name"), F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "content")
-    part = lambda n, c: named.where(F.col("name") == n).select("dir", F.col("content").alias(c))
-    pairs = part("input.json", "a").join(part("label.json", "b"), "dir")
-    return pairs.select(F.substring_index("dir", "/", -1).alias("case_id"), F.col("a").cast("string").alias("graph"), F.col("b").cast("string").alias("label"), F.sha2("a", 256).alias("sha256"))
+    name, place = F.substring_index("path", "/", -1), F.regexp_replace("path", "/[^/]*$", "")
+    kind = F.regexp_extract(name, r"^(?:.*_)?(input|label)\.json$", 1)
+    flat = F.regexp_extract(name, r"^(.*)_(?:input|label)\.json$", 1)
+    case = F.when(flat != "", flat).otherwise(F.substring_index(place, "/", -1))
+    named = files.select(kind.alias("kind"), place.alias("dir"), flat.alias("flat"), case.alias("case_id"), "content").where("kind <> ''")
+    part = lambda k, into: named.where(F.col("kind") == k).select("dir", "flat", "case_id", F.col("content").alias(into))
+    pairs = part("input", "a").join(part("label", "b"), ["dir", "flat", "case_id"])
+    return pairs.select("case_id", F.col("a").cast("string").alias("graph"), F.col("b").cast("string").alias("label"), F.sha2("a", 256).alias("sha256"))
+
+
+def write_graph_json(pairs: DataFrame, folder: str) -> str:
+    """Writes (case, input, label) as one directory a case, ``input.json`` and, where there is one, ``label.json``; gives the folder back."""
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for row in batch.to_pylist():
+                store.create_dir(f"{base}/{row['case']}", recursive=True)
+                for name in ("input", "label"):
+                    if row[name] is not None:
+                        with store.open_output_stream(f"{base}/{row['case']}/{name}.json") as out:
+                            out.write(row[name].encode())
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+
+    pairs.select("case", "input", "label").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return folder

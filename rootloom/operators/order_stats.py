@@ -2,37 +2,53 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
 
 
-def group_median(rows: DataFrame, keys: list[str], value: Column, into: str = "median") -> DataFrame:
-    """(keys, into): the exact median of each group.
+def group_quantiles(rows: DataFrame, keys: list[str], value: Column, shares: dict[str, float]) -> DataFrame:
+    """(keys, one column for each of ``shares``): exact quantiles of each group, interpolated between neighbours.
 
-    A sketch of fixed size brackets it between two values of nearby rank; one more pass counts what lies below the bracket
-    and the few different values inside, and the middle ones are picked from those.
+    A sketch of fixed size brackets each between two values of nearby rank; one more pass counts what lies below a bracket
+    and the few different values inside, and the two neighbours are picked from those. So no group is held or sorted in one task.
     """
     keyed = rows.select(*keys, value.cast("double").alias("_x")).where("_x is not null")
     near = 4.0 / ACCURACY
-    sketch = keyed.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", [0.5 - near, 0.5 + near], ACCURACY).alias("_b"))
-    joined = keyed.join(sketch, keys).where(F.col("_x") <= F.col("_b")[1])
-    cell = F.when(F.col("_x") >= F.col("_b")[0], F.col("_x"))  # everything below the bracket is one cell: null, which sorts first
-    counts = joined.groupBy(*keys, cell.alias("_v")).agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
-    upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())))
+    ends = [min(1.0, max(0.0, q + d)) for q in shares.values() for d in (-near, near)]
+    sketch = keyed.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", ends, ACCURACY).alias("_b"))
+    low, high = (lambda k: F.col("_b")[2 * k]), (lambda k: F.col("_b")[2 * k + 1])
+    # What lies below a bracket is one cell, and what lies above another; a neighbour just outside is the greatest or least of these.
+    side = lambda k: F.when(F.col("_x") < low(k), -1).when(F.col("_x") > high(k), 1).otherwise(0)
+    cells = [F.struct(F.lit(k).alias("_q"), side(k).alias("_s"), F.when(side(k) == 0, F.col("_x")).alias("_cell")) for k in range(len(shares))]
+    joined = keyed.join(sketch, keys).select(*keys, "_n", "_x", F.explode(F.array(*cells)).alias("_c")).select(*keys, "_n", "_x", "_c.*")
+    counts = joined.groupBy(*keys, "_q", "_s", "_cell").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
+    counts = counts.withColumn("_v", F.when(F.col("_s") < 0, F.col("_most")).otherwise(F.col("_least")))
+    upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_q").orderBy("_v")))
+    share = F.element_at(F.array(*map(F.lit, shares.values())), F.col("_q") + 1)
+    # The place is rounded a little, so that 0.7 * 10 is 7.
+    place = F.round((F.col("_n") - 1) * share, 9)
     at = lambda i: F.min(F.when(F.col("_upto") > i, F.col("_v")))
-    low, high = at(F.floor((F.col("_n") - 1) / 2)), at(F.ceil((F.col("_n") - 1) / 2))
-    return upto.groupBy(*keys).agg(((low + high) / 2).alias(into))
+    found = upto.groupBy(*keys, "_q").agg(at(F.floor(place)).alias("_a"), at(F.ceil(place)).alias("_b"), F.first(place - F.floor(place)).alias("_t"))
+    picked = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t")
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == k, picked)).alias(n) for k, n in enumerate(shares)])
+
+
+def group_median(rows: DataFrame, keys: list[str], value: Column, into: str = "median") -> DataFrame:
+    """(keys, into): the exact median of each group."""
+    return group_quantiles(rows, keys, value, {into: 0.5})
 
 
-def order_statistic(rows: DataFrame, column: str, share: float) -> float | None:
-    """The value at floor(n * share) of the sorted column (from 0); bracketed and picked in the same way."""
+def order_statistic(rows: DataFrame, column: str, share: float, before: bool = False) -> float | None:
+    """The value at floor(n * share) of the sorted column (from 0), bracketed and picked in the same way; ``before``: at ceil(n * share) - 1."""
     near = 4.0 / ACCURACY
     n, bracket = rows.where(F.col(column).isNotNull()).agg(F.count("*"), F.percentile_approx(column, [max(0.0, share - near), min(1.0, share + near)], ACCURACY)).first()
     if not n:
         return None
-    place = min(int(n * share), n - 1)
+    place = min(max(math.ceil(n * share) - 1, 0) if before else int(n * share), n - 1)
     cell = F.when(F.col(column) >= bracket[0], F.col(column))
     counts = rows.where(F.col(column).isNotNull()).groupBy(cell.alias("v")).agg(F.count("*").alias("c")).where(F.col("v").isNull() | (F.col("v") <= F.lit(bracket[1])))
     upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy(F.col("v").asc_nulls_first())))

@@ -18,18 +18,169 @@ def score_join(predictions: DataFrame, cases: DataFrame) -> DataFrame:
     return rows.withColumns({"hit_at_1": F.when(F.col("place") == 1, 1).otherwise(0), "hit_at_3": F.when(F.col("place").between(1, 3), 1).otherwise(0), "mrr": F.when(F.col("place") > 0, 1.0 / F.col("place")).otherwise(0.0)})
 
 
-def field_score(rows: DataFrame, keys: list[str], within_s: float = 60.0) -> DataFrame:
-    """(keys, score): the best assignment of predicted to expected roots, as the share of expected fields that match, 2 places.
+FIELDS = ("component", "reason", "time_s")
+_ROOT = "array<struct<component:string,reason:string,time_s:double>>"
 
-    Roots are structs (component, reason, time_s); null fields of the expected ones aren't asked for. Up to four roots are
-    tried in every order; lists of different lengths score 0.
+
+def _seconds(text: Column) -> Column:
+    return F.unix_micros(F.try_to_timestamp(F.trim(text), F.lit("yyyy-MM-dd HH:mm:ss"))) / 1e6
+
+
+def scoring_points(text: Column) -> Column:
+    """struct(components, reasons, times) of a prose list of scoring points, in order. The patterns are fixed values."""
+    every = lambda pattern: F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 1), lambda x: F.trim(x))
+    which = r"The (?:\d+-th|only) "
+    return F.struct(
+        every(which + r"predicted root cause component is ([^\n]+)").alias("components"),
+        every(which + r"predicted root cause reason is ([^\n]+)").alias("reasons"),
+        every(which + r"root cause occurrence time is within 1 minutes \(i\.e\., <=1min\) of ([^\n]+)").alias("times"),
+    )
+
+
+def expected_roots(points: Column) -> Column:
+    """One root for each place; fields that aren't told for every place are null."""
+    n = F.greatest(F.size(points["components"]), F.size(points["reasons"]), F.size(points["times"]))
+    told = lambda name, k: F.when(F.size(points[name]) == n, F.get(points[name], k))
+    roots = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(told("components", k).alias("component"), told("reasons", k).alias("reason"), _seconds(told("times", k)).alias("time_s")))
+    return F.when(n > 0, roots).otherwise(F.array().cast(_ROOT))
+
+
+def parse_answer(raw: Column) -> Column:
+    """struct(error, roots array of (component, reason, time)) of a JSON answer: an object of numbered roots, a list, or ``root_causes``; times stay texts."""
+    item = "map<string,string>"
+    numbered, listed, named = F.from_json(raw, f"map<string,{item}>"), F.from_json(raw, f"array<{item}>"), F.from_json(raw, f"root_causes array<{item}>")["root_causes"]
+    in_order = F.array_sort(F.transform(F.map_keys(numbered), lambda k: F.struct(k.try_cast("int").alias("n"), k.alias("k"))))
+    by_number = F.transform(in_order, lambda e: F.try_element_at(numbered, e["k"]))
+    starts = F.substring(F.ltrim(raw), 1, 1)
+    items = F.when(starts == "[", listed).when(named.isNotNull(), named).when(starts == "{", F.when(F.coalesce(F.forall(F.map_values(numbered), lambda v: v.isNotNull()), F.lit(False)), by_number))
+    field = lambda m, *names: F.coalesce(*[F.nullif(F.try_element_at(m, F.lit(n)), F.lit("")) for n in names], F.lit(""))
+    read = lambda m: F.struct(field(m, "root cause component", "root_cause_component").alias("component"), field(m, "root cause reason", "root_cause_reason").alias("reason"), field(m, "root cause occurrence datetime", "root_cause_occurrence_datetime").alias("time"))
+    whole = F.coalesce(F.forall(items, lambda m: m.isNotNull()), F.lit(False))
+    roots = F.when(whole, F.transform(items, read)).otherwise(F.array().cast("array<struct<component:string,reason:string,time:string>>"))
+    return F.struct((~whole).alias("error"), roots.alias("roots"))
+
+
+def best_assignment(expected: Column, predicted: Column, within_s: float) -> Column:
+    """struct(score, path): the most matching fields over all ways to give each expected root a predicted one, and which (as -place).
+
+    Over sets of used predictions, root by root: exact for lists of any length, at n 2^n steps each. Of equally good ways the
+    one that comes first in order. The lists must have the same length, which isn't 0.
+    """
+    n = F.size(expected)
+    bit = lambda j: F.call_function("shiftleft", F.lit(1), j)
+    hit = lambda a, b: F.when(a, b).otherwise(0)
+
+    def match(e, p):
+        near = F.abs(e["time_s"] - p["time_s"]) <= within_s
+        return hit(e["component"] == p["component"], 1) + hit(e["reason"] == p["reason"], 1) + hit(near, 1)
+
+    none = F.struct(F.lit(-1).alias("score"), F.array().cast("array<int>").alias("path"))
+
+    def step(old, i):
+        def of_set(used):
+            def last(j):
+                rest = F.get(old, used - bit(j))
+                added = F.struct((rest["score"] + match(F.get(expected, i), F.get(predicted, j))).alias("score"), F.concat(rest["path"], F.array(-j)).alias("path"))
+                return F.when((F.getbit(used, j) == 1) & (rest["score"] >= 0) & (F.size(rest["path"]) == i), added)
+
+            return F.coalesce(F.array_max(F.filter(F.transform(F.sequence(F.lit(0), n - 1), last), lambda x: x.isNotNull())), none)
+
+        return F.transform(F.sequence(F.lit(0), bit(n) - 1), of_set)
+
+    start = F.transform(F.sequence(F.lit(0), bit(n) - 1), lambda used: F.when(used == 0, F.struct(F.lit(0).alias("score"), F.array().cast("array<int>").alias("path"))).otherwise(none))
+    return F.element_at(F.aggregate(F.sequence(F.lit(0), n - 1), start, step), -1)
+
+
+def field_score(rows: DataFrame, keys: list[str], within_s: float = 60.0, asked: Column | None = None) -> DataFrame:
+    """(keys, score, passed, failed): the best assignment of predicted to expected roots, as the share of expected fields that match, 2 places.
+
+    Roots are structs (component, reason, time_s); null fields of the expected ones aren't asked for. Lists of different
+    lengths match nothing. passed and failed: the expected fields as texts, passed in the order of the roots, failed each once,
+    in order. ``asked``: number of fields to divide by (default: those that aren't null).
+    """
+    rows = rows.select(*keys, "expected", "predicted", (F.lit(None) if asked is None else asked).cast("int").alias("_given"))
+    fits = (F.size("expected") == F.size("predicted")) & (F.size("expected") > 0)
+    rows = rows.withColumn("_best", F.when(fits, best_assignment(F.col("expected"), F.col("predicted"), within_s)))
+    text = lambda e, f: e[f] if f != "time_s" else F.date_format(F.timestamp_seconds(e[f]), "yyyy-MM-dd HH:mm:ss")
+    same = lambda e, p, f: F.abs(e[f] - p[f]) <= within_s if f == "time_s" else e[f] == p[f]
+
+    def hits(e, i):
+        p = F.get("predicted", -F.get(F.col("_best.path"), i))
+        return F.array_compact(F.array(*[F.when(same(e, p, f), text(e, f)) for f in FIELDS]))
+
+    passed = F.when(F.col("_best.score") > 0, F.flatten(F.transform("expected", hits))).otherwise(F.array().cast("array<string>"))
+    fields = F.flatten(F.transform("expected", lambda e: F.array_compact(F.array(*[text(e, f) for f in FIELDS]))))
+    n = F.coalesce("_given", F.size(fields))
+    return rows.select(*keys, F.round(F.when(n > 0, F.coalesce("_best.score", F.lit(0)) / n).otherwise(0.0), 2).alias("score"), passed.alias("passed"), F.array_sort(F.array_except(fields, passed)).alias("failed"))
+
+
+def score_answers(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """field_score of JSON answers (``prediction``) against prose scoring points (``scoring_points``), with strict_correct.
+
+    A field that the points don't tell for every root counts as asked, but can't be matched; a prediction that can't be read
+    has no roots.
     """
-    from itertools import permutations
-
-    match = lambda e, p: F.when(e["component"] == p["component"], 1).otherwise(0) + F.when(e["reason"] == p["reason"], 1).otherwise(0) + F.when(F.abs(e["time_s"] - p["time_s"]) <= within_s, 1).otherwise(0)
-    best = F.lit(0)
-    for n in range(1, 5):
-        orders = F.greatest(F.lit(0), F.lit(0), *[sum((match(F.get("expected", i), F.get("predicted", j)) for i, j in enumerate(order)), F.lit(0)) for order in permutations(range(n))])
-        best = F.when((F.size("expected") == n) & (F.size("predicted") == n), orders).otherwise(best)
-    asked = F.aggregate("expected", F.lit(0), lambda a, e: a + sum((F.when(e[f].isNotNull(), 1).otherwise(0) for f in ("component", "reason", "time_s")), F.lit(0)))
-    return rows.withColumns({"_best": best, "_asked": asked}).select(*keys, F.round(F.when(F.col("_asked") > 0, F.col("_best") / F.col("_asked")).otherwise(0.0), 2).alias("score"))
+    points, answer = scoring_points(F.col("scoring_points")), parse_answer(F.col("prediction"))
+    given = F.size("_points.components") + F.size("_points.reasons") + F.size("_points.times")
+    found = rows.select(*keys, points.alias("_points"), answer.alias("_answer"))
+    predicted = F.transform("_answer.roots", lambda r: F.struct(r["component"].alias("component"), r["reason"].alias("reason"), _seconds(r["time"]).alias("time_s")))
+    found = found.withColumns({"expected": expected_roots(F.col("_points")), "predicted": predicted})
+    scored = field_score(found.withColumn("_n", given), keys, asked=F.col("_n"))
+    return scored.withColumn("strict_correct", F.col("score") == 1.0)
+
+
+#: What an answer can be wrong in.
+ERROR_KINDS = ("format", "multi_root_count", "missing_field", "invalid_catalog", "component", "reason", "time", "unknown")
+
+
+def error_taxonomy(rows: DataFrame, keys: list[str], components: list[str], reasons: list[str]) -> DataFrame:
+    """(keys, strict_correct, categories, predicted_component, predicted_reason) of JSON answers against prose scoring points.
+
+    Several categories may hold; a strictly correct answer has none, any other without one is unknown. Times are compared in
+    their order, within a minute. ``components`` and ``reasons``: the catalogue.
+    """
+    points, answer = scoring_points(F.col("scoring_points")), parse_answer(F.col("prediction"))
+    rows = rows.select(*keys, "strict_correct", points.alias("_e"), answer.alias("_a")).withColumn("_n", F.size("_a.roots"))
+    count = F.greatest(F.size("_e.components"), F.size("_e.reasons"), F.size("_e.times"))
+    roots = F.col("_a.roots")
+    lists = (("components", "component"), ("reasons", "reason"), ("times", "time"))
+    asked = {one: F.size(F.col(f"_e.{many}")) > 0 for many, one in lists}
+    empty = lambda one: (F.col("_n") == 0) | F.exists(roots, lambda r: r[one] == "")
+    lacking = F.lit(False)
+    for one, wanted in asked.items():
+        lacking = lacking | (wanted & empty(one))
+    foreign = F.exists(roots, lambda r: ((r["component"] != "") & ~r["component"].isin(components)) | ((r["reason"] != "") & ~r["reason"].isin(reasons)))
+    differs = lambda many, one: asked[one] & (F.array_sort(F.col(f"_e.{many}")) != F.array_sort(F.transform(roots, lambda r: r[one])))
+    pairs = F.zip_with(F.array_sort("_e.times"), F.array_sort(F.transform(roots, lambda r: r["time"])), lambda e, p: F.coalesce(F.abs(_seconds(e) - _seconds(p)) <= 60, F.lit(False)))
+    late = asked["time"] & ((F.size("_e.times") != F.col("_n")) | F.exists(pairs, lambda x: ~x))
+    tests = (F.col("_a.error"), (count > 0) & (F.col("_n") != count), lacking, foreign, differs("components", "component"), differs("reasons", "reason"), late)
+    found = F.array_compact(F.array(*[F.when(test, kind) for test, kind in zip(tests, ERROR_KINDS)]))
+    kinds = F.when(F.col("strict_correct"), F.array().cast("array<string>")).when(F.size(found) > 0, found).otherwise(F.array(F.lit(ERROR_KINDS[-1])))
+    first = lambda one: F.coalesce(F.nullif(F.get(roots, 0)[one], F.lit("")), F.lit("missing"))
+    return rows.select(*keys, "strict_correct", kinds.alias("categories"), first("component").alias("predicted_component"), first("reason").alias("predicted_reason"))
+
+
+def bias_tables(classified: DataFrame, columns: list[str], system: str = "system") -> DataFrame:
+    """(kind, value, n): of the answers that aren't strictly correct, how often each value of ``columns`` comes, and each category by system."""
+    wrong = classified.where(~F.col("strict_correct"))
+    values = F.array(*[F.struct(F.lit(c).alias("kind"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value")) for c in columns])
+    by_system = F.transform("categories", lambda k: F.struct(F.lit("by_system_category").alias("kind"), F.concat(F.col(system), F.lit(":"), k).alias("value")))
+    return wrong.select(F.explode(F.concat(values, by_system)).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
+
+
+ARTIFACTS = """falsifier struct<selected:string>, fusion_candidates array<struct<component:string>>, worker_distributions array<struct<worker_id:string,candidates:array<struct<component:string>>>>, candidate_catalog_source map<string,string>"""
+
+
+def artifact_diagnostics(rows: DataFrame, raw: str = "artifacts") -> DataFrame:
+    """(kind, value, n) from JSON artifacts: the falsifier's choices, the fused and each worker's first component, sources of the catalogue."""
+    a = rows.select(F.from_json(raw, ARTIFACTS).alias("a")).where("a is not null")
+    entry = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    source = F.transform(F.array_sort(F.map_entries("a.candidate_catalog_source")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    single = F.array_compact(F.array(
+        F.when(F.col("a.falsifier").isNotNull(), entry("falsifier_selected", F.coalesce(F.nullif("a.falsifier.selected", F.lit("")), F.lit("unknown")))),
+        F.when(F.size("a.fusion_candidates") > 0, entry("fusion_top_component", F.coalesce(F.nullif(F.get("a.fusion_candidates", 0)["component"], F.lit("")), F.lit("missing")))),
+        F.when(F.col("a.candidate_catalog_source").isNotNull(), entry("candidate_catalog_source", F.array_join(source, ","))),
+    ))
+    led = F.filter(F.coalesce("a.worker_distributions", F.array().cast("array<struct<worker_id:string,candidates:array<struct<component:string>>>>")), lambda w: F.size(w["candidates"]) > 0)
+    tops = F.transform(led, lambda w: entry("worker_top_component", F.concat_ws(":", w["worker_id"], F.get(w["candidates"], 0)["component"])))
+    return a.select(F.explode(F.concat(single, tops)).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))

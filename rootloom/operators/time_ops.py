@@ -24,15 +24,23 @@ def resolve_long_columns(df: DataFrame, value: Iterable[str], component: Iterabl
     return None if None in found else df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(found, ("component", "metric", "value"), strict=True)])
 
 
-def choose_ts_column(columns: list[str], candidates: Iterable[str] = ("timestamp", "time", "ts", "starttime", "startTimeMillis", "datetime", "date")) -> str | None:
-    """An exact match (letters' case aside) in the candidates' order, else one that matches without punctuation."""
-    plain = lambda s: "".join(ch for ch in s.lower() if ch.isalnum())
-    candidates = list(candidates)
+#: Names of time columns, best first, and those that count without punctuation.
+TS_COLUMNS = ("timestamp", "starttimemillis", "start_time_millis", "start_time", "endtimemillis", "ts", "time", "datetime", "date", "starttime")
+PLAIN_TS_COLUMNS = ("timestamp", "starttimemillis", "time", "datetime")
+
+
+def choose_ts_column(columns: list[str], candidates: Iterable[str] = TS_COLUMNS) -> str | None:
+    """An exact match (letters' case aside) in the candidates' order, else the first column that is one of ``PLAIN_TS_COLUMNS`` without punctuation."""
     found = first_column(columns, candidates)
-    if found is None:
-        by_plain = {plain(c): c for c in reversed(columns)}
-        found = next((by_plain[plain(c)] for c in candidates if plain(c) in by_plain), None)
-    return found
+    plain = lambda c: "".join(ch for ch in c.lower() if ch.isascii() and ch.isalnum())
+    return found if found is not None else next((c for c in columns if plain(c) in PLAIN_TS_COLUMNS), None)
+
+
+def ts_column(names: Column) -> Column:
+    """The same choice over an array of names."""
+    named = lambda c: F.get(F.filter(names, lambda n: F.lower(n) == c), 0)
+    plain = F.get(F.filter(names, lambda n: F.regexp_replace(F.lower(n), "[^a-z0-9]", "").isin(*PLAIN_TS_COLUMNS)), 0)
+    return F.coalesce(*map(named, TS_COLUMNS), plain)
 
 
 def coerce_time(df: DataFrame, column: str, keys: list[str], into: str = "ts") -> DataFrame:
@@ -52,10 +60,20 @@ def infer_time_unit(rows: DataFrame, keys: list[str]) -> DataFrame:
     return group_median(rows, keys, F.abs("ts"), "_m").select(*keys, time_unit(F.col("_m")).alias("unit"))
 
 
+def align_bounds(bounds: list[Column], median: Column) -> list[Column]:
+    """The bounds of one range in the unit of a series: seconds to milliseconds or nanoseconds as the series' median tells, and back.
+
+    All are scaled alike, by the greatest of their magnitudes; without a median they stay.
+    """
+    most = F.greatest(*map(F.abs, bounds)) if len(bounds) > 1 else F.abs(bounds[0])
+    # Magnitudes that tell the units of epoch numbers apart.
+    to_nanos, to_millis = (median > 1e15) & (most < 1e12), (median > 1e12) & (most < 1e10)
+    from_nanos, from_millis = (median < 1e11) & (most > 1e15), (median < 1e11) & (most > 1e12)
+    return [F.when(to_nanos, b * 1e9).when(to_millis, b * 1e3).when(from_nanos, b / 1e9).when(from_millis, b / 1e3).otherwise(b) for b in bounds]
+
+
 def align_bound(bound: Column, median: Column) -> Column:
-    """A bound in the unit of a series: seconds to milliseconds or nanoseconds as the series' median tells, and back."""
-    up = F.when((median > 1e15) & (bound < 1e12), bound * 1e9).when((median > 1e12) & (bound < 1e10), bound * 1e3)
-    return F.coalesce(up, F.when((median < 1e10) & (bound > 1e15), bound / 1e9).when((median < 1e10) & (bound > 1e12), bound / 1e3).otherwise(bound))
+    return align_bounds([bound], median)[0]
 
 
 def phase_bounds(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,7 +100,7 @@ def phase_split(rows: DataFrame, keys: list[str], bounds: DataFrame | None = Non
         pivot, unit = align_bound(F.col("pivot_ts").cast("double"), F.col("abs_median")), time_unit(F.col("abs_median"))
         limits = stats.join(bounds, keys).select(*keys, (pivot - unit * lookback_s).alias("_from"), pivot.alias("_pivot"), (pivot + unit * lookahead_s).alias("_to"))
     else:
-        start, end = (align_bound(F.col(c).cast("double"), F.col("abs_median")) for c in ("start_ts", "end_ts"))
+        start, end = align_bounds([F.col(c).cast("double") for c in ("start_ts", "end_ts")], F.col("abs_median"))
         limits = stats.join(bounds, keys).select(*keys, start.alias("_from"), ((start + end) / 2).alias("_pivot"), end.alias("_to"))
     phase = F.when((F.col("ts") >= F.col("_from")) & (F.col("ts") < F.col("_pivot")), "pre").when((F.col("ts") >= F.col("_pivot")) & (F.col("ts") <= F.col("_to")), "post")
     return rows.join(limits, keys).withColumn("phase", phase).drop("_from", "_pivot", "_to")
@@ -135,19 +153,21 @@ def normalize_spans(df: DataFrame, numbers: Iterable[str] = ("start_ms", "elapse
 
 
 def valid_component(name: Column) -> Column:
-    text = F.lower(F.trim(name))
-    return F.coalesce(text.rlike("^(os_|docker_|db_)") & ~text.isin("nan", "none"), F.lit(False))
+    """Names of the three layers; letters' case counts. Texts that stand for nothing aren't names."""
+    text = F.trim(name)
+    return F.coalesce(text.rlike("^(os_|docker_|db_)") & ~F.lower(text).isin("", "nan", "<na>", "none"), F.lit(False))
 
 
-BLOCKED_PARTS = ("host", "gke-", "node", "loadgenerator")
+#: How names of machines and load generators begin, and a part of them.
+BLOCKED_STARTS, BLOCKED_PART = ("ip-", "gke-", "node-", "loadgenerator"), "compute.internal"
 
 
 def modelled_component(name: Column) -> Column:
-    """False for machines and load generators."""
+    """False for machines, load generators, and empty names; null for a null name."""
     text = F.lower(name)
-    out = text.isNotNull()
-    for part in BLOCKED_PARTS:
-        out = out & ~text.contains(part)
+    out = (text != "") & ~text.contains(BLOCKED_PART)
+    for start in BLOCKED_STARTS:
+        out = out & ~text.startswith(start)
     return out
 
 
@@ -177,15 +197,16 @@ def format_occurrence(epoch: Column, zone: str = "UTC") -> Column:
     return F.date_format(F.from_utc_timestamp(F.timestamp_seconds(F.floor(seconds)), zone), "yyyy-MM-dd HH:mm:ss")
 
 
-#: Words in a reason, in the order they are tried, and the catalogue's names.
-REASONS = (("cpu", "CPU fault"), ("delay", "network delay"), ("latency", "network delay"), ("loss", "network loss"), ("socket", "db connection limit"), ("connection", "db connection limit"), ("close", "db close"))
+#: The catalogue's reasons, and the fault families that mean them.
+REASONS = ("CPU fault", "network delay", "network loss", "db connection limit", "db close")
+REASON_OF = {"cpu": "CPU fault", "delay": "network delay", "socket": "network delay", "network": "network delay", "loss": "network loss", "db": "db connection limit"}
 
 
 def canonical_reason(reason: Column) -> Column:
-    text, out = F.lower(F.trim(reason)), F.lit(None).cast("string")
-    for word, name in reversed(REASONS):
-        out = F.when(text.contains(word), name).otherwise(out)
-    return out
+    """A reason of the catalogue as it is, the one that a fault family means, else null."""
+    text = F.trim(reason)
+    meant = F.create_map(*[F.lit(x) for kv in REASON_OF.items() for x in kv])
+    return F.when(text.isin(*REASONS), text).otherwise(F.try_element_at(meant, F.lower(text)))
 
 
 def log_search(lines: DataFrame, keyword: str, start_ts: float, end_ts: float, most: int) -> DataFrame:
@@ -200,7 +221,7 @@ REQUESTED = {"task_1": ("time",), "task_2": ("reason",), "task_3": ("component",
 
 
 def parse_task_window(tasks: DataFrame, zone: str = "Asia/Shanghai") -> DataFrame:
-    """(row_id, task_index, start_ms, end_ms, date_key, requested): a date and two clock times out of prose, local to ``zone``; an end not after the start is on the next day."""
+    """(row_id, task_index, start_ms, end_ms, date_key, requested, n_failures, which is always 1): a date and two clock times out of prose, local to ``zone``; an end not after the start is on the next day."""
     text = F.col("instruction")
     read = lambda pattern, form: F.try_to_timestamp(F.regexp_extract(text, pattern, 1), F.lit(form))
     day = F.coalesce(read(_MONTH_DATE, "MMMM d, yyyy"), read(r"(\d{4}-\d{2}-\d{2})", "yyyy-MM-dd"))
@@ -211,4 +232,4 @@ def parse_task_window(tasks: DataFrame, zone: str = "Asia/Shanghai") -> DataFram
     utc = lambda s: F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(s), zone)) * 1000
     end = local + last * 60 + F.when(last <= first, 86400).otherwise(0)
     wanted = F.create_map(*[x for k, v in REQUESTED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    return tasks.select("row_id", "task_index", utc(local + first * 60).alias("start_ms"), utc(end).alias("end_ms"), F.date_format(day, "yyyy_MM_dd").alias("date_key"), F.try_element_at(wanted, F.col("task_index")).alias("requested"))
+    return tasks.select("row_id", "task_index", utc(local + first * 60).alias("start_ms"), utc(end).alias("end_ms"), F.date_format(day, "yyyy_MM_dd").alias("date_key"), F.try_element_at(wanted, F.col("task_index")).alias("requested"), F.lit(1).alias("n_failures"))

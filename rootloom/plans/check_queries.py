@@ -9,46 +9,66 @@ from rootloom.operators import fusion, graph
 from rootloom.operators import knowledge as kg
 from rootloom.operators.findings import kpi_features, feature_views, metric_shift_top, reason_hint, top_components
 from rootloom.operators.time_ops import phase_split
-from rootloom.plans.fusion_queries import _EVIDENCE, _FUSED, _HINT, _PARSED, _SHIFTS, _parsed, _sharded
+from rootloom.plans.finding_queries import HINT
+from rootloom.plans.fusion_queries import _EVIDENCE, _FUSED, _HINT, _PARSED, _SHIFTS, _parsed, fused
 from rootloom.plans.registry import query
+from rootloom.session import written
 from rootloom.sources import canonical as c
 from rootloom.sources import files
 
 
 def _hinted(spark, sf_dir):
-    return c.finding(spark, sf_dir).withColumn("hint", F.when(reason_hint(F.col("signal")) == "network loss", "network loss").otherwise("CPU fault"))
+    """Findings with hints of their signals; of some components the signal tells more."""
+    signal = F.concat("signal", F.when(F.col("component") == "svc-1", "_cpu").when(F.col("component") == "svc-2", "_latency").when(F.col("component") == "svc-4", "_closed").otherwise(""))
+    return c.finding(spark, sf_dir).withColumn("hint", reason_hint(signal))
 
 
-def _fused(spark, sf_dir):
-    reason = F.when(F.col("reason") == "loss", "network loss").otherwise("CPU fault")
-    return fusion.additive_fusion(fusion.candidate_evidence(_sharded(spark, sf_dir))).withColumn("reason", reason)
+_TOLD = "signal || case component when 'svc-1' then '_cpu' when 'svc-2' then '_latency' when 'svc-4' then '_closed' else '' end"
+_REASONED = "case f_rank % 4 when 1 then 'network loss' when 2 then 'CPU fault' when 3 then 'unknown' else 'network delay' end"
 
 
-_CHECKED = f"""{_EVIDENCE}, {_FUSED}, cands as (select case_id, component, case when reason = 'loss' then 'network loss' else 'CPU fault' end as reason, score, rank from fused),
-    hinted as (select *, {_HINT} as hint, row_number() over (partition by case_id, component order by score desc, magnitude desc, signal, direction) as e from finding),
-    checks as (select k.case_id, k.component, k.reason, round(coalesce(sum(case when hint = reason then h.score else 0.25 * h.score end), 0), 9) as support_score, round(coalesce(sum(case when hint = reason then 0 else 0.5 * h.score end), 0), 9) as refute_score, count(h.score) as n
+def _candidates(spark, sf_dir):
+    """Fused candidates with a reason of the catalogue by their rank."""
+    k = F.col("rank") % 4
+    reason = F.when(k == 1, "network loss").when(k == 2, "CPU fault").when(k == 3, "unknown").otherwise("network delay")
+    return written(fused(spark, sf_dir).withColumn("reason", reason), "candidates")
+
+
+_CHECKED = f"""{_EVIDENCE}, {_FUSED}, cands as (select case_id, component, {_REASONED.replace('f_rank', 'rank')} as reason, score, rank from fused),
+    hinted as (select *, {HINT.format(f"({_TOLD})")} as hint, row_number() over (partition by case_id, component order by score desc, magnitude desc, signal, direction) as e from finding),
+    checks as (select k.case_id, k.component, k.reason, round(coalesce(sum(case when reason = 'unknown' or hint = '' or hint = reason then h.score else 0.25 * h.score end), 0), 9) as support_score, round(coalesce(sum(case when reason = 'unknown' or hint = '' or hint = reason then 0 else 0.5 * h.score end), 0), 9) as refute_score, count(h.score) as n
       from cands k left join hinted h on h.case_id = k.case_id and h.component = k.component and h.e <= 12 group by all),
     checked as (select case_id, component, reason, support_score, refute_score, case when n = 0 then 'REFUTED' when support_score > refute_score then 'SUPPORTED' when refute_score > support_score then 'REFUTED' else 'INCONCLUSIVE' end as status from checks)"""
 
 
 @query("targeted_check", f"with {_CHECKED} select * from checked")
 def _(spark, sf_dir):
-    return ops.targeted_check(_fused(spark, sf_dir), _hinted(spark, sf_dir))
+    return ops.targeted_check(_candidates(spark, sf_dir), _hinted(spark, sf_dir))
 
 
 @query("select_by_checks", f"""with {_CHECKED}, t as (select k.case_id, max(k.component) filter (rank = 1) as a, max(k.component) filter (rank = 2) as b, max(support_score) filter (rank = 1) as sa, max(support_score) filter (rank = 2) as sb, max(status) filter (rank = 1) as ta, max(status) filter (rank = 2) as tb from cands k join checked using (case_id, component, reason) where rank <= 2 group by all)
     select case_id, case when sb > sa or (tb = 'SUPPORTED' and ta = 'REFUTED' and sb >= sa) then b else a end as winner, coalesce(sb > sa or (tb = 'SUPPORTED' and ta = 'REFUTED' and sb >= sa), false) as runner_taken from t""")
 def _(spark, sf_dir):
-    fused = _fused(spark, sf_dir).cache()
-    return ops.select_by_checks(fused, ops.targeted_check(fused, _hinted(spark, sf_dir)))
+    candidates = _candidates(spark, sf_dir)
+    return ops.select_by_checks(candidates, ops.targeted_check(candidates, _hinted(spark, sf_dir)))
 
 
-@query("conflict_refine", f"""with {_CHECKED}, two as (select case_id, component, reason, coalesce(support_score, 0) + 1e-6 as net from cands join checked using (case_id, component, reason) where rank <= 2)
-    select case_id, component, reason, round(0.9 * net / sum(net) over (partition by case_id), 9) as probability from two""")
+@query("conflict_refine", f"""with {_CHECKED}, two as (select case_id, component, reason, support_score, refute_score, greatest(0, support_score - refute_score) as net from cands join checked using (case_id, component, reason) where rank <= 2)
+    select case_id, component, reason, round(case when sum(net) over (partition by case_id) > 0 then 0.9 * net / sum(net) over (partition by case_id) else 0 end, 9) as probability, support_score, refute_score from two""")
 def _(spark, sf_dir):
-    fused = _fused(spark, sf_dir).cache()
-    workers = fused.select("case_id", "component", "reason", F.col("confidence").alias("probability"), F.concat(F.lit("w"), F.col("rank").cast("string")).alias("worker_id"))
-    return ops.conflict_refine(fused, workers, ops.targeted_check(fused, _hinted(spark, sf_dir)))
+    candidates = _candidates(spark, sf_dir)
+    workers = candidates.select("case_id", "component", "reason", F.col("confidence").alias("probability"), F.concat(F.lit("w"), F.col("rank").cast("string")).alias("worker_id"))
+    return ops.conflict_refine(candidates, workers, ops.targeted_check(candidates, _hinted(spark, sf_dir)))
+
+
+@query("refinement_workers", f"""with {_PARSED}, two as (select case_id, component from (select *, row_number() over (partition by case_id order by component) as r from (select distinct case_id, component from parsed)) where r = 2 and right(case_id, 1) <> '3' union all select distinct case_id, 'nobody' from parsed where right(case_id, 1) = '3'),
+    n as (select distinct p.case_id, p.worker_id from parsed p join two t on t.case_id = p.case_id and lower(t.component) = lower(p.component)), w as (select case_id, worker_id, row_number() over (partition by case_id order by worker_id) as r from (select distinct case_id, worker_id from parsed))
+    select case_id, worker_id from n union all select case_id, worker_id from w where r <= 2 and case_id not in (select case_id from n)""")
+def _(spark, sf_dir):
+    parsed = _parsed(spark, sf_dir)
+    second = ops.best(parsed.select("case_id", "component").distinct(), ["case_id"], ["component"], 2, rank="r").where("r = 2 and right(case_id, 1) <> '3'").select("case_id", F.upper("component").alias("component"))
+    nobody = parsed.where("right(case_id, 1) = '3'").select("case_id", F.lit("nobody").alias("component")).distinct()
+    return ops.refinement_workers(parsed, second.union(nobody))
 
 
 _NET = "case when substr(component, 5)::int % 2 = 0 then 5.0 else -5.0 end"
@@ -88,8 +108,7 @@ _ROOTS = f"""{_EVIDENCE}, {_FUSED}, {_BOARD}, u as (select case_id, component, 0
 
 @query("ranked_roots", f"with {_ROOTS} select case_id, array_to_string(list(component order by r), ',') as roots from ord where r <= 10 group by case_id")
 def _(spark, sf_dir):
-    fused = fusion.additive_fusion(fusion.candidate_evidence(_sharded(spark, sf_dir)))
-    return ops.ranked_roots(fused, top_components(c.finding(spark, sf_dir))).select("case_id", F.array_join("ranked_roots", ",").alias("roots"))
+    return ops.ranked_roots(fused(spark, sf_dir), top_components(c.finding(spark, sf_dir))).select("case_id", F.array_join("ranked_roots", ",").alias("roots"))
 
 
 @query("primary_first", "select case_id, system, array_to_string(list_concat([true_root], list_filter(ranked_roots, lambda x: x <> true_root)), ',') as roots from scored")
@@ -119,7 +138,7 @@ def _(spark, sf_dir):
     return ops.additive_candidate(_parsed(spark, sf_dir))
 
 
-@query("heuristic_floor", f"""with k as (select *, {_HINT} as hint from finding where component in (select service from span)), t as (select * from (select case_id, component, component_score, row_number() over (partition by case_id order by component_score desc, component)::int as rank from component_total where component in (select service from span)) where rank <= 8),
+@query("heuristic_floor", f"""with k as (select *, {HINT.format(f"({_TOLD})")} as hint from finding where component in (select service from span)), t as (select * from (select case_id, component, component_score, row_number() over (partition by case_id order by component_score desc, component)::int as rank from component_total where component in (select service from span)) where rank <= 8),
     h as (select case_id, component, arg_min(hint, (-s, hint)) as reason from (select case_id, component, hint, sum(greatest(score, 0)) as s from k group by all) group by all) select case_id, component, reason, component_score, rank from t join h using (case_id, component)""")
 def _(spark, sf_dir):
     f = _hinted(spark, sf_dir)
@@ -191,28 +210,73 @@ def _(spark, sf_dir):
     return kg.leakage_audit(c.table(spark, sf_dir, "customer").select(k.alias("case_id"), raw.alias("raw")))
 
 
-@query("field_score", """with p as (select case_id, system, true_root, ranked_roots[1] as r, fault_type, case when hash_ % 3 = 0 then 'cpu' else fault_type end as pr, hash_ % 130 as off from (select *, total_tokens as hash_ from scored))
-    select case_id, system, round(((r = true_root)::int + (pr = fault_type)::int + (off <= 60)::int) / 3.0::double, 2) as score from p""")
+#: Lists of one to six roots that can be told apart; the answers come in the other order, with some fields wrong.
+_FIELD_N = "(total_tokens % 6 + 1)"
+
+
+@query("field_score", f"""with p as (select case_id, system, {_FIELD_N} as n, total_tokens % 7 = 0 as short from scored), r as (select case_id, system, n, short, unnest(range(1, n + 1)) as i from p),
+    m as (select *, case when short then [] else list_filter([case when i % 3 <> 0 then 'c' || i::varchar end, case when i % 2 <> 0 then 'r' || i::varchar end, case when i <= 3 then '2024-01-01 0' || i::varchar || ':00:00' end], lambda x: x is not null) end as hit, ['c' || i::varchar, 'r' || i::varchar, '2024-01-01 0' || i::varchar || ':00:00'] as every from r)
+    select case_id, system, round(sum(len(hit)) / (3.0 * max(n)), 2) as score, array_to_string(flatten(list(hit order by i)), ',') as passed,
+      array_to_string(list_sort(list_filter(flatten(list(every)), lambda x: not list_contains(flatten(list(hit)), x))), ',') as failed from m group by case_id, system""")
 def _(spark, sf_dir):
     from rootloom.operators.scoring import field_score, score_join
 
-    rows = score_join(c.prediction(spark, sf_dir), c.case(spark, sf_dir))
-    k = F.col("total_tokens")
-    entry = lambda comp, reason, at: F.array(F.struct(comp.alias("component"), reason.alias("reason"), at.alias("time_s")))
-    rows = rows.select("case_id", "system", entry(F.get("ranked_roots", 0), F.when(k % 3 == 0, "cpu").otherwise(F.col("fault_type")), (k % 130).cast("double")).alias("predicted"), entry(F.col("true_root"), F.col("fault_type"), F.lit(0.0)).alias("expected"))
-    return field_score(rows, ["case_id", "system"]).select("case_id", "system", "score")
+    n = (F.col("total_tokens") % 6 + 1).cast("int")
+    at = lambda i: F.lit(1704067200.0) + i * 3600.0
+    text = lambda p, i: F.concat(F.lit(p), i.cast("string"))
+    root = lambda i, wrong: F.struct(F.when(wrong & (i % 3 == 0), "none").otherwise(text("c", i)).alias("component"), F.when(wrong & (i % 2 == 0), "none").otherwise(text("r", i)).alias("reason"), (at(i) + F.when(wrong, i * 20.0).otherwise(0.0)).alias("time_s"))
+    rows = score_join(c.prediction(spark, sf_dir), c.case(spark, sf_dir)).withColumn("_n", n)
+    every = F.sequence(F.lit(1), F.col("_n"))
+    predicted = F.reverse(F.transform(every, lambda i: root(i, F.lit(True))))
+    rows = rows.select("case_id", "system", F.transform(every, lambda i: root(i, F.lit(False))).alias("expected"), F.when(F.col("total_tokens") % 7 == 0, F.slice(predicted, 1, F.col("_n") - 1)).otherwise(predicted).alias("predicted"))
+    found = field_score(rows, ["case_id", "system"])
+    return found.select("case_id", "system", "score", F.array_join("passed", ",").alias("passed"), F.array_join("failed", ",").alias("failed"))
+
+
+@query("artifact_diagnostics", """with p as (select *, total_tokens % 3 as k from prediction) select kind, value, count(*) as n from (select 'falsifier_selected' as kind, case k when 0 then 'unknown' else 'top' end as value from p where k <> 2 union all select 'fusion_top_component', ranked_roots[1] from p
+    union all select 'worker_top_component', 'w1:' || ranked_roots[2] from p where k <> 1 union all select 'candidate_catalog_source', 'a=x,b=' || system from p where k = 0) group by all""")
+def _(spark, sf_dir):
+    from rootloom.operators.scoring import artifact_diagnostics
+
+    k = F.col("total_tokens") % 3
+    root = lambda i: F.struct(F.get("ranked_roots", i).alias("component"))
+    nothing = F.array().cast("array<struct<component:string>>")
+    worker = lambda name, tops: F.struct(F.lit(name).alias("worker_id"), tops.alias("candidates"))
+    raw = F.to_json(F.struct(
+        F.when(k != 2, F.struct(F.when(k == 1, "top").alias("selected"))).alias("falsifier"), F.array(root(0), root(1)).alias("fusion_candidates"),
+        F.array(worker("w1", F.when(k != 1, F.array(root(1), root(0))).otherwise(nothing)), worker("w2", nothing)).alias("worker_distributions"),
+        F.when(k == 0, F.create_map(F.lit("b"), F.col("system"), F.lit("a"), F.lit("x"))).alias("candidate_catalog_source"),
+    ))
+    return artifact_diagnostics(c.prediction(spark, sf_dir).select(raw.alias("artifacts")))
 
 
-@query("artifact_diagnostics", "select kind, value, count(*) as n from (select unnest(['winner', 'system']) as kind, unnest([ranked_roots[1], system]) as value from prediction) group by all")
+@query("scan_graph_json", "select 'c' || s_suppkey::varchar as case_id, sha256('{\"nodes\":[{\"id\":' || s_suppkey::varchar || '}]}') as sha256, s_name as label from supplier where s_suppkey % 5 <> 0")
 def _(spark, sf_dir):
-    p = c.prediction(spark, sf_dir).select(F.to_json(F.struct(F.get("ranked_roots", 0).alias("winner"), "system")).alias("raw"))
-    items = p.select(F.explode(F.from_json("raw", "map<string,string>")).alias("kind", "value"))
-    return items.groupBy("kind", "value").agg(F.count("*").alias("n"))
+    # Pairs of files are written first, one of them alone for every fifth case.
+    s, k = c.table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    pairs = s.select(F.concat(F.lit("c"), k.cast("string")).alias("case"), F.concat(F.lit('{"nodes":[{"id":'), k.cast("string"), F.lit("}]}")).alias("input"), F.when(k % 5 != 0, F.to_json(F.struct("s_name"))).alias("label"))
+    return kg.scan_graph_json(spark, kg.write_graph_json(pairs, files.shared_folder(spark, "graphs"))).select("case_id", "sha256", F.get_json_object("label", "$.s_name").alias("label"))
+
+
+@query("write_results", "select case_id, system, hit_at_1 from scored")
+def _(spark, sf_dir):
+    from rootloom.operators.scoring import score_join
+
+    rows = score_join(c.prediction(spark, sf_dir), c.case(spark, sf_dir)).select("case_id", "system", F.col("hit_at_1").cast("long").alias("hit_at_1"))
+    folder = files.shared_folder(spark, "results")
+    for kind in ("parquet", "json"):
+        files.write_results(rows, f"{folder}/{kind}", kind)
+    schema = "case_id string, system string, hit_at_1 long"
+    return spark.read.schema(schema).parquet(f"{folder}/parquet").intersect(spark.read.schema(schema).json(f"{folder}/json"))
+
+
+_DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-@query("file_catalog")
+@query("file_catalog", " union all ".join(f"select '{t}.parquet' as name, 'events' as modality, count(*) as n_rows, " + ("'ts' as time_column, min(epoch_us(ts)) / 1e6 as start_time, max(epoch_us(ts)) / 1e6 as end_time" if t == "events" else "null::varchar, null::double, null::double") + f" from {t}" for t in sorted(_DRIVER_TABLES, key=lambda t: t != "events")))
 def _(spark, sf_dir):
-    return files.file_catalog(spark, sf_dir, "*.parquet").select(F.substring_index("path", "/", -2).alias("name"), "bytes", "modality")
+    found = files.file_catalog(spark, sf_dir, "*.parquet", times="ts timestamp_ntz")
+    return found.select(F.substring_index("path", "/", -1).alias("name"), "modality", "n_rows", "time_column", "start_time", "end_time")
 
 
 @query("scan_cases", "select distinct 'RE' || (l_orderkey % 3 + 1)::varchar as suite, 'svc-' || (l_partkey % 12)::varchar as root, case when l_linenumber % 2 = 0 then 'cpu' else 'loss' end as fault, l_linenumber as run from lineitem where l_suppkey % 3 <> 0")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rootloom.operators import evaluation as ops
+from rootloom.operators import fusion, scoring
 from rootloom.operators.graph import paired_systems
 from rootloom.operators.scoring import score_join
+from rootloom.plans.fusion_queries import _PAIRS, _PARSED, _VECTORS, _parsed, _vectors
+from rootloom.plans.fusion_queries import _pairs as _opinion_pairs
 from rootloom.plans.registry import query
 from rootloom.sources import canonical as c
 
@@ -67,33 +70,36 @@ def _(spark, sf_dir):
     return sums.select("system", ops.wilson_ci(F.col("h"), F.col("n")).alias("w")).select("system", "w.low", "w.high")
 
 
-def _draw(rep, i, n):
-    return f"(('0x' || substr(md5('7:' || {rep}::varchar || ':' || {i}::varchar), 1, 8))::ubigint % {n})::bigint"
+#: A row's weight in a repetition, step by step; the cuts are those of the Poisson distribution of mean 1 below the prime.
+_P = "2147483647"
+_WEIGHT = " + ".join(f"(x >= {t})::bigint" for t in ops.POISSON)
 
 
-def _boot(source, keys):
-    part = f"partition by {keys}" if keys else ""
-    group = f"{keys}, " if keys else ""
-    return f"""nb as (select {group}v, row_number() over ({part} order by v) - 1 as i, count(*) over ({part}) as n from {source}),
-    dr as (select {group}r as rep, {_draw('r', 'i', 'n')} as at from nb, range(100) q(r)),
-    mn as (select {group}rep, avg(v) as m from (select d.rep, b.* from dr d join nb b on b.i = d.at {('and b.' + keys + ' = d.' + keys) if keys else ''}) group by {group}rep),
-    bt as (select {group}m, row_number() over ({part} order by m) - 1 as r from mn)"""
+def _boot(source, keys, row_id, reps):
+    """CTEs: bt has the means of all repetitions of a source (keys, v, row_id), numbered from 0 in their order."""
+    part, group = (f"partition by {keys} ", f"{keys}, ") if keys else ("", "")
+    low, high = int(0.025 * reps), min(reps - 1, int(0.975 * reps))
+    return f"""nb as materialized (select {group}v::double as v, (('0x' || substr(md5({row_id}), 1, 12))::ubigint % {_P})::bigint as k from {source} where v is not null),
+    d0 as (select {group}v, rep, (k + 7 * 7919 + rep * 1299709) % {_P} as x from nb, range({reps}) q(rep)),
+    d1 as (select {group}v, rep, (x * 48271 + 11) % {_P} as x from d0), d2 as (select *, (x * x) % {_P} as y from d1), d3 as (select {group}v, rep, ((y * y) % {_P} * x) % {_P} as x from d2),
+    d4 as (select {group}v, rep, (x * 69621 + 7) % {_P} as x from d3), d5 as (select *, (x * x) % {_P} as y from d4), d6 as (select {group}v, rep, ((y * y) % {_P} * x) % {_P} as x from d5),
+    mn as (select {group}rep, sum(v * ({_WEIGHT})) / nullif(sum({_WEIGHT}), 0) as m from d6 group by {group}rep), bt as (select {group}m, row_number() over ({part}order by m) - 1 as r from mn where m is not null),
+    ends as (select {group}round(max(m) filter (r = {low}), 6) as low, round(max(m) filter (r = {high}), 6) as high from bt {"group by " + keys if keys else ""})"""
 
 
-@query("bootstrap_ci", f"with src as (select fault_type, telemetry_bytes as v from cases), {_boot('src', 'fault_type')} select fault_type, (select count(*) from src s where s.fault_type = b.fault_type) as n, (select round(avg(v), 6) from src s where s.fault_type = b.fault_type) as mean, round(max(m) filter (r = 2), 6) as low, round(max(m) filter (r = 97), 6) as high from bt b group by fault_type")
+@query("bootstrap_ci", f"with src as (select fault_type, telemetry_bytes as v, case_id from cases), {_boot('src', 'fault_type', 'case_id', 1000)} select fault_type, count(v) as n, round(avg(v), 6) as mean, max(low) as low, max(high) as high from src join ends using (fault_type) group by fault_type")
 def _(spark, sf_dir):
-    return ops.bootstrap_ci(c.case(spark, sf_dir), ["fault_type"], "telemetry_bytes", reps=100)
+    return ops.bootstrap_ci(c.case(spark, sf_dir), ["fault_type"], "telemetry_bytes", ["case_id"])
 
 
-@query("aggregate_ci", f"""with src as (select system, latency_s as v from scored where hash_free), w as (select system, sum(hit_at_1)::double as h, count(*)::double as n from scored group by system),
-    {_boot('src', 'system')}, e as (select system, round(max(m) filter (r = 2), 6) as low, round(max(m) filter (r = 97), 6) as high from bt group by system)
-    select system, 'latency_s' as metric, low, high from e union all
+@query("aggregate_ci", f"""with src as (select system, latency_s as v, case_id from scored), w as (select system, sum(hit_at_1)::double as h, count(*)::double as n from scored group by system), {_boot('src', 'system', 'case_id', 1000)}
+    select system, 'latency_s' as metric, low, high from ends union all
     select system, 'hit_at_1', round((h / n + 3.841458820694124 / (2 * n)) / (1 + 3.841458820694124 / n) - 1.959963984540054 * sqrt((h / n) * (1 - h / n) / n + 3.841458820694124 / (4 * n * n)) / (1 + 3.841458820694124 / n), 6),
-      round((h / n + 3.841458820694124 / (2 * n)) / (1 + 3.841458820694124 / n) + 1.959963984540054 * sqrt((h / n) * (1 - h / n) / n + 3.841458820694124 / (4 * n * n)) / (1 + 3.841458820694124 / n), 6) from w""".replace(" where hash_free", ""))
+      round((h / n + 3.841458820694124 / (2 * n)) / (1 + 3.841458820694124 / n) + 1.959963984540054 * sqrt((h / n) * (1 - h / n) / n + 3.841458820694124 / (4 * n * n)) / (1 + 3.841458820694124 / n), 6) from w""")
 def _(spark, sf_dir):
     rows = _scored(spark, sf_dir)
     share = rows.groupBy("system").agg(F.sum("hit_at_1").cast("double").alias("h"), F.count("*").cast("double").alias("n")).select("system", F.lit("hit_at_1").alias("metric"), ops.wilson_ci(F.col("h"), F.col("n")).alias("w")).select("system", "metric", "w.low", "w.high")
-    mean = ops.bootstrap_ci(rows, ["system"], "latency_s", reps=100).select("system", F.lit("latency_s").alias("metric"), "low", "high")
+    mean = ops.bootstrap_ci(rows, ["system"], "latency_s", ["case_id"]).select("system", F.lit("latency_s").alias("metric"), "low", "high")
     return mean.unionByName(share)
 
 
@@ -109,10 +115,10 @@ def _(spark, sf_dir):
     return ops.mcnemar(pairs, ["fault_type"])
 
 
-@query("paired_bootstrap", f"with {_PAIR}, src as (select (t - b)::double as v from pr), {_boot('src', '')} select (select count(*) from src) as n, (select round(avg(v), 6) from src) as mean, round(max(m) filter (r = 2), 6) as low, round(max(m) filter (r = 97), 6) as high from bt")
+@query("paired_bootstrap", f"with {_PAIR}, src as (select (t - b)::double as v, case_id from pr), {_boot('src', '', 'case_id', 10000)} select count(v) as n, round(avg(v), 6) as mean, max(low) as low, max(high) as high from src, ends")
 def _(spark, sf_dir):
-    d = _pairs(spark, sf_dir).select(F.lit(1).alias("g"), (F.col("treatment") - F.col("baseline")).alias("d"))
-    return ops.bootstrap_ci(d, ["g"], "d", reps=100).drop("g")
+    d = _pairs(spark, sf_dir).select("case_id", (F.col("treatment") - F.col("baseline")).alias("d"))
+    return ops.bootstrap_ci(d, [], "d", ["case_id"], reps=10_000)
 
 
 @query("holm_adjust", "with p as (select case_id, component, metric, exp(-abs(t_stat)) as p from welch where t_stat is not null), r as (select *, row_number() over (partition by case_id order by p, component, metric) as r, count(*) over (partition by case_id) as m from p) select case_id, component, metric, round(p, 9) as p_value, round(least(1.0, max((m - r + 1) * p) over (partition by case_id order by r)), 9) as holm_p from r")
@@ -135,24 +141,35 @@ def _(spark, sf_dir):
     return ops.strongest_baseline(_scored(spark, sf_dir), "repaired")
 
 
-@query("win_gate", """with r as (select fault_type, avg(hit_at_1) filter (system = 'single') as b, avg(hit_at_1) filter (system = 'repaired') as t from scored group by fault_type) select fault_type, round(t - b, 6) as delta, round(case when b < 1 then (t - b) / (1 - b) else 0 end, 6) as error_reduction, (t - b >= 0.1 or (t - b) / (1 - b) >= 0.2) as passes from r""")
+_TAIL = "tl as (select {keys}, sum(exp(lgamma(bo + tr + 1) - lgamma(k + 1) - lgamma(bo + tr - k + 1) - (bo + tr) * ln(2.0))) as tail from s, lateral (select unnest(range(0, least(bo, tr) + 1)) as k) group by {keys})"
+
+
+@query("win_gate", f"""with m as (select case_id, fault_type, max(hit_at_1) filter (system = 'single') as b, max(hit_at_1) filter (system = 'repaired') as t from scored group by all), s as (select fault_type, avg(b) as b, avg(t) as t, count(*) filter (b > t) as bo, count(*) filter (b < t) as tr from m group by fault_type), {_TAIL.format(keys="fault_type")},
+    g as (select fault_type, t - b as d, case when b < 1 then (t - b) / (1 - b) else 0 end as e, case when bo + tr = 0 then 1.0 else least(1.0, 2 * tail) end as p from s join tl using (fault_type)) select fault_type, round(d, 6) as delta, round(e, 6) as error_reduction, round(p, 9) as p_value, (d >= 0.1 or e >= 0.2) and p <= 0.05 as passes from g""")
 def _(spark, sf_dir):
-    rate = lambda s: F.avg(F.when(F.col("system") == s, F.col("hit_at_1")))
-    rates = _scored(spark, sf_dir).groupBy("fault_type").agg(rate("single").alias("baseline_rate"), rate("repaired").alias("treatment_rate")).withColumn("p_value", F.lit(0.01))
-    return ops.win_gate(rates).select("fault_type", "delta", "error_reduction", "passes")
+    pairs = paired_systems(_scored(spark, sf_dir), "single", "repaired", "hit_at_1").join(c.case(spark, sf_dir).select("case_id", "fault_type"), "case_id")
+    rates = pairs.groupBy("fault_type").agg(F.avg("baseline").alias("baseline_rate"), F.avg("treatment").alias("treatment_rate"))
+    tests = rates.join(ops.mcnemar(pairs, ["fault_type"]).select("fault_type", "p_value"), "fault_type")
+    return ops.win_gate(tests).select("fault_type", "delta", "error_reduction", "p_value", "passes")
+
 
+_FACTS = """facts as (select case_id, telemetry_bytes, 'RE' || (substr(case_id, 2)::int % 3 + 1)::varchar as suite, case when substr(case_id, 2)::int % 4 = 0 then 'TT' else 'OB' end as system, fault_type <> 'cpu' as has_logs, substr(case_id, 2)::int % 5 <> 0 as has_traces, substr(case_id, 2)::int % 240 as metric_columns from cases)"""
 
-_CRITERIA = {"large": "telemetry_bytes > 250000", "urgent": "source in ('1-URGENT', '2-HIGH')", "not_cpu": "fault_type <> 'cpu'"}
 
+def _facts(spark, sf_dir):
+    k = F.substring("case_id", 2, 20).cast("int")
+    return c.case(spark, sf_dir).withColumns({"suite": F.concat(F.lit("RE"), (k % 3 + 1).cast("string")), "system": F.when(k % 4 == 0, "TT").otherwise("OB"), "has_logs": F.col("fault_type") != "cpu", "has_traces": k % 5 != 0, "metric_columns": k % 240})
 
-@query("hard_split", "with h as (select *, (telemetry_bytes > 250000)::int + (source in ('1-URGENT', '2-HIGH'))::int + (fault_type <> 'cpu')::int as hardness, (select median(telemetry_bytes) from cases) as m from cases) select case_id, hardness from h where hardness >= 2 and telemetry_bytes >= m")
+
+@query("hard_split", f"with {_FACTS}, h as (select *, (suite in ('RE2', 'RE3'))::int + (system = 'TT')::int + (telemetry_bytes >= (select median(telemetry_bytes) from facts))::int + has_logs::int + has_traces::int + (metric_columns >= 120)::int as criteria_score from facts) select case_id, criteria_score from h where criteria_score >= 3")
 def _(spark, sf_dir):
-    return ops.hard_split(c.case(spark, sf_dir), _CRITERIA, "telemetry_bytes", 2).select("case_id", "hardness")
+    return ops.hard_split(_facts(spark, sf_dir)).select("case_id", "criteria_score")
 
 
-@query("high_volume_split", "with r as (select *, row_number() over (order by telemetry_bytes) - 1 as i, count(*) over () as n from cases) select case_id from cases where telemetry_bytes >= (select telemetry_bytes from r where i = floor(n * 0.8))")
+@query("high_volume_split", f"with {_FACTS}, w as (select * from facts where has_logs and has_traces), r as (select *, row_number() over (order by telemetry_bytes) - 1 as i, count(*) over () as n from w) select case_id, 'high' as volume_bin from w where telemetry_bytes >= (select telemetry_bytes from r where i = floor(n * 0.8)) and suite <> 'RE1'")
 def _(spark, sf_dir):
-    return ops.high_volume_split(c.case(spark, sf_dir), "telemetry_bytes", 0.8).select("case_id")
+    facts = _facts(spark, sf_dir)
+    return ops.high_volume_split(facts, "telemetry_bytes", 0.8, facts.where("suite = 'RE1'")).select("case_id", "volume_bin")
 
 
 @query("stratified_sample", "with r as (select *, md5('7:' || case_id) as h, row_number() over (partition by source order by md5('7:' || case_id), case_id) as r from cases) select case_id, source from (select *, row_number() over (order by case when r <= 10 then 0 else 1 end, h, case_id) as k from r) where k <= 80")
@@ -173,18 +190,36 @@ def _truth(spark, sf_dir):
 
 
 @query("budget_allocation", f"""with {_TRUTH}, r as (select *, row_number() over (partition by case_id order by score desc, component, signal) as g, row_number() over (partition by case_id, modality order by score desc, component, signal) as s from finding),
-    t as (select r.*, row_number() over (partition by r.case_id order by s, modality) as t, true_root from r join truth using (case_id)), k as (select case_id, b::int as budget, max((g <= b and component = true_root)::int) as g, max((t <= b and component = true_root)::int) as t from t, (values (2), (4), (8), (16)) q(b) group by all)
-    select budget, round(avg(g), 6) as global_kept, round(avg(t), 6) as shard_kept from k group by budget""")
+    t as (select r.*, row_number() over (partition by r.case_id order by s, modality) as t, true_root from r join truth using (case_id)), k as (select case_id, b::int as budget, max((g <= b and component = true_root)::int) as g, max((t <= b and component = true_root)::int) as t, count(*) as n from t, (values (2), (4), (8), (16)) q(b) group by all)
+    select budget, round(avg(g), 6) as global_kept, round(avg(t), 6) as shard_kept, round(avg(n / budget), 6) as gamma from k group by budget""")
 def _(spark, sf_dir):
     f = c.finding(spark, sf_dir).withColumn("shard_id", F.col("modality"))
     return ops.budget_allocation(f, _truth(spark, sf_dir), [2, 4, 8, 16])
 
 
-@query("grid_search", """with s as (select p.*, w from scored p, (values (0.0), (0.5), (1.0)) q(w)) select system, w::double as weight, count(*) as n, round(avg(hit_at_1), 6) as hit_at_1, round(avg(mrr), 6) as mrr, round(avg((confidence * (1 - w) + 0.5 * w - hit_at_1) ** 2), 6) as brier from s group by all""")
+_GRID = """sp as (select p.*, w.worker_id, x.probability as prob, substr(p.component, 5)::int < 5 as inside, 0.2 as om, count(*) over (partition by p.case_id, w.worker_id) as n from pairs p join (select distinct case_id, worker_id from opinion) w using (case_id) left join parsed x using (case_id, worker_id, component, reason)),
+    ms as (select *, coalesce(sum(case when inside then prob end) over g, 0) as mass, count(case when inside then prob end) over g as said, count(*) filter (inside) over g as size from sp window g as (partition by case_id, worker_id)),
+    ll as (select *, ln(case when not inside then 1.0 / n else greatest(1e-6, coalesce(prob * case when mass > 1 + 1e-6 then 1 / mass else 1 end, greatest(1e-6, least(om, greatest(0, 1 - least(mass, 1))) / greatest(1, size - said)))) end) as l from ms),
+    rc as (select case_id, count(distinct worker_id) as k from opinion group by case_id), rp as (select a.case_id, greatest(0, coalesce(corr(a.p, b.p), 0)) as r from vec a join vec b on a.case_id = b.case_id and a.component = b.component and a.worker_id < b.worker_id group by a.case_id, a.worker_id, b.worker_id),
+    cr as (select rc.case_id, k, coalesce(avg(r), 0) as r from rc left join rp using (case_id) group by rc.case_id, k), tr as (select case_id, 'svc-' || (replace(case_id, 'case-', '')::int * 5 % 6)::varchar as true_root from rc),"""
+_POOLED = """{n}_lg as (select q.*, case_id, component, reason, sum(l * case worker_id when 'worker-1' then boost when 'worker-2' then boost when 'worker-3' then 1 + (boost - 1) / 2 when 'worker-4' then case when boost = 1 then 1 else 0.8 end else 1 end * case when k < 2 then 1 else (1 + (k - 1) * (1 - rho * r)) / k end) - ln(first(n)) as logp, count(case when inside then prob end) as supporters from ll join cr using (case_id), {n}_q q group by all),
+    {n}_po as (select *, round(e / sum(e) over (partition by id, case_id), 9) as posterior from (select *, exp((logp - max(logp) over (partition by id, case_id)) / temperature) as e from {n}_lg)),
+    {n}_rk as (select *, row_number() over (partition by id, case_id order by posterior desc, supporters desc, component, reason) as rank from {n}_po),
+    {n}_cs as (select id, boost, rho, temperature, case_id, coalesce(1.0 / min(rank) filter (rank <= 8 and component = true_root), 0) as rr, max(posterior) filter (rank = 1) as sure from {n}_rk join tr using (case_id) group by all),
+    {n}_sc as (select id, boost, rho, temperature, round(avg(rr), 9) as mrr, round(avg((rr = 1)::int), 9) as hit_at_1, round(avg((sure - (rr = 1)::int) ** 2), 9) as brier from {n}_cs group by all)"""
+
+
+@query("grid_search", f"""with {_PARSED}, {_PAIRS}, {_VECTORS}, {_GRID}
+    a_q as (select * from (values (0, 1.0::double, 0.0::double, 1.0::double), (1, 1.15, 0.0, 1.0), (2, 1.3, 0.0, 1.0), (3, 1.5, 0.0, 1.0), (4, 2.0, 0.0, 1.0)) q(id, boost, rho, temperature)), {_POOLED.format(n="a")},
+    a_bs as (select *, row_number() over (order by mrr desc, hit_at_1 desc, id) = 1 as chosen from a_sc),
+    b_q as (select (r * 4 + t)::int as id, (select boost from a_bs where chosen) as boost, r / 4.0::double as rho, [1.0, 1.5, 2.0, 3.0][t + 1]::double as temperature from range(5) x(r), range(4) y(t)), {_POOLED.format(n="b")}
+    select 'reliability' as stage, boost, rho, temperature, mrr, hit_at_1, brier, chosen from a_bs union all select 'calibration', boost, rho, temperature, mrr, hit_at_1, brier, row_number() over (order by brier, id) = 1 from b_sc""")
 def _(spark, sf_dir):
-    rows = _scored(spark, sf_dir).withColumn("weight", F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))))
-    error = F.col("confidence") * (1 - F.col("weight")) + 0.5 * F.col("weight") - F.col("hit_at_1")
-    return rows.groupBy("system", "weight").agg(F.count("*").alias("n"), F.round(F.avg("hit_at_1"), 6).alias("hit_at_1"), F.round(F.avg("mrr"), 6).alias("mrr"), F.round(F.avg(error * error), 6).alias("brier"))
+    parsed = _parsed(spark, sf_dir)
+    modality = F.element_at(F.array(*map(F.lit, ("metrics", "logs", "traces", "events", "auxiliary"))), F.substring("worker_id", -1, 1).cast("int") + 1)
+    workers = c.opinion(spark, sf_dir).select("case_id", "worker_id").distinct().select("case_id", "worker_id", modality.alias("modality"), F.lit(0.2).alias("other_mass"), F.array(*[F.lit(f"svc-{i}") for i in range(5)]).alias("scope"))
+    truth = workers.select("case_id").distinct().withColumn("true_root", F.concat(F.lit("svc-"), (F.replace("case_id", F.lit("case-"), F.lit("")).cast("int") * 5 % 6).cast("string")))
+    return fusion.grid_search(parsed.select("case_id", "worker_id", "component", "reason", "probability"), workers, _opinion_pairs(spark, sf_dir), truth, _vectors(spark, sf_dir))
 
 
 @query("brier", "select system, round(avg((confidence - hit_at_1) ** 2), 6) as brier from scored group by system")
@@ -236,18 +271,67 @@ def _(spark, sf_dir):
     return ops.mcnemar(pairs, ["fault_type"]).select("fault_type", "n", F.col("treatment_only").alias("improved"), F.col("baseline_only").alias("worsened"))
 
 
-@query("error_taxonomy", "select system, category, count(*) as n from (select system, unnest(list_filter([case when hit_at_1 = 0 then 'wrong_root' end, case when hit_at_3 = 0 then 'not_listed' end, case when confidence >= 0.8 and hit_at_1 = 0 then 'overconfident' end], lambda x: x is not null)) as category from scored) group by all")
+#: Answers with one root each, in eight ways to be wrong or right by the row's tokens.
+_ANSWERS = """ans as (select case_id, system, total_tokens % 8 as k, telemetry_bytes > 250000 as large, 'os_00' || (total_tokens % 5 + 1)::varchar as comp from scored)"""
+
+
+def _answers(spark, sf_dir):
+    k = F.col("total_tokens") % 8
+    comp = F.concat(F.lit("os_00"), (F.col("total_tokens") % 5 + 1).cast("string"))
+    name = F.when(k == 2, "os_009").when(k == 4, "strange").otherwise(comp)
+    root = F.concat(F.lit('{"root cause component":"'), F.when(k == 3, "").otherwise(name), F.lit('","root cause reason":"'), F.when(k == 5, "db close").otherwise("CPU fault"), F.lit('","root cause occurrence datetime":"2024-01-01 00:0'), F.when(k == 6, "3").otherwise("1"), F.lit(':00"}'))
+    raw = F.when(k == 0, "no answer").when(k == 1, F.concat(F.lit('{"1":'), root, F.lit(',"2":'), root, F.lit("}"))).otherwise(F.concat(F.lit('{"1":'), root, F.lit("}")))
+    points = F.concat(F.lit("The only predicted root cause component is "), comp, F.lit("\nThe only predicted root cause reason is CPU fault\nThe only root cause occurrence time is within 1 minutes (i.e., <=1min) of 2024-01-01 00:00:00\n"))
+    return _scored(spark, sf_dir).select("case_id", "system", raw.alias("prediction"), points.alias("scoring_points"), "telemetry_bytes")
+
+
+@query("score_answers", f"""with {_ANSWERS} select case_id, system, case when k in (0, 1) then 0.0 when k = 7 then 1.0 else 0.67 end::double as score,
+    array_to_string(list_filter([case when k not in (0, 1, 2, 3, 4) then comp end, case when k not in (0, 1, 5) then 'CPU fault' end, case when k not in (0, 1, 6) then '2024-01-01 00:00:00' end], lambda x: x is not null), ',') as passed,
+    array_to_string(list_sort(list_filter([case when k in (0, 1, 2, 3, 4) then comp end, case when k in (0, 1, 5) then 'CPU fault' end, case when k in (0, 1, 6) then '2024-01-01 00:00:00' end], lambda x: x is not null)), ',') as failed, k = 7 as strict_correct from ans""")
 def _(spark, sf_dir):
-    wrong = F.col("hit_at_1") == 0
-    kinds = F.array_compact(F.array(F.when(wrong, "wrong_root"), F.when(F.col("hit_at_3") == 0, "not_listed"), F.when(wrong & (F.col("confidence") >= 0.8), "overconfident")))
-    return _scored(spark, sf_dir).select("system", F.explode(kinds).alias("category")).groupBy("system", "category").agg(F.count("*").alias("n"))
+    found = scoring.score_answers(_answers(spark, sf_dir), ["case_id", "system"])
+    return found.select("case_id", "system", "score", F.array_join("passed", ",").alias("passed"), F.array_join("failed", ",").alias("failed"), "strict_correct")
+
+
+_KINDS = """kinds as (select *, case k when 0 then ['format', 'multi_root_count', 'missing_field', 'component', 'reason', 'time'] when 1 then ['multi_root_count', 'component', 'reason', 'time'] when 2 then ['invalid_catalog', 'component'] when 3 then ['missing_field', 'component']
+    when 4 then ['invalid_catalog', 'component'] when 5 then ['reason'] when 6 then ['time'] else []::varchar[] end as categories, case when k in (0, 3) then 'missing' when k = 2 then 'os_009' when k = 4 then 'strange' else comp end as pc, case when k = 0 then 'missing' when k = 5 then 'db close' else 'CPU fault' end as pr from ans)"""
+_CATALOGUE = [f"os_00{i}" for i in range(1, 6)]
+
 
+def _classified(spark, sf_dir):
+    from rootloom.operators.time_ops import REASONS
 
-@query("slice_comparison", """with a as (select *, unnest(['all', case when telemetry_bytes > 250000 then 'high_volume' end]) as slice from scored), p as (select slice, case_id, max(hit_at_1) filter (system = 'single') as b, max(hit_at_1) filter (system = 'repaired') as t from a where slice is not null group by all)
-    select slice, count(*) as n, count(*) filter (b > 0 and t <= 0) as baseline_only, count(*) filter (b <= 0 and t > 0) as treatment_only, round(avg(t - b), 6) as delta from p group by slice""")
+    rows = _answers(spark, sf_dir)
+    strict = scoring.score_answers(rows, ["case_id", "system"]).select("case_id", "system", "strict_correct")
+    return scoring.error_taxonomy(rows.join(strict, ["case_id", "system"]).withColumn("volume_bin", F.when(F.col("telemetry_bytes") > 250000, "high").otherwise("low")), ["case_id", "system", "volume_bin"], _CATALOGUE, list(REASONS))
+
+
+@query("error_taxonomy", f"with {_ANSWERS}, {_KINDS} select case_id, system, k = 7 as strict_correct, array_to_string(categories, ',') as categories, pc as predicted_component, pr as predicted_reason from kinds")
+def _(spark, sf_dir):
+    return _classified(spark, sf_dir).drop("volume_bin").withColumn("categories", F.array_join("categories", ","))
+
+
+@query("bias_tables", f"""with {_ANSWERS}, {_KINDS}, x as (select unnest(list_concat([{{'kind': 'predicted_component', 'value': pc}}, {{'kind': 'predicted_reason', 'value': pr}}, {{'kind': 'volume_bin', 'value': case when large then 'high' else 'low' end}}], list_transform(categories, lambda c: {{'kind': 'by_system_category', 'value': system || ':' || c}}))) as x from kinds where k <> 7)
+    select x.kind as kind, x.value as value, count(*) as n from x group by all""")
+def _(spark, sf_dir):
+    return scoring.bias_tables(_classified(spark, sf_dir), ["predicted_component", "predicted_reason", "volume_bin"])
+
+
+_ROLES = {"operational_single": "single", "architecture_baseline": "sharded"}
+
+
+@query("slice_comparison", f"""with a as (select *, unnest(['all', case when telemetry_bytes > 250000 then 'high_volume' end]) as slice from scored), w as (select slice, case_id, max(hit_at_1) filter (system = 'single') as b1, max(hit_at_1) filter (system = 'sharded') as b2, max(hit_at_1) filter (system = 'repaired') as t from a where slice is not null group by all),
+    src as (select slice || '|' || role as sr, slice, role, case_id, b, t, (t - b)::double as v from (select slice, case_id, t, unnest(['operational_single', 'architecture_baseline']) as role, unnest([b1, b2]) as b from w)),
+    s as (select sr, slice, role, count(*) as n, count(*) filter (b > t) as bo, count(*) filter (b < t) as tr, avg(b) as rate, round(avg(v), 6) as delta from src group by all), {_TAIL.format(keys="sr")},
+    ps as (select s.*, round(case when bo + tr = 0 then 1.0 else least(1.0, 2 * tail) end, 9) as p from s join tl using (sr)), rk as (select *, row_number() over (partition by slice order by p, role) as i from ps),
+    hm as (select *, round(least(1.0, max((3 - i) * p) over (partition by slice order by i)), 9) as holm from rk), {_boot('src', 'sr', "role || ':' || case_id", 1000)}
+    select slice, role, case role when 'operational_single' then 'single' else 'sharded' end as baseline, n, bo as baseline_only, tr as treatment_only, delta, low, high, p as p_value, holm as holm_p, (delta >= 0.1 or case when rate < 1 then delta / (1 - rate) else 0 end >= 0.2) and holm <= 0.05 as passes from hm join ends using (sr)""")
 def _(spark, sf_dir):
     sliced = _scored(spark, sf_dir).withColumn("slice", F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("telemetry_bytes") > 250000, "high_volume")))))
-    of = lambda s: F.max(F.when(F.col("system") == s, F.col("hit_at_1")))
-    pairs = sliced.groupBy("slice", "case_id").agg(of("single").alias("baseline"), of("repaired").alias("treatment"))
-    tests = ops.mcnemar(pairs, ["slice"]).select("slice", "n", "baseline_only", "treatment_only")
-    return tests.join(pairs.groupBy("slice").agg(F.round(F.avg(F.col("treatment") - F.col("baseline")), 6).alias("delta")), "slice")
+    return ops.slice_comparison(sliced.select("slice", "case_id", "system", "hit_at_1"), _ROLES, "repaired")
+
+
+@query("candidate_recall", "select system, k, round(avg((place <= k)::int), 6) as recall from scored, (values (1), (3), (5)) q(k) group by all")
+def _(spark, sf_dir):
+    rows = _scored(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))))
+    return rows.groupBy("system", "k").agg(F.round(F.avg(F.when(F.col("place").between(1, F.col("k")), 1.0).otherwise(0.0)), 6).alias("recall"))

@@ -88,11 +88,25 @@ def _(spark, sf_dir):
     return ops.metric_shift_top(_phased(spark, sf_dir)).select("case_id", "component", "metric", "score", "rank")
 
 
+#: Names of metrics that reach every branch of the vocabularies.
+NAMES = ("duration_ms", "connection_count", "ratio_x", "response_time", "tcp_retrans", "success_rate", "row_lock_waits", "login_count", "on_off_state", "client_rejected", "CPU_load", "Memory_rss", "disk_blkio", "packet_loss", "socket_reset", "latency-90", "heap_used", "processor_q", "rx_bytes", "sql_limit", "errors_all", "fs-free", "elapsed", "plain")
+_NAMED = f"(select event_id, lower([{', '.join(repr(n) for n in NAMES)}][event_id % {len(NAMES)} + 1]) as m from events)"
+
+
+def named(spark, sf_dir):
+    return c.table(spark, sf_dir, "events").select("event_id", F.get(F.array(*map(F.lit, NAMES)), (F.col("event_id") % len(NAMES)).cast("int")).alias("m"))
+
+
+FAMILY = """case when contains({0}, 'memory') then 'mem' when contains({0}, 'latency') or contains({0}, 'response_time') then 'delay' when contains({0}, 'packet_loss') then 'loss' when contains({0}, 'tcp') then 'socket' when contains({0}, 'cpu') then 'cpu' when contains({0}, 'mem') then 'mem' when contains({0}, 'disk') then 'disk' when contains({0}, 'delay') then 'delay' when contains({0}, 'loss') then 'loss' when contains({0}, 'socket') then 'socket' else 'unknown' end"""
+
+
 @query("case_profile", f"""with {_SHIFT_TOP}, p as (select case_id, count(*)::int as n_shifts, max(component) filter (rank = 1) as top_component, max(metric) filter (rank = 1) as m1, max(score) filter (rank = 1) as s1, coalesce(max(score) filter (rank = 2), 0) as s2 from top where rank <= 10 group by case_id)
-    select case_id, n_shifts, top_component, case when contains(m1, 'cpu') then 'cpu' when contains(m1, 'mem') then 'mem' when contains(m1, 'disk') or contains(m1, 'io') then 'disk' when contains(m1, 'delay') or contains(m1, 'latency') then 'delay' when contains(m1, 'loss') or contains(m1, 'error') then 'loss' when contains(m1, 'socket') then 'socket' else 'unknown' end as family,
-    round(case when s1 + s2 > 0 then s1 / (s1 + s2) else 0 end, 6) as confidence from p""")
+    select case_id, n_shifts, top_component, {FAMILY.format('m1')} as family, round(case when s1 + s2 > 0 then s1 / (s1 + s2) else 0 end, 6) as confidence,
+      coalesce(case_id in (select case_id from log_line where contains(message, 'error')), false) as has_logs, coalesce(case_id in (select case_id from span), false) as has_traces from p""")
 def _(spark, sf_dir):
-    return ops.case_profile(ops.metric_shift_top(_phased(spark, sf_dir)))
+    logs = c.log_line(spark, sf_dir).where("contains(message, 'error')").select("case_id", F.lit("logs").alias("modality"))
+    traces = c.span(spark, sf_dir).select("case_id", F.lit("traces").alias("modality"))
+    return ops.case_profile(ops.metric_shift_top(_phased(spark, sf_dir)), logs.union(traces))
 
 
 _BASELINE = """select component, metric, source, count(value) as n, avg(value) as mean, stddev_samp(value) as std, min(value) as least, max(value) as most,
@@ -124,7 +138,7 @@ def _(spark, sf_dir):
 
 
 _SUMMARY = """select case_id, component, service, ds_name, call_type, count(*) as n, avg(elapsed) as mean_elapsed, median(elapsed) as median_elapsed, max(elapsed) as max_elapsed, min(start_ms) as first_start,
-    arg_max(start_ms, (elapsed, -start_ms)) as max_start, count(*) filter (lower(success) in ('false', '0', 'fail', 'failed', 'error')) as failures from span group by all"""
+    arg_max(start_ms, (elapsed, -start_ms)) as max_start, count(*) filter (lower(success) in ('false', '0', 'fail', 'failed')) as failures from span group by all"""
 _SUMMARY_KEYS = ["case_id", "component", "service", "ds_name", "call_type"]
 
 
@@ -145,25 +159,29 @@ def _(spark, sf_dir):
     return _rounded(ops.window_mean_anomaly(c.metric_long(spark, sf_dir), 1704153600.0, 1704412800.0, 30), "window_mean", "baseline_mean")
 
 
-@query("reason_hint", """select event_id, case when regexp_matches(m, 'loss|drop|retrans|error|fail') then 'network loss' when regexp_matches(m, 'close|reset') then 'db close' when regexp_matches(m, 'connection|session|socket') then 'db connection limit' when regexp_matches(m, 'cpu') then 'CPU fault' when regexp_matches(m, 'delay|latency|time|duration') then 'network delay' else 'CPU fault' end as hint
-    from (select event_id, case event_id % 4 when 0 then event_type when 1 then event_type || '_duration' when 2 then 'sess_connection' else 'tcp_close' end as m from events)""")
+HINT = """case when regexp_matches({0}, 'success|succee|loss|drop|error|fail') then 'network loss' when regexp_matches({0}, 'close|closed|on_off_state|onoff') then 'db close'
+    when regexp_matches({0}, 'connect|client|session|login|blocked|rejected|row_lock|hang') then 'db connection limit' when regexp_matches({0}, 'cpu|processor|load') then 'CPU fault' when regexp_matches({0}, 'delay|latency|elapsed|time') then 'network delay' else '' end"""
+REASON = """case when regexp_matches({0}, 'cpu|processor') then 'cpu' when regexp_matches({0}, 'mem|memory|rss|heap') then 'mem' when regexp_matches({0}, 'disk|fs-|blkio|io') then 'disk' when regexp_matches({0}, 'loss|drop|dropped|error-total|errors') then 'loss'
+    when regexp_matches({0}, 'delay|latency|duration|timeout|slow') then 'delay' when regexp_matches({0}, 'socket|sockets|connection reset') then 'socket' when regexp_matches({0}, 'db|database|sql|connection limit|close') then 'db' when regexp_matches({0}, 'network|rx|tx|packet') then 'network' else 'unknown' end"""
+
+
+@query("reason_hint", f"select event_id, {HINT.format('m')} as hint from {_NAMED}")
 def _(spark, sf_dir):
-    k = F.col("event_id") % 4
-    m = F.when(k == 0, F.col("event_type")).when(k == 1, F.concat("event_type", F.lit("_Duration"))).when(k == 2, "sess_Connection").otherwise("tcp_close")
-    return c.table(spark, sf_dir, "events").select("event_id", ops.reason_hint(m).alias("hint"))
+    return named(spark, sf_dir).select("event_id", ops.reason_hint(F.col("m")).alias("hint"))
 
 
-@query("fault_family", """select case_id, case when contains(m, 'cpu') then 'cpu' when contains(m, 'mem') then 'mem' when contains(m, 'disk') or contains(m, 'io') then 'disk' when contains(m, 'delay') or contains(m, 'latency') then 'delay' when contains(m, 'loss') or contains(m, 'error') then 'loss' when contains(m, 'socket') then 'socket' else 'unknown' end as family from (select case_id, fault_type || case when telemetry_bytes > 200000 then '_duration' else '' end as m from cases)""")
+@query("fault_family", f"select event_id, {FAMILY.format('m')} as family from {_NAMED}")
 def _(spark, sf_dir):
-    name = F.concat("fault_type", F.when(F.col("telemetry_bytes") > 200000, "_Duration").otherwise(""))
-    return c.case(spark, sf_dir).select("case_id", ops.fault_family(name).alias("family"))
+    return named(spark, sf_dir).select("event_id", ops.fault_family(F.col("m")).alias("family"))
 
 
-@query("infer_reason", """with t as (select case_id, string_agg(signal, ' ') as t from (select case_id, signal, row_number() over (partition by case_id, component order by score desc, magnitude desc, signal, direction) as rank, component from finding) where rank <= 2 group by case_id)
-    select case_id, case when contains(t, 'cpu') then 'cpu' when contains(t, 'mem') then 'mem' when contains(t, 'disk') or contains(t, 'io') then 'disk' when contains(t, 'delay') or contains(t, 'latency') then 'delay' when contains(t, 'loss') or contains(t, 'error') then 'loss' when contains(t, 'socket') then 'socket' else 'unknown' end as reason from t""")
+@query("infer_reason", f"""with t as (select case_id, component, string_agg(signal || ' high ' || direction, ' ' order by rank) as t from (select case_id, component, signal, direction, row_number() over (partition by case_id, component order by score desc, magnitude desc, signal, direction) as rank from finding) where rank <= 2 group by case_id, component)
+    select 'board' as kind, case_id || ' ' || component as id, {REASON.format('t')} as reason from t union all select 'name', event_id::varchar, {REASON.format('m')} from {_NAMED}""")
 def _(spark, sf_dir):
-    text = ops.evidence_for(c.finding(spark, sf_dir), 2).groupBy("case_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("signal"))).alias("text"))
-    return text.select("case_id", ops.fault_family(F.col("text")).alias("reason"))
+    found = ops.evidence_for(c.finding(spark, sf_dir), 2)
+    text = found.groupBy("case_id", "component").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "signal", "direction"))), lambda x: F.concat_ws(" ", x["signal"], F.lit("high"), x["direction"])), " ").alias("text"))
+    board = text.select(F.lit("board").alias("kind"), F.concat_ws(" ", "case_id", "component").alias("id"), ops.infer_reason(F.col("text")).alias("reason"))
+    return board.union(named(spark, sf_dir).select(F.lit("name"), F.col("event_id").cast("string"), ops.infer_reason(F.col("m"))))
 
 
 _DUP = "(select * from finding union all select case_id, modality, upper(component), signal, direction, magnitude, score - 1, window_start, evidence_ptr from finding)"
@@ -206,9 +224,9 @@ def _(spark, sf_dir):
 
 @query("onset_mad", """with r as (select case_id, component, metric, ts, value, row_number() over (partition by case_id, component, metric order by ts, value) as i, count(*) over (partition by case_id, component, metric) as n from metric_long),
     b as (select case_id, component, metric, median(value) as c from r where i <= greatest(3, n // 5) group by all),
-    o as (select r.*, abs(value - c) as off from r join b using (case_id, component, metric)),
+    o as (select r.*, c, abs(value - c) as off from r join b using (case_id, component, metric)),
     d as (select case_id, component, metric, median(off) as mad from o where i <= greatest(3, n // 5) group by all)
-    select case_id, component, metric, min(ts) filter (i > greatest(3, n // 5) and n >= 6 and off > 5 * case when mad > 0 then mad else 1e-9 end) as onset_ts from o join d using (case_id, component, metric) group by all""")
+    select case_id, component, metric, min(ts) filter (i > greatest(3, n // 5) and n >= 6 and off > 5 * case when mad > 0 then mad else 0.05 * (abs(c) + 1e-6) end) as onset_ts from o join d using (case_id, component, metric) group by all""")
 def _(spark, sf_dir):
     return ops.onset_mad(c.metric_long(spark, sf_dir).select("case_id", "component", "metric", "ts", "value"), ["case_id", "component", "metric"])
 
@@ -247,10 +265,10 @@ def _(spark, sf_dir):
     return _rounded(ops.kpi_features(c.kpi(spark, sf_dir)), *_CALCULATED)
 
 
-@query("feature_views", f"""with f as ({_FEATURES.replace('with r as', 'with r as', 1)}) select sample_index, max(mean) filter (feature = 'feature0') as feature0__mean, max(slope) filter (feature = 'feature0') as feature0__slope, max(mean) filter (feature = 'feature3') as feature3__mean, max(slope) filter (feature = 'feature3') as feature3__slope from f group by sample_index""")
+@query("feature_views", f"""with f as ({_FEATURES}) select sample_index, {", ".join(f"coalesce(max({s}) filter (feature = 'feature{k}'), 0) as feature{k}__{s}" for k in range(8) for s in ops.STATS)} from f group by sample_index""")
 def _(spark, sf_dir):
     features = _rounded(ops.kpi_features(c.kpi(spark, sf_dir)), *_CALCULATED)
-    return ops.feature_views(features, ["feature0", "feature3"], ("mean", "slope"))
+    return ops.feature_views(features, [f"feature{k}" for k in range(8)])
 
 
 @query("metric_scope_findings", f"""with b as ({_BASELINE}), w as ({_WINDOWED}), e as (select row_id, component, metric, source, max(value) as top, min(value) as bottom from w group by all),

@@ -8,33 +8,37 @@ from rootloom.operators import fusion as ops
 from rootloom.operators import graph
 from rootloom.operators.findings import component_onsets, component_scores, metric_shift_top, reason_hint, top_components
 from rootloom.operators.time_ops import phase_split
-from rootloom.plans.graph_queries import _COVERAGE, _symptomatic, _thin
+from rootloom.plans.finding_queries import HINT, REASON
+from rootloom.plans.graph_queries import CONNECTED, COVERAGE, edges, symptomatic
 from rootloom.plans.registry import query
+from rootloom.session import written
 from rootloom.sources import canonical as c
 
-_FAMILY = "case when contains({0}, 'cpu') then 'cpu' when contains({0}, 'mem') then 'mem' when contains({0}, 'disk') or contains({0}, 'io') then 'disk' when contains({0}, 'delay') or contains({0}, 'latency') then 'delay' when contains({0}, 'loss') or contains({0}, 'error') then 'loss' when contains({0}, 'socket') then 'socket' else 'unknown' end"
-_HINT = "case when regexp_matches(signal, 'loss|drop|retrans|error|fail') then 'network loss' else 'CPU fault' end"
-_WEIGHT = "case modality when 'metrics' then 1.0 when 'logs' then 0.8 when 'traces' then 1.0 when 'auxiliary' then 0.5 when 'events' then 0.5 else 1.0 end"
+_HINT = HINT.format("signal")
+_WEIGHT = "case modality when 'metrics' then 1.0 when 'logs' then 1.15 when 'traces' then 1.15 when 'events' then 1.05 when 'auxiliary' then 0.8 else 1.0 end"
 
 
 def _sharded(spark, sf_dir):
-    return c.finding(spark, sf_dir).withColumn("shard_id", F.col("modality"))
+    """The findings, a shard for each modality, made once and written down."""
+    return written(c.finding(spark, sf_dir).withColumn("shard_id", F.col("modality")), "findings")
 
 
-_FILES = "select 'case-' || (p_partkey % 40)::varchar as case_id, case p_size % 5 when 0 then 'metrics' when 1 then 'traces' when 2 then 'logs' when 3 then 'auxiliary' else 'events' end as modality, p_name as name from part"
+_FILES = """select 'case-' || (p_partkey % 40)::varchar as case_id, case p_size % 5 when 0 then 'metrics' when 1 then 'traces' when 2 then 'logs' when 3 then 'auxiliary' else 'events' end as modality,
+    case when p_size % 10 = 5 and p_partkey % 3 = 0 then 'x/simple_metrics.csv' else p_name end as name, p_size::bigint as bytes from part"""
 
 
 def _files(spark, sf_dir):
     k = F.col("p_size") % 5
-    return c.table(spark, sf_dir, "part").select(F.concat(F.lit("case-"), (F.col("p_partkey") % 40).cast("string")).alias("case_id"), F.when(k == 0, "metrics").when(k == 1, "traces").when(k == 2, "logs").when(k == 3, "auxiliary").otherwise("events").alias("modality"), F.col("p_name").alias("name"))
+    modality = F.when(k == 0, "metrics").when(k == 1, "traces").when(k == 2, "logs").when(k == 3, "auxiliary").otherwise("events")
+    name = F.when((F.col("p_size") % 10 == 5) & (F.col("p_partkey") % 3 == 0), "x/simple_metrics.csv").otherwise(F.col("p_name"))
+    return c.table(spark, sf_dir, "part").select(F.concat(F.lit("case-"), (F.col("p_partkey") % 40).cast("string")).alias("case_id"), modality.alias("modality"), name.alias("name"), F.col("p_size").cast("long").alias("bytes"))
 
 
-_ORDER = "list_position(['metrics', 'traces', 'logs', 'auxiliary', 'events'], modality)"
-
-
-@query("default_shards", f"with f as ({_FILES}), o as (select case_id, modality, min(name) as name from f group by all) select case_id, modality, name, shard_no from (select *, row_number() over (partition by case_id order by {_ORDER}, modality)::int as shard_no from o) where shard_no <= 4")
+@query("default_shards", f"""with f as ({_FILES}), m as (select *, modality = 'metrics' and name = 'x/simple_metrics.csv' as s, max(modality = 'metrics' and name = 'x/simple_metrics.csv') over (partition by case_id, modality) as any_s from f where modality in ('metrics', 'logs', 'traces')),
+    o as (select case_id, modality || '_0' as shard_id, modality, count(*) as n_files, sum(bytes)::bigint as bytes from m where s or not any_s group by case_id, modality)
+    select * from (select *, row_number() over (partition by case_id order by case modality when 'metrics' then 1 when 'logs' then 2 else 3 end)::int as shard_no from o) where shard_no <= 2""")
 def _(spark, sf_dir):
-    return ops.default_shards(_files(spark, sf_dir), 4)
+    return ops.default_shards(_files(spark, sf_dir), 2)
 
 
 _SHARDS = """shards as (select k.case_id, k.component, m.modality, m.modality || '_' || g::varchar as shard_id from (select case_id, component, (row_number() over (partition by case_id order by component) - 1) // 6 as g from (select distinct case_id, component from finding)) k join (select distinct case_id, modality from finding) m using (case_id))"""
@@ -67,16 +71,18 @@ def _(spark, sf_dir):
 _EVIDENCE = f"""sc as (select case_id, modality as shard_id, component, modality, round(sum(greatest(score, 0)), 6) as support_score from (select *, row_number() over (partition by case_id, component, modality order by score desc, signal, direction) as r from finding) where r <= 3 group by all),
     tp as (select * from (select *, row_number() over (partition by case_id, shard_id order by support_score desc, component)::int as local_rank from sc) where local_rank <= 6),
     ev as (select * from (select f.*, row_number() over (partition by f.case_id, f.modality, f.component order by score desc, magnitude desc, signal, direction) as e from finding f join tp on tp.case_id = f.case_id and tp.shard_id = f.modality and tp.component = f.component) where e <= 6),
-    tx as (select case_id, modality as shard_id, component, string_agg(signal, ' ' order by e) as t, list(evidence_ptr order by e) as evidence_ptrs from ev group by all),
-    evidence as (select case_id, shard_id, component, support_score, 0.0::double as refute_score, local_rank, modality, {_FAMILY.format('t')} as reason, evidence_ptrs from tp join tx using (case_id, shard_id, component))"""
+    tx as (select case_id, modality as shard_id, component, string_agg(signal || ' ' || direction, ' ' order by e) as t, list(evidence_ptr order by e) as evidence_ptrs from ev group by all),
+    evidence as (select case_id, shard_id, component, support_score, 0.0::double as refute_score, local_rank, modality, {REASON.format('t')} as reason, evidence_ptrs from tp join tx using (case_id, shard_id, component))"""
 
 
 @query("candidate_evidence", f"with {_EVIDENCE} select * replace (list_distinct_in_order(evidence_ptrs) as evidence_ptrs) from evidence".replace("list_distinct_in_order(evidence_ptrs)", "list_filter(evidence_ptrs, lambda x, i: list_position(evidence_ptrs, x) = i)"))
 def _(spark, sf_dir):
-    return ops.candidate_evidence(_sharded(spark, sf_dir))
+    return ops.candidate_evidence(_sharded(spark, sf_dir)).drop("evidence")
 
 
-@query("heuristic_candidates", "with t as (select *, sum(component_score) over (partition by case_id) as total from component_total) select * from (select case_id, component, component_score, round(least(0.95, greatest(0.05, case when total > 0 then component_score / total else 0 end)), 6) as confidence, row_number() over (partition by case_id order by component_score desc, component)::int as rank from t) where rank <= 5")
+@query("heuristic_candidates", f"""with r as (select * from (select *, row_number() over (partition by case_id order by component_score desc, component)::int as rank from component_total) where rank <= 5), t as (select *, sum(component_score) over (partition by case_id) as total from r),
+    e as (select *, row_number() over (partition by case_id, component order by score desc, magnitude desc, signal, direction) as e from finding), x as (select case_id, component, {REASON.format("string_agg(signal || ' ' || direction, ' ' order by e)")} as reason, max(window_start) filter (e = 1) as occurrence from e where e <= 8 group by case_id, component)
+    select case_id, component, component_score, round(least(0.95, greatest(0.05, component_score / total)), 6) as confidence, rank, reason, occurrence from t join x using (case_id, component)""")
 def _(spark, sf_dir):
     return ops.heuristic_candidates(c.finding(spark, sf_dir))
 
@@ -87,17 +93,25 @@ _FUSED = f"""w as (select *, (support_score - refute_score) * {_WEIGHT} / sqrt(l
     fused as (select * from (select *, row_number() over (partition by case_id order by score desc, lower(component))::int as rank from f) where rank <= 5)"""
 
 
-@query("additive_fusion", f"with {_EVIDENCE}, {_FUSED} select case_id, component, reason, score, confidence, rank from fused")
+def fused(spark, sf_dir):
+    """The fused candidates, made once and written down."""
+    return written(ops.additive_fusion(ops.candidate_evidence(_sharded(spark, sf_dir))), "fused")
+
+
+@query("additive_fusion", f"""with {_EVIDENCE}, {_FUSED}, pt as (select case_id, component, shard_id, w, unnest(evidence_ptrs) as p, unnest(range(len(evidence_ptrs))) as i from w), ps as (select case_id, component, array_to_string(list(p order by w desc, shard_id, i)[1:8], ',') as pointers from pt group by all),
+    oc as (select case_id, component, arg_min(window_start, (-score, -magnitude, signal, direction)) as occurrence from finding group by all)
+    select case_id, component, reason, score, confidence, rank, pointers, occurrence from fused join ps using (case_id, component) join oc using (case_id, component)""")
 def _(spark, sf_dir):
-    return ops.additive_fusion(ops.candidate_evidence(_sharded(spark, sf_dir)))
+    return ops.additive_fusion(ops.candidate_evidence(_sharded(spark, sf_dir))).withColumn("evidence_ptrs", F.array_join("evidence_ptrs", ",")).withColumnRenamed("evidence_ptrs", "pointers")
 
 
-@query("vote_fusion", f"""with {_EVIDENCE}, cd as (select case_id, shard_id as worker_id, component, least(1.0, support_score / 10) as confidence, len(evidence_ptrs) > 1 as has from evidence),
-    v as (select case_id, component, round(sum(confidence + case when has then 0.05 else 0 end), 6) as votes, arg_min(worker_id, (-confidence, worker_id)) as backer from cd group by all)
+@query("vote_fusion", f"""with {_EVIDENCE}, cd as (select case_id, shard_id as worker_id, component, least(1.0, support_score / 10) - case when local_rank > 5 then 1 else 0 end as confidence, len(evidence_ptrs) > 0 and local_rank % 2 = 1 as has from evidence),
+    v as (select case_id, component, round(sum(round(greatest(0, confidence), 9)::decimal(20, 9) + case when has then 0.05 else 0 end::decimal(20, 9)), 6)::double as votes, arg_min(worker_id, (-confidence, worker_id)) as backer from cd group by all)
     select case_id, component, votes, backer from (select *, row_number() over (partition by case_id order by votes desc, component) as r from v) where r = 1""")
 def _(spark, sf_dir):
     e = ops.candidate_evidence(_sharded(spark, sf_dir))
-    return ops.vote_fusion(e.select("case_id", F.col("shard_id").alias("worker_id"), "component", F.least(F.lit(1.0), F.col("support_score") / 10).alias("confidence"), (F.size("evidence_ptrs") > 1).alias("has_evidence")))
+    confidence = F.least(F.lit(1.0), F.col("support_score") / 10) - F.when(F.col("local_rank") > 5, 1).otherwise(0)
+    return ops.vote_fusion(e.select("case_id", F.col("shard_id").alias("worker_id"), "component", confidence.alias("confidence"), ((F.size("evidence_ptrs") > 0) & (F.col("local_rank") % 2 == 1)).alias("has_evidence")))
 
 
 _PARSED = """parsed as (select case_id, worker_id, component, reason, round(p / (p1 + p2 + 0.2), 9) as probability, round(0.2 / (p1 + p2 + 0.2), 9) as other_mass, ['ptr-' || k::varchar] as evidence_ptrs from (
@@ -115,7 +129,18 @@ def _(spark, sf_dir):
 
 @query("fallback_distribution", f"with s as (select case_id, component, {_HINT} as reason, sum(score) as s from finding group by all), t as (select * from (select *, row_number() over (partition by case_id order by s desc, component, reason) as r from s) where r <= 8), e as (select *, exp(s / max(s) over (partition by case_id) / 0.3) as e from t) select case_id, component, reason, round(0.9 * e / sum(e) over (partition by case_id), 9) as probability from e")
 def _(spark, sf_dir):
-    return ops.fallback_distribution(c.finding(spark, sf_dir), F.when(reason_hint(F.col("signal")) == "network loss", "network loss").otherwise("CPU fault"))
+    return ops.fallback_distribution(c.finding(spark, sf_dir), reason_hint(F.col("signal")))
+
+
+@query("opinion_errors", """with k as (select case_id, worker_id, k, k % 7 as how from opinion)
+    select case_id, worker_id, case how when 1 then 'unreadable' when 2 then 'unknown component' when 3 then 'unknown reason' when 4 then 'probability out of range' when 5 then 'other mass out of range' when 6 then 'unknown component,unsupported pointer' else 'unsupported pointer' end as errors from k""")
+def _(spark, sf_dir):
+    how = F.col("key") % 7
+    rows = c.opinion(spark, sf_dir).withColumn("key", F.regexp_extract("raw", r"ptr-(\d+)", 1).cast("int"))
+    raw = F.when(how == 1, "no json").when(how == 2, F.replace("raw", F.lit("svc-"), F.lit("host-"))).when(how == 3, F.replace("raw", F.lit('"cpu"'), F.lit('"magic"'))).when(how == 4, F.regexp_replace("raw", r'"probability":[0-9.]+', '"probability":1.5')).when(how == 5, F.replace("raw", F.lit('"other_mass":0.2'), F.lit('"other_mass":-2'))).when(how == 6, F.replace("raw", F.lit("svc-"), F.lit("host-"))).otherwise(F.col("raw"))
+    raw = F.when(how.isin(2, 3, 4, 5), F.replace(raw, F.lit(',"bad"'), F.lit(""))).otherwise(raw)
+    found = ops.opinion_errors(rows.withColumn("raw", raw), c.metric_long(spark, sf_dir), ["cpu", "delay", "loss"])
+    return found.select("case_id", "worker_id", F.array_join("errors", ",").alias("errors"))
 
 
 _PAIRS = "pairs as (select k.case_id, 'svc-' || i::varchar as component, reason from (select distinct case_id from opinion) k, range(6) r(i), (values ('cpu'), ('delay'), ('loss')) q(reason))"
@@ -181,14 +206,13 @@ def _(spark, sf_dir):
     return ops.peer_review(own.where("local_rank = 1"), own, own.select("case_id", "agent").distinct())
 
 
-_RERANKED = "select case_id, component, reason, round(s2, 6) as score, round(least(0.95, greatest(0.05, case when tot > 0 then greatest(s2, 0) / tot else 0 end)), 6) as confidence, row_number() over (partition by case_id order by round(s2, 6) desc, component)::int as rank from (select *, sum(greatest(s2, 0)) over (partition by case_id) as tot from (select f.*, f.score * (1 + 0.5 * coalesce(k.{factor}, 0)) as s2 from fused f left join {table} k on {on}))"
+_RERANKED = "select case_id, component, reason, round(s2, 9) as score, round(least(0.95, greatest(0.05, case when tot > 0 then greatest(s2, 0) / tot else 0 end)), 6) as confidence, row_number() over (partition by case_id order by round(s2, 9) desc, component)::int as rank from (select *, sum(greatest(s2, 0)) over (partition by case_id) as tot from (select f.*, f.score * (1 + 0.5 * coalesce(k.{factor}, 0)) as s2 from fused f left join {table} k on {on}))"
 
 
-@query("topology_rerank", f"with {_COVERAGE}, {_EVIDENCE}, {_FUSED} " + _RERANKED.format(factor="coverage", table="coverage", on="k.node = f.component"))
+@query("topology_rerank", f"with {COVERAGE}, {_EVIDENCE}, {_FUSED} " + _RERANKED.format(factor="coverage", table="coverage", on="k.case_id = f.case_id and k.node = f.component"))
 def _(spark, sf_dir):
-    fused = ops.additive_fusion(ops.candidate_evidence(_sharded(spark, sf_dir)))
-    coverage = graph.explanatory_coverage(_thin(spark, sf_dir).cache(), _symptomatic(spark, sf_dir)).withColumnRenamed("node", "component")
-    return ops.rerank(fused, coverage, "coverage", 0.5, ["component"]).select("case_id", "component", "reason", "score", "confidence", "rank")
+    coverage = graph.explanatory_coverage(edges(spark, sf_dir), symptomatic(spark, sf_dir)).withColumnRenamed("node", "component")
+    return ops.rerank(fused(spark, sf_dir), coverage, "coverage", 0.5, ["case_id", "component"]).select("case_id", "component", "reason", "score", "confidence", "rank")
 
 
 _ON = "on_ as (select case_id, component, min(window_start) as onset from finding group by all), prec as (select case_id, component, onset, case when max(onset) over c > min(onset) over c then round(1 - (onset - min(onset) over c) / (max(onset) over c - min(onset) over c), 6) else 1.0 end as precedence from on_ window c as (partition by case_id))"
@@ -196,18 +220,39 @@ _ON = "on_ as (select case_id, component, min(window_start) as onset from findin
 
 @query("temporal_rerank", f"with {_EVIDENCE}, {_FUSED}, {_ON} " + _RERANKED.format(factor="precedence", table="prec", on="k.component = f.component and k.case_id = f.case_id"))
 def _(spark, sf_dir):
-    fused = ops.additive_fusion(ops.candidate_evidence(_sharded(spark, sf_dir)))
-    return ops.rerank(fused, component_onsets(c.finding(spark, sf_dir)), "precedence", 0.5, ["case_id", "component"]).select("case_id", "component", "reason", "score", "confidence", "rank")
+    f = _sharded(spark, sf_dir)
+    return ops.rerank(ops.additive_fusion(ops.candidate_evidence(f)), component_onsets(f), "precedence", 0.5, ["case_id", "component"]).select("case_id", "component", "reason", "score", "confidence", "rank")
+
+
+_LOUD = "l as (select *, row_number() over (partition by case_id order by max_score desc, component)::int as loudness from (select case_id, component, max(score) as max_score from finding group by all))"
 
 
-@query("causal_pick", """with symptoms as (select component as node from metric_long group by component having avg(value) > 50), u as (select src, dst from thin_edge union select dst, src from thin_edge), r as (select src, dst from u union select a.src, b.dst from u a join u b on a.dst = b.src),
-    k as (select n.node, count(s.node) as n from (select distinct src as node from u) n left join r on r.src = n.node and r.dst <> n.node left join symptoms s on s.node = r.dst group by n.node),
-    l as (select *, row_number() over (partition by case_id order by max_score desc, component)::int as loudness from (select case_id, component, max(score) as max_score from finding group by all)),
-    p as (select l.case_id, l.component, coalesce(k.n, 0) as neighbours, loudness, row_number() over (partition by l.case_id order by coalesce(k.n, 0) desc, loudness) as r from l left join k on k.node = l.component where loudness <= 15)
+@query("causal_pick", f"""with {CONNECTED}, {_LOUD},
+    p as (select l.case_id, l.component, coalesce(k.n, 0) as neighbours, loudness, row_number() over (partition by l.case_id order by coalesce(k.n, 0) desc, loudness) as r from l left join connected k on k.case_id = l.case_id and k.node = l.component where loudness <= 15)
     select case_id, component, neighbours, loudness from p where r = 1""")
 def _(spark, sf_dir):
     loud = c.finding(spark, sf_dir).groupBy("case_id", "component").agg(F.max("score").alias("max_score"))
-    return ops.causal_pick(loud, graph.k_hop_connectivity(graph.undirected(_thin(spark, sf_dir)), _symptomatic(spark, sf_dir)))
+    return ops.causal_pick(loud, graph.k_hop_connectivity(graph.undirected(edges(spark, sf_dir)), symptomatic(spark, sf_dir)))
+
+
+@query("onset_pick", f"""with {_LOUD}, cd as (select case_id, component, loudness as rank from l where loudness <= 8), sg as (select case_id, component, arg_min(signal, (-score, -magnitude, signal, direction)) as signal from finding group by all),
+    sd as (select m.case_id, m.component, metric, stddev_samp(value) as std, any_value(signal) as signal from metric_long m join cd using (case_id, component) left join sg using (case_id, component) where m.component <> 'svc-3' or metric <> signal group by all),
+    dm as (select case_id, component, metric from (select *, row_number() over (partition by case_id, component order by case when metric = signal then 0 else 1 end, std desc nulls last, metric) as r from sd) where r = 1),
+    r as (select case_id, component, ts, value, row_number() over (partition by case_id, component order by ts, value) as i, count(*) over (partition by case_id, component) as n from metric_long join dm using (case_id, component, metric)),
+    b as (select case_id, component, median(value) as c from r where i <= greatest(3, n // 5) group by all), o as (select r.*, c, abs(value - c) as off from r join b using (case_id, component)),
+    d as (select case_id, component, median(off) as mad from o where i <= greatest(3, n // 5) group by all),
+    t as (select case_id, component, min(ts) filter (i > greatest(3, n // 5) and n >= 6 and off > 5 * case when mad > 0 then mad else 0.05 * (abs(c) + 1e-6) end) as onset_ts from o join d using (case_id, component) group by all),
+    u as (select case_id, src, dst from graph_edge union select case_id, dst, src from graph_edge), nb as (select u.case_id, u.src as component, count(*) as n from u join t on t.case_id = u.case_id and t.component = u.dst where t.onset_ts is not null group by all),
+    f as (select cd.*, t.onset_ts, case when t.onset_ts is not null then coalesce(nb.n, 0) else 0 end as neighbours from cd left join t using (case_id, component) left join nb using (case_id, component))
+    select case_id, component, onset_ts, neighbours from (select *, row_number() over (partition by case_id order by onset_ts nulls last, neighbours desc, rank, component) as r from f) where r = 1""")
+def _(spark, sf_dir):
+    f = _sharded(spark, sf_dir)
+    loud = f.groupBy("case_id", "component").agg(F.max("score").alias("s"))
+    candidates = ops.best(loud, ["case_id"], [F.col("s").desc(), "component"], 8, rank="rank").select("case_id", "component", "rank")
+    # One component lacks the series that its best finding names.
+    named = ops.best(f, ["case_id", "component"], [F.col("score").desc(), F.col("magnitude").desc(), "signal", "direction"], 1).where("component = 'svc-3'").select("case_id", "component", F.col("signal").alias("metric"))
+    series = c.metric_long(spark, sf_dir).join(named, ["case_id", "component", "metric"], "left_anti")
+    return ops.onset_pick(candidates, f, series, graph.undirected(edges(spark, sf_dir)))
 
 
 _NODES = f"{_ON}, pk as (select case_id, component, max(score) as peak from finding group by all), nd as (select case_id, component, peak, onset, round((substr(component, 5)::int * 5 % 7) / 7.0, 6) as coverage from pk join prec using (case_id, component))"
@@ -234,13 +279,17 @@ for _name, _r, _o in (("rank_loudest", "loudest", "peak desc"), ("rank_topology"
 @query("falsify_board", f"""with {_EVIDENCE}, {_FUSED}, t as (select f.case_id, max(f.component) filter (rank = 1) as a, max(f.component) filter (rank = 2) as b, max(component_score) filter (rank = 1) as sa, max(component_score) filter (rank = 2) as sb from fused f left join component_total using (case_id, component) where rank <= 2 group by all)
     select case_id, case when coalesce(sb > coalesce(sa, 0), false) then b else a end as winner, coalesce(sb > coalesce(sa, 0), false) as promoted from t""")
 def _(spark, sf_dir):
-    fused = ops.additive_fusion(ops.candidate_evidence(_sharded(spark, sf_dir)))
-    return ops.falsify(fused, component_scores(c.finding(spark, sf_dir)))
+    f = _sharded(spark, sf_dir)
+    return ops.falsify(ops.additive_fusion(ops.candidate_evidence(f)), component_scores(f))
 
 
-@query("majority_roots", f"with {_PARSED}, n as (select case_id, component, count(distinct worker_id) as n from parsed group by all) select case_id, component, n from (select *, max(n) over (partition by case_id) as m from n) where n >= 3 or (m < 3 and n = m)")
+@query("majority_roots", f"""with {_PARSED}, w as (select case_id, count(distinct worker_id) + 2 as k from opinion group by case_id), n as (select case_id, component, count(distinct worker_id) as n from parsed group by all)
+    select case_id, component, n from (select n.*, k, max(n) over (partition by case_id) as m from n join w using (case_id)) where n >= k // 2 + 1 or (m < k // 2 + 1 and n = m)""")
 def _(spark, sf_dir):
-    return ops.majority_roots(_parsed(spark, sf_dir))
+    # Two workers of each case name nothing; they count, too.
+    workers = c.opinion(spark, sf_dir).select("case_id", "worker_id").distinct()
+    silent = workers.select("case_id").distinct().withColumn("worker_id", F.explode(F.array(F.lit("silent-1"), F.lit("silent-2"))))
+    return ops.majority_roots(_parsed(spark, sf_dir), workers.union(silent))
 
 
 _SHIFTS = """sh as (select case_id, component, metric, round(abs(post_mean - pre_mean) / (abs(pre_mean) + 1), 6) as score from moments where pre_n > 0 and post_n > 0), o1 as (select case_id, component, max(score) as score from sh group by all),
@@ -252,13 +301,18 @@ def _(spark, sf_dir):
     return ops.metric_prior(metric_shift_top(phase_split(c.metric_long(spark, sf_dir), ["case_id", "source"])))
 
 
-@query("apply_prior", """with p as (select p.*, true_root, telemetry_bytes > 250000 as strong, ['svc-' || ((substr(true_root, 5)::int + 3) % 6)::varchar, true_root] as pr from prediction p join cases using (case_id)),
-    l as (select case_id, system, case when strong then list_concat(pr[1:1], ranked_roots) else list_concat(list_concat(ranked_roots[1:1], pr), ranked_roots) end as r from p) select case_id, system, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i), ',') as roots from l""")
+@query("apply_prior", """with p as (select p.*, true_root, c.fault_type as own, telemetry_bytes > 250000 as strong, telemetry_bytes < 50000 as none, 'svc-' || ((substr(true_root, 5)::int + 3) % 6)::varchar as other from prediction p join cases c using (case_id)),
+    q as (select *, case when none then []::varchar[] else [other, true_root, 'svc-9', 'svc-8', 'svc-7'] end as pr, case when none then []::varchar[] else ['', own, 'mem', 'disk', 'cpu'] end as pf from p),
+    l as (select *, case when none then ranked_roots when strong then list_concat(list_concat(pr[1:1], ranked_roots), pr) else list_concat(list_concat(list_concat(ranked_roots[1:1], pr[1:4]), ranked_roots), pr) end as r, case when strong and not none then pr[1] else ranked_roots[1] end as root from q),
+    f as (select *, nullif(pf[list_position(pr, root)], '') as told from l)
+    select case_id, system, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i), ',') as roots, case when none then 'odd' else coalesce(told, '') end as fault_type, case when strong and not none then greatest(confidence, 0.75) else confidence end as confidence from f""")
 def _(spark, sf_dir):
     cases = c.case(spark, sf_dir)
     other = F.concat(F.lit("svc-"), ((F.substring("true_root", 5, 3).cast("int") + 3) % 6).cast("string"))
-    prior = cases.select("case_id", (F.col("telemetry_bytes") > 250000).alias("strong"), F.array(other, "true_root").alias("prior_roots"))
-    return ops.apply_prior(c.prediction(spark, sf_dir), prior).select("case_id", "system", F.array_join("ranked_roots", ",").alias("roots"))
+    some = lambda *x: F.when(F.col("telemetry_bytes") >= 50000, F.array(*x)).otherwise(F.array().cast("array<string>"))
+    prior = cases.select("case_id", (F.col("telemetry_bytes") > 250000).alias("strong"), F.lit(0.75).alias("margin"), some(other, F.col("true_root"), *map(F.lit, ("svc-9", "svc-8", "svc-7"))).alias("prior_roots"), some(F.lit(""), F.col("fault_type"), *map(F.lit, ("mem", "disk", "cpu"))).alias("prior_faults"))
+    rows = ops.apply_prior(c.prediction(spark, sf_dir).withColumn("fault_type", F.lit("odd")), prior)
+    return rows.select("case_id", "system", F.array_join("ranked_roots", ",").alias("roots"), "fault_type", "confidence")
 
 
 @query("eligible_candidates", f"""with {_SHIFTS}, u as (select case_id, component, 0 as s, rank from (select *, row_number() over (partition by case_id order by component_score desc, component) as rank from component_total) where rank <= 3 union all select case_id, upper(component), 1, rank from rk where rank <= 4),
@@ -298,8 +352,9 @@ def _(spark, sf_dir):
     return ops.requested_output(c.task(spark, sf_dir).select("row_id", F.try_element_at(wanted, F.col("task_index")).alias("requested"), F.concat(F.lit("t"), text).alias("occurrence"), F.concat(F.lit("svc-"), (F.col("row_id") % 6).cast("string")).alias("component"), F.lit("CPU fault").alias("reason")))
 
 
-@query("graph_context", "select node, array_to_string(list_sort(list(distinct src) filter (src is not null))[1:8], ',') as callers from (select src as node from graph_edge union select dst from graph_edge) n left join graph_edge on dst = node group by node")
+@query("graph_context", f"""with {_EVIDENCE}, {_FUSED}, x as (select distinct case_id, component from fused)
+    select case_id, component, coalesce((select array_to_string(list_sort(list(dst))[1:8], ',') from graph_edge e where e.case_id = x.case_id and e.src = x.component), '') as calls, coalesce((select array_to_string(list_sort(list(src))[1:8], ',') from graph_edge e where e.case_id = x.case_id and e.dst = x.component), '') as called_by,
+      (case_id, component) in (select (case_id, node) from symptoms) as is_symptomatic, (case_id, component) in (select (case_id, src) from graph_edge union select (case_id, dst) from graph_edge) as in_graph from x""")
 def _(spark, sf_dir):
-    edges = graph.service_graph(c.span(spark, sf_dir))
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    return nodes.join(edges, F.col("dst") == F.col("node"), "left").groupBy("node").agg(F.array_join(F.slice(F.sort_array(F.collect_set("src")), 1, 8), ",").alias("callers"))
+    found = graph.graph_context(fused(spark, sf_dir), edges(spark, sf_dir), symptomatic(spark, sf_dir))
+    return found.select("case_id", "component", F.array_join("calls", ",").alias("calls"), F.array_join("called_by", ",").alias("called_by"), "is_symptomatic", "in_graph")

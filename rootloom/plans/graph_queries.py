@@ -6,25 +6,18 @@ from pyspark.sql import functions as F
 
 from rootloom.operators import graph as ops
 from rootloom.operators.findings import best, daily_baseline
+from rootloom.operators.order_stats import group_median
 from rootloom.operators.scoring import score_join
 from rootloom.plans.registry import query
 from rootloom.sources import canonical as c
 
 
-def _thin(spark, sf_dir):
-    """Calls between services that are more frequent than the average."""
-    return ops.strong_edges(c.span(spark, sf_dir))
-
-
-def _nodes(edges):
-    return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-
-
-def _symptomatic(spark, sf_dir):
-    return c.metric_long(spark, sf_dir).groupBy(F.col("component").alias("node")).agg(F.avg("value").alias("v")).where("v > 50").select("node")
+def edges(spark, sf_dir):
+    return ops.service_graph(c.span(spark, sf_dir))
 
 
-_SYMPTOMS = "symptoms as (select component as node from metric_long group by component having avg(value) > 50)"
+def symptomatic(spark, sf_dir):
+    return c.metric_long(spark, sf_dir).groupBy("case_id", F.col("component").alias("node")).agg(F.avg("value").alias("v")).where("v > 50").select("case_id", "node")
 
 
 @query("window_interval_join", "select w.row_id, m.case_id, m.component, m.metric, m.ts, m.value from metric_long m join incident_window w on m.ts * 1000 between w.start_ms and w.end_ms")
@@ -35,7 +28,8 @@ def _(spark, sf_dir):
 
 @query("stats_join", "select component, metric, count(*) as n, max(value) as most, median(ts) as mid_ts from metric_long group by all")
 def _(spark, sf_dir):
-    return c.metric_long(spark, sf_dir).groupBy("component", "metric").agg(F.count("*").alias("n"), F.max("value").alias("most"), F.median("ts").alias("mid_ts"))
+    rows, keys = c.metric_long(spark, sf_dir), ["component", "metric"]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("value").alias("most")).join(group_median(rows, keys, F.col("ts"), "mid_ts"), keys)
 
 
 @query("span_edges", "select case_id, parent, child, n from call")
@@ -43,49 +37,54 @@ def _(spark, sf_dir):
     return ops.span_edges(c.span(spark, sf_dir), ["case_id"])
 
 
-@query("service_graph", "select src, dst from graph_edge")
+@query("service_graph", "select case_id, src, dst from graph_edge")
 def _(spark, sf_dir):
-    return ops.service_graph(c.span(spark, sf_dir))
+    return edges(spark, sf_dir)
 
 
-@query("container_service_edges", "select distinct component as src, ds_name as dst from span where component is not null and ds_name is not null and component <> ds_name")
+@query("container_service_edges", "select distinct case_id, component as src, ds_name as dst from span where component is not null and ds_name is not null and component <> ds_name")
 def _(spark, sf_dir):
     return ops.container_service_edges(c.span(spark, sf_dir))
 
 
-@query("undirected_adjacency", "with e as (select parent as src, child as dst from call union select component, ds_name from span) select src, dst from e union select dst, src from e")
+@query("undirected_adjacency", "with e as (select case_id, parent as src, child as dst from call union select case_id, component, ds_name from span) select case_id, src, dst from e union select case_id, dst, src from e")
 def _(spark, sf_dir):
-    calls = ops.span_edges(c.span(spark, sf_dir), ["case_id"]).select(F.col("parent").alias("src"), F.col("child").alias("dst"))
+    calls = ops.span_edges(c.span(spark, sf_dir), ["case_id"]).select("case_id", F.col("parent").alias("src"), F.col("child").alias("dst"))
     return ops.undirected(calls.union(ops.container_service_edges(c.span(spark, sf_dir))))
 
 
-@query("ancestors", "with recursive a as (select dst as start, src as node from thin_edge union select a.start, e.src from a join thin_edge e on e.dst = a.node) select start, node from a where start <> node")
+@query("ancestors", "with recursive a as (select case_id, dst as start, src as node from graph_edge union select a.case_id, a.start, e.src from a join graph_edge e on e.case_id = a.case_id and e.dst = a.node) select case_id, start, node from a where start <> node")
 def _(spark, sf_dir):
-    edges = _thin(spark, sf_dir).cache()
-    return ops.ancestors(edges, _nodes(edges))
+    e = edges(spark, sf_dir)
+    return ops.ancestors(e, ops.graph_nodes(e))
 
 
-@query("descendants_hops", """with recursive h as (select distinct src as start, src as node, 0 as hop from thin_edge union select h.start, e.dst, h.hop + 1 from h join thin_edge e on e.src = h.node where h.hop < 12)
-    select start, node, min(hop)::int as hop from h group by start, node""")
+@query("descendants_hops", """with recursive h as (select distinct case_id, src as start, src as node, 0 as hop from graph_edge union select h.case_id, h.start, e.dst, h.hop + 1 from h join graph_edge e on e.case_id = h.case_id and e.src = h.node where h.hop < 12)
+    select case_id, start, node, min(hop)::int as hop from h group by case_id, start, node""")
 def _(spark, sf_dir):
-    edges = _thin(spark, sf_dir).cache()
-    return ops.hops(edges, edges.select(F.col("src").alias("node")))
+    e = edges(spark, sf_dir)
+    return ops.hops(e, e.select("case_id", F.col("src").alias("node")))
+
+
+#: Two steps, from each node to the symptoms around it.
+CONNECTED = """u as (select case_id, src, dst from graph_edge union select case_id, dst, src from graph_edge), r as (select case_id, src, dst from u union select a.case_id, a.src, b.dst from u a join u b on a.case_id = b.case_id and a.dst = b.src),
+    connected as (select n.case_id, n.node, count(s.node) as n from (select distinct case_id, src as node from u) n left join r on r.case_id = n.case_id and r.src = n.node and r.dst <> n.node left join symptoms s on s.case_id = r.case_id and s.node = r.dst group by n.case_id, n.node)"""
 
 
-@query("k_hop_connectivity", f"""with {_SYMPTOMS}, u as (select src, dst from thin_edge union select dst, src from thin_edge), r as (select src, dst from u union select a.src, b.dst from u a join u b on a.dst = b.src)
-    select n.node, count(s.node) as n from (select distinct src as node from u) n left join r on r.src = n.node and r.dst <> n.node left join symptoms s on s.node = r.dst group by n.node""")
+@query("k_hop_connectivity", f"with {CONNECTED} select case_id, node, n from connected")
 def _(spark, sf_dir):
-    return ops.k_hop_connectivity(ops.undirected(_thin(spark, sf_dir)), _symptomatic(spark, sf_dir))
+    return ops.k_hop_connectivity(ops.undirected(edges(spark, sf_dir)), symptomatic(spark, sf_dir))
 
 
-_COVERAGE = f"""recursive a as (select dst as start, src as node from thin_edge union select a.start, e.src from a join thin_edge e on e.dst = a.node), {_SYMPTOMS},
-    n as (select src as node from thin_edge union select dst from thin_edge), k as (select start, node from a union select node, node from n),
-    coverage as (select n.node, round(count(distinct s.node) / greatest((select count(*) from symptoms), 1), 6) as coverage from n left join k on k.start = n.node left join symptoms s on s.node = k.node group by n.node)"""
+#: Upwards from each node, as the coverage is defined.
+COVERAGE = """recursive a as (select case_id, dst as start, src as node from graph_edge union select a.case_id, a.start, e.src from a join graph_edge e on e.case_id = a.case_id and e.dst = a.node),
+    n as (select case_id, src as node from graph_edge union select case_id, dst from graph_edge), k as (select case_id, start, node from a union select case_id, node, node from n),
+    coverage as (select n.case_id, n.node, round(coalesce(count(distinct s.node) / (select nullif(count(*), 0) from symptoms x where x.case_id = n.case_id), 0), 6) as coverage from n left join k on k.case_id = n.case_id and k.start = n.node left join symptoms s on s.case_id = k.case_id and s.node = k.node group by n.case_id, n.node)"""
 
 
-@query("explanatory_coverage", f"with {_COVERAGE} select node, coverage from coverage")
+@query("explanatory_coverage", f"with {COVERAGE} select case_id, node, coverage from coverage")
 def _(spark, sf_dir):
-    return ops.explanatory_coverage(_thin(spark, sf_dir).cache(), _symptomatic(spark, sf_dir))
+    return ops.explanatory_coverage(edges(spark, sf_dir), symptomatic(spark, sf_dir))
 
 
 @query("baseline_lookup", """with b as (select component, metric, avg(value) as mean from metric_long group by all) select case_id, component, signal, score, round(b.mean, 6) as mean from finding f join b using (component) where b.metric = f.signal""")

@@ -14,13 +14,13 @@ def _(spark, sf_dir):
     return ops.scan_metrics(spark, [f"{sf_dir}/events.parquet"]).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("metric_file_choice", """with f as (select 'case-' || (l_orderkey % 50)::varchar as case_id, ['readme.md', 'data.csv', 'metrics.csv', 'simple_metrics.csv', 'metrics.json', 'notes.txt'][(l_orderkey // 50 % 3 + l_linenumber) % 6 + 1] as file from lineitem),
-    k as (select case_id, file, list_position(['simple_metrics.csv', 'metrics.csv', 'simple_data.csv', 'data.csv', 'metrics.json'], file) as r from f)
+@query("metric_file_choice", """with f as (select 'case-' || l_orderkey::varchar as case_id, ['readme.md', 'data.csv', 'metrics.csv', 'simple_metrics.csv', 'metrics.json', 'simple_data.csv'][(l_orderkey // 50 % 3 + l_linenumber) % 6 + 1] as file from lineitem),
+    k as (select case_id, file, case file when 'simple_metrics.csv' then 1 when 'simple_data.csv' then 2 when 'data.csv' then 3 when 'metrics.json' then 4 when 'metrics.csv' then 5 end as r from f)
     select case_id, arg_min(file, r) as file from k where r is not null group by case_id""")
 def _(spark, sf_dir):
-    names = F.array(*map(F.lit, ("readme.md", "data.csv", "metrics.csv", "simple_metrics.csv", "metrics.json", "notes.txt")))
+    names = F.array(*map(F.lit, ("readme.md", "data.csv", "metrics.csv", "simple_metrics.csv", "metrics.json", "simple_data.csv")))
     k = ((F.floor(F.col("l_orderkey") / 50) % 3 + F.col("l_linenumber")) % 6).cast("int")
-    rows = c.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("case-"), (F.col("l_orderkey") % 50).cast("string")).alias("case_id"), F.get(names, k).alias("file"))
+    rows = c.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("case-"), F.col("l_orderkey").cast("string")).alias("case_id"), F.get(names, k).alias("file"))
     return ops.metric_file_choice(rows)
 
 
@@ -37,14 +37,17 @@ def _(spark, sf_dir):
     return c.table(spark, sf_dir, "events").select("event_id", ops.inject_time(text).alias("inject_s"))
 
 
-_CATALOG = """select p_partkey as id, case p_partkey % 5 when 0 then 'Metrics/' when 1 then 'trace/' when 2 then 'log_metric/' when 3 then 'event/' else 'x/' end || p_name as name, p_size::bigint as bytes, (p_size * 3)::bigint as rows from part"""
-_MODALITY = "case when contains(lower(name), 'metric') or contains(lower(name), 'kpi') then 'metrics' when contains(lower(name), 'trace') or contains(lower(name), 'span') then 'traces' when contains(lower(name), 'log') then 'logs' when contains(lower(name), 'auxiliary') then 'auxiliary' when contains(lower(name), 'event') then 'events' else 'auxiliary' end"
+_NAMES = ("Metrics/{}", "trace/{}", "log_metric/{}", "event/{}.json", "x/{}", "x/data.csv", "span/{}", "x/Span_{}.csv", "Logs/{}", "x/simple_data.csv")
+_CATALOG = "select p_partkey as id, case p_partkey % 10 " + " ".join(f"when {k} then " + "'" + n.replace("{}", "' || p_name || '") + "'" for k, n in enumerate(_NAMES)) + " end as name, p_size::bigint as bytes, (p_size * 3)::bigint as rows from part"
+_MODALITY = """case when contains(lower(name), 'metric') or lower(name) in ('x/data.csv', 'x/simple_data.csv') then 'metrics' when contains(lower(name), 'trace') or contains(split_part(lower(name), '/', 2), 'span') then 'traces'
+    when contains(lower(name), 'log') then 'logs' when ends_with(lower(name), '.json') then 'auxiliary' else 'events' end"""
 
 
 def _catalog(spark, sf_dir):
-    k = F.col("p_partkey") % 5
-    folder = F.when(k == 0, "Metrics/").when(k == 1, "trace/").when(k == 2, "log_metric/").when(k == 3, "event/").otherwise("x/")
-    return c.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(folder, "p_name").alias("name"), F.col("p_size").cast("long").alias("bytes"), (F.col("p_size") * 3).cast("long").alias("rows"))
+    name = F.lit(None).cast("string")
+    for k, n in enumerate(_NAMES):
+        name = F.when(F.col("p_partkey") % 10 == k, F.concat(F.lit(n.partition("{}")[0]), *([F.col("p_name"), F.lit(n.partition("{}")[2])] if "{}" in n else []))).otherwise(name)
+    return c.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name.alias("name"), F.col("p_size").cast("long").alias("bytes"), (F.col("p_size") * 3).cast("long").alias("rows"))
 
 
 @query("infer_modality", f"with k as ({_CATALOG}) select id, {_MODALITY} as modality from k")
@@ -126,6 +129,8 @@ def _(spark, sf_dir):
     return c.case(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("telemetry_bytes") > 200000).alias("large"), F.count_distinct("true_root").alias("roots"), (F.count_if(F.col("fault_type") == "cpu") > 0).alias("has_cpu"))
 
 
-@query("file_manifest", "select count(*) as files, sha256(string_agg(path || ':' || bytes::varchar, chr(10) order by path || ':' || bytes::varchar)) as sha256 from (select p_name || p_partkey::varchar as path, p_size as bytes from part)")
+@query("file_manifest", """with h as (select p_size as bytes, sha256(p_name || p_partkey::varchar || ':' || p_size::varchar) as h from part), s as (select count(*) as files, sum(bytes)::bigint as bytes,
+    sum(('0x' || substr(h, 1, 16))::ubigint) as a, sum(('0x' || substr(h, 17, 16))::ubigint) as b, sum(('0x' || substr(h, 33, 16))::ubigint) as c, sum(('0x' || substr(h, 49, 16))::ubigint) as d from h)
+    select files, bytes, sha256(files::varchar || ':' || a::varchar || ':' || b::varchar || ':' || c::varchar || ':' || d::varchar) as sha256 from s""")
 def _(spark, sf_dir):
     return ops.file_manifest(c.table(spark, sf_dir, "part").select(F.concat("p_name", F.col("p_partkey").cast("string")).alias("path"), F.col("p_size").alias("bytes")))

@@ -50,10 +50,9 @@ TABLES: dict[str, str] = {
     "call": """select c.case_id, p.component as parent, c.component as child, count(*) as n from span c
         join (select * from (select *, row_number() over (partition by case_id, span_id order by start_ms, component) as r from span) where r = 1) p
           on c.case_id = p.case_id and c.parent_id = p.span_id where p.component <> c.component group by all""",
-    "graph_edge": """select distinct src, dst from (
-        select lower(p.service) as src, lower(c.service) as dst from span c join span p on c.parent_id = p.span_id) where src <> dst""",
-    "thin_edge": """select src, dst from (select lower(p.service) as src, lower(c.service) as dst, count(*) as n from span c join span p on c.case_id = p.case_id and c.parent_id = p.span_id group by all)
-        where src <> dst qualify n > avg(n) over ()""",
+    "graph_edge": """select distinct case_id, src, dst from (
+        select c.case_id, lower(p.service) as src, lower(c.service) as dst from span c join span p on c.case_id = p.case_id and c.parent_id = p.span_id) where src <> dst""",
+    "symptoms": """select case_id, component as node from metric_long group by case_id, component having avg(value) > 50""",
     "scored": """select p.*, c.source, c.fault_type, c.true_root, c.telemetry_bytes, list_position(ranked_roots, true_root) as place,
         (ranked_roots[1] = true_root)::int as hit_at_1, (list_position(ranked_roots[1:3], true_root) is not null)::int as hit_at_3,
         case when list_position(ranked_roots, true_root) is null then 0.0 else 1.0 / list_position(ranked_roots, true_root) end as mrr

@@ -38,15 +38,21 @@ def _(spark, sf_dir):
     return ops.infer_time_unit(c.metric_long(spark, sf_dir).withColumn("ts", F.col("ts") * scale), ["case_id"])
 
 
-@query("align_bounds", """select case_id, case when m > 1e15 and b < 1e12 then b * 1e9 when m > 1e12 and b < 1e10 then b * 1e3 when m < 1e10 and b > 1e15 then b / 1e9 when m < 1e10 and b > 1e12 then b / 1e3 else b end as bound
-    from (select case_id, median(abs(ts)) * case right(case_id, 1) when '0' then 1 when '1' then 1e3 when '2' then 1e9 else 1 end as m,
-                 case right(case_id, 1) when '3' then 1704067200000.0 else 1704067200.0 end as b from metric_long group by case_id)""")
+_BOUNDS = {"0": (1.0, 1704067200.0, 1704153600.0), "1": (1e3, 1704067200.0, 1704153600.0), "2": (1e9, 1704067200.0, 2e12), "3": (1.0, 1704067200000.0, 1704153600000.0), "4": (1.0, 1704067200e9, 1704153600e9), "5": (30.0, 1704067200000.0, 1704153600000.0), "6": (1e9, 0.0, 1704153600.0)}
+
+
+@query("align_bounds", """with m as (select case_id, right(case_id, 1) as k, median(abs(ts)) as m from metric_long group by case_id),
+    b as (select case_id, m * case k when '0' then 1 when '1' then 1e3 when '2' then 1e9 when '5' then 30 when '6' then 1e9 else 1 end as m,
+      case k when '3' then 1704067200000.0 when '4' then 1704067200e9 when '5' then 1704067200000.0 when '6' then 0.0 else 1704067200.0 end::double as a,
+      case k when '2' then 2e12 when '3' then 1704153600000.0 when '4' then 1704153600e9 when '5' then 1704153600000.0 else 1704153600.0 end::double as z from m),
+    f as (select *, case when m > 1e15 and greatest(a, z) < 1e12 then 1 when m > 1e12 and greatest(a, z) < 1e10 then 2 when m < 1e11 and greatest(a, z) > 1e15 then 3 when m < 1e11 and greatest(a, z) > 1e12 then 4 end as how from b)
+    select case_id, case how when 1 then a * 1e9 when 2 then a * 1e3 when 3 then a / 1e9 when 4 then a / 1e3 else a end as start_ts, case how when 1 then z * 1e9 when 2 then z * 1e3 when 3 then z / 1e9 when 4 then z / 1e3 else z end as end_ts from f""")
 def _(spark, sf_dir):
     last = F.substring("case_id", -1, 1)
-    scale = F.when(last == "0", 1.0).when(last == "1", 1e3).when(last == "2", 1e9).otherwise(1.0)
+    of = lambda k: F.element_at(F.create_map(*[F.lit(x) for n, v in _BOUNDS.items() for x in (n, v[k])]), last)
     rows = ops.phase_bounds(c.metric_long(spark, sf_dir), ["case_id"])
-    bound = F.when(last == "3", 1704067200000.0).otherwise(1704067200.0)
-    return rows.select("case_id", ops.align_bound(bound, F.col("abs_median") * scale).alias("bound"))
+    start, end = ops.align_bounds([of(1), of(2)], F.col("abs_median") * of(0))
+    return rows.select("case_id", start.alias("start_ts"), end.alias("end_ts"))
 
 
 @query("phase_split", """with b as (select case_id, median(ts) as mid from metric_long group by case_id),
@@ -118,12 +124,14 @@ def _(spark, sf_dir):
     return ops.normalize_spans(raw)
 
 
-@query("valid_component", """with n as (select s_suppkey, case s_suppkey % 6 when 0 then 'os_' || s_suppkey when 1 then 'Docker_' || s_suppkey when 2 then 'nan' when 3 then 'gke-node-' || s_suppkey when 4 then null else 'svc-host' end as name from supplier)
-    select s_suppkey, name, coalesce(regexp_matches(lower(trim(name)), '^(os_|docker_|db_)'), false) as valid,
-           name is not null and not contains(lower(name), 'host') and not contains(lower(name), 'gke-') and not contains(lower(name), 'node') and not contains(lower(name), 'loadgenerator') as modelled from n""")
+_COMPONENTS = ("os_001", " docker_002 ", "Docker_003", "db_004", "nan", "gke-node-1", "", "svc-host", "IP-10-0-0-1", "a.compute.internal", "LoadGenerator-2", "node-7", "mynode", "None", "os_", "<NA>")
+
+
+@query("valid_component", """with n as (select s_suppkey, case s_suppkey % 17 when 0 then 'os_001' when 1 then ' docker_002 ' when 2 then 'Docker_003' when 3 then 'db_004' when 4 then 'nan' when 5 then 'gke-node-1' when 6 then '' when 7 then 'svc-host' when 8 then 'IP-10-0-0-1'
+      when 9 then 'a.compute.internal' when 10 then 'LoadGenerator-2' when 11 then 'node-7' when 12 then 'mynode' when 13 then 'None' when 14 then 'os_' when 15 then '<NA>' end as name from supplier)
+    select s_suppkey, name, coalesce(trim(name) in ('os_001', 'docker_002', 'db_004', 'os_'), false) as valid, coalesce(trim(name) in ('os_001', 'docker_002', 'Docker_003', 'db_004', 'nan', 'svc-host', 'mynode', 'None', 'os_', '<NA>'), false) as modelled from n""")
 def _(spark, sf_dir):
-    k, text = F.col("s_suppkey") % 6, F.col("s_suppkey").cast("string")
-    name = F.when(k == 0, F.concat(F.lit("os_"), text)).when(k == 1, F.concat(F.lit("Docker_"), text)).when(k == 2, "nan").when(k == 3, F.concat(F.lit("gke-node-"), text)).when(k == 5, "svc-host")
+    name = F.get(F.array(*map(F.lit, _COMPONENTS)), (F.col("s_suppkey") % 17).cast("int"))
     return c.table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("name")).select("s_suppkey", "name", ops.valid_component(F.col("name")).alias("valid"), F.coalesce(ops.modelled_component(F.col("name")), F.lit(False)).alias("modelled"))
 
 
@@ -171,13 +179,14 @@ def _(spark, sf_dir):
     return e.select("event_id", ops.format_occurrence(raw).alias("utc_text"), ops.format_occurrence(raw, "Asia/Shanghai").alias("local_text"))
 
 
-@query("canonical_reason", """select event_id, case when contains(t, 'cpu') then 'CPU fault' when contains(t, 'delay') or contains(t, 'latency') then 'network delay' when contains(t, 'loss') then 'network loss'
-    when contains(t, 'socket') or contains(t, 'connection') then 'db connection limit' when contains(t, 'close') then 'db close' end as reason
-    from (select event_id, case event_type when 'click' then 'high cpu' when 'view' then 'packet loss' when 'error' then 'socket closed' when 'purchase' then 'latency' else event_type end as t from events)""")
+_SAID = ("CPU fault", "cpu", " CPU ", "delay", "Socket", "network", "loss", "db", "db close", "DB close", "high cpu", "latency", "")
+
+
+@query("canonical_reason", """select event_id, case event_id % 14 when 0 then 'CPU fault' when 1 then 'CPU fault' when 2 then 'CPU fault' when 3 then 'network delay' when 4 then 'network delay' when 5 then 'network delay' when 6 then 'network loss'
+    when 7 then 'db connection limit' when 8 then 'db close' end as reason from events""")
 def _(spark, sf_dir):
-    t = F.col("event_type")
-    text = F.when(t == "click", "High CPU").when(t == "view", " packet Loss").when(t == "error", "socket closed").when(t == "purchase", "LATENCY").otherwise(t)
-    return c.table(spark, sf_dir, "events").select("event_id", ops.canonical_reason(text).alias("reason"))
+    said = F.get(F.array(*map(F.lit, _SAID)), (F.col("event_id") % 14).cast("int"))
+    return c.table(spark, sf_dir, "events").select("event_id", ops.canonical_reason(said).alias("reason"))
 
 
 @query("log_search", """select case_id, component, ts, substr(message, 1, 500) as message, line_no from log_line
@@ -196,7 +205,7 @@ def _(spark, sf_dir):
 
 
 @query("parse_task_window", """select row_id, task_index, epoch_ms(day) - 8 * 3600000 as start_ms, epoch_ms(day) - 8 * 3600000 + 1800000 + case when row_id % 2 = 1 then 84600000 else 0 end as end_ms,
-    strftime(day, '%Y_%m_%d') as date_key, requested from task""")
+    strftime(day, '%Y_%m_%d') as date_key, requested, 1 as n_failures from task""")
 def _(spark, sf_dir):
     t, day = c.task(spark, sf_dir), F.col("day")
     text = F.when(F.col("row_id") % 2 == 0, F.concat(F.lit("On "), F.date_format(day, "MMMM d, yyyy"), F.lit(", between 0:00 and 00:30, a failure was seen."))).otherwise(F.concat(F.lit("On "), F.date_format(day, "yyyy-MM-dd"), F.lit(" from 00:00 to 0:00 there was one failure.")))

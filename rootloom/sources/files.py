@@ -24,7 +24,7 @@ def scan_metrics(spark: SparkSession, paths: list[str], schema: str | None = Non
 
 
 #: Names of a case's metric file, best first.
-METRIC_FILES = ("simple_metrics.csv", "metrics.csv", "simple_data.csv", "data.csv", "metrics.json")
+METRIC_FILES = ("simple_metrics.csv", "simple_data.csv", "data.csv", "metrics.json", "metrics.csv")
 
 
 def metric_file_choice(files: DataFrame) -> DataFrame:
@@ -46,15 +46,14 @@ def inject_time(text: Column) -> Column:
     return F.when(~F.isnan(number), number.try_cast("bigint"))
 
 
-#: What a file's or its folder's name holds, in the order it is tried.
-MODALITIES = (("metric", "metrics"), ("kpi", "metrics"), ("trace", "traces"), ("span", "traces"), ("log", "logs"), ("auxiliary", "auxiliary"), ("event", "events"))
-
-
-def infer_modality(name: Column) -> Column:
-    text, out = F.lower(name), F.lit("auxiliary")
-    for word, modality in reversed(MODALITIES):
-        out = F.when(text.contains(word), modality).otherwise(out)
-    return out
+def infer_modality(path: Column) -> Column:
+    """The modality of a file, from its name and its folder's, whatever the letters' case; files that tell nothing are events."""
+    name, folder = F.lower(F.substring_index(path, "/", -1)), F.lower(F.element_at(F.split(F.concat(F.lit("/"), path), "/"), -2))
+    either = lambda word: name.contains(word) | folder.contains(word)
+    # The words, their order, and the names without a word.
+    metrics = either("metric") | name.isin("data.csv", "simple_data.csv")
+    traces = either("trace") | name.contains("span")
+    return F.when(metrics, "metrics").when(traces, "traces").when(either("log"), "logs").when(name.endswith(".json"), "auxiliary").otherwise("events")
 
 
 def catalog_summary(catalog: DataFrame) -> DataFrame:
@@ -63,18 +62,79 @@ def catalog_summary(catalog: DataFrame) -> DataFrame:
     return catalog.rollup("modality").agg(*sums).withColumn("modality", F.when(F.col("_all") == 1, "all").otherwise(F.col("modality"))).drop("_all")
 
 
-def file_catalog(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(path, bytes, modality, sha256) of all files below a folder."""
+#: Ends of the names of telemetry files.
+SUPPORTED = (".csv", ".parquet", ".json", ".log", ".txt")
+
+
+def list_files(spark: SparkSession, folder: str, glob: str = "*", hashed: bool = False) -> DataFrame:
+    """(path, bytes, modality, modified) of all supported files below a folder; no file is read, unless ``hashed`` adds the sha256 of each."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    parts = F.split("path", "/")
-    name = F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1))
-    return files.select("path", F.col("length").alias("bytes"), infer_modality(name).alias("modality"), F.sha2("content", 256).alias("sha256"))
+    supported = F.lower(F.concat(F.lit("."), F.element_at(F.split("path", r"\."), -1))).isin(*SUPPORTED)
+    return files.where(supported).select("path", F.col("length").alias("bytes"), infer_modality(F.col("path")).alias("modality"), F.col("modificationTime").alias("modified"), *([F.sha2("content", 256).alias("sha256")] if hashed else []))
+
+
+def csv_ranges(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
+    """(path, n_rows, time_column, start_time, end_time) of CSV files, each with its own header; commas within quotes before the time column aren't known.
+
+    A file's header is its first line: that of its first split with the least row number, so large files are split as usual.
+    """
+    from rootloom.operators.time_ops import coerce_time, ts_column
+
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.rtrim("value").alias("line"), place.alias("place")).where("line <> ''")
+    heads = lines.groupBy("path").agg(F.min_by("line", "place").alias("head"), F.min("place").alias("first"), (F.count("*") - 1).alias("n_rows"))
+    names = F.transform(F.split("head", ","), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit(""))))
+    heads = heads.withColumn("time_column", ts_column(names)).withColumn("at", F.array_position(names, F.col("time_column")).cast("int"))
+    # One row for each file: the heads are few beside the lines.
+    cells = lines.join(heads.where("at > 0").select("path", "first", "at"), "path").where("place <> first").select("path", F.try_element_at(F.split("line", ","), F.col("at")).alias("raw"))
+    times = coerce_time(cells, "raw", ["path"], "ts").groupBy("path").agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time"))
+    return heads.join(times, "path", "left").select("path", "n_rows", "time_column", "start_time", "end_time")
+
+
+def parquet_ranges(spark: SparkSession, folder: str, times: str = "", glob: str = "*.parquet") -> DataFrame:
+    """(path, n_rows, time_column, start_time, end_time) of Parquet files. ``times``: name and stored type of the columns that may
+    hold the time, in order (``ts timestamp_ntz, start double``); the first that a file has values of is taken. Numbers stay as they are; other
+    columns aren't read.
+    """
+    schema = "_nothing int" + (", " + times if times else "")
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).schema(schema).parquet(folder)
+    number = lambda f: F.unix_micros(F.col(f.name).cast("timestamp")) / 1e6 if f.dataType.typeName().startswith("timestamp") else F.col(f.name).cast("double")
+    found = rows.schema.fields[1:]
+    ends = [F.struct(F.lit(f.name).alias("c"), F.min(number(f)).alias("a"), F.max(number(f)).alias("b")) for f in found]
+    grouped = rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n_rows"), F.array(*ends).cast("array<struct<c:string,a:double,b:double>>").alias("ends"))
+    first = F.get(F.filter("ends", lambda e: e["a"].isNotNull()), 0)
+    return grouped.select("path", "n_rows", first["c"].alias("time_column"), first["a"].alias("start_time"), first["b"].alias("end_time"))
+
+
+def file_catalog(spark: SparkSession, folder: str, glob: str = "*", times: str = "", hashed: bool = False) -> DataFrame:
+    """(path, bytes, modality, modified, n_rows, time_column, start_time, end_time) of all supported files below a folder.
+
+    CSV files are read as lines, of Parquet files only the columns ``times`` (see ``parquet_ranges``); the others have no rows here. A file that
+    can't be read keeps its row. An empty folder gives no rows.
+    """
+    found = list_files(spark, folder, glob, hashed)
+    plain = lambda df: df.withColumn("_at", F.regexp_replace("path", "^file:/*", "/")).drop("path")  # noqa: E731  the readers write local paths in two ways
+    kinds = {r["k"] for r in found.select(F.lower(F.element_at(F.split("path", r"\."), -1)).alias("k")).distinct().collect()}  # five at most
+    ranges = [csv_ranges(spark, folder)] if "csv" in kinds else []
+    ranges += [parquet_ranges(spark, folder, times)] if "parquet" in kinds else []
+    if not ranges:
+        return found.select("*", F.lit(0).cast("long").alias("n_rows"), F.lit(None).cast("string").alias("time_column"), *[F.lit(None).cast("double").alias(c) for c in ("start_time", "end_time")])
+    known = plain(ranges[0] if len(ranges) == 1 else ranges[0].union(ranges[1]))
+    rows = found.withColumn("_at", F.regexp_replace("path", "^file:/*", "/")).join(known, "_at", "left").drop("_at")
+    return rows.withColumn("n_rows", F.coalesce("n_rows", F.lit(0)).cast("long"))
 
 
 def file_manifest(catalog: DataFrame) -> DataFrame:
-    """One hash over all (path, bytes) in path order."""
-    line = F.concat_ws(":", "path", F.col("bytes").cast("string"))
-    return catalog.agg(F.count("*").alias("files"), F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(line))), 256).alias("sha256"))
+    """(files, bytes, sha256): one hash over all (path, bytes), whatever their order.
+
+    Each line's SHA-256 is cut into four numbers of 64 bits, which are summed; the hash is that of the count and the sums. So
+    lines meet as sums, not as a list. A catalogue without files has the hash of a count of 0.
+    """
+    mark = F.sha2(F.concat_ws(":", "path", F.col("bytes").cast("string")), 256)
+    number = lambda k: F.conv(F.substring(mark, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")
+    sums = catalog.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"), *[F.coalesce(F.sum(number(k)), F.lit(0)).cast("decimal(38,0)").alias(f"s{k}") for k in range(4)])
+    return sums.select("files", "bytes", F.sha2(F.concat_ws(":", F.col("files").cast("string"), *[F.col(f"s{k}").cast("string") for k in range(4)]), 256).alias("sha256"))
 
 
 def stale_manifest(stored: DataFrame, current: DataFrame) -> DataFrame:
@@ -150,12 +210,12 @@ def scan_cases(paths: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that all executors share; a folder of this machine only where none is set, as in tests."""
-    import tempfile
+    """A new folder in the one that all executors share."""
     import uuid
 
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="rootloom-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    from rootloom.session import shared_base
+
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_partitioned(rows: DataFrame, folder: str, keys: list[str]) -> None:

@@ -53,14 +53,14 @@ def test_gain_of_zero_changes_no_order(spark):
 
 
 def test_cycles_end(spark):
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
-    got = {(r["start"], r["node"]) for r in graph.ancestors(edges, spark.createDataFrame([("a",), ("d",)], "node string")).collect()}
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string").withColumn("case_id", F.lit(1))
+    got = {(r["start"], r["node"]) for r in graph.ancestors(edges, spark.createDataFrame([(1, "a"), (1, "d")], "case_id int, node string")).collect()}
     assert got == {("a", "b"), ("a", "c"), ("d", "a"), ("d", "b"), ("d", "c")}
 
 
 def test_coverage(spark):
-    edges = spark.createDataFrame([("front", "cart"), ("cart", "db")], "src string, dst string")
-    got = {r["node"]: r["coverage"] for r in graph.explanatory_coverage(edges, spark.createDataFrame([("front",), ("cart",)], "node string")).collect()}
+    edges = spark.createDataFrame([("front", "cart"), ("cart", "db")], "src string, dst string").withColumn("case_id", F.lit(1))
+    got = {r["node"]: r["coverage"] for r in graph.explanatory_coverage(edges, spark.createDataFrame([(1, "front"), (1, "cart")], "case_id int, node string")).collect()}
     assert got == {"front": 0.5, "cart": 1.0, "db": 1.0}
 
 
@@ -90,7 +90,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "metrics").mkdir()
     (tmp_path / "metrics" / "a.csv").write_text("ts,value\n1,2\n")
     (tmp_path / "x.log").write_text("hello")
-    catalog = files.file_catalog(spark, str(tmp_path))
+    catalog = files.file_catalog(spark, str(tmp_path), hashed=True)
     assert sorted((r["bytes"], r["modality"]) for r in catalog.collect()) == [(5, "logs"), (13, "metrics")]
     assert files.file_manifest(catalog).first()["files"] == 2
     assert files.stale_manifest(catalog, catalog.withColumn("sha256", F.lit("z"))).count() == 2
@@ -100,13 +100,17 @@ def test_files(spark, tmp_path):
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 11, 5000, 30001])
 def test_group_median_and_order_statistic(spark, n):
-    from rootloom.operators.order_stats import group_median, order_statistic
+    from rootloom.operators.order_stats import group_median, group_quantiles, order_statistic
 
     rng = np.random.default_rng(n)
     values = np.round(rng.normal(size=n) * 100, 1 if n < 100 else 3)
     df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 1.0), ("b", None)], "k string, x double")
     got = {r["k"]: r["median"] for r in group_median(df, ["k"], F.col("x")).collect()}
     assert got == {"a": pytest.approx(float(np.median(values)), abs=1e-12), "b": 1.0}
+    shares = {"a": 0.05, "b": 0.15, "c": 0.9, "d": 0.95, "e": 1.0}
+    found = {r["k"]: r for r in group_quantiles(df, ["k"], F.col("x"), shares).collect()}
+    assert all(found["a"][c] == pytest.approx(float(np.quantile(values, q)), abs=1e-9) and found["b"][c] == 1.0 for c, q in shares.items())
+    assert order_statistic(df.where("k = 'a'"), "x", 0.5, before=True) == np.sort(values)[max((n + 1) // 2 - 1, 0)]
     for share in (0.0, 0.05, 0.5, 0.8, 1.0):
         assert order_statistic(df.where("k = 'a'"), "x", share) == np.sort(values)[min(int(n * share), n - 1)]
 
@@ -121,14 +125,6 @@ def test_ranks(spark):
         assert sorted(g.i) == list(range(len(g))) and g.sort_values("i").x.is_monotonic_increasing
 
 
-def test_bootstrap_by_broadcast_and_by_shuffle_agree(spark, monkeypatch):
-    df = spark.range(60).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("x"))
-    one = evaluation.bootstrap_ci(df, ["k"], "x", reps=50).orderBy("k").collect()
-    monkeypatch.setattr(evaluation, "BROADCAST_ROWS", 0)
-    assert one == evaluation.bootstrap_ci(df, ["k"], "x", reps=50).orderBy("k").collect()
-    assert all(r["low"] < r["mean"] < r["high"] for r in one)
-
-
 def test_leaks_of_any_depth_and_name(spark):
     from rootloom.operators import knowledge
 
