@@ -299,28 +299,37 @@ def _(spark, sf_dir):
     return stored.groupBy("row_id", "date_key", "component", "metric").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-def _model_rows(spark, sf_dir):
+#: The statistics of level and of dynamics; the features on the paths that lead to a root stand in for a causal graph.
+_LEVEL, _DYNAMICS = ("mean", "min", "max", "median", "q25", "q75", "first", "last"), ("std", "iqr", "range", "mean_abs_diff", "std_diff", "slope")
+_CAUSAL = ("feature0", "feature1", "feature2", "feature3")
+
+
+def model_rows(spark, sf_dir):
+    """All statistics of all features, with labels, split and fold, written down; and the three views."""
     from rootloom.operators.evaluation import label_strata
+    from rootloom.operators.findings import STATS
 
     names = [f"feature{i}" for i in range(8)]
-    wide = feature_views(kpi_features(c.kpi(spark, sf_dir)), names, ("mean", "slope"))
-    return wide.join(label_strata(c.kpi_label(spark, sf_dir), 0.7, 3), "sample_index"), names
+    wide = feature_views(kpi_features(c.kpi(spark, sf_dir)), names)
+    rows = written(wide.join(label_strata(c.kpi_label(spark, sf_dir), 0.7, 5), "sample_index"), "model-rows")
+    views = {"level": [f"{n}__{s}" for n in names for s in _LEVEL], "dynamics": [f"{n}__{s}" for n in names for s in _DYNAMICS], "causal": [f"{n}__{s}" for n in _CAUSAL for s in STATS]}
+    return rows.where("split = 'train'"), rows.where("split = 'held_out'"), views
+
+
+#: Smaller forests than the published ones (400 trees, 0.7 of the features, no bound on depth), which MLlib takes too long for.
+_FORESTS = {"trees": 40, "depth": 6, "tried": "sqrt"}
 
 
 @query("ensemble_classifier")
 def _(spark, sf_dir):
     from rootloom.operators.models import ensemble_classifier
 
-    rows, names = _model_rows(spark, sf_dir)
-    rows = rows.cache()
-    return ensemble_classifier(rows.where("split = 'train'"), rows.where("split = 'held_out'"), [f"{n}__{s}" for n in names for s in ("mean", "slope")], seeds=(1, 2), trees=8)
+    train, rest, views = model_rows(spark, sf_dir)
+    return ensemble_classifier(train, rest, [*views["level"], *views["dynamics"]], **_FORESTS)
 
 
 @query("stacked_adjudicator")
 def _(spark, sf_dir):
     from rootloom.operators.models import stacked_adjudicator
 
-    rows, names = _model_rows(spark, sf_dir)
-    rows = rows.cache()
-    views = {"level": [f"{n}__mean" for n in names], "dynamics": [f"{n}__slope" for n in names]}
-    return stacked_adjudicator(rows.where("split = 'train'"), rows.where("split = 'held_out'"), views, folds=2)
+    return stacked_adjudicator(*model_rows(spark, sf_dir), **_FORESTS)

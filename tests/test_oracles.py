@@ -5,9 +5,12 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rootloom.plans import catalog
+from rootloom.plans.sql_tables import with_tables
 
 DATA = "/root/testdata/sf0.001"
 
@@ -41,6 +44,117 @@ def test_matches_sql(spark, duck, name):
     assert got == sorted(([plain(r[at.index(n)]) for n in names] for r in cur.fetchall()), key=repr)
 
 
-def test_others_run(spark):
-    for name in sorted(set(catalog.QUERIES) - set(catalog.ORACLES)):
-        assert catalog.QUERIES[name](spark, DATA).columns, name
+NODES, WEIGHTS = np.polynomial.legendre.leggauss(300)
+
+
+def integral_p(t, df):
+    """P(|T| > t) by Gauss-Legendre over the angle whose tangent is t / sqrt(df)."""
+    low, high = math.atan(abs(t) / math.sqrt(df)), math.pi / 2
+    angle = low + (high - low) * (NODES + 1) / 2
+    log = (df - 1) * np.log(np.cos(angle)) + math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - math.log(math.pi) / 2
+    return float(2 * (high - low) / 2 * (WEIGHTS * np.exp(log)).sum())
+
+
+def brute_findings(duck, source, keys, limit=None):
+    """Rows (keys, direction, magnitude, score) by case from Welch tests in plain numbers; source: SQL of phased values."""
+    found = {}
+    for *key, phase, values in duck.execute(f"select {', '.join(keys)}, phase, list(value) from ({source}) where value is not null group by all").fetchall():
+        found.setdefault(tuple(key), {})[phase] = np.array(values)
+    cases = {}
+    for key, phases in found.items():
+        if len(phases) < 2:
+            continue
+        pre, post = phases["pre"], phases["post"]
+        delta, p = post.mean() - pre.mean(), 1.0
+        if len(pre) > 1 and len(post) > 1:
+            a, b = pre.var(ddof=1) / len(pre), post.var(ddof=1) / len(post)
+            if a + b > 0:
+                p = max(integral_p(delta / math.sqrt(a + b), (a + b) ** 2 / (a**2 / (len(pre) - 1) + b**2 / (len(post) - 1))), 1e-300)
+            elif abs(delta) > 0:
+                p = 1e-300
+        cases.setdefault(key[0], []).append((p, key, "high" if delta >= 0 else "low", abs(delta) / (abs(pre.mean()) + 1)))
+    rows = []
+    for items in cases.values():
+        items.sort(key=lambda x: (x[0], x[1]))
+        least, q = 1.0, [0.0] * len(items)
+        for i in range(len(items) - 1, -1, -1):
+            least = min(least, items[i][0] * len(items) / (i + 1))
+            q[i] = max(least, 1e-300)
+        scored = [(round(max(0.0, -math.log10(x)), 6), round(m, 6), key, direction) for x, (_, key, direction, m) in zip(q, items)]
+        scored.sort(key=lambda x: (-x[0], -x[1], x[2]))
+        rows += scored[:limit]
+    return {key: (direction, pytest.approx(m, abs=2e-6), pytest.approx(score, abs=2e-5)) for score, m, key, direction in rows}
+
+
+METRICS = "select case_id, component, metric, value, phase from phased"
+SPANS = """select case_id, component, call_type as metric, elapsed as value, case when start_ms / 1e3 < mid then 'pre' else 'post' end as phase from span join (select case_id, median(start_ms / 1e3) as mid from span group by case_id) using (case_id)"""
+KEYS = ["case_id", "component", "metric"]
+
+
+@pytest.fixture(scope="module")
+def telemetry(duck):
+    for name in ("metric_long", "phased", "span"):
+        duck.execute(f"create table if not exists {name} as {with_tables(f'select * from {name}')}")
+    return duck
+
+
+def test_p_values_are_integrals(spark):
+    rows = [r for r in catalog.QUERIES["welch_pvalue"](spark, DATA).collect()]
+    known = [r for r in rows if r["df"] is not None]
+    assert len(known) > 50 and all(r["p_value"] == pytest.approx(max(integral_p(r["t_stat"], r["df"]), 1e-300), rel=1e-6) for r in known)
+    assert all(r["p_value"] in (1.0, 1e-300) for r in rows if r["df"] is None)
+
+
+@pytest.mark.parametrize(("name", "source"), [("metric_findings", METRICS), ("trace_findings_shift", SPANS)])
+def test_findings_are_those_of_plain_numbers(spark, telemetry, name, source):
+    got = {tuple(r[k] for k in KEYS): (r["direction"], r["magnitude"], r["score"]) for r in catalog.QUERIES[name](spark, DATA).collect()}
+    want = brute_findings(telemetry, source, KEYS, 20)
+    assert got == want and len(got) > 20
+
+
+def test_mined_findings_and_the_serial_reader(spark, telemetry):
+    rows = catalog.QUERIES["mine_by_modality"](spark, DATA).collect()
+    for modality, source in (("metrics", METRICS), ("traces", SPANS)):
+        got = {(r["case_id"], r["component"], r["signal"]): (r["direction"], r["magnitude"], r["score"]) for r in rows if r["modality"] == modality}
+        assert got == brute_findings(telemetry, source, KEYS)
+    logs = catalog.QUERIES["log_pattern_shift"](spark, DATA).collect()
+    assert sorted((r["case_id"], r["component"], r["signal"], r["score"]) for r in rows if r["modality"] == "logs") == sorted((r["case_id"], r["component"], r["template"], r["score"]) for r in logs)
+    # The serial reader: each miner's 30 best of a case, three best of a component and modality, five components, their shares.
+    sums = {}
+    for case in {r["case_id"] for r in rows}:
+        kept = []
+        for modality in ("metrics", "traces", "logs"):
+            own = sorted((r for r in rows if r["case_id"] == case and r["modality"] == modality), key=lambda r: (-r["score"], -r["magnitude"] if modality != "logs" else 0, r["component"], r["signal"]))
+            kept += own[:30]
+        for key in {(r["component"], r["modality"]) for r in kept}:
+            best = sorted((r["score"] for r in kept if (r["component"], r["modality"]) == key), reverse=True)[:3]
+            sums[case, key[0]] = sums.get((case, key[0]), 0.0) + sum(best)
+    for case in {c for c, _ in sums}:
+        top = sorted(((-round(s, 6), c) for (k, c), s in sums.items() if k == case))[:5]
+        total = -sum(s for s, _ in top)
+        got = sorted((r["rank"], r["component"], r["component_score"], r["confidence"]) for r in catalog.QUERIES["serial_read"](spark, DATA).where(F.col("case_id") == case).collect())
+        assert [(k, c) for k, c, _, _ in got] == [(k + 1, c) for k, (_, c) in enumerate(top)]
+        assert all(s == pytest.approx(-x, abs=1e-4) and conf == pytest.approx(min(0.95, max(0.05, -x / total)), abs=1e-4) for (_, _, s, conf), (x, _) in zip(got, top))
+
+
+@pytest.mark.parametrize("name", ["ensemble", "stacked"])
+def test_classifiers_learn_held_out_rows(spark, name):
+    from rootloom.operators import models
+    from rootloom.plans.check_queries import model_rows
+
+    train, rest, views = model_rows(spark, DATA)
+    # Labels that a statistic decides: forests of a few trees must find them on rows they haven't seen.
+    rule = {"root1": "feature0__mean > 0", "root2": "feature1__max > 0.15", "root3": "feature2__slope > 0"}
+    train, rest = (df.withColumns({r: F.expr(f"cast({e} as int)") for r, e in rule.items()}).cache() for df in (train, rest))
+    small = {"seeds": (1, 2), "trees": 5, "depth": 4, "tried": "all"}
+    few = {"level": ["feature0__mean", "feature1__max"], "dynamics": ["feature2__slope", "feature0__mean"]}
+    assert all(set(columns) <= {*views["level"], *views["dynamics"]} for columns in few.values()) and len(views["level"]) + len(views["dynamics"]) == 112
+    if name == "ensemble":
+        out = models.ensemble_classifier(train, rest, [*few["level"], "feature2__slope"], **small)
+    else:
+        out = models.stacked_adjudicator(train, rest, few, folds=2, **small)
+    rows = out.join(rest.select("sample_index", *rule), "sample_index").collect()
+    assert len(rows) == rest.count() and all(0 <= r[f"p_{c}"] <= 1 for r in rows for c in rule)
+    for c in rule:
+        right = np.mean([(r[f"p_{c}"] >= 0.5) == (r[c] == 1) for r in rows])
+        assert right > max(np.mean([r[c] for r in rows]), 1 - np.mean([r[c] for r in rows])) + 0.05, (c, right)
