@@ -240,3 +240,24 @@ def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark, tmp_path):
     assert p.quality_classifier(spark, ruled, str(tmp_path)).count() == len(rows) - 2
     left = p.near_duplicates(spark, ruled, str(tmp_path)).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in left) == sorted((str(d), x) for d, x in [*enumerate(t[:30]), *((None, x) for x in t[30:34]), (7, t[34]), (40, t[35])])
+
+
+def test_pipeline_hands_other_columns_and_long_texts_through(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("aeiourstlnm") for _ in range(rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in (90, 120, 60_000)]
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (4, texts[2] + " end"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "cast(null as string) as lang", "doc_id as row", "'k' as kept", "1.5 as score", "array(1) as x", "7L as node", "8L as row_key", "'s' as sketch", "9 as id", "true as held_out", "0 as predicted", "doc_id as label")
+    spark.createDataFrame([(d, 1, 0) for d in range(1, 4)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    at = docs
+    for _, stage in p.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns
+    want = sorted((tuple(r) for r in docs.collect() if r["doc_id"] < 4), key=lambda r: r[0])
+    assert sorted((tuple(r) for r in at.collect()), key=lambda r: r[0]) == want
+    packed = p.packing(spark, at, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == {1, 2, 3} and max(r["offset"] + r["length"] for r in packed) <= 2048
+    for _, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
