@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootloom.llm import chat_windows, url_cascade
+from rootloom.llm import chat_windows, merkle_manifest, phrase_stripes, url_cascade
 from rootloom.llm.fertility_rules import apply_rules
+from rootloom.llm.merkle_manifest import audit_documents
 from rootloom.llm.packing import pack_documents
+from rootloom.llm.page_text import extract_pages
+from rootloom.llm.phrase_stripes import collocations
 from rootloom.llm.piece_dropout import encode_pieces
 from rootloom.llm.quality_qda import classify_quality
 from rootloom.llm.shared import table
@@ -64,6 +67,18 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.conversation_digests(chat_windows.format_conversations(conversations))
 
 
+def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op12_phrase_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), longest=5, least=100, contained=100, top=2000)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_dropout": op1_piece_dropout,
     "op2_url_cascade": op2_url_cascade,
@@ -75,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fertility_rules": op8_fertility_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_chat_windows": op10_chat_windows,
+    "op11_page_text": op11_page_text,
+    "op12_phrase_stripes": op12_phrase_stripes,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 #: DuckDB's list_inner_product over doubles is exact here: scores are far below 2^53.
 TOP_K_SQL = """
@@ -91,4 +109,6 @@ ORACLES: dict[str, str] = {
     "op4_topk_histogram": TOP_K_SQL,
     "op2_url_cascade": url_cascade.ORACLE,
     "op10_chat_windows": chat_windows.ORACLE,
+    "op12_phrase_stripes": phrase_stripes.ORACLE,
+    "op13_merkle_manifest": merkle_manifest.ORACLE,
 }
