@@ -27,11 +27,10 @@ from pyspark.sql import types as T
 
 from rootloom.llm.chunk_memo import memo_for, tokenizer_path
 from rootloom.llm.shared import rest_of_row
+from rootloom.llm.text_counts import BLANKS, byte_counts, plain_counts
 
 LEAST_TOKENS = 20
 EVENNESS_CAP = 4096
-SYMBOLS = b"#*$%&|<>"
-BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 #: Lead bytes in UTF-8 of the letters of scripts, in the order in which equals are decided.
@@ -89,27 +88,6 @@ def script_of(each: np.ndarray) -> str | None:
     return found if sizes[found] else None
 
 
-def plain_counts(data: bytes) -> tuple[int, int, int, int, int]:
-    """Words, their code points, symbols, repeated lines, and words inside repeated 3-word windows, of a UTF-8 text."""
-    words = data.split()
-    each = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-    points = len(data) - int(each[0x80:0xC0].sum())
-    repeated = 0
-    if len(words) > 3:
-        windows = list(zip(words, words[1:], words[2:]))
-        if len(set(windows)) < len(windows):
-            seen: dict[tuple, int] = {}
-            for w in windows:
-                seen[w] = seen.get(w, 0) + 1
-            twice = np.array([seen[w] > 1 for w in windows])
-            hit = np.zeros(len(words), bool)
-            for k in range(3):
-                hit[k : k + len(windows)] |= twice
-            repeated = int(hit.sum())
-    lines = [x for x in data.split(b"\n") if x.split()]
-    return len(words), points - int(each[list(BLANKS)].sum()), int(each[list(SYMBOLS)].sum()), len(lines) - len(set(lines)), repeated
-
-
 def token_measures(counts: np.ndarray, ids: np.ndarray, is_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For texts with so many of the ids each: tokens that are raw bytes, and entropy of the tokens in bits."""
     owner = np.repeat(np.arange(len(counts)), counts)
@@ -136,8 +114,9 @@ def measure_documents(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", s
         for batch in batches:
             text = pc.fill_null(batch.column(2), "")
             raw = text.cast(pa.binary()).to_pylist()
-            plain = np.array([plain_counts(x) for x in raw], np.int64).reshape(-1, 5)
-            scripts = [script_of(np.bincount(np.frombuffer(x, np.uint8), minlength=256)) for x in raw]
+            each = [byte_counts(x) for x in raw]
+            plain = np.array([plain_counts(x, each=e) for x, e in zip(raw, each)], np.int64).reshape(-1, 5)
+            scripts = [script_of(e) for e in each]
             points = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(float)
             parts = [(c, *token_measures(c, ids, is_byte)) for _, c, ids in memo.rounds(text)]
             n, fallback, entropy = (np.concatenate([p[k] for p in parts] or [np.empty(0)]) for k in range(3))

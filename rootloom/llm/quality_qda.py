@@ -1,8 +1,9 @@
 """Quality classifier: regularised quadratic discriminant over transformed document statistics.
 
 Each text becomes a short vector of statistics (``STATISTICS``), transformed so that good prose is about Gaussian. For either
-class a mean and a shrunken covariance come from sums over all training rows: (1 - SHRINK) of the class's own covariance,
-SHRINK of the pooled one, then RIDGE of the mean variance on the diagonal. The Cholesky factor of each is made once and
+class a mean and a shrunken covariance come from sums over all training rows: (1 - SHRINK) of the class's own covariance, in
+proportion less if it has fewer than ROWS_EACH rows for each statistic, and the rest of the pooled one, then RIDGE of the mean
+variance on the diagonal. The Cholesky factor of each is made once and
 travels with the tasks; a score is the difference of two Mahalanobis log densities, plus the classes' log odds, calibrated by
 a logistic curve that is fitted to a histogram of the training rows' differences.
 
@@ -12,7 +13,6 @@ Labels, language, source and id are no inputs of a score.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rootloom.llm.fertility_rules import BLANKS, plain_counts
 from rootloom.llm.shared import kept, rest_of_row
+from rootloom.llm.text_counts import BLANKS, blocks, byte_counts, distinct, line_counts, plain_counts, word_hashes
 
-SHRINK, RIDGE = 0.10, 0.02
+SHRINK, RIDGE, ROWS_EACH = 0.10, 0.02, 10
 #: Standard deviations at which a statistic is clipped.
 CLIP = 8.0
 #: Cells of the histogram that the calibration is fitted to.
@@ -33,19 +33,24 @@ _UPPER, _LETTER = slice(65, 91), slice(97, 123)
 
 
 def statistics(data: bytes) -> list[float]:
-    """The transformed statistics of a UTF-8 text; a text without words has those of one with a single empty word."""
-    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words = plain_counts(data)
-    each = np.bincount(np.frombuffer(data, np.uint8), minlength=256).astype(float)
-    words = data.split()
-    n, chars = max(n_words, 1), max(word_chars, 1)
-    n_lines = max(1, sum(1 for x in data.split(b"\n") if x.split()))
+    """The transformed statistics of a UTF-8 text, taken block by block; a text without words has those of one with a single empty word."""
+    hashes, each, (n_lines, n_same) = word_hashes(data), byte_counts(data).astype(float), line_counts(data)
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words = plain_counts(data, hashes, each, (n_lines, n_same))
+    short = longest = capitals = 0
+    for block in blocks(data):
+        words = block.split()
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        short += int((lengths <= 3).sum())
+        longest = max(longest, int(lengths.max(initial=0)))
+        firsts = np.frombuffer(bytes(w[0] for w in words), np.uint8)
+        capitals += int(((firsts >= 65) & (firsts <= 90)).sum())
+    n, chars, n_lines = max(n_words, 1), max(word_chars, 1), max(n_lines, 1)
     letters = each[_UPPER].sum() + each[_LETTER].sum() + each[0xC0:].sum()
     marks = each[33:127].sum() - letters + each[0xC0:].sum() - each[48:58].sum()
     stops = each[list(b".,;:?")].sum()
     solid = each.copy()
     solid[list(BLANKS)] = 0
     p = solid[solid > 0] / max(solid.sum(), 1)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1, np.int64)
     return [
         np.log1p(n_words),
         np.log1p(word_chars / n),
@@ -57,13 +62,13 @@ def statistics(data: bytes) -> list[float]:
         np.sqrt(max(0.0, marks - stops - n_symbols - each[33]) / n),
         np.sqrt(n_dup_lines / n_lines),
         np.sqrt(n_repeat_words / n),
-        np.log(max(len(set(words)), 1) / n),
+        np.log(max(distinct(hashes), 1) / n),
         np.log1p(n_words / n_lines),
-        np.sqrt((lengths <= 3).mean()),
-        np.sqrt(sum(1 for w in words if 65 <= w[0] <= 90) / n),
+        np.sqrt(short / n if n_words else 1.0),
+        np.sqrt(capitals / n),
         float(-(p * np.log2(p)).sum()) if len(p) else 0.0,
-        np.log1p(lengths.max()),
-        np.sqrt(sum(map(eq, words, words[1:])) / n),
+        np.log1p(longest),
+        np.sqrt((hashes[1:] == hashes[:-1]).sum() / n),
     ]
 
 
@@ -142,7 +147,7 @@ class QuadraticDiscriminant:
 
 
 def fit_moments(moments: dict[int, np.ndarray]) -> QuadraticDiscriminant:
-    """Classes without rows take the pooled statistics, so their scores follow the prior odds (one pseudo-row a class)."""
+    """The share of a class's own covariance grows with its rows, from none at no rows to 1 - SHRINK; classes without rows take the pooled statistics, so their scores follow the prior odds (one pseudo-row a class)."""
     n = {c: m[0, 0] for c, m in moments.items()}
     d, pooled = len(STATISTICS), moments[0] + moments[1]
     total = max(pooled[0, 0], 1.0)
@@ -160,8 +165,8 @@ def fit_moments(moments: dict[int, np.ndarray]) -> QuadraticDiscriminant:
     within = within if pooled[0, 0] else np.eye(d)
     means, factors = [], []
     for c in (0, 1):
-        own = stats[c][1] if n[c] > d else within
-        cov = (1 - SHRINK) * own + SHRINK * within
+        own = (1 - SHRINK) * min(1.0, n[c] / (ROWS_EACH * d))
+        cov = own * stats[c][1] + (1 - own) * within
         cov = (1 - RIDGE) * cov + RIDGE * max(np.trace(cov) / d, 1e-3) * np.eye(d)
         means.append(stats[c][0])
         factors.append(np.linalg.cholesky(cov))

@@ -18,8 +18,6 @@ A task gives back a spanning forest of the links it finds, not all pairs, and th
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,25 +27,25 @@ from pyspark.sql import types as T
 
 from rootloom.llm.components import connected_components
 from rootloom.llm.shared import kept
+from rootloom.llm.text_counts import shingle_hashes
 
 SEED = 42
 #: Fingerprints of a leaf, and of a run inside it; nodes of a node, as a number of bits.
 LEAF, GROUP, FAN_BITS = 64, 8, 4
 #: Nodes of a level whose pairs a task expands.
 NODES_AT_ONCE = 2_048
+#: Hashes whose bits are counted at once.
+RUN = 1 << 14
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
-    """64 bits of a UTF-8 text: A-Z lower-cased, ``words``-word shingles with repeats, XXH64; a bit is set if over half have it."""
-    import xxhash
-
-    tokens = text.lower().split()
-    if not tokens:
-        return 0
-    n = max(1, len(tokens) - words + 1)
-    shingles = map(b" ".join, zip(*(tokens[k:] for k in range(words)))) if len(tokens) >= words else [b" ".join(tokens)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
-    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
+    """64 bits of a UTF-8 text: A-Z lower-cased, ``words``-word shingles with repeats, XXH64; a bit is set if over half have it. Shingles are counted in runs, so a long text takes no more memory."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for block in shingle_hashes(text, words, SEED):
+        for k in range(0, len(block), RUN):
+            part = block[k : k + RUN]
+            n += len(part)
+            ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 

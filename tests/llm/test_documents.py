@@ -261,3 +261,37 @@ def test_pipeline_hands_other_columns_and_long_texts_through(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == {1, 2, 3} and max(r["offset"] + r["length"] for r in packed) <= 2048
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def texts_near(kind, n, seed=1):
+    """One text of 100 words, and n others: a star (two words of the first changed in each), or near copies of one another (one word at the end changed)."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=8))
+    first = [word() for _ in range(100)]
+    out = [" ".join(first)]
+    for _ in range(n):
+        other = list(first)
+        if kind == "star":
+            for k in rnd.sample(range(10, 90), 2):
+                other[k] = word()
+        else:
+            other[rnd.choice((0, 1, 98, 99))] = word()
+        out.append(" ".join(other))
+    return out + [" ".join(word() for _ in range(100)) for _ in range(50)]
+
+
+@pytest.mark.parametrize(("kind", "n", "part"), [("star", 3000, 1 << 19), ("clique", 3000, 1 << 19), ("star", 3000, 1000), ("clique", 40, 1 << 19), ("star", 25, 1 << 19)])
+def test_stars_and_cliques_of_copies_leave_one(spark, kind, n, part, monkeypatch):
+    from rootloom.llm import near_copies
+    from rootloom.llm.shared import kept
+
+    if part < near_copies.PART:  # groups dealt to several tasks
+        real = near_copies.proposed_links
+        monkeypatch.setattr(near_copies, "proposed_links", lambda nodes: real(nodes, part, 2))
+    docs = spark.createDataFrame(list(enumerate(texts_near(kind, n))), "doc_id long, text string").repartition(4)
+    rejected = near_copies.rejected_rows(kept(near_copies.mark_rows(docs), "marked")).count()
+    texts = [near_copies.shingles(t.encode()) for t in texts_near(kind, n)]
+    similar = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= near_copies.SIMILARITY
+    want = sum(similar(texts[0], t) for t in texts[1 : n + 1])
+    assert want > 0.9 * n or kind == "star"
+    assert 0.97 * want <= rejected <= n
