@@ -54,46 +54,85 @@ def graph_nodes(edges: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return edges.select(*keys, F.col("src").alias("node")).union(edges.select(*keys, "dst")).distinct()
 
 
-def hops(edges: DataFrame, starts: DataFrame, most: int = 1000, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def hops(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, start, node, hop): everything that each ``node`` of ``starts`` reaches, with the least number of steps; the start itself at 0.
 
-    A frontier join for each step; nodes that were seen are not entered again, so cycles end. Each step is written to the
-    shared folder and read again, so a step reads tables, not the steps before.
+    By doubling: of pairs less than 2^k steps apart and pairs that are exactly so far apart come those of 2^(k+1), so rounds grow
+    with the logarithm of the depth and a shortest path is put together once a round. Cycles end, as a pair is exactly so far apart only if it
+    isn't nearer. Each round is written to the shared folder.
     """
-    ways = written(edges.select(*keys, F.col("src").alias("node"), "dst").distinct(), "edges")
-    frontier = written(starts.select(*keys, F.col("node").alias("start"), F.col("node")).distinct().withColumn("hop", F.lit(0)), "frontier")
-    seen = frontier
-    for hop in range(1, most + 1):
-        step = frontier.join(ways, [*keys, "node"]).select(*keys, "start", F.col("dst").alias("node")).distinct()
-        frontier = written(step.join(seen, [*keys, "start", "node"], "left_anti").withColumn("hop", F.lit(hop)), "frontier")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
+    ends = edges.where("src <> dst").select(*keys, F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    far, length = written(ends, "far"), 1
+    nodes = graph_nodes(edges, keys).union(starts.select(*keys, "node")).distinct()
+    near = written(nodes.select(*keys, F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("hop")), "near")
+    while not far.isEmpty():
+        on = far.withColumnRenamed("b", "m")
+        further = on.join(near.withColumnRenamed("a", "m"), [*keys, "m"]).select(*keys, "a", "b", (F.col("hop") + length).alias("hop"))
+        near = written(near.unionByName(further).groupBy(*keys, "a", "b").agg(F.min("hop").alias("hop")), "near")
+        twice = on.join(far.withColumnRenamed("a", "m"), [*keys, "m"]).select(*keys, "a", "b").distinct()
+        far, length = written(twice.join(near, [*keys, "a", "b"], "left_anti"), "far"), 2 * length
+    wanted = starts.select(*keys, F.col("node").alias("a")).distinct()
+    return near.join(wanted, [*keys, "a"], "left_semi").select(*keys, F.col("a").alias("start"), F.col("b").alias("node"), "hop")
+
+
+def within(edges: DataFrame, starts: DataFrame, radius: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, start, node): what each ``node`` of ``starts`` reaches in ``radius`` steps or fewer, itself included."""
+    ways = edges.select(*keys, F.col("src").alias("node"), "dst").distinct()
+    seen = starts.select(*keys, F.col("node").alias("start"), F.col("node")).distinct()
+    for _ in range(radius):
+        seen = seen.union(seen.join(ways, [*keys, "node"]).select(*keys, "start", F.col("dst").alias("node"))).distinct()
     return seen
 
 
 def ancestors(edges: DataFrame, nodes: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, start, node): the transitive callers of each node, without itself."""
     back = edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return hops(back, nodes, keys=keys).where("start <> node").select(*keys, "start", "node")
+    return hops(back, nodes, keys).where("start <> node").select(*keys, "start", "node")
+
+
+def _symptoms(symptomatic: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Names as a graph has them (``service_graph``): trimmed, in lower case."""
+    return symptomatic.select(*keys, F.lower(F.trim("node")).alias("node")).distinct()
 
 
 def k_hop_connectivity(adjacency: DataFrame, symptomatic: DataFrame, radius: int = 2, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, node, n): other symptomatic nodes within ``radius`` steps of each node of an undirected graph; found from the symptoms outwards."""
-    near = hops(adjacency, symptomatic, radius, keys).where("start <> node").groupBy(*keys, "node").agg(F.count("*").alias("n"))
+    near = within(adjacency, _symptoms(symptomatic, keys), radius, keys).where("start <> node").groupBy(*keys, "node").agg(F.count("*").alias("n"))
     nodes = adjacency.select(*keys, F.col("src").alias("node")).distinct()
     return nodes.join(near, [*keys, "node"], "left").select(*keys, "node", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def explanatory_coverage(edges: DataFrame, symptomatic: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, node, coverage): the share of symptomatic nodes that a node or its transitive callers are.
+def reaching_symptoms(edges: DataFrame, symptomatic: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, node, hits): how many symptomatic nodes reach each node along the edges, itself included; nodes that none reaches are left out.
 
-    A symptom counts for whatever it calls, so the search goes from the symptoms down the calls, not from every node up.
+    A case's symptoms are numbered, and a node has one bit for each, in words of 63: a row for a node and a word, never one for a
+    node and a symptom. Words are merged along edges until no bit is new, so cycles need no care. A node with one caller takes
+    over its caller's only caller in each round, so a long chain is done in the logarithm of its length.
     """
-    symptoms = symptomatic.select(*keys, "node").distinct()
-    total = symptoms.groupBy(*keys).agg(F.count("*").alias("total"))
-    hits = hops(edges, symptoms, keys=keys).groupBy(*keys, "node").agg(F.count("*").alias("hits"))
-    rows = graph_nodes(edges, keys).join(hits, [*keys, "node"], "left").join(total, list(keys), "left")
+    order = Window.partitionBy(*keys).orderBy("node")  # a row for each symptomatic node of a case
+    numbered = _symptoms(symptomatic, keys).withColumn("_i", F.row_number().over(order) - 1)
+    bit = F.expr("shiftleft(1L, _i % 63)")
+    masks = written(numbered.select(*keys, "node", F.floor(F.col("_i") / 63).alias("word"), bit.alias("mask")), "masks")
+    ways = written(edges.where("src <> dst").select(*keys, "src", "dst").distinct(), "ways")
+    bits = None
+    while True:
+        passed = ways.join(masks.withColumnRenamed("node", "src"), [*keys, "src"]).select(*keys, F.col("dst").alias("node"), "word", "mask")
+        masks = written(masks.unionByName(passed).groupBy(*keys, "node", "word").agg(F.bit_or("mask").alias("mask")), "masks")
+        now = masks.agg(F.sum(F.bit_count("mask"))).first()[0]
+        if now == bits:
+            return masks.groupBy(*keys, "node").agg(F.sum(F.bit_count("mask")).cast("long").alias("hits"))
+        bits = now
+        single = ways.groupBy(*keys, "dst").agg(F.count("*").alias("_n"), F.min("src").alias("_up")).where("_n = 1").select(*keys, "dst", "_up")
+        own = single.select(*keys, "dst", F.lit(True).alias("_one"))
+        up = single.select(*keys, F.col("dst").alias("src"), "_up")
+        moved = F.when(F.col("_one"), F.coalesce("_up", "src")).otherwise(F.col("src"))
+        ways = written(ways.join(own, [*keys, "dst"], "left").join(up, [*keys, "src"], "left").select(*keys, moved.alias("src"), "dst").where("src <> dst"), "ways")
+
+
+def explanatory_coverage(edges: DataFrame, symptomatic: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, node, coverage): the share of symptomatic nodes that a node or its transitive callers are."""
+    total = _symptoms(symptomatic, keys).groupBy(*keys).agg(F.count("*").alias("total"))
+    rows = graph_nodes(edges, keys).join(reaching_symptoms(edges, symptomatic, keys), [*keys, "node"], "left").join(total, list(keys), "left")
     return rows.select(*keys, "node", F.round(F.coalesce(F.col("hits") / F.col("total"), F.lit(0.0)), 6).alias("coverage"))
 
 

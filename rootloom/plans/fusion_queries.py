@@ -255,7 +255,7 @@ def _(spark, sf_dir):
     return ops.onset_pick(candidates, f, series, graph.undirected(edges(spark, sf_dir)))
 
 
-_NODES = f"{_ON}, pk as (select case_id, component, max(score) as peak from finding group by all), nd as (select case_id, component, peak, onset, round((substr(component, 5)::int * 5 % 7) / 7.0, 6) as coverage from pk join prec using (case_id, component))"
+_NODES = f"{COVERAGE}, {_ON}, pk as (select case_id, component, max(score) as peak from finding group by all), nd as (select pk.case_id, pk.component, peak, onset, coalesce(v.coverage, 0) as coverage from pk join prec using (case_id, component) left join coverage v on v.case_id = pk.case_id and v.node = pk.component)"
 
 
 def _rule_sql(rule, order):
@@ -266,7 +266,8 @@ def _rule(name, rule):
     def run(spark, sf_dir):
         f = c.finding(spark, sf_dir)
         peak = f.groupBy("case_id", "component").agg(F.max("score").alias("peak"))
-        nodes = peak.join(component_onsets(f).select("case_id", "component", "onset"), ["case_id", "component"]).withColumn("coverage", F.round((F.substring("component", 5, 3).cast("int") * 5 % 7) / 7.0, 6))
+        coverage = graph.explanatory_coverage(edges(spark, sf_dir), symptomatic(spark, sf_dir)).withColumnRenamed("node", "component")
+        nodes = peak.join(component_onsets(f).select("case_id", "component", "onset"), ["case_id", "component"]).join(coverage, ["case_id", "component"], "left").fillna(0.0, ["coverage"])
         return ops.ranking_rules(nodes).where(F.col("rule") == rule)
 
     return run

@@ -52,6 +52,47 @@ def test_gain_of_zero_changes_no_order(spark):
     assert order(0.0) == ["a", "b", "d"] and order(2.0) == ["b", "a", "d"]
 
 
+def reach(edges, starts):
+    """{(start, node): least steps} by plain breadth-first search."""
+    out, ways = {}, {}
+    for a, b in edges:
+        ways.setdefault(a, []).append(b)
+    for s in starts:
+        seen, front = {s: 0}, [s]
+        while front:
+            front = [y for x in front for y in ways.get(x, []) if y not in seen and not seen.update({y: seen[x] + 1})]
+        out |= {(s, n): h for n, h in seen.items()}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_searches_of_random_graphs(spark, seed):
+    rnd = np.random.default_rng(seed)
+    graphs = {c: {(f"n{a}", f"n{b}") for a, b in rnd.integers(0, 25, (10 * c + 8, 2))} | {(f"p{k}", f"p{k + 1}") for k in range(11)} | {("n3", "p0"), ("p11", "p0") if seed % 2 else ("p11", "n5")} for c in range(3)}
+    edges = spark.createDataFrame([(c, a, b) for c, e in graphs.items() for a, b in e], "case_id int, src string, dst string")
+    nodes = {c: sorted({x for e in g for x in e} | {"lone"}) for c, g in graphs.items()}
+    starts = spark.createDataFrame([(c, n) for c in graphs for n in nodes[c][::2]], "case_id int, node string")
+    got = {(r["case_id"], r["start"], r["node"]): r["hop"] for r in graph.hops(edges, starts).collect()}
+    assert got == {(c, *k): h for c in graphs for k, h in reach(graphs[c], nodes[c][::2]).items()}
+    symptoms = spark.createDataFrame([(c, f" {n.upper()}") for c in graphs for n in nodes[c][::3]] * 2, "case_id int, node string")
+    got = {(r["case_id"], r["node"]): r["coverage"] for r in graph.explanatory_coverage(edges, symptoms).collect()}
+    for c, g in graphs.items():
+        pairs = reach(g, nodes[c][::3])
+        for n in {x for e in g for x in e}:
+            assert got.pop((c, n)) == round(sum((s, n) in pairs for s in nodes[c][::3]) / len(nodes[c][::3]), 6)
+    assert not got
+
+
+def test_long_chains_and_many_symptoms(spark):
+    chain = spark.range(5000).select(F.lit(1).alias("case_id"), F.format_string("n%05d", "id").alias("src"), F.format_string("n%05d", F.col("id") + 1).alias("dst"))
+    symptoms = spark.range(0, 5000, 25).select(F.lit(1).alias("case_id"), F.format_string("n%05d", "id").alias("node"))
+    got = {r["node"]: r["coverage"] for r in graph.explanatory_coverage(chain, symptoms).collect()}
+    assert len(got) == 5001 and all(got[f"n{k:05d}"] == round((k // 25 + 1 if k < 5000 else 200) / 200, 6) for k in range(5001))
+    short = chain.where("src < 'n00700'")
+    rows = graph.hops(short, graph.graph_nodes(short)).groupBy().agg(F.count("*").alias("n"), F.sum(F.col("hop")).alias("s"), F.max("hop").alias("m")).first()
+    assert (rows["n"], rows["s"], rows["m"]) == (701 * 702 // 2, sum(k * (701 - k) for k in range(701)), 700)
+
+
 def test_cycles_end(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string").withColumn("case_id", F.lit(1))
     got = {(r["start"], r["node"]) for r in graph.ancestors(edges, spark.createDataFrame([(1, "a"), (1, "d")], "case_id int, node string")).collect()}
