@@ -9,10 +9,11 @@ All that is asked for comes from the merged stripes: an element is the count of
 words are the counts on either side of a cut, and the largest element of its stripe, with the largest one of those that end in
 it, says whether a longer phrase makes it redundant.
 
-Phrases below the least count are never wanted, and no phrase is more frequent than its parts. So there are three passes: words,
-pairs of frequent words, and phrases of pairs that are all frequent. What is frequent is told to the tasks by Bloom bits of
-``MOST_BITS`` at most: they let all frequent ones through, so counts are exact at any size, and what else they let through is dropped
-when stripes are merged.
+Phrases below the least count are never wanted, and no phrase is more frequent than its parts. So before stripes are made, phrases
+are counted by hash, a length at a time: a bucket is the first bits of a phrase's hash, there are a few buckets for each word of
+the corpus, ranges of them are dealt to tasks as sorted differences of a byte or two, and only phrases whose parts were in
+buckets of the least count go on to the next length. What is frequent is told to the tasks by bits, ``MOST_BITS`` at most: all that
+is frequent passes, so counts are exact at any size, and what else passes is dropped when stripes are merged.
 """
 
 from __future__ import annotations
@@ -29,9 +30,12 @@ from rootloom.llm.shared import kept
 CHUNK = 8 << 20
 #: Bits for each frequent entry, and at most (as powers of two).
 BITS_EACH, MOST_BITS = 4, 27
+#: Buckets for each word of the corpus (as a power of two), and counters of a task (32 MB).
+BUCKETS_EACH, RANGE_BITS = 2, 22
 #: Elements of a stripe's row.
 STRIPE = 4096
 SEED = 42
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes(10 if c in _MARKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -60,10 +64,10 @@ def cut_text(data: bytes, carry_words: int, size: int = CHUNK):
     yield carry, data[at:]
 
 
-def bloom_bits(hashes: DataFrame) -> np.ndarray:
-    """Bits of the hashes in column ``h``, as many as their number asks for, up to 2^MOST_BITS: built by grouping, 16 MB at most for the driver."""
+def bloom_bits(hashes: DataFrame, known: int = 64) -> np.ndarray:
+    """Bits of the hashes in column ``h``, of which the first ``known`` bits count, as many as their number asks for, up to 2^MOST_BITS: built by grouping, 32 MB at most for the driver."""
     n = hashes.count()
-    bits = min(max((n << BITS_EACH).bit_length(), 10), MOST_BITS)
+    bits = min(max((n << BITS_EACH).bit_length(), 10), MOST_BITS, known)
     at = F.shiftrightunsigned("h", 64 - bits)
     words = hashes.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")).alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
@@ -76,109 +80,164 @@ def in_bloom(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _turn(h: np.ndarray, by: int) -> np.ndarray:
-    return (h << np.uint64(by)) | (h >> np.uint64(64 - by))
+def word_hash(lang: str, word: str) -> Column:
+    """The hash of a word of a language: XXH64 of both, one turned."""
+    h = F.xxhash64(lang)
+    return F.shiftleft(h, 7).bitwiseOR(F.shiftrightunsigned(h, 57)).bitwiseXOR(F.xxhash64(word))
 
 
-def _turned(c: Column, by: int) -> Column:
-    return F.shiftleft(c, by).bitwiseOR(F.shiftrightunsigned(c, 64 - by))
-
-
-def phrase_hash(lang: str, *words: str) -> Column:
-    """What ``in_bloom`` looks up for a language and one or two words: XXH64 each, turned and joined."""
-    out = _turned(F.xxhash64(lang), 7)
-    for k, w in enumerate(reversed(words)):
-        out = out.bitwiseXOR(_turned(F.xxhash64(w), k) if k else F.xxhash64(w))
-    return out
+class Words:
+    """The words of some texts of one language as numbers, and hashes of the phrases that end at each of them.
 
+    Carried words (see ``cut_text``) and ends of pieces are told apart: phrases don't cross an end, and one that ends in a carried
+    word was counted before.
+    """
 
-def count_chunk(parts: list[tuple[bytes, bytes]], lang: str, lengths: range, words_in: np.ndarray | None, pairs_in: np.ndarray | None):
-    """Stripes of the texts ``parts`` for phrases of ``lengths`` words that the filters let through: (k, prefixes, ends of the stripes, next words, counts)."""
-    import xxhash
-
-    # Carried words stand between two \v, which no part holds any more.
-    data = b"\n".join(b"\v" + carry + b"\v" + part if carry else part for carry, part in parts).replace(b"\n", b" \n ").replace(b"\v", b" \v ")
-    coded = pc.split_pattern(pa.array([data], pa.large_binary()), b" ").values.dictionary_encode()
-    ids, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-    names = words.to_pylist()
-    place = {w: i for i, w in enumerate(names) if len(w) < 2}
-    mark = ids == place.get(b"\v", -1)
-    carried = np.cumsum(mark) % 2 == 1
-    keep = ~mark & (ids != place.get(b"", -1))
-    ids, carried = ids[keep], carried[keep]
-    stop = ids == place.get(b"\n", -1)
-    at = np.arange(len(ids))
-    inside = at - np.maximum.accumulate(np.where(stop, at, -1)) >= 2  # not the first word of a piece
-    v = len(names)
-    if lengths.start == 1:
-        n = np.bincount(ids[~stop & ~carried], minlength=v)
-        found = np.flatnonzero(n)
-        yield 0, [None], [1], pa.array([None], pa.binary()), np.array([n.sum()])
-        ends = [*range(STRIPE, len(found), STRIPE), len(found)] if len(found) else []
-        yield 1, [b""] * len(ends), ends, words.take(pa.array(found)), n[found]
-        return
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in names), np.uint64, v)
-    key = _turn(np.array([xxhash.xxh64_intdigest(lang.encode(), SEED)], np.uint64), 7)[0]
-    good = ~stop
-    if words_in is not None:
-        good &= in_bloom(words_in, key ^ hashes)[ids]
-    linked = np.zeros(len(ids), bool)  # a word that goes on from the one before
-    linked[1:] = good[1:] & good[:-1] & inside[1:]
-    if pairs_in is not None:
-        p = np.flatnonzero(linked)
-        linked[p] = in_bloom(pairs_in, key ^ _turn(hashes[ids[p - 1]], 1) ^ hashes[ids[p]])
-    number, whole, texts = ids, good, names
-    for k in range(2, lengths.stop):
-        ends = np.flatnonzero(linked)
-        ends = ends[whole[ends - 1]]
+    def __init__(self, parts: list[tuple[bytes, bytes]], lang: str):
+        # Carried words stand between two \v, which no part holds any more.
+        data = b"\n".join(b"\v" + carry + b"\v" + part if carry else part for carry, part in parts).replace(b"\n", b" \n ").replace(b"\v", b" \v ")
+        coded = pc.split_pattern(pa.array([data], pa.large_binary()), b" ").values.dictionary_encode()
+        ids, self.words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        self.names = self.words.to_pylist()
+        place = {w: i for i, w in enumerate(self.names) if len(w) < 2}
+        mark = ids == place.get(b"\v", -1)
+        carried = np.cumsum(mark) % 2 == 1
+        keep = ~mark & (ids != place.get(b"", -1))
+        self.ids, self.carried, self.lang = ids[keep], carried[keep], lang
+        self.stop = self.ids == place.get(b"\n", -1)
+
+    def phrases(self, longest: int, filters: list[np.ndarray]):
+        """(k, ends, hashes) for k from 1: where phrases of k words end whose parts pass the filters (one for each length, as far as there are), and the hash of what ends anywhere."""
+        import xxhash
+
+        key = np.uint64(xxhash.xxh64_intdigest(self.lang.encode(), SEED))
+        key = (key << np.uint64(7)) | (key >> np.uint64(57))
+        own = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in self.names), np.uint64, len(self.names))
+        whole, hashes = ~self.stop, (own ^ key)[self.ids]
+        step = (own * _FACTOR)[self.ids]
+        for k in range(1, longest + 1):
+            if k > 1:
+                before = whole
+                whole = np.zeros(len(before), bool)
+                whole[1:] = before[1:] & before[:-1]
+                turned = np.zeros_like(hashes)
+                turned[1:] = (hashes[:-1] ^ (hashes[:-1] >> np.uint64(32))) * _FACTOR
+                hashes = turned ^ step
+                hashes ^= hashes >> np.uint64(29)
+            ends = np.flatnonzero(whole)
+            if k <= len(filters) and len(ends):
+                ends = ends[in_bloom(filters[k - 1], hashes[ends])]
+                whole = np.zeros(len(whole), bool)
+                whole[ends] = True
+            yield k, ends, hashes
+
+
+def word_stripes(w: Words):
+    n = np.bincount(w.ids[~w.stop & ~w.carried], minlength=len(w.names))
+    found = np.flatnonzero(n)
+    yield 0, [None], [1], pa.array([None], pa.binary()), np.array([n.sum()])
+    ends = [*range(STRIPE, len(found), STRIPE), len(found)] if len(found) else []
+    yield 1, [b""] * len(ends), ends, w.words.take(pa.array(found)), n[found]
+
+
+def phrase_stripes(w: Words, longest: int, filters: list[np.ndarray]):
+    """Stripes (k, prefixes, ends of the stripes, next words, counts) of phrases of 2 words and more that pass the filters."""
+    v, number, texts = len(w.names), w.ids, w.names
+    for k, ends, _ in w.phrases(longest, filters):
+        if k == 1:
+            continue
         if not len(ends):
             return
-        codes, inverse = np.unique(number[ends - 1] * v + ids[ends], return_inverse=True)
+        codes, inverse = np.unique(number[ends - 1] * v + w.ids[ends], return_inverse=True)
         prefix, following = codes // v, codes % v
-        if k in lengths:
-            n = np.bincount(inverse[~carried[ends]], minlength=len(codes))
-            seen = np.flatnonzero(n)
-            starts = np.flatnonzero(np.diff(prefix[seen], prepend=-1))
-            yield k, [texts[p] for p in prefix[seen[starts]].tolist()], [*starts[1:], len(seen)], words.take(pa.array(following[seen])), n[seen]
-        if k + 1 < lengths.stop:
-            texts = [texts[p] + b" " + names[f] for p, f in zip(prefix.tolist(), following.tolist())]
-        number, whole = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
-        number[ends], whole[ends] = inverse, True
-
-
-def stripes(docs: DataFrame, lengths: range, words_in: np.ndarray | None = None, pairs_in: np.ndarray | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(k, lang, prefix, next array, n array) of the rows (lang, text): stripes of tasks, not yet merged."""
-    context = docs.sparkSession.sparkContext
-    filters = context.broadcast((words_in, pairs_in))
+        n = np.bincount(inverse[~w.carried[ends]], minlength=len(codes))
+        seen = np.flatnonzero(n)
+        starts = np.flatnonzero(np.diff(prefix[seen], prepend=-1))
+        yield k, [texts[p] for p in prefix[seen[starts]].tolist()], [*starts[1:], len(seen)] if len(starts) else [], w.words.take(pa.array(following[seen])), n[seen]
+        if k < longest:
+            texts = [texts[p] + b" " + w.names[f] for p, f in zip(prefix.tolist(), following.tolist())]
+        number = np.zeros(len(w.ids), np.int64)
+        number[ends] = inverse
+
+
+def _chunks(batches, carried: int, chunk: int):
+    """Words of the rows (lang, text), of about ``chunk`` bytes of one language at a time."""
+    held: dict[str, list[tuple[bytes, bytes]]] = {}
+    size = 0
+    for batch in batches:
+        texts = batch.column(1)
+        for i, lang in enumerate(batch.column(0).to_pylist()):
+            text = texts[i].as_buffer()
+            for carry, part in cut_text(text.to_pybytes().translate(_PLAIN), carried, chunk) if text is not None else ():
+                if size and size + len(part) > chunk:
+                    yield from (Words(parts, name) for name, parts in held.items())
+                    held, size = {}, 0
+                held.setdefault(lang, []).append((carry, part))
+                size += len(part)
+    yield from (Words(parts, name) for name, parts in held.items())
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary"))
+
+
+def stripes(docs: DataFrame, longest: int, filters: list[np.ndarray], chunk: int = CHUNK) -> DataFrame:
+    """(k, lang, prefix, next array, n array) of the rows (lang, text): stripes of tasks, not yet merged. ``longest`` 1: of words and of all words, else of longer phrases."""
+    told = docs.sparkSession.sparkContext.broadcast(filters)
 
     def make(batches):
-        held: dict[str, list[tuple[bytes, bytes]]] = {}
-        size = 0
-
-        def flush():
-            for lang, parts in held.items():
-                for k, prefixes, ends, nexts, n in count_chunk(parts, lang, lengths, *filters.value):
-                    offsets = pa.array([0, *ends] if len(ends) else [0], pa.int32())
-                    columns = [pa.array([k] * len(ends), pa.int32()), pa.array([lang] * len(ends), pa.string()), pa.array(prefixes, pa.binary()).cast(pa.string())]
-                    columns += [pa.ListArray.from_arrays(offsets, nexts.cast(pa.string())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64()))]
-                    rows = pa.RecordBatch.from_arrays(columns, ["k", "lang", "prefix", "next", "n"])
-                    yield from (rows.slice(r, 20_000) for r in range(0, len(ends), 20_000))
-            held.clear()
+        for words in _chunks(batches, longest - 1, chunk):
+            for k, prefixes, ends, nexts, n in word_stripes(words) if longest == 1 else phrase_stripes(words, longest, told.value):
+                offsets = pa.array([0, *ends], pa.int32())
+                columns = [pa.array([k] * len(ends), pa.int32()), pa.array([words.lang] * len(ends), pa.string()), pa.array(prefixes, pa.binary()).cast(pa.string())]
+                columns += [pa.ListArray.from_arrays(offsets, nexts.cast(pa.string())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64()))]
+                rows = pa.RecordBatch.from_arrays(columns, ["k", "lang", "prefix", "next", "n"])
+                yield from (rows.slice(r, 20_000) for r in range(0, len(ends), 20_000))
+
+    return _texts(docs).mapInArrow(make, "k int, lang string, prefix string, next array<string>, n array<long>")
+
+
+def frequent_buckets(docs: DataFrame, length: int, least: int, filters: list[np.ndarray], bits: int, chunk: int = CHUNK) -> DataFrame:
+    """(h): hashes that begin the buckets, of ``bits`` bits, in which phrases of ``length`` words whose parts pass the filters have ``least`` occurrences in all."""
+    told, low = docs.sparkSession.sparkContext.broadcast(filters), np.uint64(min(bits, RANGE_BITS))
+    shift, mask = np.uint64(64 - bits), np.uint64((1 << int(low)) - 1)
+
+    def count(batches):
+        for words in _chunks(batches, length - 1, chunk):
+            for k, ends, hashes in words.phrases(length, told.value):
+                if k < length:
+                    continue
+                bucket, n = np.unique(hashes[ends[~words.carried[ends]]] >> shift, return_counts=True)
+                part = (bucket >> low).astype(np.int64)
+                cuts = np.flatnonzero(np.diff(part, prepend=-1))
+                rows = []
+                for a, b in zip(cuts, [*cuts[1:], len(part)]):
+                    steps = np.diff((bucket[a:b] & mask).astype(np.uint32), prepend=np.uint32(0))
+                    rows.append((int(part[a]), b - a, pa.compress(steps, "zstd", asbytes=True), pa.compress(n[a:b].astype(np.uint32), "zstd", asbytes=True)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["part", "size", "steps", "n"])
+
+    def add(batches):
+        at, total = None, np.zeros(1 << int(low), np.int64)
+
+        def frequent():
+            found = np.flatnonzero(total >= least).astype(np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array((((np.uint64(at) << low) | found) << shift).view(np.int64))], ["h"])
 
         for batch in batches:
-            texts = batch.column(1)
-            for i, lang in enumerate(batch.column(0).to_pylist()):
-                text = texts[i].as_buffer()
-                for carry, part in cut_text(text.to_pybytes().translate(_PLAIN), lengths.stop - 2, chunk) if text is not None else ():
-                    if size and size + len(part) > chunk:
-                        yield from flush()
-                        size = 0
-                    held.setdefault(lang, []).append((carry, part))
-                    size += len(part)
-        yield from flush()
+            for part, size, steps, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != at:
+                    if at is not None:
+                        yield frequent()
+                        total[:] = 0
+                    at = part
+                places = np.cumsum(np.frombuffer(pa.decompress(steps, size * 4, "zstd"), np.uint32), dtype=np.int64)
+                total[places] += np.frombuffer(pa.decompress(n, size * 4, "zstd"), np.uint32)
+        if at is not None:
+            yield frequent()
 
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary"))
-    return rows.mapInArrow(make, "k int, lang string, prefix string, next array<string>, n array<long>")
+    dealt = _texts(docs).mapInArrow(count, "part long, size long, steps binary, n binary").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(add, "h long")
 
 
 def merged(stripes: DataFrame) -> DataFrame:
@@ -189,20 +248,16 @@ def merged(stripes: DataFrame) -> DataFrame:
 
 def phrase_counts(docs: DataFrame, longest: int = 5, least: int = 100, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(k, lang, prefix, next, n) of all phrases of 1 to ``longest`` words with ``least`` occurrences, and (lang, total) of the words."""
-    words = kept(merged(stripes(docs, range(1, 2), chunk=chunk)).where((F.col("n") >= least) | F.col("prefix").isNull()), "words")
+    words = kept(merged(stripes(docs, 1, [], chunk)).where((F.col("n") >= least) | F.col("prefix").isNull()), "words")
     totals = words.where("prefix is null").select("lang", F.col("n").alias("total"))
     words = words.where("prefix is not null")
-    found = [words]
-    words_in = bloom_bits(words.select(phrase_hash("lang", "next").alias("h")))
-    pairs = kept(merged(stripes(docs, range(2, 3), words_in, chunk=chunk)).where(F.col("n") >= least), "pairs")
-    found.append(pairs)
-    if longest > 2:
-        pairs_in = bloom_bits(pairs.select(phrase_hash("lang", "prefix", "next").alias("h")))
-        found.append(kept(merged(stripes(docs, range(3, longest + 1), words_in, pairs_in, chunk)).where(F.col("n") >= least), "phrases"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out, totals
+    n_words = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    bits = min(max((n_words << BUCKETS_EACH).bit_length(), 16), 60)
+    filters = [bloom_bits(words.select(word_hash("lang", "next").alias("h")))]
+    # The longest phrases are few where their parts are frequent, so they aren't counted by hash.
+    for k in range(2, max(3, longest)):
+        filters.append(bloom_bits(kept(frequent_buckets(docs, k, least, filters, bits, chunk), "buckets"), bits))
+    return words.union(kept(merged(stripes(docs, longest, filters, chunk)).where(F.col("n") >= least), "phrases")), totals
 
 
 def collocations(docs: DataFrame, longest: int = 5, least: int = 100, contained: int = 100, top: int = 2000, lang_col: str = "lang", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:

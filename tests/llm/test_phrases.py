@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from rootloom.llm.phrase_stripes import _PLAIN, bloom_bits, collocations, cut_text, in_bloom, phrase_hash
+from rootloom.llm.phrase_stripes import _PLAIN, Words, bloom_bits, collocations, cut_text, frequent_buckets, in_bloom, word_hash
 
 
 def brute(rows, longest, least, contained=100, top=2000):
@@ -76,14 +76,26 @@ def test_cut_texts_lose_nothing():
 
 
 def test_filters_let_all_through(spark):
-    rows = [("en", f"w{i}", f"v{i * 7}") for i in range(3000)]
-    df = spark.createDataFrame(rows, "lang string, a string, b string").select(phrase_hash("lang", "a", "b").alias("h"))
+    rows = [("en", f"w{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "lang string, a string").select(word_hash("lang", "a").alias("h"))
     bits = bloom_bits(df)
-    hashes = np.array([r["h"] for r in df.collect()], np.int64).view(np.uint64)
+    (_, ends, hashes), = Words([(b"", " ".join(w for _, w in rows).encode())], "en").phrases(1, [])
+    assert sorted(hashes.view(np.int64).tolist()) == sorted(r["h"] for r in df.collect()) and len(ends) == 3000
     assert in_bloom(bits, hashes).all()
     assert in_bloom(bits, np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)).mean() < 0.1
 
 
+@pytest.mark.parametrize("bits", [16, 30])
+def test_buckets_hold_all_frequent_phrases(spark, bits):
+    docs = spark.createDataFrame(corpus(7), "lang string, text string").repartition(3)
+    got = {r["h"] for r in frequent_buckets(docs, 2, 20, [], bits, 500).collect()}
+    count = Counter()
+    for lang, text in corpus(7):
+        *_, (_, ends, hashes) = Words([(b"", (text or "").encode().translate(_PLAIN))], lang or "und").phrases(2, [])
+        count.update((hashes[ends] >> np.uint64(64 - bits) << np.uint64(64 - bits)).view(np.int64).tolist())
+    assert got == {h for h, n in count.items() if n >= 20} and len(got) > 10
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     a, n, l, r = 10**12 + 7, 10**15 + 3, 10**13 + 1, 3 * 10**12 + 11
     df = spark.createDataFrame([(a, n, l, r)], "a long, n long, l long, r long")
