@@ -316,20 +316,16 @@ def model_rows(spark, sf_dir):
     return rows.where("split = 'train'"), rows.where("split = 'held_out'"), views
 
 
-#: Smaller forests than the published ones (400 trees, 0.7 of the features, no bound on depth), which MLlib takes too long for.
-_FORESTS = {"trees": 40, "depth": 6, "tried": "sqrt"}
-
-
 @query("ensemble_classifier")
 def _(spark, sf_dir):
     from rootloom.operators.models import ensemble_classifier
 
     train, rest, views = model_rows(spark, sf_dir)
-    return ensemble_classifier(train, rest, [*views["level"], *views["dynamics"]], **_FORESTS)
+    return ensemble_classifier(train, rest, [*views["level"], *views["dynamics"]])
 
 
 @query("stacked_adjudicator")
 def _(spark, sf_dir):
     from rootloom.operators.models import stacked_adjudicator
 
-    return stacked_adjudicator(*model_rows(spark, sf_dir), **_FORESTS)
+    return stacked_adjudicator(*model_rows(spark, sf_dir))

@@ -146,7 +146,7 @@ def test_classifiers_learn_held_out_rows(spark, name):
     # Labels that a statistic decides: forests of a few trees must find them on rows they haven't seen.
     rule = {"root1": "feature0__mean > 0", "root2": "feature1__max > 0.15", "root3": "feature2__slope > 0"}
     train, rest = (df.withColumns({r: F.expr(f"cast({e} as int)") for r, e in rule.items()}).cache() for df in (train, rest))
-    small = {"seeds": (1, 2), "trees": 5, "depth": 4, "tried": "all"}
+    small = {"seeds": (1, 2), "trees": 15, "share": 1.0}
     few = {"level": ["feature0__mean", "feature1__max"], "dynamics": ["feature2__slope", "feature0__mean"]}
     assert all(set(columns) <= {*views["level"], *views["dynamics"]} for columns in few.values()) and len(views["level"]) + len(views["dynamics"]) == 112
     if name == "ensemble":
