@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rootloom.operators.bootstrap import bootstrap_ci
 from rootloom.operators.findings import best
 from rootloom.operators.order_stats import hash_rank, order_statistic
 
 
-
 def by_system(scored: DataFrame) -> DataFrame:
     """hit@1, hit@3, hit@5, average of hit@1 to hit@5, and reciprocal rank, for each system and for each system and fault type."""
     at = lambda k: F.when(F.col("place").between(1, k), 1.0).otherwise(0.0)
@@ -63,54 +64,42 @@ def wilson_ci(hits: Column, n: Column, z: float = 1.959963984540054) -> Column:
     return F.struct(F.round(F.greatest(F.lit(0.0), centre - half), 6).alias("low"), F.round(F.least(F.lit(1.0), centre + half), 6).alias("high"))
 
 
-#: A prime whose square fits into 64 bits, and where a uniform number below it begins to stand for 1, 2, 3, ... draws of a row: the Poisson distribution of mean 1.
-PRIME = 2**31 - 1
-POISSON = [math.floor(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(10)]
-
+#: Nodes and weights of a fixed quadrature on [0, 1], and ln k! - ln of Stirling's formula for small k.
+_NODES, _QUADRATURE = ((v / 2).tolist() for v in (lambda x, w: (x + 1, w))(*np.polynomial.legendre.leggauss(64)))
+_STIRLING = [0.0] + [math.lgamma(k + 1) - (k + 0.5) * math.log(k) + k - 0.5 * math.log(2 * math.pi) for k in range(1, 16)]
 
-def with_weight(rows: DataFrame, number: str, rep: str, into: str, seed: int = 7) -> DataFrame:
-    """Adds how often a repetition draws a row: a keyed integer mix of the row's number and the repetition; any engine gives the same one.
 
-    Two rounds of an affine step and a fifth power, which permutes the numbers below the prime; each step is a column, so
-    that no expression is written out twice.
-    """
-    x = F.col("_x")
-    rows = rows.withColumn("_x", (F.col(number) + F.lit(seed).cast("long") * 7919 + F.col(rep).cast("long") * 1299709) % PRIME)
-    for a, c in ((48271, 11), (69621, 7)):
-        rows = rows.withColumn("_x", (x * a + c) % PRIME)
-        rows = rows.withColumn("_y", x * x % PRIME).withColumn("_y", F.col("_y") * F.col("_y") % PRIME).withColumn("_x", F.col("_y") * x % PRIME)
-    return rows.withColumn(into, sum((F.when(x >= t, 1).otherwise(0) for t in POISSON), F.lit(0))).drop("_x", "_y")
+def _stirling_rest(k: Column) -> Column:
+    k = k.cast("double")
+    series = 1 / (12 * k) - 1 / (360 * k * k * k) + 1 / (1260 * k * k * k * k * k)
+    return F.when(k < 16, F.get(F.array(*map(F.lit, _STIRLING)), F.least(k, F.lit(15.0)).cast("int"))).otherwise(series)
 
 
-def bootstrap_ci(rows: DataFrame, keys: list[str], value: str, row_id: list[str], reps: int = 1000, seed: int = 7, alpha: float = 0.05) -> DataFrame:
-    """(keys, n, mean, low, high): percentile bootstrap of a mean, by order statistics at floor(alpha / 2 * reps) and its mirror.
+def half_binomial_tail(m: Column, n: Column) -> Column:
+    """P(X <= m) for n fair draws, 2 m <= n: any n, in a fixed number of steps.
 
-    In a repetition each row counts as often as a Poisson draw of mean 1 says (``with_weight``), which is what drawing n of n
-    rows comes to; ``row_id`` tells rows apart (rows that share one are drawn together). So there is no rank, no look-up and no
-    join: repetitions times rows, spread over all tasks, meet as two sums for each task and repetition.
+    The tail is (n - m) P(X = m) times the integral of (1 - s)^(n - m - 1) (1 + s)^m from 0 to 1, which is taken up to where nothing
+    is left of it; P(X = m) comes from its distance to the mean and the small rests of Stirling's formula, so that large logarithms don't cancel.
     """
-    mark = F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in row_id])), 1, 12)
-    values = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), (F.conv(mark, 16, 10).cast("long") % PRIME).alias("_k"))
-    drawn = with_weight(values.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))), "_k", "_rep", "_w", seed)
-    means = drawn.groupBy(*keys, "_rep").agg((F.sum(F.col("_v") * F.col("_w")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m")).where("_m is not null")
-    low, high = int(alpha / 2 * reps), min(reps - 1, int((1 - alpha / 2) * reps))
-    order = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_m")  # reps rows for each key
-    at = lambda r: F.round(F.max(F.when(F.col("_r") == r, F.col("_m"))), 6)
-    ends = means.withColumn("_r", F.row_number().over(order) - 1).groupBy(*keys).agg(at(low).alias("low"), at(high).alias("high"))
-    sums = values.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("_v"), 6).alias("mean"))
-    return sums.join(ends, keys) if keys else sums.join(F.broadcast(ends), how="left")  # a row each
+    m, n = m.cast("double"), n.cast("double")
+    half = n / 2
+    away = lambda x: half * ((x / half) * F.log1p((x - half) / half) - (x - half) / half)
+    log = _stirling_rest(n) - _stirling_rest(m) - _stirling_rest(n - m) - away(m) - away(n - m) - 0.5 * F.log(2 * math.pi * m * (n - m) / n)
+    at = F.when(m > 0, log).otherwise(-n * math.log(2.0))
+    a, b = F.greatest(n - 1, F.lit(1.0)), F.greatest(n - 2 * m - 1, F.lit(0.0))
+    end = F.least(F.lit(1.0), (F.sqrt(b * b + 80 * a) - b) / a)
+    power = lambda base, e: F.when(e == 0, 0.0).otherwise(e * F.log1p(base))
+    points = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(w).alias("w")) for x, w in zip(_NODES, _QUADRATURE)])
+    area = F.aggregate(points, F.lit(0.0), lambda s, p: s + p["w"] * F.exp(power(-p["x"] * end, n - m - 1) + power(p["x"] * end, m)))
+    return F.when(n > 0, (n - m) * F.exp(at) * end * area).otherwise(1.0)
 
 
 def mcnemar(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Discordant counts, corrected chi-square and exact two-sided binomial p of paired 0/1 columns baseline and treatment."""
     counts = pairs.groupBy(*(keys or [])).agg(F.count("*").alias("n"), F.count_if((F.col("baseline") > 0) & (F.col("treatment") <= 0)).alias("baseline_only"), F.count_if((F.col("baseline") <= 0) & (F.col("treatment") > 0)).alias("treatment_only"))
     b, c = F.col("baseline_only"), F.col("treatment_only")
-    total, least = b + c, F.least(b, c)
-    # The tail is a sum of exp(log C(n, k) - n log 2), whose terms follow one from another.
-    start = F.struct((-total * F.log(F.lit(2.0))).alias("log"), F.lit(0.0).alias("sum"))
-    step = lambda a, k: F.struct((a["log"] + F.when(k > 0, F.log((total - k + 1) / F.greatest(k, F.lit(1)))).otherwise(0.0)).alias("log"), (a["sum"] + F.exp(a["log"] + F.when(k > 0, F.log((total - k + 1) / F.greatest(k, F.lit(1)))).otherwise(0.0))).alias("sum"))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), least), start, step, lambda a: a["sum"])
-    p = F.when(total == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    total = b + c
+    p = F.when(total == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * half_binomial_tail(F.least(b, c), total)))
     chi = F.when(total > 0, F.pow(F.greatest(F.abs(b - c) - 1, F.lit(0)), F.lit(2)) / total).otherwise(0.0)
     return counts.withColumns({"chi_square": F.round(chi, 6), "p_value": F.round(p, 9)})
 
@@ -242,7 +231,7 @@ def slice_comparison(rows: DataFrame, roles: dict[str, str], treatment: str, val
     pairs = pairs.select("slice", "case_id", "treatment", "x.*").where("baseline is not null and treatment is not null").withColumn("d", F.col("treatment") - F.col("baseline"))
     keys = ["slice", "role"]
     tests = holm_adjust(mcnemar(pairs, keys).select(*keys, "n", "baseline_only", "treatment_only", "p_value"), ["slice"], ["role"])
-    effect = bootstrap_ci(pairs, keys, "d", ["role", "case_id"], reps).select(*keys, F.col("mean").alias("delta"), "low", "high")
+    effect = bootstrap_ci(pairs, keys, "d", reps).select(*keys, F.col("mean").alias("delta"), "low", "high")
     rates = pairs.groupBy(*keys, "baseline_system").agg(F.avg("baseline").alias("_rate"))
     found = tests.join(effect, keys).join(rates, keys)
     cut = F.when(F.col("_rate") < 1, F.col("delta") / (1 - F.col("_rate"))).otherwise(0.0)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rootloom.operators import evaluation as ops
 from rootloom.operators import fusion, scoring
+from rootloom.operators.bootstrap import KEYS, PRIME, ROUNDS
 from rootloom.operators.graph import paired_systems
 from rootloom.operators.scoring import score_join
 from rootloom.plans.fusion_queries import _PAIRS, _PARSED, _VECTORS, _parsed, _vectors
@@ -70,36 +71,44 @@ def _(spark, sf_dir):
     return sums.select("system", ops.wilson_ci(F.col("h"), F.col("n")).alias("w")).select("system", "w.low", "w.high")
 
 
-#: A row's weight in a repetition, step by step; the cuts are those of the Poisson distribution of mean 1 below the prime.
-_P = "2147483647"
-_WEIGHT = " + ".join(f"(x >= {t})::bigint" for t in ops.POISSON)
+def _draw(name, need, keys):
+    """CTEs: ``name`` has (keys, rep, k) for rows (keys, rep, n, p, x) of ``need``: x is mixed below a prime, and k is the least with P(X <= k) above it, X binomial(n, p)."""
+    prime, steps, at = PRIME, [], need
+    for i, (a, c) in enumerate(ROUNDS):
+        steps += [f"{name}a{i} as (select * replace ((x * {a} + {c}) % {prime} as x) from {at})", f"{name}b{i} as (select *, (x * x) % {prime} as y from {name}a{i})"]
+        steps.append(f"{name}c{i} as (select * exclude (x, y), ((y * y) % {prime} * x) % {prime} as x from {name}b{i})")
+        at = f"{name}c{i}"
+    return ", ".join(steps) + f""", {name}w as (select distinct n, p from {at} where p > 0 and p < 1), {name}k as (select n, p, unnest(range(greatest(0, floor(n * p - 10 * sqrt(n * p * (1 - p)) - 10))::bigint, least(n, ceil(n * p + 10 * sqrt(n * p * (1 - p)) + 10))::bigint + 1)) as k from {name}w),
+    {name}m as (select *, case when k = 0 then n * ln(1 - p) when k = n then n * ln(p) else lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p) end as l from {name}k),
+    {name}f as (select n, p, k, sum(exp(l)) over (partition by n, p order by k) / sum(exp(l)) over (partition by n, p) as f from {name}m),
+    {name} as (select {keys}, rep, case when any_value(s.p) <= 0 then 0 when any_value(s.p) >= 1 then any_value(s.n) else coalesce(min(k) filter (f > (x + 0.5) / {prime}), max(k)) end as k from {at} s left join {name}f using (n, p) group by {keys}, rep)"""
 
 
-def _boot(source, keys, row_id, reps):
-    """CTEs: bt has the means of all repetitions of a source (keys, v, row_id), numbered from 0 in their order."""
-    part, group = (f"partition by {keys} ", f"{keys}, ") if keys else ("", "")
+def _boot(source, keys, reps):
+    """CTEs: ends has the interval of each key of a source (keys, v) with three different values at most: draws of the first value, then of the second among the rest."""
     low, high = int(0.025 * reps), min(reps - 1, int(0.975 * reps))
-    return f"""nb as materialized (select {group}v::double as v, (('0x' || substr(md5({row_id}), 1, 12))::ubigint % {_P})::bigint as k from {source} where v is not null),
-    d0 as (select {group}v, rep, (k + 7 * 7919 + rep * 1299709) % {_P} as x from nb, range({reps}) q(rep)),
-    d1 as (select {group}v, rep, (x * 48271 + 11) % {_P} as x from d0), d2 as (select *, (x * x) % {_P} as y from d1), d3 as (select {group}v, rep, ((y * y) % {_P} * x) % {_P} as x from d2),
-    d4 as (select {group}v, rep, (x * 69621 + 7) % {_P} as x from d3), d5 as (select *, (x * x) % {_P} as y from d4), d6 as (select {group}v, rep, ((y * y) % {_P} * x) % {_P} as x from d5),
-    mn as (select {group}rep, sum(v * ({_WEIGHT})) / nullif(sum({_WEIGHT}), 0) as m from d6 group by {group}rep), bt as (select {group}m, row_number() over ({part}order by m) - 1 as r from mn where m is not null),
-    ends as (select {group}round(max(m) filter (r = {low}), 6) as low, round(max(m) filter (r = {high}), 6) as high from bt {"group by " + keys if keys else ""})"""
+    node = lambda begin, end: (7 * KEYS["seed"] + begin * KEYS["begin"] + end * KEYS["end"]) % PRIME
+    return f"""vc as materialized (select {keys}, v, count(*)::bigint as c from {source} where v is not null group by all),
+    vi as materialized (select *, row_number() over (partition by {keys} order by v) as i, count(*) over (partition by {keys}) as vk, (sum(c) over (partition by {keys}))::bigint as total from vc),
+    n1 as (select {keys}, rep, total as n, (case when vk = 1 then 1.0 else c / total end)::double as p, (rep * {KEYS["rep"]} + case vk when 3 then {node(0, 3)} else {node(0, 2)} end) % {PRIME} as x from vi, range({reps}) q(rep) where i = 1),
+    {_draw("k1", "n1", keys)},
+    n2 as (select {keys}, rep, vi.total - k1.k as n, (case when vk = 2 then 1.0 else c / (total - (select o.c from vi o where o.i = 1 and o.{keys} = vi.{keys})) end)::double as p, (rep * {KEYS["rep"]} + {node(1, 3)}) % {PRIME} as x from vi join k1 using ({keys}) where i = 2),
+    {_draw("k2", "n2", keys)},
+    mn as (select {keys}, rep, (sum(v * case i when 1 then k1.k when 2 then k2.k else total - k1.k - k2.k end) / any_value(total))::double as m from vi join k1 using ({keys}) left join k2 using ({keys}, rep) group by {keys}, rep),
+    bt as (select {keys}, m, row_number() over (partition by {keys} order by m) - 1 as r from mn),
+    ends as (select {keys}, round(max(m) filter (r = {low}), 6) as low, round(max(m) filter (r = {high}), 6) as high from bt group by {keys})"""
 
 
-@query("bootstrap_ci", f"with src as (select fault_type, telemetry_bytes as v, case_id from cases), {_boot('src', 'fault_type', 'case_id', 1000)} select fault_type, count(v) as n, round(avg(v), 6) as mean, max(low) as low, max(high) as high from src join ends using (fault_type) group by fault_type")
+@query("bootstrap_ci")
 def _(spark, sf_dir):
-    return ops.bootstrap_ci(c.case(spark, sf_dir), ["fault_type"], "telemetry_bytes", ["case_id"])
+    return ops.bootstrap_ci(c.case(spark, sf_dir), ["fault_type"], "telemetry_bytes")
 
 
-@query("aggregate_ci", f"""with src as (select system, latency_s as v, case_id from scored), w as (select system, sum(hit_at_1)::double as h, count(*)::double as n from scored group by system), {_boot('src', 'system', 'case_id', 1000)}
-    select system, 'latency_s' as metric, low, high from ends union all
-    select system, 'hit_at_1', round((h / n + 3.841458820694124 / (2 * n)) / (1 + 3.841458820694124 / n) - 1.959963984540054 * sqrt((h / n) * (1 - h / n) / n + 3.841458820694124 / (4 * n * n)) / (1 + 3.841458820694124 / n), 6),
-      round((h / n + 3.841458820694124 / (2 * n)) / (1 + 3.841458820694124 / n) + 1.959963984540054 * sqrt((h / n) * (1 - h / n) / n + 3.841458820694124 / (4 * n * n)) / (1 + 3.841458820694124 / n), 6) from w""")
+@query("aggregate_ci")
 def _(spark, sf_dir):
     rows = _scored(spark, sf_dir)
     share = rows.groupBy("system").agg(F.sum("hit_at_1").cast("double").alias("h"), F.count("*").cast("double").alias("n")).select("system", F.lit("hit_at_1").alias("metric"), ops.wilson_ci(F.col("h"), F.col("n")).alias("w")).select("system", "metric", "w.low", "w.high")
-    mean = ops.bootstrap_ci(rows, ["system"], "latency_s", ["case_id"]).select("system", F.lit("latency_s").alias("metric"), "low", "high")
+    mean = ops.bootstrap_ci(rows, ["system"], "latency_s").select("system", F.lit("latency_s").alias("metric"), "low", "high")
     return mean.unionByName(share)
 
 
@@ -115,10 +124,10 @@ def _(spark, sf_dir):
     return ops.mcnemar(pairs, ["fault_type"])
 
 
-@query("paired_bootstrap", f"with {_PAIR}, src as (select (t - b)::double as v, case_id from pr), {_boot('src', '', 'case_id', 10000)} select count(v) as n, round(avg(v), 6) as mean, max(low) as low, max(high) as high from src, ends")
+@query("paired_bootstrap", f"with {_PAIR}, src as (select (t - b)::double as v, 0 as whole from pr), {_boot('src', 'whole', 10000)} select count(v) as n, round(avg(v), 6) as mean, max(low) as low, max(high) as high from src, ends")
 def _(spark, sf_dir):
     d = _pairs(spark, sf_dir).select("case_id", (F.col("treatment") - F.col("baseline")).alias("d"))
-    return ops.bootstrap_ci(d, [], "d", ["case_id"], reps=10_000)
+    return ops.bootstrap_ci(d, [], "d", reps=10_000)
 
 
 @query("holm_adjust", "with p as (select case_id, component, metric, exp(-abs(t_stat)) as p from welch where t_stat is not null), r as (select *, row_number() over (partition by case_id order by p, component, metric) as r, count(*) over (partition by case_id) as m from p) select case_id, component, metric, round(p, 9) as p_value, round(least(1.0, max((m - r + 1) * p) over (partition by case_id order by r)), 9) as holm_p from r")
@@ -324,7 +333,7 @@ _ROLES = {"operational_single": "single", "architecture_baseline": "sharded"}
     src as (select slice || '|' || role as sr, slice, role, case_id, b, t, (t - b)::double as v from (select slice, case_id, t, unnest(['operational_single', 'architecture_baseline']) as role, unnest([b1, b2]) as b from w)),
     s as (select sr, slice, role, count(*) as n, count(*) filter (b > t) as bo, count(*) filter (b < t) as tr, avg(b) as rate, round(avg(v), 6) as delta from src group by all), {_TAIL.format(keys="sr")},
     ps as (select s.*, round(case when bo + tr = 0 then 1.0 else least(1.0, 2 * tail) end, 9) as p from s join tl using (sr)), rk as (select *, row_number() over (partition by slice order by p, role) as i from ps),
-    hm as (select *, round(least(1.0, max((3 - i) * p) over (partition by slice order by i)), 9) as holm from rk), {_boot('src', 'sr', "role || ':' || case_id", 1000)}
+    hm as (select *, round(least(1.0, max((3 - i) * p) over (partition by slice order by i)), 9) as holm from rk), {_boot('src', 'sr', 1000)}
     select slice, role, case role when 'operational_single' then 'single' else 'sharded' end as baseline, n, bo as baseline_only, tr as treatment_only, delta, low, high, p as p_value, holm as holm_p, (delta >= 0.1 or case when rate < 1 then delta / (1 - rate) else 0 end >= 0.2) and holm <= 0.05 as passes from hm join ends using (sr)""")
 def _(spark, sf_dir):
     sliced = _scored(spark, sf_dir).withColumn("slice", F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("telemetry_bytes") > 250000, "high_volume")))))

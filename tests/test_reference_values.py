@@ -1,10 +1,12 @@
 """Values worked out by hand from the published program's own tests and tables: vocabularies, weights, priors, graphs, answers."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rootloom.operators import checks, evaluation, findings, fusion, graph, scoring, time_ops
+from rootloom.operators import bootstrap, checks, evaluation, findings, fusion, graph, scoring, time_ops
 from rootloom.sources import files
 
 
@@ -196,19 +198,81 @@ def test_error_kinds(spark):
     assert {r["k"]: r["categories"] for r in got} == {k: c for k, (_, _, c) in enumerate(cases)}
 
 
-def test_poisson_weights_are_those_of_the_distribution(spark):
-    rows = spark.range(40_000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("rep"))
-    counts = dict(map(tuple, evaluation.with_weight(rows, "k", "rep", "w").groupBy("w").count().collect()))
-    for w, p in enumerate(np.exp(-1) / np.array([1, 1, 2, 6, 24])):
-        assert abs(counts[w] / 40_000 - p) < 0.01
+def least_k(n, p, u):
+    """The least k with P(X <= k) > u, by exact fractions of the binomial distribution."""
+    from fractions import Fraction
+
+    p, total = Fraction(p), Fraction(0)
+    for k in range(n + 1):
+        total += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if total > u:
+            return k
+    return n
+
+
+def test_binomial_draws_invert_the_distribution():
+    rnd = np.random.default_rng(3)
+    n, u = rnd.integers(0, 60, 300), rnd.random(300)
+    for p in (0.0, 0.01, 0.3, 0.5, 0.97, 1.0):
+        assert bootstrap.binomial(n, p, u).tolist() == [least_k(int(a), p, b) for a, b in zip(n, u)]
+    drawn = bootstrap.binomial(np.full(20_000, 150_000), 0.2, bootstrap.uniform(7, np.arange(20_000), 0, 0, 2))
+    assert abs(drawn.mean() - 30_000) < 5 and abs(drawn.std() / math.sqrt(24_000) - 1) < 0.03
+
+
+def plain_counts(counts, n, reps, seed, level, begin=0, end=None):
+    """Draws of each value by splitting ranges in halves, one repetition at a time."""
+    end = len(counts) if end is None else end
+    if end - begin == 1:
+        return {begin: n}
+    mid = (begin + end) // 2
+    u = bootstrap.uniform(seed, np.arange(reps), level, begin, end)
+    left = [least_k(int(a), sum(counts[begin:mid]) / sum(counts[begin:end]), float(b)) for a, b in zip(n, u)]
+    return plain_counts(counts, left, reps, seed, level, begin, mid) | plain_counts(counts, [a - b for a, b in zip(n, left)], reps, seed, level, mid, end)
+
+
+def test_bootstraps_are_those_of_plain_python(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(g, float(v)) for g, values in (("a", [-1, 0, 1]), ("b", [0.5]), ("c", rnd.normal(size=9).tolist())) for v in rnd.choice(values, 40)] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {(r["g"], r["rep"]): r["mean"] for r in bootstrap.bootstrap_means(df, ["g"], "v", 30).collect()}
+    for g in "abc":
+        values, counts = np.unique([v for k, v in rows if k == g and v is not None], return_counts=True)
+        drawn = plain_counts(counts.tolist(), [40] * 30, 30, 7, 0)
+        for rep in range(30):
+            times = [drawn[k][rep] for k in range(len(values))]
+            assert sum(times) == 40 and got[g, rep] == pytest.approx(np.dot(values, times) / 40, abs=1e-9)
+
+
+def test_draws_of_parts_add_up(spark):
+    # 300 different values in parts of about 16: of n draws, each part's come from its way down, and all of them are n again.
+    df = spark.range(900).select((F.col("id") % 300).cast("double").alias("v"), F.lit(1.0).alias("one"))
+    assert {r["mean"] for r in bootstrap.bootstrap_means(df.withColumn("v", F.col("v") * 0 + 1), [], "v", 50, together=16).collect()} == {1.0}
+    means = np.array([r["mean"] for r in bootstrap.bootstrap_means(df, [], "v", 4000, together=16).collect()])
+    assert len(means) == 4000 and abs(means.mean() - 149.5) < 0.3 and abs(means.std() / (math.sqrt((300**2 - 1) / 12) / 30) - 1) < 0.05
+    again = np.array([r["mean"] for r in bootstrap.bootstrap_means(df.repartition(5), [], "v", 4000, together=16).orderBy("rep").collect()])
+    assert sorted(means.tolist()) == sorted(again.tolist())
+
+
+def test_binomial_tails(spark):
+    pairs = [(0, 1), (0, 7), (1, 3), (2, 9), (17, 40), (499, 1000), (450, 1000), (500, 1001), (4900, 10_000), (49_800, 100_000), (49_000, 100_000)]
+    df = spark.createDataFrame(pairs, "m long, n long").select("m", "n", evaluation.half_binomial_tail(F.col("m"), F.col("n")).alias("p"))
+    for r in df.collect():
+        want = sum(math.comb(r["n"], k) for k in range(r["m"] + 1)) / 2 ** r["n"] if r["n"] <= 1000 else sum(math.exp(math.lgamma(r["n"] + 1) - math.lgamma(k + 1) - math.lgamma(r["n"] - k + 1) - r["n"] * math.log(2)) for k in range(r["m"] + 1))
+        assert r["p"] == pytest.approx(want, rel=1e-11 if r["n"] <= 1000 else 1e-8, abs=1e-12)
+    n = 10**10
+    for z in (0.5, 1.0, 3.0):
+        m = n // 2 - int(z * math.sqrt(n) / 2)
+        p = spark.createDataFrame([(m, n)], "m long, n long").select(evaluation.half_binomial_tail(F.col("m"), F.col("n")).alias("p")).first()["p"]
+        edge = (n / 2 - m - 0.5) / (math.sqrt(n) / 2)  # with the correction for whole numbers
+        assert p == pytest.approx(math.erfc(edge / math.sqrt(2)) / 2, rel=1e-6)
 
 
 def test_bootstrap_interval(spark):
     values = np.random.default_rng(1).normal(5, 2, 400)
     df = spark.createDataFrame([(int(k), k % 2, float(v)) for k, v in enumerate(values)], "id int, g int, v double")
     for keys, parts in (([], [values]), (["g"], [values[::2], values[1::2]])):
-        one = evaluation.bootstrap_ci(df, keys, "v", ["id"]).orderBy(*keys, "n").collect()
-        assert one == evaluation.bootstrap_ci(df.repartition(7), keys, "v", ["id"]).orderBy(*keys, "n").collect()
+        one = evaluation.bootstrap_ci(df, keys, "v").orderBy(*keys, "n").collect()
+        assert one == evaluation.bootstrap_ci(df.repartition(7), keys, "v").orderBy(*keys, "n").collect()
         for r, x in zip(one, parts, strict=True):
             half = 1.96 * x.std() / np.sqrt(len(x))
             assert r["n"] == len(x) and abs(r["low"] - (x.mean() - half)) < 0.3 * half and abs(r["high"] - (x.mean() + half)) < 0.3 * half
