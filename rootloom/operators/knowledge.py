@@ -10,36 +10,86 @@ from rootloom.session import written
 #: Keys and values that give the answer away, letters and digits only.
 FORBIDDEN_KEYS = ("groundtruth", "groundtruthrootcause", "correctanswer", "goldanswer", "isrootcause", "istargetrootcause")
 FORBIDDEN_VALUES = ("targetrootcause", "groundtruth", "groundtruthrootcause", "correctanswer", "goldanswer")
-#: What is removed besides: a label field of the fixture, which the SQL of ``sanitize_graph`` has removed; the reference has no such token.
-LABEL_KEYS = ("rootcauselabel",)
 
 
 def token(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]", "")
 
 
+def _explode(level: DataFrame) -> DataFrame:
+    """The members of each ``v`` of a level: the level's other columns, name (null in a list), pos, v, nested, and text of a scalar."""
+    spark = level.sparkSession
+    level.createOrReplaceTempView("_rootloom_level")
+    others = ", ".join(f"t.{c} as {c}" for c in level.columns if c != "v")
+    out = spark.sql(f"select {others}, e.key as name, e.pos, e.value as v, schema_of_variant(e.value) as kind from _rootloom_level t, lateral variant_explode(t.v) e")
+    nested = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
+    return out.withColumn("nested", nested).withColumn("text", F.when(~F.col("nested"), F.expr("try_variant_get(v, '$', 'string')")))
+
+
+def _bad_key() -> Column:
+    return token(F.col("name")).isin(*FORBIDDEN_KEYS)
+
+
+def _bad_value() -> Column:
+    """Of a field, not of a list's member."""
+    return F.col("name").isNotNull() & token(F.col("text")).isin(*FORBIDDEN_VALUES)
+
+
 def leakage_audit(graphs: DataFrame, key: str = "case_id", raw: str = "raw") -> DataFrame:
     """(key, path, kind, value) for each forbidden key or scalar value anywhere in a JSON document, one level at a time until none is left."""
-    level = graphs.select(F.col(key).alias("key"), F.lit("").alias("path"), F.try_parse_json(raw).alias("v"))
-    spark, out = graphs.sparkSession, None
+    level, out = graphs.select(F.col(key).alias("key"), F.lit("").alias("path"), F.try_parse_json(raw).alias("v")), None
     while True:
-        level.createOrReplaceTempView("_rootloom_level")
-        level = spark.sql("select t.key, t.path as above, e.key as name, e.pos, e.value as v, schema_of_variant(e.value) as kind from _rootloom_level t, lateral variant_explode(t.v) e")
-        inside = F.when(F.col("name").isNull(), F.concat("above", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("above", F.when(F.col("above") == "", "").otherwise("."), "name"))
-        nested = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
-        level = level.withColumns({"path": inside, "text": F.when(~nested, F.expr("try_variant_get(v, '$', 'string')"))})
-        bad_key, bad_value = token(F.col("name")).isin(*FORBIDDEN_KEYS), F.col("name").isNotNull() & token(F.col("text")).isin(*FORBIDDEN_VALUES)
-        hits = F.filter(F.array(F.when(bad_key, F.lit("answer_key")), F.when(bad_value, F.lit("answer_marker"))), lambda x: x.isNotNull())
-        part = level.select(F.col("key").alias(key), "path", F.explode(hits).alias("kind"), F.coalesce("text", F.lit("")).alias("value"))
+        found = _explode(level)
+        inside = F.when(F.col("name").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("path", F.when(F.col("path") == "", "").otherwise("."), "name"))
+        found = found.withColumn("path", inside)
+        hits = F.filter(F.array(F.when(_bad_key(), F.lit("answer_key")), F.when(_bad_value(), F.lit("answer_marker"))), lambda x: x.isNotNull())
+        part = found.select(F.col("key").alias(key), "path", F.explode(hits).alias("kind"), F.coalesce("text", F.to_json("v"), F.lit("")).alias("value"))
         out = part if out is None else out.unionByName(part)
-        level = written(level.where(nested).select("key", "path", "v"), "level")
+        level = written(found.where("nested").select("key", "path", "v"), "level")
         if level.isEmpty():
             return out
 
 
+def sanitize_json(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the JSON documents in ``column`` without forbidden fields, at any depth, and all below them; lists keep their order.
+
+    Different documents are taken apart level by level, and only those that hold something forbidden are put together again,
+    from the deepest level up; all others stay as they are, and so does what is no JSON.
+    """
+    texts = written(rows.where(F.col(column).isNotNull()).select(F.col(column).alias("raw")).distinct().select(F.sha2("raw", 256).alias("doc"), F.try_parse_json("raw").alias("v")), "documents")
+    leaky = written(leakage_audit(texts.select("doc", F.to_json("v").alias("raw")), "doc").select("doc").distinct(), "leaky")
+    # Of a level: where a member stands (its places from the top, joined), and what it is.
+    levels = [written(texts.join(leaky, "doc", "left_semi").select("doc", F.lit("").alias("at"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("pos"), "v", F.schema_of_variant("v").alias("kind")), "level")]
+    while not levels[-1].isEmpty():
+        found = _explode(levels[-1].select("doc", "at", "v").withColumnRenamed("at", "above")).where(~F.coalesce(_bad_key(), F.lit(False)) & ~F.coalesce(_bad_value(), F.lit(False)))
+        levels.append(written(found.select("doc", F.concat_ws("/", "above", F.col("pos").cast("string")).alias("at"), "name", "pos", "v", "kind"), "level"))
+    built = None
+    for level in reversed(levels):
+        own = level.select("doc", "at", "name", "pos", "kind", F.to_json("v").alias("json"))
+        if built is not None:
+            own = own.join(built, ["doc", "at"], "left")
+        else:
+            own = own.withColumn("members", F.lit(None).cast("array<struct<pos:int,name:string,json:string>>"))
+        # The name in quotes ends with the bracket of the list that it was escaped in.
+        fields = F.array_join(F.transform("members", lambda m: F.concat(F.regexp_replace(F.to_json(F.array(m["name"])), r"^\[|\]$", ""), F.lit(":"), m["json"])), ",")
+        items = F.array_join(F.transform("members", lambda m: m["json"]), ",")
+        json = F.when(F.col("kind").startswith("OBJECT"), F.concat(F.lit("{"), F.coalesce(fields, F.lit("")), F.lit("}"))).when(F.col("kind").startswith("ARRAY"), F.concat(F.lit("["), F.coalesce(items, F.lit("")), F.lit("]"))).otherwise(F.col("json"))
+        done = own.select("doc", "at", "name", "pos", json.alias("json"))
+        member = F.struct(F.col("pos"), F.col("name"), F.col("json"))
+        up = F.when(F.col("at").contains("/"), F.regexp_replace("at", "/[^/]*$", "")).otherwise(F.lit(""))
+        built = written(done.where("at <> ''").groupBy("doc", up.alias("at")).agg(F.sort_array(F.collect_list(member)).alias("members")), "built")
+    cleaned = done.select(F.col("doc").alias("_doc"), F.col("json").alias("_clean"))
+    return rows.withColumn("_doc", F.sha2(column, 256)).join(cleaned, "_doc", "left").withColumn(column, F.coalesce("_clean", column)).drop("_doc", "_clean").select(*rows.columns)
+
+
 def sanitize_props(rows: DataFrame, props: str = "props") -> DataFrame:
-    """Without forbidden fields of a map column."""
-    return rows.withColumn(props, F.map_filter(props, lambda k, v: ~token(k).isin(*FORBIDDEN_KEYS, *LABEL_KEYS) & ~F.coalesce(token(v).isin(*FORBIDDEN_VALUES), F.lit(False))))
+    """Without forbidden fields of a map column, and of the JSON objects and lists that its values hold."""
+    kept = F.map_filter(props, lambda k, v: ~token(k).isin(*FORBIDDEN_KEYS) & ~F.coalesce(token(v).isin(*FORBIDDEN_VALUES), F.lit(False)))
+    rows = written(rows.withColumn(props, kept).withColumn("_row", F.monotonically_increasing_id()), "props")
+    inner = rows.select("_row", F.explode(F.map_entries(props)).alias("e")).select("_row", F.col("e.key").alias("k"), F.col("e.value").alias("json")).where(r"ltrim(json) rlike '^[\\{\\[]'")
+    patch = sanitize_json(inner, "json").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("k", "json"))).alias("_patch"))  # of one row
+    out = rows.join(patch, "_row", "left").withColumn(props, F.transform_values(props, lambda k, v: F.coalesce(F.try_element_at("_patch", k), v)))
+    return out.drop("_row", "_patch")
 
 
 def plain_kind(kind: Column) -> Column:

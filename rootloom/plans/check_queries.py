@@ -168,7 +168,7 @@ _KG_NODES = """kn as (select 'kg-' || (s_suppkey % 5)::varchar as case_id, s_sup
 def _kg_nodes(spark, sf_dir):
     s, k = c.table(spark, sf_dir, "supplier"), F.col("s_suppkey") % 4
     kind = F.when(k == 0, "Root_Cause").when(k == 1, "Alarm").when(k == 2, "Alarm_Cause").otherwise("Device")
-    props = F.create_map(F.lit("title"), F.when(k == 2, " ").otherwise(F.col("s_name")), F.lit("causeName"), F.col("s_name"), F.lit("root_cause_label"), F.lit("yes"))
+    props = F.create_map(F.lit("title"), F.when(k == 2, " ").otherwise(F.col("s_name")), F.lit("causeName"), F.col("s_name"))
     return s.select(F.concat(F.lit("kg-"), (F.col("s_suppkey") % 5).cast("string")).alias("case_id"), F.col("s_suppkey").alias("pos"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("rid"), kind.alias("kind"), F.array(F.when(k == 3, "x").otherwise("RootCause")).alias("labels"), props.alias("props"))
 
 
@@ -197,9 +197,13 @@ def _(spark, sf_dir):
     return kg.root_labels(_kg_nodes(spark, sf_dir))
 
 
-@query("sanitize_graph", f"with {_KG_NODES} select case_id, rid, 'causeName,title' as keys from kn")
+@query("sanitize_graph", f"""with {_KG_NODES} select case_id, rid, 'causeName,detail,title' as keys, case pos % 3 when 0 then '{{"a":[3,{{"keep":"' || name || '"}},"Ground Truth"],"n":{{}}}}' when 1 then '{{"n":{{"mark":"gold"}}}}' else '[1, 2]' end as detail from kn""")
 def _(spark, sf_dir):
-    return kg.sanitize_props(_kg_nodes(spark, sf_dir).withColumn("props", F.map_concat("props", F.create_map(F.lit("mark"), F.lit("Ground Truth"))))).select("case_id", "rid", F.array_join(F.sort_array(F.map_keys("props")), ",").alias("keys"))
+    nodes, k = _kg_nodes(spark, sf_dir), F.col("pos") % 3
+    leaky = F.concat(F.lit('{"n":{"mark":"goldAnswer"},"groundTruth":{"x":1},"a":[3,{"keep":"'), F.col("props")["causeName"], F.lit('","correct_answer":[]},"Ground Truth"]}'))
+    detail = F.when(k == 0, leaky).when(k == 1, '{"n":{"mark":"gold"}}').otherwise("[1, 2]")
+    props = F.map_concat("props", F.create_map(F.lit("mark"), F.lit("Ground Truth"), F.lit("detail"), detail))
+    return kg.sanitize_props(nodes.withColumn("props", props)).select("case_id", "rid", F.array_join(F.sort_array(F.map_keys("props")), ",").alias("keys"), F.col("props")["detail"].alias("detail"))
 
 
 @query("leakage_audit", """select c_custkey as case_id, u.path, u.kind, u.value from customer, lateral (select unnest(

@@ -178,3 +178,31 @@ def test_leaks_of_any_depth_and_name(spark):
     assert got == {(0, "edges[0].label", "answer_marker"), (1, "gold_answer", "answer_key"), (3, ".".join(["a[0]"] * 14) + ".isTargetRootCause", "answer_key")}
     props = spark.createDataFrame([({"label": "targetRootCause", "Gold Answer": "x", "answer": "stays", "title": "t"},)], "props map<string,string>")
     assert knowledge.sanitize_props(props).first()["props"] == {"answer": "stays", "title": "t"}
+
+
+def test_documents_are_clean_at_any_depth(spark):
+    import json
+
+    from rootloom.operators import knowledge
+
+    squeeze = lambda v: "".join(c.lower() for c in str(v) if c.isalnum())
+
+    def clean(v):
+        if isinstance(v, dict):
+            return {k: clean(x) for k, x in v.items() if squeeze(k) not in knowledge.FORBIDDEN_KEYS and (isinstance(x, (dict, list)) or squeeze(x) not in knowledge.FORBIDDEN_VALUES)}
+        return [clean(x) for x in v] if isinstance(v, list) else v
+
+    deep = {"isRootCause": True, "a/b": 1}
+    for k in range(9):
+        deep = {"x": [k, deep, {"label": "targetRootCause", "y\"z": [[], {}, [[{"goldAnswer": []}]]]}]}
+    docs = [{"n": {"mark": "goldAnswer"}}, {"groundTruth": "x"}, deep, [[{"correct-answer": 1}], 2, None, "groundTruth", {"k": None, "t": True, "f": 1.5}], {"fine": [1, {"groundwater": "x"}]}, {"isTargetRootCause": {"a": [1]}}, [{"label": "Gold Answer"}] * 12]
+    raws = [json.dumps(d) for d in docs] + ["no json", None, '"groundTruth"', json.dumps(docs[0])]
+    df = spark.createDataFrame([(k, r, "x") for k, r in enumerate(raws)], "doc long, raw string, at string")
+    got = {r["doc"]: r["raw"] for r in knowledge.sanitize_json(df, "raw").collect()}
+    assert len(got) == len(raws) and got[7] == "no json" and got[8] is None and got[9] == '"groundTruth"' and got[4] == raws[4]
+    assert all(json.loads(got[k]) == clean(json.loads(raws[k])) for k in (*range(7), 10))
+    again = spark.createDataFrame([(k, v) for k, v in got.items()], "case_id long, raw string")
+    assert knowledge.leakage_audit(again).count() == 0
+    props = spark.createDataFrame([({"a": raws[0], "groundTruth": "y", "b": "[x", "c": None},), (None,), ({},)], "props map<string,string>")
+    assert [r["props"] for r in knowledge.sanitize_props(props).collect() if r["props"]] == [{"a": '{"n":{}}', "b": "[x", "c": None}]
+    assert knowledge.sanitize_props(props).count() == 3
