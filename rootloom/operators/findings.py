@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootloom.operators.order_stats import group_median, group_quantiles, value_rank
+from rootloom.operators.order_stats import by_ranges, group_median, group_quantiles, range_rank
 
 LEAST_P = 1e-300
 
@@ -260,11 +260,11 @@ def onset_mad(series: DataFrame, keys: list[str]) -> DataFrame:
     """The first time after the baseline that lies over five deviations from it; null under six points or without one.
 
     Baseline: the first max(3, n / 5) points; its centre and deviation are medians. A deviation of 0 counts as a twentieth of
-    the centre. Places come from ``value_rank`` and medians from sketches and counts, so no series is sorted in one task.
+    the centre. Places come from ``range_rank`` and medians from sketches and counts, so no series is sorted in one task.
     """
     rows = series.where("value is not null and ts is not null")
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    rows = value_rank(rows, keys, "ts", "_i", order=["value"]).join(sizes, keys)
+    rows = range_rank(rows, keys, ["ts", "value"], "_i").join(sizes, keys)
     rows = rows.withColumn("_base", F.col("_i") < F.greatest(F.lit(3), F.floor(F.col("_n") / 5)))
     rows = rows.join(group_median(rows.where("_base"), keys, F.col("value"), "_centre"), keys).withColumn("_off", F.abs(F.col("value") - F.col("_centre")))
     rows = rows.join(group_median(rows.where("_base"), keys, F.col("_off"), "_mad"), keys)
@@ -280,28 +280,44 @@ def row_volume(rows: DataFrame, keys: list[str], modality: str) -> DataFrame:
 def volume_tertiles(volumes: DataFrame, size: str = "n_rows", key: str = "row_id") -> DataFrame:
     """low, middle, high by size and id: the first and second third end at floor(n / 3) rows each."""
     n = volumes.count()
-    ranked = value_rank(volumes.withColumn("_all", F.lit(0)), ["_all"], size, "_r", order=[key]).drop("_all")
+    ranked = range_rank(volumes.withColumn("_all", F.lit(0)), ["_all"], [size, key], "_r").drop("_all")
     edge = n // 3
     return ranked.withColumn("volume_bin", F.when(F.col("_r") < edge, "low").when(F.col("_r") < 2 * edge, "middle").otherwise("high")).drop("_r")
 
 
+#: Names of the statistics.
 STATS = ("mean", "min", "max", "median", "q25", "q75", "first", "last", "std", "iqr", "range", "mean_abs_diff", "std_diff", "slope")
 
 
 def kpi_features(kpi: DataFrame) -> DataFrame:
-    """Fourteen statistics of each (sample, feature) over its finite values in order of t."""
-    finite = kpi.where("value is not null and not isnan(value) and abs(value) < double('Infinity')")
-    order = Window.partitionBy("sample_index", "feature").orderBy("t")
-    rows = finite.withColumns({"i": (F.row_number().over(order) - 1).cast("double"), "d": F.col("value") - F.lag("value").over(order)})
-    rows = rows.groupBy("sample_index", "feature").agg(
-        F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-        F.min_by("value", "i").alias("first"), F.max_by("value", "i").alias("last"), F.stddev_pop("value").alias("std"),
-        F.coalesce(F.avg(F.abs("d")), F.lit(0.0)).alias("mean_abs_diff"), F.coalesce(F.stddev_pop("d"), F.lit(0.0)).alias("std_diff"),
-        F.coalesce(F.regr_slope("value", "i"), F.lit(0.0)).alias("slope"),
+    """Fourteen statistics of each (sample, feature) over its finite values in order of t.
+
+    A series of any length is cut into ranges of t. Of a range stand first and last value, count, sums of differences and of value times
+    place, which add up in order: a difference for each border, and places moved on by the counts before.
+    """
+    finite = kpi.where("value is not null and not isnan(value) and abs(value) < double('Infinity')").select("sample_index", "feature", "t", "value")
+    keys = ["sample_index", "feature"]
+    placed = by_ranges(finite, keys, ["t"])
+    order = Window.partitionBy(*keys, "_part").orderBy(F.col("t").asc_nulls_first(), "_u")
+    steps = placed.withColumns({"_i": (F.row_number().over(order) - 1).cast("double"), "_d": F.col("value") - F.lag("value").over(order)})
+    sums = [F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.col("_i") * F.col("value")).alias("iv"), F.min_by("value", "_i").alias("first"), F.max_by("value", "_i").alias("last")]
+    ranges = steps.groupBy(*keys, "_part").agg(*sums, F.coalesce(F.sum(F.abs("_d")), F.lit(0.0)).alias("ad"), F.coalesce(F.sum(F.col("_d") * F.col("_d")), F.lit(0.0)).alias("dd"))
+    along = Window.partitionBy(*keys).orderBy("_part")  # a row for each range of a series
+    border = F.coalesce(F.col("first") - F.lag("last").over(along), F.lit(0.0))
+    ranges = ranges.withColumns({"border": border, "before": F.sum("n").over(along) - F.col("n")})
+    whole = ranges.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("iv") + F.col("before") * F.col("s")).alias("iv"), F.min_by("first", "_part").alias("first"), F.max_by("last", "_part").alias("last"),
+        F.sum(F.col("ad") + F.abs("border")).alias("ad"), F.sum(F.col("dd") + F.col("border") * F.col("border")).alias("dd"),
     )
-    rows = rows.withColumns({"q25": F.col("q")[0], "median": F.col("q")[1], "q75": F.col("q")[2], "iqr": F.col("q")[2] - F.col("q")[0], "range": F.col("max") - F.col("min")})
-    return rows.select("sample_index", "feature", *[F.col(s) for s in STATS])
+    m = F.greatest(F.col("n") - 1, F.lit(1))
+    mean_diff = (F.col("last") - F.col("first")) / m
+    places = F.col("n") * (F.col("n") * F.col("n") - 1) / 12.0  # squared distances of the places from their mean
+    slope = F.when(places > 0, (F.col("iv") - (F.col("n") - 1) / 2.0 * F.col("s")) / places).otherwise(0.0)
+    whole = whole.select(*keys, "first", "last", (F.col("ad") / m).alias("mean_abs_diff"), F.sqrt(F.greatest(F.col("dd") / m - mean_diff * mean_diff, F.lit(0.0))).alias("std_diff"), slope.alias("slope"))
+    plain = finite.groupBy(*keys).agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.stddev_pop("value").alias("std"))
+    quantiles = group_quantiles(finite, keys, F.col("value"), {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    rows = plain.join(quantiles, keys).join(whole, keys).withColumns({"iqr": F.col("q75") - F.col("q25"), "range": F.col("max") - F.col("min")})
+    return rows.select(*keys, *[F.col(s) for s in STATS])
 
 
 def feature_views(features: DataFrame, names: list[str], stats: tuple[str, ...] = STATS) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rootloom.session import written
+
 ACCURACY = 10_000
 
 
@@ -66,13 +68,25 @@ def hash_rank(rows: DataFrame, keys: list[str], hash_col: str, ties: list[str],
     return rows.withColumn("_own", own).join(before, [*keys, "_p"]).withColumn(into, (F.col("_own") + F.col("_before")).cast("long")).drop("_own", "_before", "_p")
 
 
-def value_rank(rows: DataFrame, keys: list[str], column: str, into: str, cells: int = 256, order: list[str] | None = None) -> DataFrame:
-    """Row numbers (from 0) in ascending order of a column within each group: by cells between quantiles of the column, of fixed number, plus the sizes of the cells before. Equal values are numbered by ``order``, else in any order; nulls come first."""
-    cuts = rows.agg(F.percentile_approx(column, [k / cells for k in range(1, cells)], ACCURACY)).first()[0] or []
-    cuts = sorted(set(cuts))
-    cell = F.when(F.col(column).isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col(column))))
-    rows = rows.withColumn("_p", cell)
-    sizes = rows.groupBy(*keys, "_p").agg(F.count("*").alias("_s"))
-    before = sizes.withColumn("_before", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_s")).drop("_s")
-    own = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(F.col(column).asc_nulls_first(), *(order or []))) - 1
-    return rows.withColumn("_own", own).join(before, [*keys, "_p"]).withColumn(into, (F.col("_own") + F.col("_before")).cast("long")).drop("_own", "_before", "_p")
+def by_ranges(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``rows`` in ranges of (keys, order), with the range's number ``_part`` and ``_u``, which tells equal rows apart; nulls come first.
+
+    Rows are numbered before they are dealt out, so even a group of nothing but equal rows is many ranges. Both steps are written down:
+    what a range holds stays the same if an executor is lost.
+    """
+    tagged = written(rows.withColumn("_u", F.monotonically_increasing_id()), "tagged")
+    by = [F.col(c).asc_nulls_first() for c in (*keys, *order, "_u")]
+    return written(tagged.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def range_rank(rows: DataFrame, keys: list[str], order: list[str], into: str) -> DataFrame:
+    """Row numbers (from 0) in ascending order within each group: within ranges of the order, plus the sizes of the group's ranges before. Rows that are equal in it are numbered in any order; nulls come first."""
+    placed = by_ranges(rows, keys, order)
+    sizes = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_s"))
+    upto = Window.partitionBy(*keys).orderBy("_part")  # a row for each range of a group
+    before = sizes.withColumn("_before", F.sum("_s").over(upto) - F.col("_s")).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_p"), "_before")
+    own = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*[F.col(c).asc_nulls_first() for c in (*order, "_u")])) - 1
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return placed.withColumn("_own", own).join(before, same).withColumn(into, (F.col("_own") + F.col("_before")).cast("long")).select(*rows.columns, into)

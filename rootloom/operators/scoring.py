@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def same_name(name: Column) -> Column:
@@ -60,35 +62,72 @@ def parse_answer(raw: Column) -> Column:
     return F.struct((~whole).alias("error"), roots.alias("roots"))
 
 
-def best_assignment(expected: Column, predicted: Column, within_s: float) -> Column:
-    """struct(score, path): the most matching fields over all ways to give each expected root a predicted one, and which (as -place).
+def assignment(gains: list[list[int]]) -> list[int]:
+    """The column of each row in a one-to-one assignment of the greatest gain; of equally good ones the first in order. Square, whole numbers.
 
-    Over sets of used predictions, root by root: exact for lists of any length, at n 2^n steps each. Of equally good ways the
-    one that comes first in order. The lists must have the same length, which isn't 0.
+    Shortest augmenting paths with potentials. Each row's column is written as a digit behind the gain, so that equals differ; numbers of any size are exact.
     """
-    n = F.size(expected)
-    bit = lambda j: F.call_function("shiftleft", F.lit(1), j)
-    hit = lambda a, b: F.when(a, b).otherwise(0)
+    n = len(gains)
+    cost = [[j * (n + 1) ** (n - 1 - i) - gains[i][j] * (n + 1) ** n for j in range(n)] for i in range(n)]
+    of_row, of_column, owner = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)  # potentials, and the row of each column (from 1, 0: none)
+    for i in range(1, n + 1):
+        owner[0], at, way = i, 0, [0] * (n + 1)
+        least: list[int | None] = [None] * (n + 1)
+        used = [False] * (n + 1)
+        while True:
+            used[at] = True
+            row, best = owner[at], None
+            for j in range(1, n + 1):
+                if used[j]:
+                    continue
+                reduced = cost[row - 1][j - 1] - of_row[row] - of_column[j]
+                if least[j] is None or reduced < least[j]:
+                    least[j], way[j] = reduced, at
+                if best is None or least[j] < least[best]:
+                    best = j
+            step = least[best]
+            for j in range(n + 1):
+                if used[j]:
+                    of_row[owner[j]] += step
+                    of_column[j] -= step
+                elif least[j] is not None:
+                    least[j] -= step
+            at = best
+            if owner[at] == 0:
+                break
+        while at:
+            owner[at], at = owner[way[at]], way[at]
+    out = [0] * n
+    for j in range(1, n + 1):
+        out[owner[j] - 1] = j - 1
+    return out
+
+
+def best_assignment(rows: DataFrame, fits: Column, within_s: float) -> DataFrame:
+    """``rows`` (expected, predicted) with ``_best``, a struct(score, path): the most matching fields over all ways to give each expected root a predicted one, and which; null where ``fits`` doesn't hold.
+
+    Exact for lists of any length, in steps of their third power. Of equally good ways the one that comes first in order. Lists that
+    fit have the same length, which isn't 0.
+    """
+    hit = lambda a: F.when(a, 1).otherwise(0)
 
     def match(e, p):
-        near = F.abs(e["time_s"] - p["time_s"]) <= within_s
-        return hit(e["component"] == p["component"], 1) + hit(e["reason"] == p["reason"], 1) + hit(near, 1)
-
-    none = F.struct(F.lit(-1).alias("score"), F.array().cast("array<int>").alias("path"))
-
-    def step(old, i):
-        def of_set(used):
-            def last(j):
-                rest = F.get(old, used - bit(j))
-                added = F.struct((rest["score"] + match(F.get(expected, i), F.get(predicted, j))).alias("score"), F.concat(rest["path"], F.array(-j)).alias("path"))
-                return F.when((F.getbit(used, j) == 1) & (rest["score"] >= 0) & (F.size(rest["path"]) == i), added)
+        return hit(e["component"] == p["component"]) + hit(e["reason"] == p["reason"]) + hit(F.abs(e["time_s"] - p["time_s"]) <= within_s)
 
-            return F.coalesce(F.array_max(F.filter(F.transform(F.sequence(F.lit(0), n - 1), last), lambda x: x.isNotNull())), none)
+    gains = F.when(fits, F.transform("expected", lambda e: F.transform("predicted", lambda p: match(e, p))))
+    asked = rows.withColumn("_gains", gains)
+    shape = T.StructType([*rows.schema.fields, T.StructField("_best", T.StructType([T.StructField("score", T.IntegerType()), T.StructField("path", T.ArrayType(T.IntegerType()))]))])
+    arrow = pa.struct([("score", pa.int32()), ("path", pa.list_(pa.int32()))])
 
-        return F.transform(F.sequence(F.lit(0), bit(n) - 1), of_set)
+    def solve(batches):
+        for batch in batches:
+            found = []
+            for g in batch.column(batch.num_columns - 1).to_pylist():
+                path = None if g is None else assignment(g)
+                found.append(None if g is None else {"score": sum(row[j] for row, j in zip(g, path)), "path": path})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, arrow)], shape.names)
 
-    start = F.transform(F.sequence(F.lit(0), bit(n) - 1), lambda used: F.when(used == 0, F.struct(F.lit(0).alias("score"), F.array().cast("array<int>").alias("path"))).otherwise(none))
-    return F.element_at(F.aggregate(F.sequence(F.lit(0), n - 1), start, step), -1)
+    return asked.mapInArrow(solve, shape)
 
 
 def field_score(rows: DataFrame, keys: list[str], within_s: float = 60.0, asked: Column | None = None) -> DataFrame:
@@ -100,12 +139,12 @@ def field_score(rows: DataFrame, keys: list[str], within_s: float = 60.0, asked:
     """
     rows = rows.select(*keys, "expected", "predicted", (F.lit(None) if asked is None else asked).cast("int").alias("_given"))
     fits = (F.size("expected") == F.size("predicted")) & (F.size("expected") > 0)
-    rows = rows.withColumn("_best", F.when(fits, best_assignment(F.col("expected"), F.col("predicted"), within_s)))
+    rows = best_assignment(rows, fits, within_s)
     text = lambda e, f: e[f] if f != "time_s" else F.date_format(F.timestamp_seconds(e[f]), "yyyy-MM-dd HH:mm:ss")
     same = lambda e, p, f: F.abs(e[f] - p[f]) <= within_s if f == "time_s" else e[f] == p[f]
 
     def hits(e, i):
-        p = F.get("predicted", -F.get(F.col("_best.path"), i))
+        p = F.get("predicted", F.get(F.col("_best.path"), i))
         return F.array_compact(F.array(*[F.when(same(e, p, f), text(e, f)) for f in FIELDS]))
 
     passed = F.when(F.col("_best.score") > 0, F.flatten(F.transform("expected", hits))).otherwise(F.array().cast("array<string>"))

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rootloom.operators.order_stats import group_median, value_rank
+from rootloom.operators.order_stats import group_median, range_rank
 
 
 def first_column(columns: Iterable[str], candidates: Iterable[str]) -> str | None:
@@ -110,7 +110,7 @@ def inject_split(rows: DataFrame, injections: DataFrame, order: list[str]) -> Da
     """pre before the case's inject_ts, post from it on; by halves of the rows if there is none, or if one side would be empty. ``order``: of rows with the same ts."""
     rows = rows.join(injections, "case_id", "left")
     sizes = rows.groupBy("case_id").agg(F.count("*").alias("_n"), F.count(F.when(F.col("ts") < F.col("inject_ts"), 1)).alias("_before"))
-    rows = value_rank(rows, ["case_id"], "ts", "_place", order=order).join(sizes, "case_id")
+    rows = range_rank(rows, ["case_id"], ["ts", *order], "_place").join(sizes, "case_id")
     by_time = F.when(F.col("ts") < F.col("inject_ts"), "pre").otherwise("post")
     by_half = F.when(F.col("_place") < F.floor(F.col("_n") / 2), "pre").otherwise("post")
     usable = F.col("inject_ts").isNotNull() & (F.col("_before") > 0) & (F.col("_before") < F.col("_n"))

@@ -157,10 +157,10 @@ def test_group_median_and_order_statistic(spark, n):
 
 
 def test_ranks(spark):
-    from rootloom.operators.order_stats import hash_rank, value_rank
+    from rootloom.operators.order_stats import hash_rank, range_rank
 
     df = spark.range(3000).select((F.col("id") % 2).alias("k"), F.md5(F.col("id").cast("string")).alias("h"), (F.col("id") * 7 % 1000).cast("double").alias("x"))
-    rows = hash_rank(value_rank(df, ["k"], "x", "i"), ["k"], "h", [], "r").toPandas()
+    rows = hash_rank(range_rank(df, ["k"], ["x"], "i"), ["k"], "h", [], "r").toPandas()
     for _, g in rows.groupby("k"):
         assert (g.sort_values("h").r.to_numpy() == np.arange(1, len(g) + 1)).all()
         assert sorted(g.i) == list(range(len(g))) and g.sort_values("i").x.is_monotonic_increasing
@@ -206,3 +206,54 @@ def test_documents_are_clean_at_any_depth(spark):
     props = spark.createDataFrame([({"a": raws[0], "groundTruth": "y", "b": "[x", "c": None},), (None,), ({},)], "props map<string,string>")
     assert [r["props"] for r in knowledge.sanitize_props(props).collect() if r["props"]] == [{"a": '{"n":{}}', "b": "[x", "c": None}]
     assert knowledge.sanitize_props(props).count() == 3
+
+
+def test_assignments_are_the_best_and_first_of_all():
+    import itertools
+    import time
+
+    from rootloom.operators.scoring import assignment
+
+    rnd = np.random.default_rng(4)
+    for n in (1, 2, 3, 4, 5, 6, 7, 8):
+        for _ in range(20 if n < 7 else 3):
+            gains = rnd.integers(0, 4, (n, n)).tolist()
+            best = max(itertools.permutations(range(n)), key=lambda p: (sum(gains[i][j] for i, j in enumerate(p)), [-j for j in p]))
+            assert assignment(gains) == list(best)
+    start = time.time()
+    assert sorted(assignment(rnd.integers(0, 4, (60, 60)).tolist())) == list(range(60))
+    assert time.time() - start < 2
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Small tables stay in as many partitions as large ones have."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_ranks_of_equal_rows_over_many_ranges(spark, many_ranges):
+    from rootloom.operators.order_stats import by_ranges, range_rank
+
+    df = spark.range(4000).select(F.when(F.col("id") < 3600, "hot").when(F.col("id") < 3990, "other").alias("k"), F.when(F.col("id") % 3 > 0, F.lit(1.5)).alias("x"), F.lit("same").alias("y"))
+    hot = by_ranges(df, ["k"], ["x"]).where("k = 'hot'").groupBy("_part").count().collect()
+    assert len(hot) > 1
+    for key, g in range_rank(df, ["k"], ["x"], "i").toPandas().groupby("k", dropna=False):
+        g = g.sort_values("i")
+        assert list(g.i) == list(range(len(g))) and g.x.isna().tolist() == sorted(g.x.isna().tolist(), reverse=True)
+
+
+def test_statistics_of_one_long_series(spark, many_ranges):
+    rnd = np.random.default_rng(8)
+    v = np.cumsum(rnd.normal(size=5000))
+    rows = [(1, "a", int(t), float(x)) for t, x in enumerate(v)] + [(1, "b", 3, 2.0), (1, "b", 4, float("nan")), (2, "a", 0, 1.0), (2, "a", 5, 4.0), (2, "b", 1, None)]
+    df = spark.createDataFrame(rows, "sample_index int, feature string, t int, value double").repartition(4)
+    got = {(r["sample_index"], r["feature"]): r for r in findings.kpi_features(df).collect()}
+    assert set(got) == {(1, "a"), (1, "b"), (2, "a")}
+    for key, x in (((1, "a"), v), ((1, "b"), np.array([2.0])), ((2, "a"), np.array([1.0, 4.0]))):
+        d, i = np.diff(x), np.arange(len(x))
+        q = np.quantile(x, [0.25, 0.5, 0.75])
+        slope = ((i - i.mean()) * x).sum() / ((i - i.mean()) ** 2).sum() if len(x) > 1 else 0.0
+        want = (x.mean(), x.min(), x.max(), q[1], q[0], q[2], x[0], x[-1], x.std(), q[2] - q[0], x.max() - x.min(), np.abs(d).mean() if len(d) else 0.0, d.std() if len(d) else 0.0, slope)
+        assert [got[key][s] for s in findings.STATS] == pytest.approx(want, abs=1e-9), key
