@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rootloom.plans.registry import query
 from rootloom.sources import canonical as c
 from rootloom.sources import files as ops
+from rootloom.sources import readiness
 
 
 @query("scan_metrics", "select event_type, count(*) as n, round(sum(value), 4) as total from events group by event_type")
@@ -124,9 +125,28 @@ def _(spark, sf_dir):
     return ops.suite_counts(cases, r.select(F.col("r_name").alias("suite"), (F.col("r_regionkey") * 20).cast("long").alias("expected")))
 
 
-@query("dataset_readiness", "select source, count(*) as n, count(*) filter (telemetry_bytes > 200000) as large, count(distinct true_root) as roots, count(*) filter (fault_type = 'cpu') > 0 as has_cpu from cases group by source")
-def _(spark, sf_dir):
-    return c.case(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("telemetry_bytes") > 200000).alias("large"), F.count_distinct("true_root").alias("roots"), (F.count_if(F.col("fault_type") == "cpu") > 0).alias("has_cpu"))
+#: Archives of a nation's suppliers each, one of which is short; pairs of files of orders, some without the second; labels of embeddings.
+@query("dataset_readiness", """with found as (
+      select 'archive:' || n_nationkey::varchar as item, count(s_suppkey)::bigint as found from nation left join supplier on s_nationkey = n_nationkey and s_suppkey % 9 <> 4 group by n_nationkey
+      union all select 'pairs', count(*) filter (o_orderkey % 50 <> 7) from orders
+      union all select 'label_sum:root1', sum(root1) from kpi_label union all select 'label_sum:root2', sum(root2) from kpi_label union all select 'inactive_sum:root3', sum(root3) from kpi_label),
+    expected as (select 'archive:' || n_nationkey::varchar as item, count(s_suppkey)::bigint as expected from nation left join supplier on s_nationkey = n_nationkey group by n_nationkey
+      union all select 'pairs', count(*) from orders union all select 'inactive_sum:root3', 0 union all select 'labels', 1),
+    compared as (select item, expected, coalesce(found, 0)::bigint as found, coalesce(expected = found, expected is null) as ok from expected full join found using (item))
+    select item, expected, found, ok from compared union all select 'ready', count(expected), count(*) filter (ok and expected is not null), count(expected) = count(*) filter (ok and expected is not null) from compared""")
+def _(spark, sf_dir):
+    suppliers, nations, orders = (c.table(spark, sf_dir, t) for t in ("supplier", "nation", "orders"))
+    held = nations.select("n_nationkey").join(suppliers.where("s_suppkey % 9 <> 4"), F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    archive = F.concat(F.lit("baseline/"), F.col("n_nationkey").cast("string"), F.lit(".zip"))
+    at = readiness.write_archives(held.select(archive.alias("archive"), F.concat(F.lit("case_"), F.col("s_suppkey").cast("string"), F.lit(".csv")).alias("member"), F.col("s_name").alias("content")), ops.shared_folder(spark, "archives"))
+    members = readiness.zip_members(spark, at).groupBy(F.concat(F.lit("archive:"), F.regexp_extract("path", r"([^/]+)\.zip$", 1)).alias("item")).agg(F.count_if(F.col("member").endswith(".csv")).alias("found"))
+    order = F.concat(F.lit("/anomaly/"), F.col("o_orderkey").cast("string"))
+    paths = orders.select(F.explode(F.array_compact(F.array(F.concat(order, F.lit("/platform.csv")), F.when(F.col("o_orderkey") % 50 != 7, F.concat(order, F.lit("/radio.csv")))))).alias("path"))
+    pairs = readiness.file_pairs(paths, "platform.csv", "radio.csv").agg(F.lit("pairs").alias("item"), F.count_if("whole").alias("found"))
+    checks = members.unionByName(pairs).unionByName(readiness.label_checks(c.kpi_label(spark, sf_dir), ["root1", "root2"], ["root3"]))
+    counted = nations.select("n_nationkey").join(suppliers, F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy(F.concat(F.lit("archive:"), F.col("n_nationkey").cast("string")).alias("item")).agg(F.count("s_suppkey").alias("expected"))
+    fixed = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("item"), F.lit(n).cast("long").alias("expected")) for k, n in (("inactive_sum:root3", 0), ("labels", 1))])).alias("x")).select("x.*")
+    return readiness.dataset_readiness(checks, counted.unionByName(orders.agg(F.lit("pairs").alias("item"), F.count("*").alias("expected"))).unionByName(fixed))
 
 
 @query("file_manifest", """with h as (select p_size as bytes, sha256(p_name || p_partkey::varchar || ':' || p_size::varchar) as h from part), s as (select count(*) as files, sum(bytes)::bigint as bytes,

@@ -257,3 +257,42 @@ def test_statistics_of_one_long_series(spark, many_ranges):
         slope = ((i - i.mean()) * x).sum() / ((i - i.mean()) ** 2).sum() if len(x) > 1 else 0.0
         want = (x.mean(), x.min(), x.max(), q[1], q[0], q[2], x[0], x[-1], x.std(), q[2] - q[0], x.max() - x.min(), np.abs(d).mean() if len(d) else 0.0, d.std() if len(d) else 0.0, slope)
         assert [got[key][s] for s in findings.STATS] == pytest.approx(want, abs=1e-9), key
+
+
+def test_archives_are_listed_by_their_directories(spark, tmp_path):
+    import zipfile
+
+    from rootloom.sources import readiness
+
+    want = {}
+    for name, members, comment in (("a", 3, b""), ("b", 0, b""), ("c", 3000, b"PK\\x05 not the end" * 9), ("sub/d", 1, b"x")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.comment = comment
+            for k in range(members):
+                z.writestr(f"ordner/é_{k}.csv", "x" * (k % 50))
+        want[name.rsplit("/", 1)[-1]] = sorted((f"ordner/é_{k}.csv", k % 50) for k in range(members)) or [(None, None)]
+    with zipfile.ZipFile(tmp_path / "wide.zip", "w") as z, z.open("big.csv", "w", force_zip64=True) as f:
+        f.write(b"abc")
+    want["wide"] = [("big.csv", 3)]
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    (tmp_path / "empty.zip").write_bytes(b"")
+    want |= {"bad": [(None, None)]}
+    got = {}
+    for r in readiness.zip_members(spark, f"file://{tmp_path}").collect():
+        got.setdefault(r["path"].rsplit("/", 1)[-1][:-4], []).append((r["member"], r["bytes"]))
+    assert {k: sorted(v, key=str) for k, v in got.items()} == {k: sorted(v, key=str) for k, v in want.items()}
+
+
+def test_a_dataset_with_a_missing_pair_isnt_ready(spark):
+    from rootloom.sources import readiness
+
+    paths = spark.createDataFrame([("/x/1/platform.csv",), ("/x/1/radio.csv",), ("/x/2/platform.csv",), ("/x/3/radio.csv",)], "path string")
+    pairs = readiness.file_pairs(paths, "platform.csv", "radio.csv")
+    assert {(r["folder"], r["whole"]) for r in pairs.collect()} == {("/x/1", True), ("/x/2", False)}
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0)], "root1 int, root2 int, root4 int")
+    checks = pairs.agg(F.lit("pairs").alias("item"), F.count_if("whole").alias("found")).union(readiness.label_checks(labels, ["root1", "root2"], ["root4"]))
+    for n, ready in ((2, False), (1, True)):
+        expected = spark.createDataFrame([("pairs", n), ("inactive_sum:root4", 0)], "item string, expected long")
+        got = {r["item"]: (r["expected"], r["found"], r["ok"]) for r in readiness.dataset_readiness(checks, expected).collect()}
+        assert got["ready"][2] is ready and got["pairs"] == (n, 1, ready) and got["label_sum:root1"] == (None, 2, True) and got["inactive_sum:root4"] == (0, 0, True)
