@@ -64,6 +64,20 @@ def budgeted_probe(shards: DataFrame, budget: int) -> DataFrame:
     return best(shards.select("case_id", "shard_id", "modality").distinct(), ["case_id"], [order, "shard_id"], max(budget - 1, 0), rank="call")
 
 
+def shard_listing(shards: DataFrame, files: DataFrame, budget: int, used: DataFrame | None = None) -> DataFrame:
+    """(case_id, shard_id, modality, file_count, bytes, components, calls_left): what there is to ask, before anything is read.
+
+    shards: (case_id, shard_id, modality, component), a row for each component; its names are listed in order, once. files: (case_id,
+    modality, bytes); a shard has those of its modality, none counting as 0. used: (case_id, calls), none counting as 0. A budget that is used up leaves 0 calls.
+    """
+    sizes = files.groupBy("case_id", "modality").agg(F.count("*").alias("file_count"), F.sum("bytes").cast("long").alias("bytes"))
+    listed = shards.groupBy("case_id", "shard_id", "modality").agg(F.array_sort(F.collect_set("component")).alias("components"))  # components of one shard
+    rows = listed.join(sizes, ["case_id", "modality"], "left").fillna(0, ["file_count", "bytes"])
+    calls = F.lit(0) if used is None else F.coalesce("calls", F.lit(0))
+    rows = rows if used is None else rows.join(used.groupBy("case_id").agg(F.sum("calls").alias("calls")), "case_id", "left")
+    return rows.select("case_id", "shard_id", "modality", "file_count", "bytes", "components", F.greatest(F.lit(budget) - calls, F.lit(0)).cast("long").alias("calls_left"))
+
+
 def candidate_evidence(findings: DataFrame, most: int = 6, pointers: int = 6, top: int = 3) -> DataFrame:
     """For each shard its ``most`` best components, with rank, reason, dominant modality, pointers and times of their evidence.
 
@@ -128,6 +142,14 @@ def additive_fusion(evidence: DataFrame, most: int = 5, keys: tuple[str, ...] =
     return best(rows, list(keys), [F.col("score").desc(), "_key"], most, rank="rank").select(*keys, "component", "reason", "score", "confidence", "rank", "evidence_ptrs", "occurrence")
 
 
+def with_unknown(fused: DataFrame, cases: DataFrame) -> DataFrame:
+    """The fused candidates, and one UNKNOWN of rank 1 without score or confidence for each case that has none."""
+    missing = cases.select("case_id").distinct().join(fused.select("case_id").distinct(), "case_id", "left_anti")
+    none = {"component": F.lit("UNKNOWN"), "reason": F.lit("unknown"), "score": F.lit(0.0), "confidence": F.lit(0.0), "rank": F.lit(1)}
+    columns = [none.get(c, F.lit(None)).cast(fused.schema[c].dataType).alias(c) for c in fused.columns if c != "case_id"]
+    return fused.unionByName(missing.select("case_id", *columns))
+
+
 def vote_fusion(candidates: DataFrame) -> DataFrame:
     """(case_id, component, votes, backer): confidences, at least 0, plus 0.05 for each with evidence; the winner, and who backs it most.
 

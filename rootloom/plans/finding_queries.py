@@ -217,6 +217,12 @@ def _(spark, sf_dir):
     return c.finding(spark, sf_dir).groupBy("case_id", "component").agg(F.max("score").alias("max_score"), F.round(F.sum("score"), 6).alias("sum_score"))
 
 
+@query("component_sum_score", "select case_id, component, score, rank from (select *, row_number() over (partition by case_id order by score desc, component)::int as rank from (select case_id, component, round(sum(score), 6) as score from finding group by all)) where rank <= 5")
+def _(spark, sf_dir):
+    sums = c.finding(spark, sf_dir).groupBy("case_id", "component").agg(F.round(F.sum("score"), 6).alias("score"))
+    return ops.best(sums, ["case_id"], [F.col("score").desc(), "component"], 5, rank="rank")
+
+
 @query("symptomatic_set", f"select case_id, component from ({_TOP}) where rank <= 5 and component_score > 0")
 def _(spark, sf_dir):
     return ops.symptomatic(c.finding(spark, sf_dir), 5)

@@ -68,6 +68,15 @@ def _(spark, sf_dir):
     return ops.budgeted_probe(ops.component_group_shards(f, f), 5)
 
 
+@query("shard_listing", f"""with {_SHARDS}, f as ({_FILES}), z as (select case_id, modality, count(*) as file_count, sum(bytes)::bigint as bytes from f group by all), u as (select case_id, count(distinct component) as calls from finding group by all),
+    l as (select case_id, shard_id, modality, list_sort(list(distinct component)) as components from shards group by all)
+    select case_id, shard_id, modality, coalesce(file_count, 0)::bigint as file_count, coalesce(bytes, 0)::bigint as bytes, array_to_string(components, ',') as components, greatest(12 - coalesce(calls, 0), 0)::bigint as calls_left from l left join z using (case_id, modality) left join u using (case_id)""")
+def _(spark, sf_dir):
+    f = c.finding(spark, sf_dir)
+    used = f.groupBy("case_id").agg(F.count_distinct("component").alias("calls"))
+    return ops.shard_listing(ops.component_group_shards(f, f), _files(spark, sf_dir), 12, used).withColumn("components", F.array_join("components", ","))
+
+
 _EVIDENCE = f"""sc as (select case_id, modality as shard_id, component, modality, round(sum(greatest(score, 0)), 6) as support_score from (select *, row_number() over (partition by case_id, component, modality order by score desc, signal, direction) as r from finding) where r <= 3 group by all),
     tp as (select * from (select *, row_number() over (partition by case_id, shard_id order by support_score desc, component)::int as local_rank from sc) where local_rank <= 6),
     ev as (select * from (select f.*, row_number() over (partition by f.case_id, f.modality, f.component order by score desc, magnitude desc, signal, direction) as e from finding f join tp on tp.case_id = f.case_id and tp.shard_id = f.modality and tp.component = f.component) where e <= 6),
@@ -105,6 +114,13 @@ def _(spark, sf_dir):
     return ops.additive_fusion(ops.candidate_evidence(_sharded(spark, sf_dir))).withColumn("evidence_ptrs", F.array_join("evidence_ptrs", ",")).withColumnRenamed("evidence_ptrs", "pointers")
 
 
+@query("unknown_candidate", f"with {_EVIDENCE}, {_FUSED} select case_id, component, reason, score, confidence, rank from fused union all select 'kg-' || n_nationkey::varchar, 'UNKNOWN', 'unknown', 0, 0, 1 from nation")
+def _(spark, sf_dir):
+    cases = c.table(spark, sf_dir, "nation").select(F.concat(F.lit("kg-"), F.col("n_nationkey").cast("string")).alias("case_id"))
+    found = fused(spark, sf_dir)
+    return ops.with_unknown(found, cases.union(found.select("case_id"))).select("case_id", "component", "reason", "score", "confidence", "rank")
+
+
 @query("vote_fusion", f"""with {_EVIDENCE}, cd as (select case_id, shard_id as worker_id, component, least(1.0, support_score / 10) - case when local_rank > 5 then 1 else 0 end as confidence, len(evidence_ptrs) > 0 and local_rank % 2 = 1 as has from evidence),
     v as (select case_id, component, round(sum(round(greatest(0, confidence), 9)::decimal(20, 9) + case when has then 0.05 else 0 end::decimal(20, 9)), 6)::double as votes, arg_min(worker_id, (-confidence, worker_id)) as backer from cd group by all)
     select case_id, component, votes, backer from (select *, row_number() over (partition by case_id order by votes desc, component) as r from v) where r = 1""")

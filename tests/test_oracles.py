@@ -158,3 +158,46 @@ def test_classifiers_learn_held_out_rows(spark, name):
     for c in rule:
         right = np.mean([(r[f"p_{c}"] >= 0.5) == (r[c] == 1) for r in rows])
         assert right > max(np.mean([r[c] for r in rows]), 1 - np.mean([r[c] for r in rows])) + 0.05, (c, right)
+
+
+def interval(values, reps=1000):
+    """Ends of a percentile bootstrap with the library's keyed draws, each group whole in numpy."""
+    from rootloom.operators.bootstrap import counts_of
+
+    different, counts = np.unique(np.array([v for v in values if v is not None], float), return_counts=True)
+    means = np.zeros(reps)
+    for place, drawn in counts_of(np.full(reps, counts.sum()), counts, 7, 0):
+        means += different[place] * drawn / counts.sum()
+    ordered = np.sort(means)
+    return round(ordered[int(0.025 * reps)], 6), round(ordered[min(reps - 1, int(0.975 * reps))], 6)
+
+
+def test_bootstrap_queries_over_their_whole_results(spark, telemetry):
+    telemetry.execute(f"create table if not exists cases_t as {with_tables('select * from cases')}")
+    telemetry.execute(f"create table if not exists scored_t as {with_tables('select * from scored')}")
+    got = {r["fault_type"]: r for r in catalog.QUERIES["bootstrap_ci"](spark, DATA).collect()}
+    want = dict(telemetry.execute("select fault_type, list(telemetry_bytes) from cases_t group by all").fetchall())
+    assert set(got) == set(want)
+    for kind, values in want.items():
+        low, high = interval(values)
+        assert (got[kind]["n"], got[kind]["mean"]) == (len(values), pytest.approx(np.mean([float(v) for v in values]), abs=1e-5))
+        assert (got[kind]["low"], got[kind]["high"]) == (pytest.approx(low, abs=1e-5), pytest.approx(high, abs=1e-5)) and got[kind]["low"] < got[kind]["mean"] < got[kind]["high"]
+    rows = catalog.QUERIES["aggregate_ci"](spark, DATA).collect()
+    found = {(r["system"], r["metric"]): (r["low"], r["high"]) for r in rows}
+    assert len(rows) == len(found) == 6
+    for system, latency, hits in telemetry.execute("select system, list(latency_s), list(hit_at_1) from scored_t group by all").fetchall():
+        assert found[system, "latency_s"] == pytest.approx(interval(latency), abs=1e-5)
+        n, p, z = len(hits), sum(hits) / len(hits), 1.959963984540054
+        centre, half = (p + z * z / (2 * n)) / (1 + z * z / n), z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
+        assert found[system, "hit_at_1"] == pytest.approx((centre - half, centre + half), abs=2e-6)
+
+
+@pytest.mark.parametrize("name", ["ensemble_classifier", "stacked_adjudicator"])
+def test_registered_classifiers_run_at_full_size(spark, name):
+    from rootloom.plans.check_queries import model_rows
+
+    rows = catalog.QUERIES[name](spark, DATA).collect()
+    held_out = {r["sample_index"] for r in model_rows(spark, DATA)[1].select("sample_index").collect()}
+    assert {r["sample_index"] for r in rows} == held_out and len(rows) == len(held_out)
+    shares = np.array([[r["p_root1"], r["p_root2"], r["p_root3"]] for r in rows])
+    assert (shares > 0).all() and (shares < 1).all() and len(np.unique(shares.round(6), axis=0)) > len(rows) // 2
