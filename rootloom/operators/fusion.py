@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -263,8 +265,8 @@ def boosted_weight(modality: Column, boost: Column) -> Column:
     return F.when(boost == 1.0, 1.0).otherwise(of)
 
 
-def pool_scores(params: list[tuple[float, float, float]], explicit: DataFrame, workers: DataFrame, pairs: DataFrame, truth: DataFrame, correlation: DataFrame) -> DataFrame:
-    """(param_id, boost, rho, temperature, mrr, hit_at_1, brier) of each of params (boost, rho, temperature): opinions pooled anew for each, over all cases of ``truth``.
+def pooled_under(params: list[tuple[float, float, float]], explicit: DataFrame, workers: DataFrame, pairs: DataFrame, correlation: DataFrame) -> tuple[Callable[[DataFrame], DataFrame], DataFrame]:
+    """A function that repeats a table by case for each of params (boost, rho, temperature), and the opinions pooled anew for each.
 
     Parameters are few; a case is pooled under the key (parameter, case), so all of it is one plan.
     """
@@ -273,6 +275,12 @@ def pool_scores(params: list[tuple[float, float, float]], explicit: DataFrame, w
     under = lambda df: df.withColumn("_p", each).select("*", "_p.*").drop("_p").withColumn("case_id", key)
     weighted = under(workers.join(correlation, "case_id")).withColumn("_weight", boosted_weight(F.col("modality"), F.col("boost")) * effective_share(F.col("workers"), F.col("correlation"), F.col("rho")))
     pooled = log_opinion_pool(under(explicit), weighted.select("case_id", "worker_id", "other_mass", "scope", "_weight", "temperature"), under(pairs).select("case_id", "component", "reason"), F.col("_weight"), temperature=F.col("temperature"))
+    return under, pooled
+
+
+def pool_scores(params: list[tuple[float, float, float]], explicit: DataFrame, workers: DataFrame, pairs: DataFrame, truth: DataFrame, correlation: DataFrame) -> DataFrame:
+    """(param_id, boost, rho, temperature, mrr, hit_at_1, brier) of each of params (boost, rho, temperature), over all cases of ``truth``."""
+    under, pooled = pooled_under(params, explicit, workers, pairs, correlation)
     names = ["param_id", "boost", "rho", "temperature"]
     asked = under(truth).select(*names, "case_id", F.lower(F.trim("true_root")).alias("_true"))
     hit = F.lower(F.trim("component")) == F.col("_true")
