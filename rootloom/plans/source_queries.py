@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rootloom.plans.registry import query
 from rootloom.sources import canonical as c
 from rootloom.sources import files as ops
-from rootloom.sources import readiness
+from rootloom.sources import prepared, readiness
 
 
 @query("scan_metrics", "select event_type, count(*) as n, round(sum(value), 4) as total from events group by event_type")
@@ -154,3 +154,42 @@ def _(spark, sf_dir):
     select files, bytes, sha256(files::varchar || ':' || a::varchar || ':' || b::varchar || ':' || c::varchar || ':' || d::varchar) as sha256 from s""")
 def _(spark, sf_dir):
     return ops.file_manifest(c.table(spark, sf_dir, "part").select(F.concat("p_name", F.col("p_partkey").cast("string")).alias("path"), F.col("p_size").alias("bytes")))
+
+
+#: Spans moved into the days of the windows; whole days are kept apart.
+_MOVED = "moved as (select span_id, parent_id, component, service, ds_name, call_type, (1704067200000 + start_ms::bigint % 2160000000)::double as start_ms, elapsed, success from span)"
+
+
+@query("prepared_cache", f"""with {_MOVED}, ms as (select row_id, component, metric, value from metric_long m join incident_window w on m.ts * 1000 between w.start_ms and w.end_ms),
+    days as (select distinct strftime(make_timestamp(start_ms * 1000), '%Y-%m-%d') as date_key from incident_window), ts as (select w.row_id, s.* from moved s join incident_window w on s.start_ms between w.start_ms and w.end_ms),
+    st as (select strftime(make_timestamp((ts * 1e6)::bigint), '%Y-%m-%d') as date_key, component, metric, count(value) as n, avg(value) as mean, coalesce(stddev_samp(value), 0) as std, quantile_cont(value, 0.05) as p05, quantile_cont(value, 0.15) as p15, quantile_cont(value, 0.9) as p90, quantile_cont(value, 0.95) as p95, min(value) as least, max(value) as most from metric_long where value is not null group by all),
+    su as (select row_id, component, service, ds_name, call_type, count(*) as n, avg(elapsed) as mean, median(elapsed) as mid, max(elapsed) as most, count(*) filter (success = 'false') as failures from ts group by all),
+    vo as (select row_id, (select count(*) from ms where ms.row_id = w.row_id) as m, (select count(*) from ts where ts.row_id = w.row_id) as t from incident_window w), vr as (select *, row_number() over (order by m + t, row_id) - 1 as r, count(*) over () as n from vo)
+    select 'metric' as part, row_id::varchar as key, component || '|' || metric as name, count(*) as n, round(sum(value), 4) as value from ms group by all
+    union all select 'trace', row_id::varchar, component, count(*), round(sum(elapsed), 4) from ts group by all
+    union all select 'metric_stats', date_key, component || '|' || metric, n, round(mean + std + p05 + 2 * p15 + 3 * p90 + 5 * p95 + least + most, 4) from st join days using (date_key)
+    union all select 'trace_summary', row_id::varchar, concat_ws('|', component, service, ds_name, call_type), n, round(mean + 2 * mid + 3 * most + 5 * failures, 4) from su
+    union all select 'trace_edges', c.row_id::varchar, p.component || '|' || c.component, count(*), 0 from ts c join (select * from (select *, row_number() over (partition by row_id, span_id order by start_ms, component) as r from ts) where r = 1) p on c.row_id = p.row_id and c.parent_id = p.span_id where p.component <> c.component group by all
+    union all select 'volume', row_id::varchar, case when r < n // 3 then 'low' when r < 2 * (n // 3) then 'middle' else 'high' end, m + t, t from vr""")
+def _(spark, sf_dir):
+    metrics = c.metric_long(spark, sf_dir).withColumn("time_ms", F.col("ts") * 1000)
+    spans = c.span(spark, sf_dir).withColumn("start_ms", (F.lit(1704067200000) + F.col("start_ms").cast("long") % 2160000000).cast("double"))
+    windows = c.incident_window(spark, sf_dir)
+    mark = prepared.source_mark(ops.list_files(spark, sf_dir, "{events,lineitem}.parquet"), windows)
+    folder = ops.shared_folder(spark, "prepared")
+    prepared.prepare(metrics, spans, windows, folder, mark)
+    part = prepared.open_prepared(spark, folder, mark)
+    name = lambda *cols: F.concat_ws("|", *cols)
+    digests = [
+        ("metric", part["metric"].groupBy("row_id", "component", "metric").agg(F.count("*").alias("n"), F.sum("value").alias("v")), "row_id", name("component", "metric"), F.col("v")),
+        ("trace", part["trace"].groupBy("row_id", "component").agg(F.count("*").alias("n"), F.sum("elapsed").alias("v")), "row_id", F.col("component"), F.col("v")),
+        ("metric_stats", part["metric_stats"], "date_key", name("component", "metric"), F.expr("mean + coalesce(std, 0) + p05 + 2 * p15 + 3 * p90 + 5 * p95 + least + most")),
+        ("trace_summary", part["trace_summary"], "row_id", name("component", "service", "ds_name", "call_type"), F.expr("mean_elapsed + 2 * median_elapsed + 3 * max_elapsed + 5 * failures")),
+        ("trace_edges", part["trace_edges"], "row_id", name("parent", "child"), F.lit(0.0)),
+        ("volume", part["volume"].withColumn("n", F.col("total_rows")), "row_id", F.col("volume_bin"), F.col("trace_rows").cast("double")),
+    ]
+    out = None
+    for kind, rows, key, of, value in digests:
+        mine = rows.select(F.lit(kind).alias("part"), F.col(key).cast("string").alias("key"), of.alias("name"), "n", F.round(value.cast("double"), 4).alias("value"))
+        out = mine if out is None else out.union(mine)
+    return out
