@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rootloom.sources.footers import footer_ranges
+
 
 def scan_metrics(spark: SparkSession, paths: list[str], schema: str | None = None) -> DataFrame:
     """CSV (with header), JSON lines or Parquet by the paths' ends; damaged files and lines are passed over."""
@@ -110,14 +112,14 @@ def parquet_ranges(spark: SparkSession, folder: str, times: str = "", glob: str
 def file_catalog(spark: SparkSession, folder: str, glob: str = "*", times: str = "", hashed: bool = False) -> DataFrame:
     """(path, bytes, modality, modified, n_rows, time_column, start_time, end_time) of all supported files below a folder.
 
-    CSV files are read as lines, of Parquet files only the columns ``times`` (see ``parquet_ranges``); the others have no rows here. A file that
-    can't be read keeps its row. An empty folder gives no rows.
+    CSV files are read as lines, Parquet files at their footers (``footer_ranges``), or, where ``times`` names them, by these columns
+    (``parquet_ranges``); the others have no rows here. A file that can't be read keeps its row. An empty folder gives no rows.
     """
     found = list_files(spark, folder, glob, hashed)
     plain = lambda df: df.withColumn("_at", F.regexp_replace("path", "^file:/*", "/")).drop("path")  # noqa: E731  the readers write local paths in two ways
     kinds = {r["k"] for r in found.select(F.lower(F.element_at(F.split("path", r"\."), -1)).alias("k")).distinct().collect()}  # five at most
     ranges = [csv_ranges(spark, folder)] if "csv" in kinds else []
-    ranges += [parquet_ranges(spark, folder, times)] if "parquet" in kinds else []
+    ranges += [parquet_ranges(spark, folder, times) if times else footer_ranges(spark, folder)] if "parquet" in kinds else []
     if not ranges:
         return found.select("*", F.lit(0).cast("long").alias("n_rows"), F.lit(None).cast("string").alias("time_column"), *[F.lit(None).cast("double").alias(c) for c in ("start_time", "end_time")])
     known = plain(ranges[0] if len(ranges) == 1 else ranges[0].union(ranges[1]))
