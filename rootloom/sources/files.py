@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rootloom.sources.footers import footer_ranges
+from rootloom.sources.footers import footer_ranges, opens
 
 
 def scan_metrics(spark: SparkSession, paths: list[str], schema: str | None = None) -> DataFrame:
@@ -109,17 +109,52 @@ def parquet_ranges(spark: SparkSession, folder: str, times: str = "", glob: str
     return grouped.select("path", "n_rows", first["c"].alias("time_column"), first["a"].alias("start_time"), first["b"].alias("end_time"))
 
 
+def schema_ranges(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """As ``footer_ranges``, for file systems that only Spark's readers can open: (path, ...) of the Parquet files ``files``.
+
+    The driver asks each file's schema, one after another, and files of the same time column and type are read by one job. Where files are very
+    many, name the columns instead (``parquet_ranges``). Texts are read as numbers, else as times; columns of other types have no range. A file
+    that Spark can't read, damaged or of types it doesn't know, has no row.
+    """
+    from pyspark.errors import PySparkException
+
+    from rootloom.operators.time_ops import choose_ts_column
+
+    groups: dict[tuple[str | None, str], list[str]] = {}
+    for row in files.select("path").toLocalIterator():
+        try:
+            schema = spark.read.option("ignoreCorruptFiles", "true").parquet(row["path"]).schema
+        except PySparkException:
+            continue
+        name = choose_ts_column(schema.names)
+        groups.setdefault((name, schema[name].dataType.simpleString() if name else ""), []).append(row["path"])
+    out = spark.createDataFrame([], "path string, n_rows long, time_column string, start_time double, end_time double")
+    for (name, kind), paths in groups.items():
+        rows, at = spark.read.parquet(*paths) if name is None else spark.read.schema(f"`{name}` {kind}").parquet(*paths), F.lit(None).cast("double")
+        if name is not None and kind.startswith(("timestamp", "date")):
+            at = F.unix_micros(F.col(f"`{name}`").cast("timestamp")) / 1e6
+        elif name is not None and kind == "string":
+            at = F.coalesce(F.col(f"`{name}`").try_cast("double"), F.unix_micros(F.col(f"`{name}`").try_cast("timestamp")) / 1e6)
+        elif name is not None and not kind.startswith(("array", "map", "struct", "binary", "boolean", "variant")):
+            at = F.col(f"`{name}`").cast("double")
+        rows = rows.select(F.col("_metadata.file_path").alias("path"), F.when(~F.isnan(at), at).alias("_t"))
+        ends = rows.groupBy("path").agg(F.count("*").alias("n_rows"), F.min("_t").alias("start_time"), F.max("_t").alias("end_time"))
+        out = out.union(ends.select("path", "n_rows", F.lit(name).alias("time_column"), "start_time", "end_time"))
+    return out
+
+
 def file_catalog(spark: SparkSession, folder: str, glob: str = "*", times: str = "", hashed: bool = False) -> DataFrame:
     """(path, bytes, modality, modified, n_rows, time_column, start_time, end_time) of all supported files below a folder.
 
     CSV files are read as lines, Parquet files at their footers (``footer_ranges``), or, where ``times`` names them, by these columns
-    (``parquet_ranges``); the others have no rows here. A file that can't be read keeps its row. An empty folder gives no rows.
+    (``parquet_ranges``), or, on file systems that only Spark's readers know, by their schemas (``schema_ranges``); the others have no rows here. A file that can't be read keeps its row. An empty folder gives no rows.
     """
     found = list_files(spark, folder, glob, hashed)
     plain = lambda df: df.withColumn("_at", F.regexp_replace("path", "^file:/*", "/")).drop("path")  # noqa: E731  the readers write local paths in two ways
     kinds = {r["k"] for r in found.select(F.lower(F.element_at(F.split("path", r"\."), -1)).alias("k")).distinct().collect()}  # five at most
     ranges = [csv_ranges(spark, folder)] if "csv" in kinds else []
-    ranges += [parquet_ranges(spark, folder, times) if times else footer_ranges(spark, folder)] if "parquet" in kinds else []
+    if "parquet" in kinds:
+        ranges.append(parquet_ranges(spark, folder, times) if times else footer_ranges(spark, folder) if opens(folder) else schema_ranges(spark, found.where("lower(path) like '%.parquet'")))
     if not ranges:
         return found.select("*", F.lit(0).cast("long").alias("n_rows"), F.lit(None).cast("string").alias("time_column"), *[F.lit(None).cast("double").alias(c) for c in ("start_time", "end_time")])
     known = plain(ranges[0] if len(ranges) == 1 else ranges[0].union(ranges[1]))

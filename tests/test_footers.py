@@ -38,3 +38,7 @@ def test_each_file_has_its_own_time_column(spark, tmp_path):
     }
     catalog = files.file_catalog(spark, f"file://{tmp_path}")
     assert {r["path"].rsplit("/", 1)[-1][:-8]: (r["n_rows"], r["time_column"], r["start_time"], r["end_time"]) for r in catalog.collect()} == got
+    assert footers.opens(str(tmp_path)) and footers.opens(f"file:{tmp_path}") and not footers.opens("elsewhere://host/folder")
+    by_schema = {r["path"].rsplit("/", 1)[-1][:-8]: tuple(r)[1:] for r in files.schema_ranges(spark, catalog).collect()}
+    # Files without rows have no row here, nor has what Spark can't read (damaged, nanoseconds); a file of numbers and other texts has both.
+    assert by_schema == {k: v for k, v in got.items() if k not in ("empty", "damaged", "digits", "nanos", "nested")} | {"digits": (3, "date", 9.5, 86400.0), "nested": (2, "ts", 1.0, 2.0)}
