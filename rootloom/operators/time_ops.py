@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rootloom.operators.order_stats import group_median, range_rank
+from rootloom.operators.order_stats import group_median, join_groups, range_rank
 
 
 def first_column(columns: Iterable[str], candidates: Iterable[str]) -> str | None:
@@ -94,7 +94,7 @@ def phase_split(rows: DataFrame, keys: list[str], bounds: DataFrame | None = Non
         # The range is all there is, so only the pivot has to be found.
         middle = group_median(rows, keys, F.col("ts"), "_pivot")
         phase = F.when(F.col("ts") < F.col("_pivot"), "pre").when(F.col("ts") >= F.col("_pivot"), "post")
-        return rows.join(middle, keys).withColumn("phase", phase).drop("_pivot")
+        return join_groups(rows, middle, keys).withColumn("phase", phase).drop("_pivot")
     stats = group_median(rows, keys, F.abs("ts"), "abs_median")
     if "pivot_ts" in bounds.columns:
         pivot, unit = align_bound(F.col("pivot_ts").cast("double"), F.col("abs_median")), time_unit(F.col("abs_median"))
@@ -103,7 +103,7 @@ def phase_split(rows: DataFrame, keys: list[str], bounds: DataFrame | None = Non
         start, end = align_bounds([F.col(c).cast("double") for c in ("start_ts", "end_ts")], F.col("abs_median"))
         limits = stats.join(bounds, keys).select(*keys, start.alias("_from"), ((start + end) / 2).alias("_pivot"), end.alias("_to"))
     phase = F.when((F.col("ts") >= F.col("_from")) & (F.col("ts") < F.col("_pivot")), "pre").when((F.col("ts") >= F.col("_pivot")) & (F.col("ts") <= F.col("_to")), "post")
-    return rows.join(limits, keys).withColumn("phase", phase).drop("_from", "_pivot", "_to")
+    return join_groups(rows, limits, keys).withColumn("phase", phase).drop("_from", "_pivot", "_to")
 
 
 def inject_split(rows: DataFrame, injections: DataFrame, order: list[str]) -> DataFrame:

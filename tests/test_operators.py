@@ -296,3 +296,23 @@ def test_a_dataset_with_a_missing_pair_isnt_ready(spark):
         expected = spark.createDataFrame([("pairs", n), ("inactive_sum:root4", 0)], "item string, expected long")
         got = {r["item"]: (r["expected"], r["found"], r["ok"]) for r in readiness.dataset_readiness(checks, expected).collect()}
         assert got["ready"][2] is ready and got["pairs"] == (n, 1, ready) and got["label_sum:root1"] == (None, 2, True) and got["inactive_sum:root4"] == (0, 0, True)
+
+
+def test_group_statistics_go_to_the_rows(spark):
+    """Raw rows of few groups are neither shuffled by the group nor sorted: a task would hold a whole group."""
+    from rootloom.operators import order_stats, time_ops
+
+    rows = spark.range(3000).selectExpr("concat('c', id % 2) as case_id", "cast(id as double) as ts")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        split = time_ops.phase_split(rows, ["case_id"])
+        assert "SortMergeJoin" not in split._jdf.queryExecution().executedPlan().toString()
+        assert split.where("phase = 'pre'").count() == 1500
+        few, order_stats.FEW_GROUPS = order_stats.FEW_GROUPS, 1
+        try:
+            assert time_ops.phase_split(rows, ["case_id"]).where("phase = 'pre'").count() == 1500
+        finally:
+            order_stats.FEW_GROUPS = few
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
