@@ -19,6 +19,10 @@ from rootloom.session import written
 PRIME = 2**31 - 1
 #: Different values of a group that a task holds, and standard deviations (and draws) to either side that an inversion looks at.
 TOGETHER, DEVIATIONS = 2048, 10
+#: Draws up to which the distributions of all sizes are tabled together (some 1000 x 20 deviations).
+TABLED = 20_000
+#: The most tasks that draw.
+TASKS = 1024
 #: Multipliers of a range's level, begin and end, and of the seed and the repetition.
 KEYS = {"level": 15485863, "begin": 104729, "end": 32452843, "seed": 7919, "rep": 1299709}
 ROUNDS = ((48271, 11), (69621, 7))
@@ -39,7 +43,25 @@ def binomial(n: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
     if p <= 0 or p >= 1:
         return np.zeros_like(n) if p <= 0 else n.copy()
     out = np.zeros_like(n)
-    for m in np.unique(n):
+    sizes, row = np.unique(n, return_inverse=True)
+    if len(sizes) > 1 and sizes[-1] <= TABLED:
+        # All sizes' distributions side by side, from their own least k on; the same steps as below.
+        spread = DEVIATIONS * np.sqrt(sizes * p * (1 - p)) + DEVIATIONS
+        first = np.maximum(0, np.floor(sizes * p - spread)).astype(np.int64)
+        last = np.minimum(sizes, np.ceil(sizes * p + spread)).astype(np.int64)
+        k = first[:, None] + np.arange((last - first).max() + 1)
+        inside = k[:, 1:] <= last[:, None]
+        steps = np.where(inside, np.log(np.where(inside, (sizes[:, None] - k[:, :-1]) / k[:, 1:], 1.0)) + np.log(p / (1 - p)), -np.inf)
+        log = np.concatenate([np.zeros((len(sizes), 1)), np.cumsum(steps, axis=1)], axis=1)
+        mass = np.cumsum(np.exp(log - log.max(axis=1, keepdims=True)), axis=1)
+        at = u * mass[row, -1]
+        low, high = np.zeros(len(n), np.int64), np.full(len(n), k.shape[1])
+        while (open_ := low < high).any():  # a binary search for each draw
+            mid = (low + high) // 2
+            right = open_ & (mass[row, np.minimum(mid, k.shape[1] - 1)] <= at)
+            low, high = np.where(right, mid + 1, low), np.where(open_ & ~right, mid, high)
+        return first[row] + np.minimum(low, (last - first)[row])
+    for m in sizes:
         spread = DEVIATIONS * np.sqrt(m * p * (1 - p)) + DEVIATIONS
         k = np.arange(max(0, int(np.floor(m * p - spread))), min(m, int(np.ceil(m * p + spread))) + 1)
         log = np.append(0.0, np.cumsum(np.log((m - k[:-1]) / k[1:]) + np.log(p / (1 - p))))
@@ -90,7 +112,8 @@ def bootstrap_means(rows: DataFrame, keys: list[str], value: str, reps: int, see
     number = len(names)
     heads = path.select(*names, "_b", F.lit(True).alias("_first"), F.lit(None).cast("double").alias("_v"), F.lit(None).cast("long").alias("_c"), "_total", "_path")
     tails = placed.select(*names, "_b", F.lit(False).alias("_first"), "_v", "_c", F.lit(None).cast("long").alias("_total"), F.lit(None).cast(heads.schema["_path"].dataType).alias("_path"))
-    dealt = heads.union(tails).repartition(*names, "_b").sortWithinPartitions(*names, "_b", F.desc("_first"), "_v")
+    # Few bytes but much work: as many tasks as parts of values, which adaptive execution doesn't merge.
+    dealt = heads.union(tails).repartition(min(TASKS, max(1, sizes.count())), *names, "_b").sortWithinPartitions(*names, "_b", F.desc("_first"), "_v")
 
     def draw(batches):
         head, held = None, []

@@ -316,3 +316,24 @@ def test_group_statistics_go_to_the_rows(spark):
             order_stats.FEW_GROUPS = few
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_bootstrap_draws_in_as_many_tasks_as_parts(spark):
+    """Parts of values are few bytes and much work; merged into one task they would be drawn one after another."""
+    from rootloom.operators import bootstrap
+
+    df = spark.range(400).selectExpr("cast(id as double) as v")
+    assert bootstrap.bootstrap_means(df, [], "v", 20, together=16)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
+
+
+def test_tabled_binomials_are_the_plain_ones(monkeypatch):
+    from rootloom.operators import bootstrap
+
+    rng = np.random.default_rng(1)
+    for mean in (1, 60, 2000):
+        n, u = rng.poisson(mean, 300), rng.random(300)
+        for p in (0.5, 0.013, 0.97):
+            tabled = bootstrap.binomial(n, p, u).tolist()
+            monkeypatch.setattr(bootstrap, "TABLED", 0)
+            assert bootstrap.binomial(n, p, u).tolist() == tabled
+            monkeypatch.undo()
