@@ -279,8 +279,7 @@ _DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
 
 @query("file_catalog", " union all ".join(f"select '{t}.parquet' as name, 'events' as modality, count(*) as n_rows, " + ("'ts' as time_column, min(epoch_us(ts)) / 1e6 as start_time, max(epoch_us(ts)) / 1e6 as end_time" if t == "events" else "null::varchar, null::double, null::double") + f" from {t}" for t in sorted(_DRIVER_TABLES, key=lambda t: t != "events")))
 def _(spark, sf_dir):
-    found = files.file_catalog(spark, sf_dir, "*.parquet")
-    return found.select(F.substring_index("path", "/", -1).alias("name"), "modality", "n_rows", "time_column", "start_time", "end_time")
+    return files.table_catalog(files.file_catalog(spark, sf_dir, "*.parquet"), sf_dir)
 
 
 @query("scan_cases", "select distinct 'RE' || (l_orderkey % 3 + 1)::varchar as suite, 'svc-' || (l_partkey % 12)::varchar as root, case when l_linenumber % 2 = 0 then 'cpu' else 'loss' end as fault, l_linenumber as run from lineitem where l_suppkey % 3 <> 0")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -162,6 +163,16 @@ def file_catalog(spark: SparkSession, folder: str, glob: str = "*", times: str =
     return rows.withColumn("n_rows", F.coalesce("n_rows", F.lit(0)).cast("long"))
 
 
+def table_catalog(catalog: DataFrame, folder: str, ending: str = ".parquet") -> DataFrame:
+    """(name, modality, n_rows, time_column, start_time, end_time) of each table: a file, or all files below a folder of such a name, as Spark writes tables."""
+    base = re.sub("^file:/*", "/", folder).rstrip("/") + "/"
+    at = F.regexp_replace("path", "^file:/*", "/")
+    below = F.when(at.startswith(base), F.substring(at, len(base) + 1, 1 << 30)).otherwise(at)
+    name = F.regexp_extract(below, f"([^/]+{re.escape(ending)})(/.*)?$", 1)
+    sums = [F.min("modality").alias("modality"), F.sum("n_rows").alias("n_rows"), F.min("time_column").alias("time_column"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time")]
+    return catalog.groupBy(name.alias("name")).agg(*sums)
+
+
 def file_manifest(catalog: DataFrame) -> DataFrame:
     """(files, bytes, sha256): one hash over all (path, bytes), whatever their order.
 

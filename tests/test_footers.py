@@ -42,3 +42,11 @@ def test_each_file_has_its_own_time_column(spark, tmp_path):
     by_schema = {r["path"].rsplit("/", 1)[-1][:-8]: tuple(r)[1:] for r in files.schema_ranges(spark, catalog).collect()}
     # Files without rows have no row here, nor has what Spark can't read (damaged, nanoseconds); a file of numbers and other texts has both.
     assert by_schema == {k: v for k, v in got.items() if k not in ("empty", "damaged", "digits", "nanos", "nested")} | {"digits": (3, "date", 9.5, 86400.0), "nested": (2, "ts", 1.0, 2.0)}
+
+
+def test_a_table_of_several_files_is_one_row(spark, tmp_path):
+    spark.range(10).selectExpr("cast(id as double) as ts").repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    spark.range(4).coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    for folder in (str(tmp_path), f"file://{tmp_path}/"):
+        rows = files.table_catalog(files.file_catalog(spark, folder, "*.parquet"), folder).collect()
+        assert {r["name"]: (r["n_rows"], r["time_column"], r["start_time"], r["end_time"]) for r in rows} == {"many.parquet": (10, "ts", 0.0, 9.0), "one.parquet": (4, None, None, None)}
