@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,10 +214,20 @@ def log_opinion_pool(explicit: DataFrame, workers: DataFrame, pairs: DataFrame,
     count as uniform. Probabilities that sum to over 1 are scaled. ``weight``: of a worker, ``temperature``: of a case, over the columns of workers
     and pairs (default 1).
     """
+    rows = worker_logs(explicit, workers, pairs, epsilon)
+    logs = rows.withColumn("_l", F.col("_lp") * (F.lit(1.0) if weight is None else weight)).groupBy("case_id", "component", "reason").agg((F.sum("_l") - F.log(F.first("_n"))).alias("logp"), F.count("_p").alias("supporters"), F.first(temperature if isinstance(temperature, Column) else F.lit(temperature)).alias("_temperature"))
+    return _posteriors(logs, ["case_id"], most)
+
+
+def worker_logs(explicit: DataFrame, workers: DataFrame, pairs: DataFrame, epsilon: float = 1e-6) -> DataFrame:
+    """Columns of pairs and workers, with the number of a case's pairs (_n), a worker's probability if it said one (_p), and the logarithm of what counts for it (_lp).
+
+    Tables out of nested columns have more rows than their files' sizes tell, so none is broadcast by these sizes: joins merge.
+    """
     worker = Window.partitionBy("case_id", "worker_id")
     case = Window.partitionBy("case_id")
-    space = pairs.withColumn("_n", F.count("*").over(case)).join(workers.where(F.size("scope") > 0), "case_id")  # workers x pairs of one case
-    rows = space.join(explicit.select("case_id", "worker_id", "component", "reason", "probability"), ["case_id", "worker_id", "component", "reason"], "left")
+    space = pairs.withColumn("_n", F.count("*").over(case)).hint("merge").join(workers.where(F.size("scope") > 0), "case_id")  # workers x pairs of one case
+    rows = space.hint("merge").join(explicit.select("case_id", "worker_id", "component", "reason", "probability"), ["case_id", "worker_id", "component", "reason"], "left")
     inside = F.array_contains("scope", F.col("component"))
     rows = rows.withColumns({"_in": inside, "_p": F.when(inside & F.col("probability").isNotNull(), F.greatest("probability", F.lit(0.0)))})
     rows = rows.withColumns({"_mass": F.coalesce(F.sum("_p").over(worker), F.lit(0.0)), "_said": F.count("_p").over(worker), "_size": F.count_if(F.col("_in")).over(worker)})
@@ -227,11 +235,15 @@ def log_opinion_pool(explicit: DataFrame, workers: DataFrame, pairs: DataFrame,
     other = F.least(F.col("other_mass"), F.greatest(F.lit(0.0), 1 - F.least(F.col("_mass"), F.lit(1.0))))
     rest = F.greatest(F.lit(epsilon), other / F.greatest(F.lit(1), F.col("_size") - F.col("_said")))
     p = F.when(~F.col("_in"), 1.0 / F.col("_n")).otherwise(F.greatest(F.lit(epsilon), F.coalesce(F.col("_p") * scale, rest)))
-    logs = rows.withColumn("_l", F.log(p) * (F.lit(1.0) if weight is None else weight)).groupBy("case_id", "component", "reason").agg((F.sum("_l") - F.log(F.first("_n"))).alias("logp"), F.count("_p").alias("supporters"), F.first(temperature if isinstance(temperature, Column) else F.lit(temperature)).alias("_temperature"))
+    return rows.withColumn("_lp", F.log(p))
+
+
+def _posteriors(logs: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The ``most`` best pairs of each group with their posteriors. logs: (keys, component, reason, logp, supporters, _temperature)."""
+    case = Window.partitionBy(*keys)
     logs = logs.withColumn("_top", F.max("logp").over(case)).withColumn("_e", F.exp((F.col("logp") - F.col("_top")) / F.greatest("_temperature", F.lit(1e-6))))
-    posterior = logs.withColumn("posterior", F.col("_e") / F.sum("_e").over(case))
-    ranked = posterior.withColumn("posterior", F.round("posterior", 9))
-    return best(ranked, ["case_id"], [F.col("posterior").desc(), F.col("supporters").desc(), "component", "reason"], most, rank="rank").select("case_id", "component", "reason", "posterior", "supporters", "rank")
+    ranked = logs.withColumn("posterior", F.round(F.col("_e") / F.sum("_e").over(case), 9))
+    return best(ranked, keys, [F.col("posterior").desc(), F.col("supporters").desc(), "component", "reason"], most, rank="rank").select(*keys, "component", "reason", "posterior", "supporters", "rank")
 
 
 def worker_correlation(vectors: DataFrame) -> DataFrame:
@@ -265,26 +277,30 @@ def boosted_weight(modality: Column, boost: Column) -> Column:
     return F.when(boost == 1.0, 1.0).otherwise(of)
 
 
-def pooled_under(params: list[tuple[float, float, float]], explicit: DataFrame, workers: DataFrame, pairs: DataFrame, correlation: DataFrame) -> tuple[Callable[[DataFrame], DataFrame], DataFrame]:
-    """A function that repeats a table by case for each of params (boost, rho, temperature), and the opinions pooled anew for each.
+def pooled_under(params: list[tuple[float, float, float]], explicit: DataFrame, workers: DataFrame, pairs: DataFrame, correlation: DataFrame, most: int = 8) -> DataFrame:
+    """(param_id, case_id, component, reason, posterior, supporters, rank): the opinions pooled anew for each of params (boost, rho, temperature).
 
-    Parameters are few; a case is pooled under the key (parameter, case), so all of it is one plan.
+    What a worker says of a pair is the same under all of them, so workers meet pairs once, with a sum for each different weight; only the
+    sums of pairs are repeated for each parameter, and stay with their case.
     """
-    key = F.concat_ws("|", F.col("param_id").cast("string"), "case_id")
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("param_id"), *[F.lit(float(x)).alias(n) for n, x in zip(("boost", "rho", "temperature"), p)]) for k, p in enumerate(params)]))
-    under = lambda df: df.withColumn("_p", each).select("*", "_p.*").drop("_p").withColumn("case_id", key)
-    weighted = under(workers.join(correlation, "case_id")).withColumn("_weight", boosted_weight(F.col("modality"), F.col("boost")) * effective_share(F.col("workers"), F.col("correlation"), F.col("rho")))
-    pooled = log_opinion_pool(under(explicit), weighted.select("case_id", "worker_id", "other_mass", "scope", "_weight", "temperature"), under(pairs).select("case_id", "component", "reason"), F.col("_weight"), temperature=F.col("temperature"))
-    return under, pooled
+    weights = list(dict.fromkeys((b, r) for b, r, _ in params))
+    rows = worker_logs(explicit, workers.hint("merge").join(correlation, "case_id"), pairs.select("case_id", "component", "reason"))
+    under = lambda b, r: boosted_weight(F.col("modality"), F.lit(float(b))) * effective_share(F.col("workers"), F.col("correlation"), F.lit(float(r)))
+    sums = F.array(*[F.sum(F.col("_lp") * under(b, r)) - F.log(F.first("_n")) for b, r in weights])
+    logs = rows.groupBy("case_id", "component", "reason").agg(sums.alias("_logs"), F.count("_p").alias("supporters")).repartition("case_id")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("param_id"), F.lit(weights.index((b, r))).alias("w"), F.lit(float(t)).alias("t")) for k, (b, r, t) in enumerate(params)]))
+    logs = logs.withColumn("_q", each).select("_q.param_id", "case_id", "component", "reason", F.get("_logs", F.col("_q.w")).alias("logp"), "supporters", F.col("_q.t").alias("_temperature"))
+    return _posteriors(logs, ["param_id", "case_id"], most)
 
 
 def pool_scores(params: list[tuple[float, float, float]], explicit: DataFrame, workers: DataFrame, pairs: DataFrame, truth: DataFrame, correlation: DataFrame) -> DataFrame:
     """(param_id, boost, rho, temperature, mrr, hit_at_1, brier) of each of params (boost, rho, temperature), over all cases of ``truth``."""
-    under, pooled = pooled_under(params, explicit, workers, pairs, correlation)
+    pooled = pooled_under(params, explicit, workers, pairs, correlation).select("param_id", "case_id", "component", "posterior", "rank")
     names = ["param_id", "boost", "rho", "temperature"]
-    asked = under(truth).select(*names, "case_id", F.lower(F.trim("true_root")).alias("_true"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("param_id"), *[F.lit(float(x)).alias(n) for n, x in zip(names[1:], p)]) for k, p in enumerate(params)]))
+    asked = truth.withColumn("_q", each).select("_q.*", "case_id", F.lower(F.trim("true_root")).alias("_true"))
     hit = F.lower(F.trim("component")) == F.col("_true")
-    found = asked.join(pooled, "case_id", "left").groupBy(*names, "case_id").agg(F.coalesce(1.0 / F.min(F.when(hit, F.col("rank"))), F.lit(0.0)).alias("rr"), F.max(F.when(F.col("rank") == 1, F.col("posterior"))).alias("sure"))
+    found = asked.hint("merge").join(pooled, ["param_id", "case_id"], "left").groupBy(*names, "case_id").agg(F.coalesce(1.0 / F.min(F.when(hit, F.col("rank"))), F.lit(0.0)).alias("rr"), F.max(F.when(F.col("rank") == 1, F.col("posterior"))).alias("sure"))
     right = F.when(F.col("rr") == 1.0, 1.0).otherwise(0.0)
     error = F.coalesce("sure", F.lit(0.0)) - right
     return found.groupBy(*names).agg(F.round(F.avg("rr"), 9).alias("mrr"), F.round(F.avg(right), 9).alias("hit_at_1"), F.round(F.avg(error * error), 9).alias("brier"))

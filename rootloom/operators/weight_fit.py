@@ -66,7 +66,7 @@ def case_scores(ranked: DataFrame, asked: DataFrame, keys: list[str]) -> DataFra
     Without a ranking the rank counts as 0, and nothing was claimed.
     """
     hit = same_name(F.col("component")) == same_name(F.col("true_root"))
-    found = asked.join(ranked, keys, "left").groupBy(*asked.columns).agg(F.coalesce(1.0 / F.min(F.when(hit, F.col("place"))), F.lit(0.0)).alias("rr"), F.coalesce(F.max(F.when(F.col("place") == 1, F.col("sure"))), F.lit(0.0)).alias("_sure"))
+    found = asked.hint("merge").join(ranked, keys, "left").groupBy(*asked.columns).agg(F.coalesce(1.0 / F.min(F.when(hit, F.col("place"))), F.lit(0.0)).alias("rr"), F.coalesce(F.max(F.when(F.col("place") == 1, F.col("sure"))), F.lit(0.0)).alias("_sure"))
     right = F.when(F.col("rr") == 1.0, 1.0).otherwise(0.0)
     return found.select(*asked.columns, "rr", right.alias("right"), F.pow(F.col("_sure") - right, 2).alias("error"))
 
@@ -113,15 +113,26 @@ def fit_pool(explicit: DataFrame, workers: DataFrame, pairs: DataFrame, vectors:
     """
     pools, gains = list(product(*grid[:3])), list(product(*grid[3:]))
     correlation = written(worker_correlation(vectors), "correlation")
-    _, pooled = pooled_under(pools, explicit, workers, pairs, correlation)
-    # Keys of pooled cases are "parameter|case".
-    parted = pooled.select(F.substring_index("case_id", "|", 1).cast("int").alias("pool"), F.expr("substr(case_id, instr(case_id, '|') + 1)").alias("case_id"), "component", F.col("posterior").alias("score"), "rank", F.col("posterior").alias("confidence"))
+    pooled = pooled_under(pools, explicit, workers, pairs, correlation)
+    pooled = written(pooled.select(F.col("param_id").alias("pool"), "case_id", "component", F.col("posterior").alias("score"), "rank", F.col("posterior").alias("confidence")), "pooled-grid")
     names = ["boost", "rho", "temperature", "gamma", "beta"]
-    each = _listed([p + g for p in pools for g in gains], names)
+    # Cases without a graph and an onset are ranked alike under all gains, so they are scored once a pool.
+    moved = written(coverage.select("case_id").union(onsets.select("case_id")).distinct(), "moved")
+    truth = truth.select("case_id", "true_root").distinct()
     gain = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(g).alias("gamma"), F.lit(b).alias("beta")) for k, (g, b) in enumerate(gains)]))
-    rows = written(parted, "pooled-grid").withColumn("_g", gain).select((F.col("pool") * len(gains) + F.col("_g.k")).cast("int").alias("trial"), "case_id", "component", "score", "rank", "confidence", "_g.gamma", "_g.beta")
+    trial = (F.col("pool") * len(gains) + F.col("_g.k")).cast("int").alias("trial")
+    every_pool = F.explode(F.sequence(F.lit(0), F.lit(len(pools) - 1))).alias("pool")
+    sums = [F.count("*").alias("n"), *[F.sum(x).alias(x) for x in ("right", "rr", "error")]]
+    rows = pooled.join(moved, "case_id", "left_semi").withColumn("_g", gain).select(trial, "case_id", "component", "score", "rank", "confidence", "_g.gamma", "_g.beta")
     ranked = reordered(rows, ["trial", "case_id"], coverage, onsets).select("trial", "case_id", "component", "place", "sure")
-    asked = truth.select("case_id", "true_root").distinct().withColumn("_t", each).select("_t.*", "case_id", "true_root")
-    scores = case_scores(ranked, asked, ["trial", "case_id"]).groupBy("trial", *names).agg(F.count("*").alias("n_cases"), _mean("right", 4).alias("hit_at_1"), _mean("rr", 4).alias("mrr"), _mean("error", 6).alias("brier"))
+    asked = truth.join(moved, "case_id", "left_semi").select("*", every_pool).withColumn("_g", gain).select(trial, "case_id", "true_root")
+    moving = case_scores(ranked, asked, ["trial", "case_id"]).groupBy("trial").agg(*sums)
+    ranked = pooled.join(moved, "case_id", "left_anti").select("pool", "case_id", "component", F.col("rank").alias("place"), F.col("confidence").alias("sure"))
+    asked = truth.join(moved, "case_id", "left_anti").select("*", every_pool)
+    staying = case_scores(ranked, asked, ["pool", "case_id"]).groupBy("pool").agg(*sums).withColumn("_g", gain).select(trial, "n", "right", "rr", "error")
+    setting = F.get(F.array(*[F.struct(*[F.lit(float(x)).alias(n) for n, x in zip(names, p + g)]) for p in pools for g in gains]), F.col("trial")).alias("_t")
+    share = lambda x, digits: F.round(F.round(F.sum(x) / F.sum("n"), 9), digits)
+    scores = moving.unionByName(staying).groupBy("trial").agg(F.sum("n").alias("n_cases"), share("right", 4).alias("hit_at_1"), share("rr", 4).alias("mrr"), share("error", 6).alias("brier"))
+    scores = scores.select("trial", setting, "n_cases", "hit_at_1", "mrr", "brier").select("trial", "_t.*", "n_cases", "hit_at_1", "mrr", "brier")
     order = Window.orderBy(F.col("hit_at_1").desc(), F.col("mrr").desc(), "brier", "trial")  # a row for each setting
     return scores.withColumn("chosen", F.row_number().over(order) == 1)

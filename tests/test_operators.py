@@ -337,3 +337,21 @@ def test_tabled_binomials_are_the_plain_ones(monkeypatch):
             monkeypatch.setattr(bootstrap, "TABLED", 0)
             assert bootstrap.binomial(n, p, u).tolist() == tabled
             monkeypatch.undo()
+
+
+def test_opinions_are_pooled_once_for_all_parameters(spark):
+    """Under each parameter as if pooled by itself, and without a broadcast of opinions, whose size no file tells."""
+    explicit = spark.createDataFrame([("c", "w1", "a", "cpu", 0.6), ("c", "w2", "b", "cpu", 0.5), ("d", "w1", "b", "cpu", 0.7)], "case_id string, worker_id string, component string, reason string, probability double")
+    workers = spark.createDataFrame([(k, w, m, 0.2, ["a", "b"]) for k in "cd" for w, m in (("w1", "logs"), ("w2", "metrics"))], "case_id string, worker_id string, modality string, other_mass double, scope array<string>")
+    pairs = spark.createDataFrame([(k, c, "cpu") for k in "cd" for c in "abx"], "case_id string, component string, reason string")
+    correlation = spark.createDataFrame([("c", 2, 0.5), ("d", 2, 0.0)], "case_id string, workers long, correlation double")
+    params = [(1.0, 0.0, 1.0), (2.0, 1.0, 1.0), (2.0, 1.0, 3.0)]
+    pooled = fusion.pooled_under(params, explicit, workers, pairs, correlation)
+    got = {(r["param_id"], r["case_id"], r["component"]): (r["posterior"], r["rank"]) for r in pooled.collect()}
+    assert len(got) == 18
+    for k, (boost, rho, temperature) in enumerate(params):
+        weighted = workers.join(correlation, "case_id").withColumn("_weight", fusion.boosted_weight(F.col("modality"), F.lit(boost)) * fusion.effective_share(F.col("workers"), F.col("correlation"), F.lit(rho)))
+        alone = fusion.log_opinion_pool(explicit, weighted.drop("workers", "correlation"), pairs, F.col("_weight"), temperature=temperature)
+        for r in alone.collect():
+            assert got[k, r["case_id"], r["component"]] == (pytest.approx(r["posterior"], abs=2e-9), r["rank"])
+    assert "BroadcastHashJoin" not in fusion.worker_logs(explicit, workers, pairs)._jdf.queryExecution().executedPlan().toString()
