@@ -287,7 +287,9 @@ def pooled_under(params: list[tuple[float, float, float]], explicit: DataFrame,
     rows = worker_logs(explicit, workers.hint("merge").join(correlation, "case_id"), pairs.select("case_id", "component", "reason"))
     under = lambda b, r: boosted_weight(F.col("modality"), F.lit(float(b))) * effective_share(F.col("workers"), F.col("correlation"), F.lit(float(r)))
     sums = F.array(*[F.sum(F.col("_lp") * under(b, r)) - F.log(F.first("_n")) for b, r in weights])
-    logs = rows.groupBy("case_id", "component", "reason").agg(sums.alias("_logs"), F.count("_p").alias("supporters")).repartition("case_id")
+    # Few bytes that become many rows, so adaptive execution mustn't merge the tasks.
+    tasks = int(explicit.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    logs = rows.groupBy("case_id", "component", "reason").agg(sums.alias("_logs"), F.count("_p").alias("supporters")).repartition(tasks, "case_id")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("param_id"), F.lit(weights.index((b, r))).alias("w"), F.lit(float(t)).alias("t")) for k, (b, r, t) in enumerate(params)]))
     logs = logs.withColumn("_q", each).select("_q.param_id", "case_id", "component", "reason", F.get("_logs", F.col("_q.w")).alias("logp"), "supporters", F.col("_q.t").alias("_temperature"))
     return _posteriors(logs, ["param_id", "case_id"], most)
