@@ -25,7 +25,10 @@ _ROOT = "array<struct<component:string,reason:string,time_s:double>>"
 
 
 def _seconds(text: Column) -> Column:
-    return F.unix_micros(F.try_to_timestamp(F.trim(text), F.lit("yyyy-MM-dd HH:mm:ss"))) / 1e6
+    text = F.trim(text)
+    # Casts are far faster than patterns, and say the same of such texts.
+    plain = text.rlike(r"^[1-9][0-9]{3}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\z")
+    return F.unix_micros(F.when(plain, text.try_cast("timestamp")).otherwise(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")))) / 1e6
 
 
 def scoring_points(text: Column) -> Column:
@@ -47,19 +50,35 @@ def expected_roots(points: Column) -> Column:
     return F.when(n > 0, roots).otherwise(F.array().cast(_ROOT))
 
 
-def parse_answer(raw: Column) -> Column:
-    """struct(error, roots array of (component, reason, time)) of a JSON answer: an object of numbered roots, a list, or ``root_causes``; times stay texts."""
-    item = "map<string,string>"
-    numbered, listed, named = F.from_json(raw, f"map<string,{item}>"), F.from_json(raw, f"array<{item}>"), F.from_json(raw, f"root_causes array<{item}>")["root_causes"]
-    in_order = F.array_sort(F.transform(F.map_keys(numbered), lambda k: F.struct(k.try_cast("int").alias("n"), k.alias("k"))))
-    by_number = F.transform(in_order, lambda e: F.try_element_at(numbered, e["k"]))
-    starts = F.substring(F.ltrim(raw), 1, 1)
-    items = F.when(starts == "[", listed).when(named.isNotNull(), named).when(starts == "{", F.when(F.coalesce(F.forall(F.map_values(numbered), lambda v: v.isNotNull()), F.lit(False)), by_number))
+def with_answer(rows: DataFrame, raw: str, name: str) -> DataFrame:
+    """``rows`` with struct(error, roots array of (component, reason, time)) of a JSON answer: an object of numbered roots, a list, or ``root_causes``; times stay texts.
+
+    Each step is a column of its own, so a text is parsed once a form and not anew for each use.
+    """
+    item, text, start, kept = "map<string,string>", F.col(raw), F.col("_start"), rows.columns
+    rows = rows.withColumn("_start", F.substring(F.ltrim(text), 1, 1))
+    rows = rows.withColumns({"_listed": F.when(start == "[", F.from_json(text, f"array<{item}>")), "_named": F.when((start != "[") & (text.contains("root_causes") | text.contains("\\")), F.from_json(text, f"root_causes array<{item}>")["root_causes"])})  # names may be escaped
+    rows = rows.withColumn("_numbered", F.when((start == "{") & F.col("_named").isNull(), F.from_json(text, f"map<string,{item}>")))
+    in_order = F.array_sort(F.transform(F.map_keys("_numbered"), lambda k: F.struct(k.try_cast("int").alias("n"), k.alias("k"))))
+    by_number = F.transform(in_order, lambda e: F.try_element_at("_numbered", e["k"]))
+    complete = F.coalesce(F.forall(F.map_values("_numbered"), lambda v: v.isNotNull()), F.lit(False))
+    rows = rows.withColumn("_items", F.when(start == "[", F.col("_listed")).when(F.col("_named").isNotNull(), F.col("_named")).when(start == "{", F.when(complete, by_number)))
+    rows = rows.withColumn("_whole", F.coalesce(F.forall("_items", lambda m: m.isNotNull()), F.lit(False)))
     field = lambda m, *names: F.coalesce(*[F.nullif(F.try_element_at(m, F.lit(n)), F.lit("")) for n in names], F.lit(""))
     read = lambda m: F.struct(field(m, "root cause component", "root_cause_component").alias("component"), field(m, "root cause reason", "root_cause_reason").alias("reason"), field(m, "root cause occurrence datetime", "root_cause_occurrence_datetime").alias("time"))
-    whole = F.coalesce(F.forall(items, lambda m: m.isNotNull()), F.lit(False))
-    roots = F.when(whole, F.transform(items, read)).otherwise(F.array().cast("array<struct<component:string,reason:string,time:string>>"))
-    return F.struct((~whole).alias("error"), roots.alias("roots"))
+    rows = rows.withColumn("_roots", F.when(F.col("_whole"), F.transform("_items", read)).otherwise(F.array().cast("array<struct<component:string,reason:string,time:string>>")))
+    return rows.select(*kept, F.struct((~F.col("_whole")).alias("error"), F.col("_roots").alias("roots")).alias(name))
+
+
+def read_answers(rows: DataFrame) -> DataFrame:
+    """``rows`` with the parsed ``scoring_points`` and ``prediction`` as ``_points`` and ``_answer``; as they are where they have them."""
+    if "_answer" in rows.columns:
+        return rows
+    kept, parts = rows.columns, ("components", "reasons", "times")
+    told = scoring_points(F.col("scoring_points"))
+    rows = rows.withColumn("_told", told).select(*kept, *[F.col(f"_told.{c}").alias(f"_{c}") for c in parts])
+    rows = rows.select(*kept, F.struct(*[F.col(f"_{c}").alias(c) for c in parts]).alias("_points"))
+    return with_answer(rows, "prediction", "_answer")
 
 
 def assignment(gains: list[list[int]]) -> list[int]:
@@ -121,10 +140,14 @@ def best_assignment(rows: DataFrame, fits: Column, within_s: float) -> DataFrame
 
     def solve(batches):
         for batch in batches:
-            found = []
+            # Different gains of a batch are solved once.
+            known, found = {}, []
             for g in batch.column(batch.num_columns - 1).to_pylist():
-                path = None if g is None else assignment(g)
-                found.append(None if g is None else {"score": sum(row[j] for row, j in zip(g, path)), "path": path})
+                key = None if g is None else tuple(map(tuple, g))
+                if g is not None and key not in known:
+                    path = assignment(g)
+                    known[key] = {"score": sum(row[j] for row, j in zip(g, path)), "path": path}
+                found.append(known.get(key))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, arrow)], shape.names)
 
     return asked.mapInArrow(solve, shape)
@@ -159,11 +182,10 @@ def score_answers(rows: DataFrame, keys: list[str]) -> DataFrame:
     A field that the points don't tell for every root counts as asked, but can't be matched; a prediction that can't be read
     has no roots.
     """
-    points, answer = scoring_points(F.col("scoring_points")), parse_answer(F.col("prediction"))
-    given = F.size("_points.components") + F.size("_points.reasons") + F.size("_points.times")
-    found = rows.select(*keys, points.alias("_points"), answer.alias("_answer"))
-    predicted = F.transform("_answer.roots", lambda r: F.struct(r["component"].alias("component"), r["reason"].alias("reason"), _seconds(r["time"]).alias("time_s")))
-    found = found.withColumns({"expected": expected_roots(F.col("_points")), "predicted": predicted})
+    given = F.size("_told.components") + F.size("_told.reasons") + F.size("_told.times")
+    found = read_answers(rows).select(*keys, F.col("_points").alias("_told"), F.col("_answer").alias("_said"))
+    predicted = F.transform("_said.roots", lambda r: F.struct(r["component"].alias("component"), r["reason"].alias("reason"), _seconds(r["time"]).alias("time_s")))
+    found = found.withColumns({"expected": expected_roots(F.col("_told")), "predicted": predicted})
     scored = field_score(found.withColumn("_n", given), keys, asked=F.col("_n"))
     return scored.withColumn("strict_correct", F.col("score") == 1.0)
 
@@ -178,8 +200,7 @@ def error_taxonomy(rows: DataFrame, keys: list[str], components: list[str], reas
     Several categories may hold; a strictly correct answer has none, any other without one is unknown. Times are compared in
     their order, within a minute. ``components`` and ``reasons``: the catalogue.
     """
-    points, answer = scoring_points(F.col("scoring_points")), parse_answer(F.col("prediction"))
-    rows = rows.select(*keys, "strict_correct", points.alias("_e"), answer.alias("_a")).withColumn("_n", F.size("_a.roots"))
+    rows = read_answers(rows).select(*keys, "strict_correct", F.col("_points").alias("_e"), F.col("_answer").alias("_a")).withColumn("_n", F.size("_a.roots"))
     count = F.greatest(F.size("_e.components"), F.size("_e.reasons"), F.size("_e.times"))
     roots = F.col("_a.roots")
     lists = (("components", "component"), ("reasons", "reason"), ("times", "time"))
@@ -194,7 +215,8 @@ def error_taxonomy(rows: DataFrame, keys: list[str], components: list[str], reas
     late = asked["time"] & ((F.size("_e.times") != F.col("_n")) | F.exists(pairs, lambda x: ~x))
     tests = (F.col("_a.error"), (count > 0) & (F.col("_n") != count), lacking, foreign, differs("components", "component"), differs("reasons", "reason"), late)
     found = F.array_compact(F.array(*[F.when(test, kind) for test, kind in zip(tests, ERROR_KINDS)]))
-    kinds = F.when(F.col("strict_correct"), F.array().cast("array<string>")).when(F.size(found) > 0, found).otherwise(F.array(F.lit(ERROR_KINDS[-1])))
+    rows = rows.withColumn("_found", found)
+    kinds = F.when(F.col("strict_correct"), F.array().cast("array<string>")).when(F.size("_found") > 0, F.col("_found")).otherwise(F.array(F.lit(ERROR_KINDS[-1])))
     first = lambda one: F.coalesce(F.nullif(F.get(roots, 0)[one], F.lit("")), F.lit("missing"))
     return rows.select(*keys, "strict_correct", kinds.alias("categories"), first("component").alias("predicted_component"), first("reason").alias("predicted_reason"))
 

@@ -310,9 +310,10 @@ _CATALOGUE = [f"os_00{i}" for i in range(1, 6)]
 def _classified(spark, sf_dir):
     from rootloom.operators.time_ops import REASONS
 
-    rows = _answers(spark, sf_dir)
-    strict = scoring.score_answers(rows, ["case_id", "system"]).select("case_id", "system", "strict_correct")
-    return scoring.error_taxonomy(rows.join(strict, ["case_id", "system"]).withColumn("volume_bin", F.when(F.col("telemetry_bytes") > 250000, "high").otherwise("low")), ["case_id", "system", "volume_bin"], _CATALOGUE, list(REASONS))
+    keys = ["case_id", "system", "volume_bin"]
+    rows = scoring.read_answers(_answers(spark, sf_dir).withColumn("volume_bin", F.when(F.col("telemetry_bytes") > 250000, "high").otherwise("low")))
+    strict = scoring.score_answers(rows, [*keys, "_points", "_answer"])
+    return scoring.error_taxonomy(strict, keys, _CATALOGUE, list(REASONS))
 
 
 @query("error_taxonomy", f"with {_ANSWERS}, {_KINDS} select case_id, system, k = 7 as strict_correct, array_to_string(categories, ',') as categories, pc as predicted_component, pr as predicted_reason from kinds")
