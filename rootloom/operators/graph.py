@@ -34,12 +34,18 @@ def span_edges(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def service_graph(spans: DataFrame, node: str = "service", keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Different directed edges (keys, src, dst) from caller to callee, names in lower case, without empty ones and loops."""
+    """Different directed edges (keys, src, dst) from caller to callee, names in lower case, without empty ones and loops.
+
+    Both sides are dealt by the ids that they meet on, once: names of spans that share an id are made different where they are, so
+    a call meets each name once, and calls need not be different before they meet.
+    """
     name = F.lower(F.trim(node))
     ends = spans.where(name != "")
-    parents = ends.select(*keys, F.col("span_id").alias("parent_id"), name.alias("src")).distinct()
-    calls = ends.where("parent_id is not null").select(*keys, "parent_id", name.alias("dst")).distinct()
-    return calls.join(parents, [*keys, "parent_id"]).where("src <> dst").select(*keys, "src", "dst").distinct()
+    parts = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't lessened, so that ids of few spans are in a task's memory
+    at = ["parent_id", *keys]  # the id first: sorting by a number that differs is far faster than by texts that don't
+    parents = ends.select(*keys, F.col("span_id").alias("parent_id"), name.alias("src")).where("parent_id is not null").repartition(parts, *at).distinct()
+    calls = ends.where("parent_id is not null").select(*at, name.alias("dst"))
+    return calls.join(parents, at).where("src <> dst").select(*keys, "src", "dst").distinct()
 
 
 def container_service_edges(spans: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
