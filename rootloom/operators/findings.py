@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootloom.operators.order_stats import by_ranges, group_median, group_quantiles, range_rank
+from rootloom.operators.order_stats import FEW_GROUPS, by_ranges, group_median, group_quantiles, range_rank
+from rootloom.session import written
 
 LEAST_P = 1e-300
 
@@ -180,13 +181,16 @@ def threshold_anomaly(window_rows: DataFrame, baseline: DataFrame, window: list[
 def trace_summary(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Latency and failures of each (component, service, data source, call type); nulls are groups of their own."""
     failed = F.lower("success").isin("false", "0", "fail", "failed")  # fixed values
-    # Nulls in a key would not meet in the join with the medians, so keys are compared as one struct's text.
-    marked = spans.withColumn("_g", F.to_json(F.struct(*keys)))
-    sums = marked.groupBy("_g", *keys).agg(
+    # Groups are numbered, so that rows are sorted by a number. Nulls in a key would not meet in a join, but in a struct they do.
+    marked = spans.select(F.struct(*keys).alias("_g"), "elapsed", "start_ms", failed.alias("_failed"))
+    groups = written(marked.select("_g").distinct().withColumn("_k", F.monotonically_increasing_id()), "groups")
+    numbered = marked.join(F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups, "_g").select("_k", "elapsed", "start_ms", "_failed")
+    sums = numbered.groupBy("_k").agg(
         F.count("*").alias("n"), F.avg("elapsed").alias("mean_elapsed"), F.max("elapsed").alias("max_elapsed"),
-        F.min("start_ms").alias("first_start"), F.max_by("start_ms", F.struct("elapsed", -F.col("start_ms"))).alias("max_start"), F.count(F.when(failed, 1)).alias("failures"),
+        F.min("start_ms").alias("first_start"), F.max_by("start_ms", F.struct("elapsed", -F.col("start_ms"))).alias("max_start"), F.count(F.when(F.col("_failed"), 1)).alias("failures"),
     )
-    return sums.join(group_median(marked, ["_g"], F.col("elapsed"), "median_elapsed"), "_g", "left").drop("_g")
+    medians = group_median(numbered, ["_k"], F.col("elapsed"), "median_elapsed")
+    return groups.join(sums, "_k").join(medians, "_k", "left").select("_g.*", *sums.columns[1:], "median_elapsed")
 
 
 def trace_latency_findings(summary: DataFrame) -> DataFrame:

@@ -27,10 +27,11 @@ def window_interval_join(rows: DataFrame, windows: DataFrame, time_ms: str = "ti
 
 def span_edges(spans: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, parent, child, n): calls from one component to another. Of spans that share an id, the first counts as parent."""
-    one = Window.partitionBy(*keys, "span_id").orderBy("start_ms", "component")
-    parents = spans.withColumn("_r", F.row_number().over(one)).where("_r = 1").select(*keys, F.col("span_id").alias("parent_id"), F.col("component").alias("parent"))
+    at = ["parent_id", *keys]  # the id first: sorting by what differs is far faster
+    one = Window.partitionBy("span_id", *keys).orderBy("start_ms", "component")
+    parents = spans.where("span_id is not null").select(*keys, "span_id", "start_ms", "component").withColumn("_r", F.row_number().over(one)).where("_r = 1").select(*keys, F.col("span_id").alias("parent_id"), F.col("component").alias("parent"))
     calls = spans.where("parent_id is not null").select(*keys, "parent_id", F.col("component").alias("child"))
-    return calls.join(parents, [*keys, "parent_id"]).where("parent <> child").groupBy(*keys, "parent", "child").agg(F.count("*").alias("n"))
+    return calls.join(parents, at).where("parent <> child").groupBy(*keys, "parent", "child").agg(F.count("*").alias("n"))
 
 
 def service_graph(spans: DataFrame, node: str = "service", keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -12,6 +12,8 @@ from rootloom.session import written
 ACCURACY = 10_000
 #: The most groups whose statistics are broadcast to their rows (about 100 bytes each).
 FEW_GROUPS = 200_000
+#: The most rows of a group that a task sorts (about 40 bytes each); of larger ones, quantiles are found by brackets.
+WHOLE = 1 << 20
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,13 +25,45 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFram
     return rows.join(F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups, keys)
 
 
-def group_quantiles(rows: DataFrame, keys: list[str], value: Column, shares: dict[str, float]) -> DataFrame:
+def group_quantiles(rows: DataFrame, keys: list[str], value: Column, shares: dict[str, float], whole: int = WHOLE) -> DataFrame:
     """(keys, one column for each of ``shares``): exact quantiles of each group, interpolated between neighbours.
 
+    Groups are counted first. Those of up to ``whole`` rows are sorted, as pairs of a number for the group and the value; larger
+    ones are never held or sorted in one task (``_bracketed``). Rows with a null in a key are left out.
+    """
+    keyed = rows.select(*keys, value.cast("double").alias("_x")).where("_x is not null").dropna(subset=keys)
+    sizes = written(keyed.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_i", F.monotonically_increasing_id()), "sizes")
+    most, n_groups = sizes.agg(F.max("_n"), F.count("*")).first()
+    numbered = keyed.join(F.broadcast(sizes) if n_groups <= FEW_GROUPS else sizes, keys)
+    if (most or 0) <= whole:
+        return _sorted(numbered, sizes, keys, shares)
+    small = _sorted(numbered.where(F.col("_n") <= whole), sizes.where(F.col("_n") <= whole), keys, shares)
+    return small.unionByName(_bracketed(numbered.where(F.col("_n") > whole).select(*keys, "_x"), keys, shares))
+
+
+def _place(share: Column | float) -> Column:
+    """A quantile's place in a group of ``_n`` rows (from 0), rounded a little, so that 0.7 * 10 is 7."""
+    return F.round((F.col("_n") - 1) * share, 9)
+
+
+def _sorted(numbered: DataFrame, sizes: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """The quantiles of groups that a task can sort. numbered: (keys, _x, _n, _i); sizes: (keys, _n, _i)."""
+    place = {name: _place(F.lit(q)) for name, q in shares.items()}
+    ranked = numbered.select("_i", "_x", "_n").withColumn("_r", F.row_number().over(Window.partitionBy("_i").orderBy("_x")) - 1)
+    wanted = F.lit(False)
+    for at in place.values():
+        wanted |= (F.col("_r") == F.floor(at)) | (F.col("_r") == F.ceil(at))
+    ends = [F.max(F.when(F.col("_r") == end(at), F.col("_x"))).alias(f"_{side}{k}") for k, at in enumerate(place.values()) for side, end in (("a", F.floor), ("b", F.ceil))]
+    found = sizes.join(ranked.where(wanted).groupBy("_i").agg(*ends), "_i")
+    return found.select(*keys, *[(F.col(f"_a{k}") + (F.col(f"_b{k}") - F.col(f"_a{k}")) * (at - F.floor(at))).alias(name) for k, (name, at) in enumerate(place.items())])
+
+
+def _bracketed(keyed: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """The quantiles of groups of any size. keyed: (keys, _x).
+
     A sketch of fixed size brackets each between two values of nearby rank; one more pass counts what lies below a bracket
-    and the few different values inside, and the two neighbours are picked from those. So no group is held or sorted in one task.
+    and the few different values inside, and the two neighbours are picked from those.
     """
-    keyed = rows.select(*keys, value.cast("double").alias("_x")).where("_x is not null")
     near = 4.0 / ACCURACY
     ends = [min(1.0, max(0.0, q + d)) for q in shares.values() for d in (-near, near)]
     sketch = keyed.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", ends, ACCURACY).alias("_b"))
@@ -42,8 +76,7 @@ def group_quantiles(rows: DataFrame, keys: list[str], value: Column, shares: dic
     counts = counts.withColumn("_v", F.when(F.col("_s") < 0, F.col("_most")).otherwise(F.col("_least")))
     upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_q").orderBy("_v")))
     share = F.element_at(F.array(*map(F.lit, shares.values())), F.col("_q") + 1)
-    # The place is rounded a little, so that 0.7 * 10 is 7.
-    place = F.round((F.col("_n") - 1) * share, 9)
+    place = _place(share)
     at = lambda i: F.min(F.when(F.col("_upto") > i, F.col("_v")))
     found = upto.groupBy(*keys, "_q").agg(at(F.floor(place)).alias("_a"), at(F.ceil(place)).alias("_b"), F.first(place - F.floor(place)).alias("_t"))
     picked = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t")

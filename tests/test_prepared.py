@@ -95,3 +95,29 @@ def test_weights_are_chosen_on_dev_cases_alone(spark):
     assert len({w[1:] for w in want}) > 3
     chosen = min(want, key=lambda w: (-w[2], -w[3], w[0]))[0]
     assert [r["trial"] for r in rows if r["chosen"]] == [chosen]
+
+
+def test_quantiles_of_sorted_and_of_bracketed_groups_agree(spark):
+    import numpy as np
+
+    from rootloom.operators.order_stats import group_quantiles
+
+    rnd = np.random.default_rng(2)
+    groups = {"a": rnd.normal(size=900).round(1).tolist(), "b": rnd.normal(size=40).tolist(), "c": [2.0], "d": [1.0] * 300}
+    rows = [(k, v) for k, values in groups.items() for v in [*values, None]] + [(None, 5.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    for whole in (10_000, 299, 10, 0):  # all sorted, some, all bracketed
+        got = {r["k"]: (r["m"], r["high"]) for r in group_quantiles(df, ["k"], F.col("v"), {"m": 0.5, "high": 0.9}, whole).collect()}
+        assert got == {k: (pytest.approx(np.quantile(v, 0.5)), pytest.approx(np.quantile(v, 0.9))) for k, v in groups.items()}
+
+
+def test_groups_of_trace_summaries_are_sorted_by_a_number(spark):
+    from rootloom.operators.findings import trace_summary
+
+    rows = [(1, "x", None, 5.0, 2.0, "FAIL"), (1, "x", None, 4.0, 2.0, "true"), (1, "x", "", 6.0, None, "0"), (2, None, None, 7.0, 9.0, None)]
+    df = spark.createDataFrame(rows, "row_id long, component string, service string, start_ms double, elapsed double, success string")
+    out = trace_summary(df, ["row_id", "component", "service"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate(key=[_k" in plan and "to_json" not in plan and "SortAggregate(key=[_g" not in plan
+    got = {tuple(r)[:3]: (r["n"], r["median_elapsed"], r["max_start"], r["failures"]) for r in out.collect()}
+    assert got == {(1, "x", None): (2, 2.0, 4.0, 1), (1, "x", ""): (1, None, 6.0, 1), (2, None, None): (1, 9.0, 7.0, 0)}
