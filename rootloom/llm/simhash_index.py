@@ -36,6 +36,8 @@ LEAF, GROUP, FAN_BITS = 64, 8, 4
 NODES_AT_ONCE = 2_048
 #: Hashes whose bits are counted at once.
 RUN = 1 << 14
+#: Codes of a piece of a leaf that is longer than that.
+WIDE = 128
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -83,6 +85,11 @@ def shared_pattern(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mask, ones & mask
 
 
+def _places(hit: np.ndarray) -> tuple[np.ndarray, ...]:
+    """np.nonzero; faster where few are set."""
+    return np.unravel_index(np.flatnonzero(hit), hit.shape)
+
+
 def near_codes(x: np.ndarray, y: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Different codes (a, b) at most ``distance`` bits apart, a in a row of ``x`` and b in the same row of ``y``, and how many were compared.
 
@@ -95,16 +102,27 @@ def near_codes(x: np.ndarray, y: np.ndarray, distance: int) -> tuple[np.ndarray,
     for at in range(0, n, step):
         xs, ys = (z[at : at + step].reshape(-1, runs, GROUP) for z in (x, y))
         (mx, vx), (my, vy) = shared_pattern(xs), shared_pattern(ys)
-        row, i, j = np.nonzero(np.bitwise_count((vx[:, :, None] ^ vy[:, None, :]) & mx[:, :, None] & my[:, None, :]) <= distance)
+        row, i, j = _places(np.bitwise_count((vx[:, :, None] ^ vy[:, None, :]) & mx[:, :, None] & my[:, None, :]) <= distance)
         for k in range(0, len(row), 1 << 14):
             p, q = xs[row[k : k + (1 << 14)], i[k : k + (1 << 14)]], ys[row[k : k + (1 << 14)], j[k : k + (1 << 14)]]
-            s, u, v = np.nonzero((np.bitwise_count(p[:, :, None] ^ q[:, None, :]) <= distance) & (p[:, :, None] != q[:, None, :]))
+            s, u, v = _places(np.bitwise_count(p[:, :, None] ^ q[:, None, :]) - 1 < distance)  # equal codes: 255
             found.append((p[s, u], q[s, v]))
             compared += len(p) * GROUP * GROUP
     a, b = (np.concatenate([f[k] for f in found] or [np.empty(0, np.uint64)]) for k in (0, 1))
     return a, b, compared
 
 
+def near_codes_of_wide(x: np.ndarray, y: np.ndarray, distance: int):
+    """The same for two long rows of codes, some of them at a time: pieces of ``WIDE`` are pruned by their patterns before their runs are."""
+    xs, ys = (np.concatenate([z, np.repeat(z[-1:], -len(z) % WIDE)]).reshape(-1, WIDE) for z in (x, y))
+    (mx, vx), (my, vy) = shared_pattern(xs), shared_pattern(ys)
+    for i in range(len(xs)):
+        j = np.flatnonzero(np.bitwise_count((vx[i] ^ vy) & mx[i] & my) <= distance)
+        if len(j):
+            a, b, _ = near_codes(np.broadcast_to(xs[i], (len(j), WIDE)), ys[j], distance)
+            yield a, b
+
+
 def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect the same codes as the given ones, one for each code but one of a tree."""
     codes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -176,7 +194,11 @@ def fingerprint_links(fps: DataFrame, distance: int = 2, leaf: int = LEAF) -> Da
     def solve(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, leaf) for c in (0, 1))
-            a, b = spanning_forest(*near_codes(x, y, distance)[:2])
+            if leaf > WIDE:
+                found = [spanning_forest(a, b) for p, q in zip(x, y) for a, b in near_codes_of_wide(p, q, distance) if len(a)]
+                a, b = spanning_forest(*(np.concatenate([f[k] for f in found] or [np.empty(0, np.uint64)]) for k in (0, 1)))
+            else:
+                a, b = spanning_forest(*near_codes(x, y, distance)[:2])
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     bits = -(-int(leaves.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]).bit_length() // FAN_BITS) * FAN_BITS

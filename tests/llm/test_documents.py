@@ -295,3 +295,19 @@ def test_stars_and_cliques_of_copies_leave_one(spark, kind, n, part, monkeypatch
     want = sum(similar(texts[0], t) for t in texts[1 : n + 1])
     assert want > 0.9 * n or kind == "star"
     assert 0.97 * want <= rejected <= n
+
+
+def test_long_leaves_and_tables_of_fingerprints():
+    from rootloom.llm import near_copies, simhash_index
+
+    rnd = np.random.default_rng(5)
+    bits = rnd.integers(0, 2, (300, near_copies.TABLE_BITS)).astype(np.uint8)
+    bits[150:] = bits[:150] ^ (rnd.random((150, near_copies.TABLE_BITS)) < 0.08)
+    codes = near_copies.table_codes(bits, near_copies.tables(300)).view(np.uint64)
+    x = np.unique(codes)
+    x = x[np.argsort(simhash_index.gray_rank(x))]
+    near = (np.bitwise_count(x[:, None] ^ x[None, :]) <= 3) & (x[:, None] != x[None, :])
+    i, j = np.nonzero(near)
+    got = {(int(a), int(b)) for p, q in simhash_index.near_codes_of_wide(x, x, 3) for a, b in zip(p, q)}
+    assert len(i) > 100 and got == set(zip(x[i].tolist(), x[j].tolist()))
+    assert all(int(a) >> 40 == int(b) >> 40 for a, b in got), "fingerprints of different tables are never near"
