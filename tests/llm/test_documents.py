@@ -297,6 +297,49 @@ def test_stars_and_cliques_of_copies_leave_one(spark, kind, n, part, monkeypatch
     assert 0.97 * want <= rejected <= n
 
 
+def test_pairs_that_no_row_proposes_are_met_too(spark):
+    """Pairs of copies of one text: to many of them others that are no near copies seem nearer, and no text is a hub of all."""
+    from rootloom.llm import near_copies
+    from rootloom.llm.shared import kept
+
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=8))
+    first, texts = [word() for _ in range(300)], []
+    for _ in range(300):
+        one, places = list(first), rnd.sample(range(10, 290, 6), 10)
+        for i in places[:5]:
+            one[i] = word()
+        texts.append(" ".join(one))
+        for i in places[5:]:
+            one[i] = word()
+        texts.append(" ".join(one))
+    sets = [near_copies.shingles(t.encode()) for t in texts]
+    has = np.stack([np.isin(np.unique(np.concatenate(sets)), x) for x in sets]).astype(np.float32)
+    both, n = has @ has.T, has.sum(axis=1)
+    root = np.arange(600)
+    for i, j in np.argwhere(both >= near_copies.SIMILARITY * (n[:, None] + n - both)):
+        root[root == max(root[i], root[j])] = min(root[i], root[j])
+    want = int((root != np.arange(600)).sum())
+    assert 300 <= want < 350
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rejected = near_copies.rejected_rows(kept(near_copies.mark_rows(docs), "marked")).count()
+    assert 0.97 * want <= rejected <= want
+
+
+@pytest.mark.parametrize(("n", "parts"), [(20, 1), (900, 1), (900, 2)])
+def test_pairs_across_roots(n, parts):
+    from rootloom.llm import near_copies
+
+    rnd = np.random.default_rng(6)
+    bits = np.unpackbits(np.tile(rnd.integers(0, 256, 128, dtype=np.uint8), (2 * n, 1)), axis=1) ^ (rnd.random((2 * n, 1024)) < 0.1)
+    sketches, unit = np.packbits(bits, axis=1).view(np.uint64), np.repeat([0, 1], n)
+    root, part = np.concatenate([np.sort(rnd.integers(-3, 4, n)) for _ in range(2)]), rnd.integers(0, parts, 2 * n)
+    d, c = np.bitwise_count(sketches[:, None] ^ sketches[None]).sum(axis=2), np.bitwise_count(sketches[:, None, -2:] ^ sketches[None, :, -2:]).sum(axis=2)
+    near = (d <= near_copies.WIDE_DISTANCE) & (c <= near_copies.CHECK_DISTANCE) & (root[:, None] != root) & (unit[:, None] == unit) & ((part[:, None] != part) | (parts == 1))
+    got = [(int(a), int(b)) for x, y, _, _ in near_copies.pairs_across(unit, part, root, sketches) for a, b in zip(x, y)]
+    assert len(got) == len(set(got)) and set(got) == set(zip(*(k.tolist() for k in np.nonzero(np.triu(near)))))
+
+
 def test_long_leaves_and_tables_of_fingerprints():
     from rootloom.llm import near_copies, simhash_index
 
