@@ -326,6 +326,44 @@ def test_bootstrap_draws_in_as_many_tasks_as_parts(spark):
     assert bootstrap.bootstrap_means(df, [], "v", 20, together=16)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
 
 
+def test_splits_of_a_range_are_drawn_once(spark, monkeypatch):
+    """However many parts a group has, each split above them is drawn once, and the means are those of the whole tree by plain steps."""
+    from rootloom.operators import bootstrap
+
+    df = spark.range(6400).select((F.col("id") % 160).cast("double").alias("v"), (F.col("id") % 160 < 3).alias("g"))
+    values = df.where("not g").groupBy("v").agg(F.count("*").alias("c"), F.pmod(F.xxhash64("v"), F.lit(32)).alias("b")).orderBy("v").collect()
+    of = {k: [r for r in values if r["b"] == k] for k in range(32)}
+    inside = lambda level, at: sum(r["c"] for k in range(at << level, at + 1 << level) for r in of[k])
+
+    def means(level, at, n):
+        if not inside(level, at):
+            return np.zeros(20)
+        if level:
+            left = bootstrap.binomial(n, inside(level - 1, 2 * at) / inside(level, at), bootstrap.uniform(7, np.arange(20), level, at, at + 1))
+            return means(level - 1, 2 * at, left) + means(level - 1, 2 * at + 1, n - left)
+        return sum(of[at][k]["v"] * d for k, d in bootstrap.counts_of(n, np.array([r["c"] for r in of[at]]), 7, -at))
+
+    got = bootstrap.bootstrap_means(df, ["g"], "v", 20, together=5).where("not g").orderBy("rep").collect()
+    assert [r["mean"] for r in got] == pytest.approx((means(5, 0, np.full(20, 6280)) / 6280).tolist(), abs=1e-9)
+
+
+def test_picked_draws_are_n_of_n():
+    from rootloom.operators import bootstrap
+
+    rnd = np.random.default_rng(3)
+    counts, values = rnd.integers(1, 9, 3000), rnd.gamma(2, 3, 3000)
+    n = np.full(2000, counts.sum())
+    assert bootstrap.is_picked(counts) and not bootstrap.is_picked(counts[:63]) and not bootstrap.is_picked(counts * 40)
+    sums = bootstrap.sums_of(n, values, counts, 7, 0)
+    mean = counts @ values / counts.sum()
+    deviation = np.sqrt(counts @ (values - mean) ** 2 / counts.sum() / counts.sum())
+    assert abs((sums / n).mean() - mean) < 4 * deviation / np.sqrt(2000) and abs((sums / n).std() / deviation - 1) < 0.07
+    few = np.array([0, 5, 7, 0, 100_000])
+    table = np.stack([d for _, d in bootstrap.counts_of(few, counts, 7, 0)])
+    assert table.sum(axis=0).tolist() == few.tolist()
+    assert (values @ table).tolist() == pytest.approx(bootstrap.sums_of(few, values, counts, 7, 0).tolist())
+
+
 def test_tabled_binomials_are_the_plain_ones(monkeypatch):
     from rootloom.operators import bootstrap
 
