@@ -297,7 +297,8 @@ def test_stars_and_cliques_of_copies_leave_one(spark, kind, n, part, monkeypatch
     assert 0.97 * want <= rejected <= n
 
 
-def test_pairs_that_no_row_proposes_are_met_too(spark):
+@pytest.mark.parametrize("unit", [16_384, 40])
+def test_pairs_that_no_row_proposes_are_met_too(spark, unit, monkeypatch):
     """Pairs of copies of one text: to many of them others that are no near copies seem nearer, and no text is a hub of all."""
     from rootloom.llm import near_copies
     from rootloom.llm.shared import kept
@@ -321,6 +322,8 @@ def test_pairs_that_no_row_proposes_are_met_too(spark):
         root[root == max(root[i], root[j])] = min(root[i], root[j])
     want = int((root != np.arange(600)).sum())
     assert 300 <= want < 350
+    real = near_copies.remaining_pairs
+    monkeypatch.setattr(near_copies, "remaining_pairs", lambda *tables: real(*tables, unit))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     rejected = near_copies.rejected_rows(kept(near_copies.mark_rows(docs), "marked")).count()
     assert 0.97 * want <= rejected <= want
